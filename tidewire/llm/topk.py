@@ -118,7 +118,7 @@ def _searcher(k: int):
             rows = rows.drop_duplicates(["vec_id", "vec"])
             x = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
             ids = rows["vec_id"].to_numpy()
-            y = np.frombuffer(b"".join(queries["vec"]), np.float64).reshape(len(queries), -1)
+            y = np.frombuffer(b"".join(queries["q_vec"]), np.float64).reshape(len(queries), -1)
             small = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1] < 2**52
             tree = BallTree(x) if small else None
             own_ids = ids[tree.order] if small else ids
@@ -140,15 +140,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     n = vectors.count()
     shards = max(1, math.ceil(n / shard_rows), min(spark.sparkContext.defaultParallelism, math.ceil(n / 1024)))
     slabs = max(1, math.ceil(n / 100 / slab_rows))
-    keys = ["shard", "dim", "slab"]
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     rows = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("slab", every(slabs))
     queries = packed.filter(is_query).dropDuplicates().select(
-        F.col("vec_id").alias("query_id"), "dim", "vec", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(slabs)).cast("int").alias("slab")
+        F.col("vec_id").alias("query_id"), F.col("dim").alias("q_dim"), F.col("vec").alias("q_vec"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(slabs)).cast("int").alias("slab")
     )
 
     def run(asked: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_searcher(k), FOUND)
+        return rows.groupBy("shard", "dim", "slab").cogroup(asked.groupBy("shard", "q_dim", "slab")).applyInPandas(_searcher(k), FOUND)
 
     first = cut(run(queries.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long"))))
     if shards == 1:

@@ -1,10 +1,12 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import topk, warc
+from tidewire.llm import fingerprint, langid, topk, warc
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op3_warc": warc.op3_warc,
+    "op5_langid": langid.op5_langid,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
 }
 ORACLES = {
     "op2_topk": topk.ORACLE,

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 60_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -137,7 +137,7 @@ def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
     data, off = string_buffers(column)
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
+        b = min(a + CHUNK_ROWS, max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1))
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 

@@ -1,14 +1,18 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import fingerprint, langid, topk, warc
+from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, topk, warc
 
 QUERIES = {
+    "op1_near_duplicates": jaccard.op1_near_duplicates,
     "op2_topk": topk.op2_topk,
     "op3_warc": warc.op3_warc,
     "op5_langid": langid.op5_langid,
+    "op7_packing": packing.op7_packing,
+    "op8_html": html_text.op8_html,
     "op9_fingerprint": fingerprint.op9_fingerprint,
 }
 ORACLES = {
+    "op1_near_duplicates": jaccard.ORACLE,
     "op2_topk": topk.ORACLE,
     "op3_warc": warc.ORACLE,
 }

@@ -38,7 +38,7 @@ def partitions(spark: SparkSession) -> int:
 # --------------------------------------------------------------------------- hashing
 
 _TABLE = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64) | U(1)
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -83,14 +83,14 @@ def string_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * powers(BYTE_BASE, len(sums), True)[start] + (end - start).astype(U))
 
 
-def run_hash(items: np.ndarray, k: int) -> np.ndarray:
+def run_hash(items: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
     """64-bit hash of every k consecutive items."""
     n = len(items)
     if n < k:
         return np.empty(0, U)
     c = np.zeros(n + 1, U)
-    np.cumsum(items * powers(WORD_BASE, n), out=c[1:])
-    return mix((c[k:] - c[:-k]) * powers(WORD_BASE, n, True)[: n - k + 1])
+    np.cumsum(items * powers(base, n), out=c[1:])
+    return mix((c[k:] - c[:-k]) * powers(base, n, True)[: n - k + 1])
 
 
 _SPACE = np.zeros(256, bool)

@@ -1,11 +1,12 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, topk, warc
+from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, substring, topk, warc
 
 QUERIES = {
     "op1_near_duplicates": jaccard.op1_near_duplicates,
     "op2_topk": topk.op2_topk,
     "op3_warc": warc.op3_warc,
+    "op4_substring": substring.op4_substring,
     "op5_langid": langid.op5_langid,
     "op7_packing": packing.op7_packing,
     "op8_html": html_text.op8_html,
@@ -15,4 +16,5 @@ ORACLES = {
     "op1_near_duplicates": jaccard.ORACLE,
     "op2_topk": topk.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_substring": substring.ORACLE,
 }

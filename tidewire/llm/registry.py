@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, substring, topk, warc
+from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, substring, suffix, topk, warc
 
 QUERIES = {
     "op1_near_duplicates": jaccard.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_html": html_text.op8_html,
     "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_suffix": suffix.op10_suffix,
 }
 ORACLES = {
     "op1_near_duplicates": jaccard.ORACLE,

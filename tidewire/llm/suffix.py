@@ -65,11 +65,11 @@ def _pack(length: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            id0, key = b.column("id0").to_numpy(), b.column("key").to_numpy()
+            id0, key, order_id = (b.column(c).to_numpy() for c in ("id0", "key", "order_id"))
             for lo, hi, data, offsets in text_chunks(b.column("text")):
                 token, record = _anchors(data, offsets, length, gram)
                 digests = b"".join(hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(offsets[:-1], offsets[1:], strict=True))
-                info = id0[lo:hi].astype("<i8").tobytes() + key[lo:hi].astype("<i8").tobytes() + np.diff(offsets).astype("<i8").tobytes() + digests
+                info = id0[lo:hi].astype("<i8").tobytes() + key[lo:hi].astype("<i8").tobytes() + order_id[lo:hi].astype("<i8").tobytes() + np.diff(offsets).astype("<i8").tobytes() + digests
                 yield repeats.pack(chunk, token, record, info, buckets, TOKEN_BYTES)
                 chunk += 1
 
@@ -77,12 +77,12 @@ def _pack(length: int, gram: int, buckets: int):
 
 
 def _documents(info: bytes, found: np.ndarray) -> pd.DataFrame:
-    n = len(info) // 40
-    id0, key, size = np.frombuffer(info[: 24 * n], "<i8").reshape(3, n)
+    n = len(info) // 48
+    id0, key, order_id, size = np.frombuffer(info[: 32 * n], "<i8").reshape(4, n)
     found = found[np.lexsort((found["first"], found["doc"]))]
     bounds = np.searchsorted(found["doc"], np.arange(n + 1))
     own = slices(found, bounds)
-    return pd.DataFrame({"id0": id0, "key": key, "n_bytes": size, "sig": [info[24 * n + 16 * k : 24 * n + 16 * (k + 1)] for k in range(n)], "anchors": [x or None for x in own]})
+    return pd.DataFrame({"id0": id0, "order_id": order_id, "key": key, "n_bytes": size, "sig": [info[32 * n + 16 * k : 32 * n + 16 * (k + 1)] for k in range(n)], "anchors": [x or None for x in own]})
 
 
 def _fragments(length: int, gram: int, buckets: int):
@@ -229,13 +229,12 @@ def copied_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     """doc_id, text and spans (pairs of byte offsets, null: none) of what an earlier document has."""
     rows = rows_of(documents).withColumn("order_id", F.coalesce("doc_id", F.lit(LAST)))
     buckets = repeats.buckets_of(documents)
-    packed = rows.select("id0", "key", "text").mapInArrow(_pack(length, gram, buckets), repeats.PACKED)
-    found = repeats.gather(packed, TOKEN_BYTES, ANCHOR, _documents, "id0 long, key long, n_bytes long, sig binary, anchors binary")
+    packed = rows.select("id0", "key", "order_id", "text").mapInArrow(_pack(length, gram, buckets), repeats.PACKED)
+    found = repeats.gather(packed, TOKEN_BYTES, ANCHOR, _documents, "id0 long, order_id long, key long, n_bytes long, sig binary, anchors binary")
     found = cut(found.filter(F.col("n_bytes") >= length).dropDuplicates(["id0", "key"]))
-    ids = found.join(rows.select("id0", "key", "order_id").distinct(), ["id0", "key"]) if False else found.withColumn("order_id", F.col("id0"))
-    first = ids.groupBy("sig").agg(F.min("order_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("sig", "least")
-    whole = ids.join(first, "sig").filter("order_id > least").select("id0", "key", "n_bytes")
-    anchors = ids.filter("anchors IS NOT NULL").join(whole.select("id0", "key"), ["id0", "key"], "left_anti").select("id0", "key", "anchors")
+    first = found.groupBy("sig").agg(F.min("order_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("sig", "least")
+    whole = found.join(first, "sig").filter("order_id > least").select("id0", "key", "n_bytes")
+    anchors = found.filter("anchors IS NOT NULL").join(whole.select("id0", "key"), ["id0", "key"], "left_anti").select("id0", "key", "anchors")
     cut_out = rows.join(anchors, ["id0", "key"]).select("id0", "key", "order_id", "text", "anchors").mapInArrow(_fragments(length, gram, buckets), FRAGMENTS)
     settled = cut_out.groupBy("bucket").applyInPandas(_settler(length), "chunk long, runs binary, info binary")
     spans = settled.groupBy("chunk").applyInPandas(_gatherer(length), "id0 long, key long, spans binary").dropDuplicates(["id0", "key"])

@@ -25,32 +25,68 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import U, byte_sums, partitions, string_hash, text_chunks, word_spans
 
-SAMPLES = 64
+SAMPLES, STEP = 64, 1 << 13
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _seeds(n: int) -> np.ndarray:
-    return np.random.default_rng(4242).integers(0, 2**64, (3, n), dtype=np.uint64) | U(1)
+    return np.random.default_rng(4242).integers(0, 2**64, (2, n), dtype=np.uint64) | U(1)
 
 
-def _uniforms(terms: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) for every term and seed."""
-    x = (terms[:, None] ^ seeds[None, :]) * U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U(32))) * U(0x9E3779B97F4A7C15)
+def _bits(terms: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    x = terms[:, None] ^ seeds[None, :]
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(32)
+    x *= U(0x9E3779B97F4A7C15)
     x ^= x >> U(29)
-    scale = np.float32(2.0**-24)
-    high, low = (x >> U(40)).astype(np.float32), ((x >> U(8)) & U(0xFFFFFF)).astype(np.float32)
-    return (high + np.float32(0.5)) * scale, (low + np.float32(0.5)) * scale
+    return x
+
+
+def _uniform(x: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    """A number in (0, 1) from some of the bits."""
+    u = ((x >> U(shift)) & U((1 << bits) - 1)).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-bits)
+    return u
+
+
+def _gamma(x: np.ndarray) -> np.ndarray:
+    """A Gamma(2, 1) number, the sum of two exponential ones."""
+    u = _uniform(x, 40, 24)
+    u *= _uniform(x, 16, 24)
+    np.log(u, out=u)
+    return np.negative(u, out=u)
 
 
 def _draws(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, b and ln c of every term and sample."""
     s = _seeds(samples)
-    u1, u2 = _uniforms(terms, s[0])
-    r = -(np.log(u1) + np.log(u2))
-    u1, u2 = _uniforms(terms, s[1])
-    ln_c = np.log(-(np.log(u1) + np.log(u2)))
-    return r, _uniforms(terms, s[2])[0], ln_c
+    x = _bits(terms, s[0])
+    r, b = _gamma(x), _uniform(x, 0, 16)
+    return r, b, np.log(_gamma(_bits(terms, s[1])))
+
+
+def _samples(terms: np.ndarray, term: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
+    """For each (term, weight) and sample: the value that competes in the upper bits and the sample in the lower ones of a
+    positive double, so that the least double is the winner."""
+    out = np.empty((len(term), samples), U)
+    low = (terms & U(0xFFFFFFFF)) * U(0x9E3779B1)
+    for lo in range(0, len(term), STEP):  # terms ascend, so a step draws for few terms
+        own, heavy = term[lo : lo + STEP], weight[lo : lo + STEP]
+        base = own[0]
+        r, b, ln_c = _draws(terms[base : own[-1] + 1], samples)
+        value = (ln_c + r * (b - np.float32(1)))[own - base]  # for weight 1, of which t is 0
+        sample = np.repeat((low[own] * U(0xC2B2AE3D27D4EB4F))[:, None], samples, 1)
+        more = np.flatnonzero(heavy > 1)
+        at = own[more] - base
+        rr, bb = r[at], b[at]
+        t = np.floor(np.log(heavy[more].astype(np.float32))[:, None] / rr + bb)
+        value[more] = ln_c[at] - rr * (t - bb) - rr
+        sample[more] = (low[own[more]][:, None] + t.astype(np.int64).astype(U) * U(0x85EBCA6B)) * U(0xC2B2AE3D27D4EB4F)
+        bits = value.view(np.uint32)
+        rank = bits ^ (np.uint32(0x80000000) | (bits.view(np.int32) >> np.int32(31)).view(np.uint32))
+        out[lo : lo + STEP] = ((rank.astype(U) + U(1 << 21)) << U(30)) | (sample >> U(48))
+    return out.view(np.float64)
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
@@ -63,32 +99,21 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
     terms, at = np.unique(string_hash(byte_sums(data), start, end), return_inverse=True)
     pair = np.repeat(np.arange(texts), np.diff(first)) * len(terms) + at
     pair, weight = np.unique(pair, return_counts=True)
-    text, term = pair // len(terms), pair % len(terms)
-    low = (terms & U(0xFFFFFFFF)) * U(0x9E3779B1)
-    r, b, ln_c = _draws(terms, samples)
+    text = pair // len(terms)
+    # a pair's samples depend on its term and weight alone, and most pairs of a run share them with others
+    form, at = np.unique(pair % len(terms) * (len(start) + 1) + weight, return_inverse=True)
+    drawn = _samples(terms, form // (len(start) + 1), form % (len(start) + 1), samples)
     begins = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    step = 1 << 14
-    cuts = [0]
-    for x in [*begins[1:], len(text)]:
-        if x - cuts[-1] >= step or x == len(text):
-            cuts.append(int(x))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = term[lo:hi]
-        rr = r[own]
-        t = np.floor(np.log(weight[lo:hi].astype(np.float32))[:, None] / rr + b[own])
-        value = (ln_c[own] - rr * (t - b[own]) - rr).astype(np.float32)
-        bits = value.view(np.uint32)
-        rank = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(U)
-        sample = (low[own][:, None] + t.astype(np.int64).astype(U) * U(0x85EBCA6B)) * U(0xC2B2AE3D27D4EB4F)
-        packed = (rank << U(32)) | (sample >> U(32))
-        here = begins[(begins >= lo) & (begins < hi)]
-        least = np.minimum.reduceat(packed, here - lo, axis=0)
-        out[text[here]] = np.maximum((least & U(0xFFFF)).astype(np.uint16), 1)
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(text)], strict=True):
+        least = np.minimum.reduce(drawn[at[lo : min(hi, lo + STEP)]], axis=0)
+        for k in range(lo + STEP, hi, STEP):
+            np.minimum(least, np.minimum.reduce(drawn[at[k : min(hi, k + STEP)]], axis=0), out=least)
+        out[text[lo]] = np.maximum((least.view(U) & U(0xFFFF)).astype(np.uint16), 1)
     return out
 
 
 def of_texts(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
-    parts = [signatures(d, o, samples) for _, _, d, o in text_chunks(pa.array(texts, pa.large_string()))]
+    parts = [signatures(d, o, samples) for _, _, d, o in text_chunks(pa.array(texts, pa.large_string()), 4 << 20)]
     return np.concatenate(parts) if parts else np.zeros((0, samples), np.uint16)
 
 
@@ -157,7 +182,7 @@ def _editor(samples: int):
         def pieces():
             for b in batches:
                 a = 0
-                for lo, hi, _, _ in text_chunks(b.column("text"), 4 << 20):
+                for lo, hi, _, _ in text_chunks(b.column("text"), 1 << 20):
                     a = hi
                     c = b.slice(lo, hi - lo)
                     yield list(zip(c.column("bucket").to_pylist(), c.column("guest").to_pylist(), c.column("doc_id").to_pylist(), c.column("text").to_pylist(), strict=True))
@@ -167,10 +192,10 @@ def _editor(samples: int):
         for rows in pieces():
             rows = kept + rows
             kept = rows[-1:]
-            marks = of_texts([r[3] for r in rows], samples)
             own = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
             edited = [edit(rows[i][3], rows[i + 1][3]) for i in own]
-            of_edited = of_texts(edited, samples)
+            marks = of_texts([r[3] for r in rows] + edited, samples)  # together, as they share most terms
+            marks, of_edited = marks[: len(rows)], marks[len(rows) :]
             at = np.array(own, np.int64)
             yield pa.RecordBatch.from_pydict(
                 {

@@ -246,6 +246,17 @@ def near_duplicates(documents: DataFrame, width: int = WORDS, similarity: int =
     return rows.join(found, rows["doc_id"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def representatives(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The documents without those that a smaller doc_id reaches by links, with all their columns. Of rows that repeat an id and have
+    words one stays; rows without words or with a null id stay."""
+    all_sets = sets(documents, width, similarity)
+    gone = components(links(all_sets, similarity)).filter("component <> node").select(F.col("node").alias("doc_id"), F.lit(0).alias("__stay"))
+    twice = all_sets.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").join(gone, "doc_id", "left_anti")
+    judged = documents.join(cut(gone.unionByName(twice.select("doc_id", F.lit(1).alias("__stay")))), "doc_id", "left")
+    once = judged.filter("__stay = 1").dropDuplicates(["doc_id"])
+    return judged.filter("__stay IS NULL").unionByName(once).select(*documents.columns)
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -169,18 +169,23 @@ def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE,
     return Model(languages, {c: kept[c].to_numpy(np.int64) for c in ("kind", "key", "lang", "n")}, totals)
 
 
+def _decide(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the best language of each text (behind the last one: none) and its score."""
+    best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
+    for a, b, data, offsets in text_chunks(texts):
+        s, has = model.scores(data, offsets)
+        if model.languages and has.any():
+            p = np.exp(s[has] - s[has].max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            best[a:b][has], score[a:b][has] = p.argmax(1), p.max(1)
+    return best, score
+
+
 def _predictor(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        names = np.array([*m.languages, UND], object)
+        names = np.array([*model.value.languages, UND], object)
         for batch in batches:
-            best, score = np.full(len(batch), len(m.languages)), np.zeros(len(batch))
-            for a, b, data, offsets in text_chunks(batch.column("text")):
-                s, has = m.scores(data, offsets)
-                if m.languages and has.any():
-                    p = np.exp(s[has] - s[has].max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    best[a:b][has], score[a:b][has] = p.argmax(1), p.max(1)
+            best, score = _decide(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return predict
@@ -197,6 +202,19 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predictor(shared), PREDICTED)
 
 
+def recognised(documents: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents with a language whose score is at least ``least``, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    texts = documents.withColumn("__text", F.col("text").cast("string"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = _decide(shared.value, batch.column("__text"))
+            yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least))).drop_columns(["__text"])
+
+    return texts.mapInArrow(keep, documents.schema)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(documents, fit(documents, ~held_out()))

@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import fingerprint, html_text, jaccard, langid, packing, substring, suffix, topk, warc
+from tidewire.llm import fingerprint, html_text, jaccard, langid, mixing, packing, substring, suffix, topk, warc
 
 QUERIES = {
     "op1_near_duplicates": jaccard.op1_near_duplicates,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_substring": substring.op4_substring,
     "op5_langid": langid.op5_langid,
+    "op6_mixing": mixing.op6_mixing,
     "op7_packing": packing.op7_packing,
     "op8_html": html_text.op8_html,
     "op9_fingerprint": fingerprint.op9_fingerprint,

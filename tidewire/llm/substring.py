@@ -33,11 +33,12 @@ HIT = np.dtype([("doc", "<u2"), ("word", "<u4"), ("check", "<u4")])
 TOKEN_BYTES = 8
 
 
-def rows_of(documents: DataFrame) -> DataFrame:
-    """doc_id and text with a key: ``id0`` and ``key`` are never null and equal only for rows that repeat each other."""
+def rows_of(documents: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text with a key: ``id0`` and ``key`` are never null and equal only for rows that repeat each other. Columns in
+    ``also`` come along as other_0, other_1 and so on."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ident = F.col("doc_id").cast("long")
-    return documents.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("id0"), F.xxhash64(text, ident.isNull()).alias("key"), text.alias("text"))
+    return documents.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("id0"), F.xxhash64(text, ident.isNull()).alias("key"), text.alias("text"), *(F.col(f"`{c}`").alias(f"other_{k}") for k, c in enumerate(also)))
 
 
 class Windows:
@@ -189,10 +190,11 @@ def _kept(raw: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(out), b" ".join(out)
 
 
-def deduplicated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """doc_id, id0, key, text and spans (null: none) of every row; the index is built batch by batch and dropped once used."""
+def deduplicated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, id0, key, text, spans (null: none) and the columns of ``also`` of every row; the index is built batch by batch and
+    dropped once used."""
     spark = documents.sparkSession
-    rows = rows_of(documents)
+    rows = rows_of(documents, also)
     index = FingerprintIndex(spark, window, gram)
     for k in range(batches):
         index.append(rows.filter(F.pmod(F.xxhash64("id0", F.lit(5)), F.lit(batches)) == k))
@@ -212,15 +214,24 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def kept_text(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and the kept words of every row, and how many were removed; text without a repeat stays as it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [(t.as_py(), 0) if not s.is_valid else (lambda n, r, k: (k.decode("utf-8", "replace"), r))(*_kept(t.as_buffer().to_pybytes(), s.as_py())) for t, s in zip(b.column("text"), b.column("spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id0"), b.column("key"), pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], names=["id0", "key", "text", "n_removed"])
-
-    return deduplicated(documents, window).select("id0", "key", "text", "spans").mapInArrow(run, "id0 long, key long, text string, n_removed long")
+def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents with repeated passages taken out of their text, and n_chars to match; a text without any stays as it is, blanks
+    included, and null stays null. All columns are kept."""
+    others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
+
+    @F.pandas_udf("string")
+    def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_kept(t.encode(), s)[2].decode("utf-8", "replace") for t, s in zip(text, spans, strict=True)])
+
+    was_null = F.col("text").isNull()
+    found = deduplicated(documents.withColumn("__null", was_null), window, also=(*others, "__null"))
+    text = F.when(F.col(f"other_{len(others)}"), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("cut"))
+    changed = found.filter("spans IS NOT NULL").withColumn("cut", keep("text", "spans")).unionByName(found.filter("spans IS NULL").withColumn("cut", F.lit(None).cast("string")))
+    out = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"other_{k}") for k, c in enumerate(others)}
+    if "n_chars" in out:
+        kind = documents.schema["n_chars"].dataType
+        out["n_chars"] = F.when(F.col("spans").isNull(), out["n_chars"]).otherwise(F.char_length("cut").cast(kind))
+    return changed.select(*(out[c].alias(c) for c in documents.columns))
 
 
 ORACLE = r"""

@@ -13,9 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
-from tidewire.llm.common import U, partitions, slices
+from tidewire.llm.common import U, partitions
 
 PACKED = "bucket int, chunk long, token binary, load binary, info binary"
 ANSWERED = "chunk long, load binary, info binary"
@@ -35,6 +36,28 @@ def _equal_neighbours(token: np.ndarray, load: np.ndarray) -> tuple[np.ndarray,
     return order, token[order][1:] == token[order][:-1]
 
 
+#: Fields of records that ascend, or nearly so, where records are in the order of the text; only their steps are sent.
+STEPS = ("doc", "first", "word")
+
+
+def squeeze(load: np.ndarray) -> bytes:
+    """Records column by column, compressed."""
+    columns = [load[k] for k in load.dtype.names]
+    columns = [np.diff(c, prepend=c.dtype.type(0)) if k in STEPS else c for k, c in zip(load.dtype.names, columns, strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def expand(raw: bytes, dtype: np.dtype) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    out, at = np.empty(len(raw) // dtype.itemsize, dtype), 0
+    for k in dtype.names:
+        kind = dtype[k]
+        column = np.frombuffer(raw, kind, len(out), at)
+        out[k] = np.cumsum(column, dtype=kind) if k in STEPS else column
+        at += column.nbytes
+    return out
+
+
 def pack(chunk: int, token: np.ndarray, load: np.ndarray, info: bytes, buckets: int, width: int) -> pa.RecordBatch:
     """Rows for one chunk: ``width`` bytes of each hash and the record ``load`` that says where it occurs.
 
@@ -44,8 +67,8 @@ def pack(chunk: int, token: np.ndarray, load: np.ndarray, info: bytes, buckets:
     twice = np.zeros(len(token), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
-    first = order[np.concatenate(([True], ~same))[: len(order)]]
-    unique, known = token[first], load[twice].tobytes()
+    first = np.sort(order[np.concatenate(([True], ~same))[: len(order)]])
+    unique, known = token[first], squeeze(load[twice])
     bucket = (unique % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -57,7 +80,7 @@ def pack(chunk: int, token: np.ndarray, load: np.ndarray, info: bytes, buckets:
             pa.array(np.append(full, chunk % buckets), pa.int32()),
             pa.array(np.full(len(full) + 1, chunk), pa.int64()),
             pa.array([np.ascontiguousarray(short[bounds[k] : bounds[k + 1]]).tobytes() for k in full] + [None], pa.binary()),
-            pa.array([sent[bounds[k] : bounds[k + 1]].tobytes() for k in full] + [known], pa.binary()),
+            pa.array([squeeze(sent[bounds[k] : bounds[k + 1]]) for k in full] + [known], pa.binary()),
             pa.array([None] * len(full) + [info], pa.binary()),
         ],
         names=["bucket", "chunk", "token", "load", "info"],
@@ -74,14 +97,16 @@ def _reducer(width: int, dtype: np.dtype):
         token = np.zeros((lens.sum(), 8), np.uint8)
         token[:, :width] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, width)
         token = token.view("<u8").ravel()
-        load = np.frombuffer(b"".join(rows["load"]), dtype)
+        load = np.concatenate([expand(x, dtype) for x in rows["load"]])
         order, same = _equal_neighbours(token, load)
         keep = np.zeros(len(token), bool)
         keep[order[1:]] |= same
         keep[order[:-1]] |= same
         bounds = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, np.cumsum(lens) - lens))))
-        got = pd.DataFrame({"chunk": rows["chunk"], "load": slices(load[keep], bounds), "info": None})
-        return pd.concat([info, got[np.diff(bounds) > 0]])
+        repeated = load[keep]
+        full = np.flatnonzero(np.diff(bounds))
+        got = pd.DataFrame({"chunk": rows["chunk"].to_numpy()[full], "load": [squeeze(repeated[bounds[k] : bounds[k + 1]]) for k in full], "info": None})
+        return pd.concat([info, got])
 
     return reduce
 
@@ -91,7 +116,7 @@ def gather(packed: DataFrame, width: int, dtype: np.dtype, assemble: Callable[[b
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         info = rows["info"][rows["info"].notna()].iloc[0]
-        return assemble(info, np.frombuffer(b"".join(rows["load"]), dtype))
+        return assemble(info, np.concatenate([expand(x, np.dtype(dtype)) for x in rows["load"]]))
 
     answered = packed.groupBy("bucket").applyInPandas(_reducer(width, np.dtype(dtype)), ANSWERED)
     return answered.groupBy("chunk").applyInPandas(each, schema)

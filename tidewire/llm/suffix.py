@@ -35,7 +35,7 @@ from tidewire.llm import repeats
 from tidewire.llm.common import BYTE_BASE, U, byte_sums, cut, mix, powers, slices, string_hash, text_chunks
 from tidewire.llm.substring import rows_of
 
-LENGTH, GRAM, TOKEN_BYTES = 50, 20, 5
+LENGTH, GRAM, TOKEN_BYTES, PORTION = 50, 20, 5, 1 << 18
 ANCHOR = np.dtype([("doc", "<u2"), ("first", "<u4"), ("windows", "u1"), ("anchor", "u1")])
 FRAGMENT = np.dtype([("doc", "<u2"), ("first", "<u4"), ("id", "<i8"), ("windows", "u1"), ("hash", "<u8"), ("anchor", "u1")])
 RUN = np.dtype([("doc", "<u2"), ("first", "<u4"), ("windows", "<u4")])
@@ -85,6 +85,23 @@ def _documents(info: bytes, found: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id0": id0, "order_id": order_id, "key": key, "n_bytes": size, "sig": [info[32 * n + 16 * k : 32 * n + 16 * (k + 1)] for k in range(n)], "anchors": [x or None for x in own]})
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
+def _portions(size: np.ndarray, joint: np.ndarray | None = None, most: int = PORTION) -> list[tuple[int, int]]:
+    """Ranges of places whose sizes sum up to about ``most``; a place where ``joint`` is true stays with the one before it."""
+    n = len(size)
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - 1) // most)) + 1
+    if joint is not None:
+        free = np.append(np.flatnonzero(~joint), n)
+        cuts = free[np.searchsorted(free, cuts)]
+    edges = np.unique(np.concatenate(([0], cuts, [n])))
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
 def _fragments(length: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -114,15 +131,13 @@ def _fragments(length: int, gram: int, buckets: int):
                 out["doc"], out["first"], out["id"], out["windows"], out["hash"], out["anchor"] = doc[sent], record["first"][sent], ident[sent], record["windows"][sent], anchor[sent], record["anchor"][sent]
                 bounds = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(bounds))
-                total = np.concatenate(([0], np.cumsum(size[sent])))
-                at = np.repeat(start[sent] - total[:-1], size[sent]) + np.arange(total[-1])
-                bytes_ = data[at]
+                own_bytes = lambda k: data[_ranges(start[sent[bounds[k] : bounds[k + 1]]], size[sent[bounds[k] : bounds[k + 1]]])].tobytes()  # noqa: B023, E731
                 info = id0[lo:hi].astype("<i8").tobytes() + key[lo:hi].astype("<i8").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.append(full, chunk % buckets), pa.int32()),
                         pa.array(np.full(len(full) + 1, chunk), pa.int64()),
-                        pa.array([press.compress(bytes_[total[bounds[k]] : total[bounds[k + 1]]].tobytes()) for k in full] + [None], pa.binary()),
+                        pa.array([press.compress(own_bytes(k)) for k in full] + [None], pa.binary()),
                         pa.array([press.compress(out[bounds[k] : bounds[k + 1]].tobytes()) for k in full] + [settled.tobytes()], pa.binary()),
                         pa.array([None] * len(full) + [info], pa.binary()),
                     ],
@@ -184,23 +199,29 @@ def _settler(length: int):
         base = np.cumsum(count) - count  # windows of all contents, one after the other
         first_id = np.repeat(f["id"][head], count)
         pick = np.flatnonzero(several)
-        own = np.repeat(base[pick], count[pick]) + (np.arange(count[pick].sum()) - np.repeat(np.cumsum(count[pick]) - count[pick], count[pick]))
-        where = np.repeat(start[head[pick]], count[pick]) + (own - np.repeat(base[pick], count[pick]))
-        if len(own):
-            group = window_classes(text, where, length)
+        joint = np.zeros(len(pick), bool)
+        joint[1:] = anchor[pick][1:] == anchor[pick][:-1]  # equal windows have equal anchors, so anchors can go one after the other
+        for lo, hi in _portions(count[pick], joint):
+            some = pick[lo:hi]
+            own = _ranges(base[some], count[some])
+            group = window_classes(text, _ranges(start[head[some]], count[some]), length)
             least = np.full(group.max() + 1, LAST, np.int64)
             np.minimum.at(least, group, first_id[own])
             first_id[own] = least[group]
         # each fragment against the smallest ids of its content's windows
-        total = np.cumsum(windows) - windows
-        inside = np.arange(windows.sum()) - np.repeat(total, windows)
-        copied = first_id[np.repeat(base[kind], windows) + inside] < np.repeat(f["id"], windows)
-        edge = np.concatenate(([False], copied[:-1])) & (inside > 0)
-        begin = np.flatnonzero(copied & ~edge)
-        stop = np.flatnonzero(copied & ~(np.concatenate((copied[1:], [False])) & np.concatenate((inside[1:] > 0, [False]))))
-        owner = np.repeat(np.arange(len(f)), windows)[begin]
-        runs = np.empty(len(begin), RUN)
-        runs["doc"], runs["first"], runs["windows"] = f["doc"][owner], f["first"][owner] + inside[begin], stop - begin + 1
+        parts = []
+        for lo, hi in _portions(windows):
+            w = windows[lo:hi]
+            inside = _ranges(np.zeros(hi - lo, np.int64), w)
+            copied = first_id[_ranges(base[kind[lo:hi]], w)] < np.repeat(f["id"][lo:hi], w)
+            edge = np.concatenate(([False], copied[:-1])) & (inside > 0)
+            begin = np.flatnonzero(copied & ~edge)
+            stop = np.flatnonzero(copied & ~(np.concatenate((copied[1:], [False])) & np.concatenate((inside[1:] > 0, [False]))))
+            owner = lo + np.repeat(np.arange(hi - lo), w)[begin]
+            parts.append((owner, inside[begin], stop - begin + 1))
+        owner, first, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+        runs = np.empty(len(owner), RUN)
+        runs["doc"], runs["first"], runs["windows"] = f["doc"][owner], f["first"][owner] + first, span
         bounds = np.searchsorted(row[owner], np.arange(len(rows) + 1))
         got = pd.DataFrame({"chunk": rows["chunk"], "runs": slices(runs, bounds), "info": None})
         return pd.concat([info, got[np.diff(bounds) > 0]])

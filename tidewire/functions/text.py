@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewire.fixed_values import EVENT_CLASS_MAP, EVENT_CLASS_ORDER, EVENT_CLASS_TEXT, STOPWORDS
 
@@ -98,7 +99,7 @@ def phrase_in(text: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {phrase} ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All HTML entities; SQL has no table of them."""
     return s.map(html.unescape, na_action="ignore")
@@ -107,7 +108,7 @@ def unescape(s: pd.Series) -> pd.Series:
 _FOLD = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "—": "-", "−": "-", "…": "...", " ": " "})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quote_form(s: pd.Series) -> pd.Series:
     """Compatibility form, plain punctuation, single blanks, folded case."""
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).translate(_FOLD).split()).casefold(), na_action="ignore")

@@ -34,8 +34,8 @@ def parse_time(c: Column) -> Column:
 
 
 def age_hours(c: Column, as_of: Column) -> Column:
-    """Hours since, not below 0."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(c)) / 3.6e9)
+    """Hours since, not below 0; null without a time."""
+    return F.when(c.isNotNull() & as_of.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(c)) / 3.6e9))
 
 
 def decay(age: Column, half_life: Column | float) -> Column:

@@ -1 +1,6 @@
-"""Part of the tidewire analytics engine."""
+"""The queries of the engine, entered in the catalogue by the modules here."""
+
+from tidewire.plans import relations, series, texts, usage, vectors  # noqa: F401
+from tidewire.plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -146,7 +146,7 @@ def _assembler(similarity: int):
                     v.append(None)
                 continue
             own = token[a:b]
-            alone = b"" if repeated[k] == n[k] else b"%d" % ids[k]  # with a shingle of its own no other set is the same
+            alone = b"" if repeated[k] == n[k] else b"%d %d" % (ids[k], n[k])  # with a shingle of its own no other set is the same
             out["sig"].append(hashlib.blake2b(np.sort(own).tobytes() + alone, digest_size=16).digest())
             out["prefix"].append(own[: prefix[k]].tobytes())
             out["tokens"].append(own.tobytes())
@@ -208,10 +208,12 @@ def sets(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY)
 def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) of doc_ids that span the same components as all links do."""
     found = all_sets.filter(F.col("sig").isNotNull())
-    least = found.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    copies = found.select("doc_id", "sig").join(least.filter("copies > 1"), "sig").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    classes = found.join(least.select("sig", "node"), "sig").filter("doc_id = node").select("node", "sig", F.col("n_shingles").alias("n"), "prefix", "tokens").dropDuplicates(["node", "sig"])
-    classes = cut(classes.withColumn("member", F.xxhash64("node", "sig")).withColumn("form", F.xxhash64("n", "prefix")))
+    # all rows of a class have the same set, so any of them stands for it and copies fold up before the shuffle
+    one = [F.first(c).alias(c) for c in ("n_shingles", "prefix", "tokens")]
+    least = found.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *one)
+    least = cut(least.select("sig", "node", "copies", F.col("n_shingles").alias("n"), "prefix", "tokens", F.xxhash64("node", "sig").alias("member"), F.xxhash64("n_shingles", "prefix").alias("form")))
+    copies = found.select("doc_id", "sig").join(least.filter("copies > 1").select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    classes = least.drop("sig", "copies")
     groups = classes.groupBy("form", "n", "prefix").agg(F.min("member").alias("grp"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +227,9 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
     # a group of several classes meets itself
     several = classes.groupBy("form", "n", "prefix").agg(F.min("member").alias("grp"), F.count("*").alias("k")).filter("k > 1").select(F.col("grp").alias("star"), "grp")
     stars = postings.join(lead.filter("star <> most").select("token", "star"), "token").select("star", "grp").unionByName(several).distinct()
-    member = classes.join(groups.select("form", "n", "prefix", "grp"), ["form", "n", "prefix"]).select("grp", "node", "member", "n", "tokens")
-    sized = cut(stars.join(member.select("grp", "node", "member"), "grp").select("star", "member"))
+    # tokens are read from the classes only where they are verified
+    member = classes.select("form", "n", "prefix", "member").join(groups, ["form", "n", "prefix"]).select("grp", "member")
+    sized = cut(stars.join(member, "grp").select("star", "member"))
     blocks = sized.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = (
         sized.join(blocks, "star")
@@ -234,7 +237,7 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("star", "member", "own", "other", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    met = dealt.join(member.select("member", "node", "n", "tokens"), "member")
+    met = dealt.join(classes.select("member", "node", "n", "tokens"), "member")
     return met.groupBy("star", "i", "j").applyInPandas(_verifier(similarity), "a long, b long").distinct().unionByName(copies)
 
 

@@ -164,9 +164,11 @@ def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE,
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     all_of = Window.partitionBy("lang", "kind")
     top = counts.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("n").over(all_of))
-    kept = top.filter((F.col("n") > 1) & (F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))).drop("rank").toPandas()
-    totals = {(int(k), int(g)): int(t) for g, k, t in kept[["lang", "kind", "total"]].drop_duplicates().itertuples(index=False)}
-    return Model(languages, {c: kept[c].to_numpy(np.int64) for c in ("kind", "key", "lang", "n")}, totals)
+    kept = top.filter((F.col("n") > 1) & (F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))).drop("rank").toArrow()
+    rows = {c: kept[c].to_numpy().astype(np.int64) for c in ("kind", "key", "lang", "n")}
+    _, at = np.unique(rows["kind"] * MAX_LANGUAGES + rows["lang"], return_index=True)
+    totals = {(int(rows["kind"][i]), int(rows["lang"][i])): kept["total"][int(i)].as_py() for i in at}
+    return Model(languages, rows, totals)
 
 
 def _decide(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

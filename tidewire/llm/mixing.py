@@ -106,8 +106,11 @@ def plan(rows: DataFrame, max_repeats: float | None, entropy: float | None, budg
         edge = cells.filter("before <= rest AND before + tokens > rest").select("mix_source", "mix_block", "place", (F.col("rest") - F.col("before")).alias("room"))
         by_hash = Window.partitionBy("mix_source").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, 0)
         near = rows.select(*MARKS).join(edge, ["mix_source", "mix_block"]).withColumn("sum", F.sum("mix_tokens").over(by_hash))
-        stop = near.groupBy("mix_source").agg(F.first("place").alias("stop_place"), F.max(F.when(F.col("sum") <= F.col("room"), F.col("mix_hash"))).alias("stop_hash")).toPandas()
-        return per.drop(columns="rest").merge(stop, "left", on="mix_source")
+        stop = near.groupBy("mix_source").agg(F.first("place").alias("stop_place"), F.max(F.when(F.col("sum") <= F.col("room"), F.col("mix_hash"))).alias("stop_hash"))
+        at = {r["mix_source"]: r for r in stop.collect()}
+        for c in ("stop_place", "stop_hash"):  # whole numbers of 64 bits, which pandas would make floats beside nulls
+            per[c] = pd.Series([at[s][c] if s in at else None for s in per["mix_source"]], dtype=object)
+        return per.drop(columns="rest")
     finally:
         blocks.unpersist()
 

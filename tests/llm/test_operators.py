@@ -5,11 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, same
-from tidewire.llm import fingerprint, html_text, jaccard, langid, mixing, packing, registry, substring, suffix, topk, warc
+from tidewire.llm import fingerprint, html_text, jaccard, langid, mixing, packing, registry, repeats, substring, suffix, topk, warc
 
 BASE = "/root/testdata/sf0.001"
 COMMON = " ".join(f"w{i}" for i in range(60))
@@ -170,6 +171,28 @@ def test_suffix_against_brute_force(spark, documents, tmp_path):
     assert Counter(tuple(r) for r in suffix.op10_suffix(spark, base).collect()) == brute_suffix(rows)
 
 
+def test_window_minima_past_24_bits():
+    values = np.random.default_rng(3).integers(0, 1 << 64, (1 << 24) + 2000, np.uint64)
+    got, tail = repeats.window_minima(values, 31), (1 << 24) - 100
+    assert len(got) == len(values) - 30
+    want = np.lib.stride_tricks.sliding_window_view(values[tail:] >> np.uint64(24), 31).argmin(1) + np.arange(tail, len(got))
+    assert (got[tail:] == want).all()
+
+
+def test_anchors_and_fingerprints_do_not_depend_on_stretches(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, n)).encode() for n in (3000, 500)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def found():
+        tokens, records = suffix._anchors(data, offsets, 50, 20)
+        return tokens.tolist(), records.tolist(), substring.Windows(data, offsets, 35, 8).place.tolist()
+
+    whole = found()
+    monkeypatch.setattr(repeats, "STRETCH", 257)
+    assert found() == whole
+
+
 def test_pipeline_stages_keep_their_promises(spark, documents):
     import corpus_pipeline as p
 

@@ -122,14 +122,30 @@ def gather(packed: DataFrame, width: int, dtype: np.dtype, assemble: Callable[[b
     return answered.groupBy("chunk").applyInPandas(each, schema)
 
 
+#: An index goes beside the upper 40 bits of a hash, in 24 bits, so minima are taken over at most this many values at a time.
+STRETCH = 1 << 24
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """For every run of ``width`` values the place of the least one, the leftmost among equals.
 
-    The upper 40 bits count, so equal runs choose equal places.
+    The upper 40 bits count, so equal runs choose equal places. Long input is read in stretches that overlap by ``width - 1``.
     """
-    n = len(values)
-    if n < width:
+    windows = len(values) - width + 1
+    if windows < 1:
         return np.empty(0, np.int64)
+    step = STRETCH - width + 1
+    if windows <= step:
+        return _minima(values, width)
+    out = np.empty(windows, np.int64)
+    for lo in range(0, windows, step):
+        own = _minima(values[lo : lo + step + width - 1], width)
+        out[lo : lo + len(own)] = own + lo
+    return out
+
+
+def _minima(values: np.ndarray, width: int) -> np.ndarray:
+    n = len(values)
     best, span = (values & ~U(0xFFFFFF)) | np.arange(n, dtype=U), 1
     while span * 2 <= width:
         best = np.minimum(best[:-span], best[span:])

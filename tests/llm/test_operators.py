@@ -131,6 +131,16 @@ def test_html(spark):
     assert [(r.page_id, r.text) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, None), (2, ""), (3, "é")]
 
 
+def test_html_shows_formulas_and_text_of_drawings():
+    text = lambda source: html_text.render(source)[0]
+    assert text("<p>if <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow><annotation encoding='TeX'>x=2</annotation></semantics></math> then") == "if x=2 then"
+    drawing = "<svg viewBox='0 0 1 1'>loose<title>no</title><desc>no</desc><defs><text>no</text></defs><style>no{}</style><path d='M0'/><circle r=1 /><g><text x=1>North<tspan>ern</tspan></text><text>South</text></g><text display='none'>no</text><foreignObject><b>East</b></foreignObject></svg>"
+    assert text(f"<p>a{drawing}b</p><p>c</p>") == "a Northern South East b\n\nc"
+    assert text("<svg><title/><text>t</text></svg>u") == "t u"
+    assert text("<svg><path d='M0'><p>out of the drawing") == "out of the drawing"
+    assert text("<desc>an unknown element</desc> shows") == "an unknown element shows"
+
+
 def test_fingerprints(spark, documents):
     got = {r.doc_id: r for r in fingerprint.op9_fingerprint(spark, BASE).collect()}
     rows = sorted(((r.doc_id, r.text or "") for r in documents.collect()), reverse=True)

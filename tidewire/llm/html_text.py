@@ -4,6 +4,7 @@ All visible text comes out: blocks on lines of their own, paragraphs and heading
 with bullets or numbers, preformatted text as it stands, table cells in aligned columns. Nothing is judged to be
 boilerplate. Hidden are head matter, scripts, styles, templates, comments, elements with the attribute
 ``hidden`` or a style of ``display:none`` or ``visibility:hidden``, closed dialogs and what a closed ``details`` folds away.
+Formulas (``math``) come out but for their annotations, and of drawings (``svg``) what their text elements and foreign objects show.
 
 Defined results: null html gives null text and a null title; empty html gives empty text; elements nested deeper than 200
 belong to the one at that depth; unknown and unclosed tags are tolerated; repeated rows are each rendered; other
@@ -28,7 +29,7 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collap
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-NEVER = set("head script style template title meta link iframe noembed noframes object audio video canvas svg math datalist noscript".split())
+NEVER = set("head script style template title meta link iframe noembed noframes object audio video canvas datalist noscript mphantom".split())
 HEAD_ONLY = set("base link meta script style title template noscript".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul xmp".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul xmp".split())
@@ -48,6 +49,12 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
 }
+#: Not drawn themselves; titles, styles and scripts are in ``NEVER``.
+SVG_HIDDEN = set("desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+ANNOTATIONS = {"annotation", "annotation-xml"}
+#: Elements of drawings and formulas whose content is HTML again, and start tags that end a drawing or formula elsewhere.
+HTML_INSIDE = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 FENCE = {"table", "td", "th", "caption", "button", "object", "template", "html"}
 
 
@@ -68,6 +75,7 @@ class Tree:
     def __init__(self, source: str):
         self.root = Node("html", {})
         self.open = [self.root]
+        self.any_foreign = False
         at, end = 0, len(source)
         for_raw: re.Match | None = None
         while at < end:
@@ -82,7 +90,9 @@ class Tree:
             elif start:
                 tag = start.lower()
                 self.start(tag, attributes(rest.rstrip(">/")))
-                if tag in RAW:
+                if self.any_foreign and rest.endswith("/>") and self.open[-1].tag == tag and self.foreign(len(self.open) - 1 + (tag in ("svg", "math"))):
+                    self.open.pop()
+                elif tag in RAW:
                     for_raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                     stop = for_raw.start() if for_raw else end
                     raw = source[at:stop]
@@ -98,6 +108,15 @@ class Tree:
             self.pop("head")
         self.open[-1].children.append(html.unescape(s) if "&" in s else s)
 
+    def foreign(self, end: int | None = None) -> int:
+        """Place of the open drawing or formula whose own elements come next, or 0."""
+        for i in range((len(self.open) if end is None else end) - 1, 0, -1):
+            if self.open[i].tag in ("svg", "math"):
+                return i
+            if self.open[i].tag in HTML_INSIDE:
+                return 0
+        return 0
+
     def pop(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
@@ -115,6 +134,11 @@ class Tree:
             del self.open[last:]
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag in ("svg", "math"):
+            self.any_foreign = True
+        elif self.any_foreign and tag in BREAKOUT:
+            while at := self.foreign():
+                del self.open[at:]
         if tag in ("html", "body"):
             self.pop("head")
             if tag == "html" or any(n.tag == "body" for n in self.open):
@@ -214,7 +238,7 @@ class Layout:
                         self.line.append(x)
                 else:
                     self.words(c)
-            elif not hidden(c) and not (folded and c.tag != "summary"):
+            elif not hidden(c) and not (folded and c.tag != "summary") and not (n.tag == "semantics" and c.tag in ANNOTATIONS):
                 if c.tag == "li":
                     self.item(c, f"{number}. " if n.tag == "ol" else "- ", pre)
                     number += 1
@@ -229,6 +253,21 @@ class Layout:
         self.end_line()
         self.indent, self.mark = before, ""
 
+    def drawing(self, n: Node, shown: bool = False) -> None:
+        """What a drawing's text elements show, each a word or more of its own."""
+        for c in n.children:
+            if isinstance(c, str):
+                if shown:
+                    self.words(c)
+            elif hidden(c) or c.tag in SVG_HIDDEN or c.attrs.get("display") == "none" or c.attrs.get("visibility") in ("hidden", "collapse"):
+                continue
+            elif c.tag == "foreignobject" or (c.tag == "text" and not shown):
+                self.space = True
+                self.children(c, False) if c.tag == "foreignobject" else self.drawing(c, True)
+                self.space = True
+            else:
+                self.drawing(c, shown)
+
     def node(self, n: Node, pre: bool) -> None:
         tag = n.tag
         if tag == "br":
@@ -240,6 +279,8 @@ class Layout:
             self.margin()
             self.table(n)
             self.gap = True
+        elif tag == "svg":
+            self.drawing(n)
         elif tag == "input":
             if n.attrs.get("type", "").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
                 self.words(n.attrs["value"])

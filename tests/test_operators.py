@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.fixed_values import FEED_WINDOWS
 from tidewire.functions import values
 from tidewire.operators import graph, health, indicators, relational, rules, scoring, sequential, setjoin, usage, verify
+from tidewire.plans import QUERIES
 from tidewire.sources import sinks, tables
 from tidewire.streaming import ingest
 
@@ -118,6 +119,18 @@ def test_components(spark):
     assert rows(graph.components(edges)) == [(3, 3), (4, 3), (5, 3), (10, 10), (11, 10)]
 
 
+def documents(spark, base, texts):
+    """A table of documents: (doc_id, source, text)."""
+    spark.createDataFrame([(i, t, "en", s) for i, s, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{base}/documents.parquet")
+
+
+def test_batch_groups_keep_documents_without_a_headline(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    texts = ["markets rally strongly today", None, "", "\nsecond line", "рынки растут", "markets rally strongly", "Markets rally strongly today!\nmore"]
+    documents(spark, base, [(i, "s", t) for i, t in enumerate(texts)])
+    assert rows(QUERIES["cluster_batch"](spark, base)) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0), (6, 0)]
+
+
 def test_verification(spark):
     members = spark.createDataFrame([("s", "d1", "Profit rose “sharply” in May, he said."), ("s", "d2", "Other")], "story string, news_id string, body string")
     cite = "array<struct<text:string,source_doc_ids:array<string>>>"

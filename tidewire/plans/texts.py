@@ -176,15 +176,17 @@ def diversity_admit(spark: SparkSession, base: str) -> DataFrame:
 def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
     """Documents whose headlines are the same or share 0.6 of their words, joined into groups: the least id of each stands for it.
 
-    Equal headlines are folded before the join, so that many copies are one row in it.
+    Equal headlines are folded before the join, so that many copies are one row in it. A document without a headline is a group of its own.
     """
-    h = headlines(spark, base).filter("norm <> ''").select("doc_id", "norm", T.headline_tokens(F.col("headline")).alias("w"))
+    every = headlines(spark, base).select("doc_id", "norm", T.headline_tokens(F.col("headline")).alias("w"))
+    h = every.filter("norm <> ''")
     kept = h.groupBy("norm").agg(F.min("doc_id").alias("lead"), F.first("w").alias("w"))
     a, b = kept.select(F.col("lead").alias("a"), "w"), kept.select(F.col("lead").alias("b"), "w")
     near = setjoin.set_join(a, b, "a", "b", "w", 0.6).filter("a < b").select("a", "b")
     found = graph.components(near)
     own = h.join(kept.select("norm", "lead"), "norm").join(found, F.col("lead") == F.col("node"), "left")
-    return own.select("doc_id", F.coalesce("component", "lead").alias("grp"))
+    alone = every.filter("norm = ''").select("doc_id", F.col("doc_id").alias("grp"))
+    return own.select("doc_id", F.coalesce("component", "lead").alias("grp")).unionByName(alone)
 
 
 @query()

@@ -131,6 +131,28 @@ def test_batch_groups_keep_documents_without_a_headline(spark, tmp_path):
     assert rows(QUERIES["cluster_batch"](spark, base)) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0), (6, 0)]
 
 
+def test_online_groups_cross_sources_and_block_edges(spark, tmp_path):
+    from tidewire.functions import text as T
+
+    base = f"file://{tmp_path}"
+    heads = ["markets rally strongly", "oil prices slip", "bank raises dividend", ""]
+    langs = ["en", "de", None]
+    at = [*range(1260, 1300), *range(1366, 1370), *range(1500, 1504), *range(2558, 2563)]
+    table = [(i, f"{heads[i * 7 % 4]} {'x' * 3 if i % 5 == 0 else ''}\nbody", langs[0 if i < 1290 else i % 3], f"s{i % 3}") for i in at] + [(3000, None, "fr", None)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string").write.parquet(f"{base}/documents.parquet")
+    first = T.first_line(F.col("text"))
+    kept = {r.doc_id: r for r in spark.read.parquet(f"{base}/documents.parquet").select("*", T.headline_tokens(first).alias("tokens"), T.headline_hash(first).alias("hash")).collect()}
+    ids = sorted(kept)
+    items = [{"tickers": {kept[i].lang}, "sectors": {kept[i].source}, "regions": set(), "tokens": set(kept[i].tokens), "event_class": kept[i].lang, "hash": kept[i].hash, "published_h": float(i)} for i in ids]
+    want, got = {}, {}
+    for i, g in zip(ids, sequential.group_online(items, [float(i) for i in ids]), strict=True):
+        want.setdefault(g, []).append(i)
+    for r in QUERIES["cluster_sequential"](spark, base).collect():
+        got.setdefault((r.block, r.grp), []).append(r.doc_id)
+    assert sorted(sorted(x) for x in got.values()) == sorted(want.values())
+    assert any({1279, 1283} <= set(x) for x in want.values()) and len({b for b, _ in got}) > 1
+
+
 def test_verification(spark):
     members = spark.createDataFrame([("s", "d1", "Profit rose “sharply” in May, he said."), ("s", "d2", "Other")], "story string, news_id string, body string")
     cite = "array<struct<text:string,source_doc_ids:array<string>>>"

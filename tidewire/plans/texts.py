@@ -191,12 +191,12 @@ def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def cluster_sequential(spark: SparkSession, base: str) -> DataFrame:
-    """Documents in the order of their id, an hour apart, joined online to groups; a block is a source and 64 ids."""
-    h = headlines(spark, base).withColumn("block", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1280).cast("string")))
+    """Documents in the order of their id, an hour apart, joined online to groups; a block is a topic's stretch without a pause of 72 hours, across sources."""
+    h = headlines(spark, base)
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600)
     none = F.array().cast("array<string>")
-    news = h.select("block", "doc_id", at.alias("published_at"), at.alias("seen_at"), F.array("lang").alias("tickers"), F.array("source").alias("sectors"), none.alias("regions"), T.headline_tokens(F.col("headline")).alias("tokens"), F.col("lang").alias("event_class"), T.headline_hash(F.col("headline")).alias("hash"))
-    return sequential.cluster_sequential(news, "block", "doc_id", "published_at", "seen_at")
+    news = h.select("doc_id", at.alias("published_at"), at.alias("seen_at"), F.array("lang").alias("tickers"), F.array("source").alias("sectors"), none.alias("regions"), T.headline_tokens(F.col("headline")).alias("tokens"), F.col("lang").alias("event_class"), T.headline_hash(F.col("headline")).alias("hash"))
+    return sequential.cluster_sequential(sequential.with_blocks(news, "seen_at"), "block", "doc_id", "published_at", "seen_at")
 
 
 def _stories(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is configured, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``. Without one there is no place that all executors and the driver can read, so that is an
+    error; tests set one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import connect, same
-from tidewire.llm import fingerprint, html_text, jaccard, langid, mixing, packing, registry, repeats, substring, suffix, topk, warc
+from tidewire.llm import chunks, fingerprint, html_text, jaccard, langid, mixing, packing, registry, repeats, substring, suffix, topk, warc
 
 BASE = "/root/testdata/sf0.001"
 COMMON = " ".join(f"w{i}" for i in range(60))
@@ -195,14 +195,89 @@ def test_anchors_and_fingerprints_do_not_depend_on_stretches(monkeypatch):
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
     def found():
-        tokens, records = suffix._anchors(data, offsets, 50, 20)
-        return tokens.tolist(), records.tolist(), substring.Windows(data, offsets, 35, 8).place.tolist()
+        a = suffix.Anchors(data, offsets, 50, 20)
+        return [x.tolist() for x in (a.token, a.text, a.first, a.windows, a.place)], substring.Windows(data, offsets, 35, 8).place.tolist()
 
     whole = found()
     monkeypatch.setattr(repeats, "STRETCH", 257)
     assert found() == whole
 
 
+@pytest.mark.parametrize("block", [5, 64, 1 << 18])
+def test_transform_puts_equal_windows_into_one_class(monkeypatch, tmp_path, block):
+    monkeypatch.setattr(suffix, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    for letters in (1, 2, 4, 26):
+        docs = [bytes(rng.integers(97, 97 + letters, rng.integers(5, 19)).astype(np.uint8)) for _ in range(rng.integers(1, 60))]
+        size = np.array([len(d) for d in docs])
+        got = suffix.suffix_classes(np.frombuffer(b"".join(docs), np.uint8), np.cumsum(size) - size, size, 5, f"file://{tmp_path}").tolist()
+        windows = [d[i : i + 5] for d in docs for i in range(len(d) - 4)]
+        assert len(set(zip(windows, got, strict=True))) == len(set(windows)) == len(set(got))
+    assert not list(tmp_path.iterdir())
+
+
+def texts_with_copies():
+    """A long text and others with parts of it, a line that very many contexts have, near copies, equal texts and equal ids."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 24, n))
+    long, line = prose(30_000), "every page ends with this very common line of text"
+    texts = [long, long[5000:9000], prose(40) + long[1000:1049] + "!", prose(40) + long[1000:1050] + "!", long[:2000] * 3]
+    texts += [prose(3) + line + prose(3) for _ in range(150)] + [line, line * 4, "ab" * 200, "a" * 300, "ba" * 90]
+    texts += [texts[7], texts[7], texts[8][:60] + "x" + texts[8][60:], "", None, "ß" * 40, "ß" * 24 + "é" + "ß" * 24]
+    rows = [(int(i), x) for i, x in zip(rng.permutation(len(texts)), texts, strict=True)]
+    return [*rows, (rows[3][0], prose(5) + line), (None, line + "?"), (None, prose(9)), rows[1]]
+
+
+@pytest.mark.parametrize(("portion", "often", "chunk_bytes"), [(1 << 22, 4096, 2 << 20), (3000, 20, 4000)])
+def test_copied_spans_of_long_texts_and_common_lines(spark, portion, often, chunk_bytes):
+    rows = texts_with_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix.copied_spans(df, portion=portion, often=often, chunk_bytes=chunk_bytes)
+    got = Counter()
+    for r in found.collect():
+        raw = r.text.encode()
+        kept, n = suffix.without(raw, r.spans)
+        got[r.doc_id, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()] += 1
+    assert got == brute_suffix(rows)
+    assert suffix.copied_spans(df.limit(0)).count() == 0
+
+
+def brute_substring(rows, window=35):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    times = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
+    out = []
+    for (i, text), w in zip(rows, words, strict=True):
+        gone = {k + x for k in range(len(w) - window + 1) if times[tuple(w[k : k + window])] > 1 for x in range(window)}
+        out.append((i, text if text is None or not gone else b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+def test_substring_index_batch_by_batch_is_the_whole_table(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+    shared = [prose(50) for _ in range(6)]
+    rows = [(i, prose(20) + " " + shared[i % 6] + " " + prose(20) if i % 5 < 3 else prose(60)) for i in range(70)] + [(70, None), (71, ""), (None, shared[0]), (72, shared[2] * 3), (73, prose(40_000) + " " + shared[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring.FingerprintIndex(spark, 1)
+    gone: dict = defaultdict(set)
+    ids = {}
+    parts = df.randomSplit([1.0] * 6, seed=3)
+    for k, part in enumerate(parts):
+        texts = chunks.chunked(part, first=k)
+        for r in texts.collect():
+            ids.update({(r.chunk, j): x for j, x in enumerate(chunks.rows_in(r.rows).column(0).to_pylist())})
+        answer = index.append(texts)
+        assert len(index.runs) <= substring.MOST_RUNS
+        for r in answer.collect():
+            for row, a, b in np.frombuffer(repeats.unpress(r.spans), "<i8").reshape(-1, 3).tolist():
+                gone[ids[r.chunk, row]].update(range(a, b))
+    index.drop()
+    text = dict(rows)
+    got = {i: t if t is None or not gone[i] else " ".join(w for k, w in enumerate(t.split()) if k not in gone[i]) for i, t in text.items()}
+    assert got == dict(brute_substring(rows))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in substring.without_repeats(df, batches=3).collect() if r.text) == sorted((i is None, i or 0, t) for i, t in brute_substring(rows) if t)
+
+
 def test_pipeline_stages_keep_their_promises(spark, documents):
     import corpus_pipeline as p
 

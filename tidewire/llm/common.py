@@ -6,35 +6,27 @@ them into runs of a few MB, and all hashes of a run are computed by vector opera
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import SparkSession
 
 U = np.uint64
 CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 60_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewire-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which a lost executor doesn't take away."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
 # --------------------------------------------------------------------------- hashing
 
 _TABLE = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64) | U(1)

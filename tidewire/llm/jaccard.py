@@ -30,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import U, byte_sums, cut, lower_ascii, mix, partitions, powers, run_hash, slices, string_hash, text_chunks, word_spans, WORD_BASE
-from tidewire.llm.components import components
+from tidewire.llm.common import U, byte_sums, lower_ascii, mix, partitions, powers, run_hash, slices, string_hash, text_chunks, word_spans, WORD_BASE
+from tidewire.operators.graph import components
+from tidewire.session import cut
 
 WORDS, SIMILARITY, BLOCK = 5, 75, 512
 PACKED = "bucket int, chunk long, token binary, doc binary, ids binary, sizes binary"

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, partitions
+from tidewire.llm.common import partitions
+from tidewire.session import cut
 
 SIZE, END, SLACK, SPECIAL = 2048, 0, 8, {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"

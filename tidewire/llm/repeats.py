@@ -1,125 +1,136 @@
 """Which hashed strings of a corpus occur more than once, at a few shuffled bytes a string.
 
-A task hashes a run of texts (a chunk) at a time and packs the hashes into one binary row a bucket. Within a chunk a hash
-is sent once: its other occurrences in the chunk are known to be repeats already, so that a string which very many
-documents share reaches its bucket once a chunk and not once a document. The reducer of a bucket sends back
-what occurs twice or more, and each chunk gathers its answers.
+A task hashes a chunk of texts at a time and packs the distinct hashes into one binary row a bucket. Within a chunk a hash is sent
+once, with how often it occurs, so that a string which very many documents share reaches its bucket once a chunk and not once a
+document. The reducer of a bucket answers each row with a state for each hash, in the order sent; a chunk hashes its texts again to
+know which is which, so no places are sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
 from tidewire.llm.common import U, partitions
 
-PACKED = "bucket int, chunk long, token binary, load binary, info binary"
-ANSWERED = "chunk long, load binary, info binary"
+PACKED = "bucket int, chunk long, token binary, check binary, times binary"
+ANSWERED = "chunk long, bucket int, states binary"
+#: States of a hash: it occurs nowhere else, it occurs again, it occurs ``often`` times or more.
+ALONE, AGAIN, OFTEN = 0, 1, 2
+HOT = 4096
 
 
 def buckets_of(df: DataFrame) -> int:
     return min(2 * partitions(df.sparkSession), 60_000)
 
 
-def _equal_neighbours(token: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by token (and by the field ``check`` of the records, if they have one), and which neighbours in it are equal."""
-    if "check" in (load.dtype.names or ()):
-        order = np.lexsort((load["check"], token))
-        check = load["check"][order]
-        return order, (token[order][1:] == token[order][:-1]) & (check[1:] == check[:-1])
-    order = np.argsort(token, kind="stable")
-    return order, token[order][1:] == token[order][:-1]
-
-
-#: Fields of records that ascend, or nearly so, where records are in the order of the text; only their steps are sent.
-STEPS = ("doc", "first", "word")
-
-
-def squeeze(load: np.ndarray) -> bytes:
-    """Records column by column, compressed."""
-    columns = [load[k] for k in load.dtype.names]
-    columns = [np.diff(c, prepend=c.dtype.type(0)) if k in STEPS else c for k, c in zip(load.dtype.names, columns, strict=True)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
-
-
-def expand(raw: bytes, dtype: np.dtype) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    out, at = np.empty(len(raw) // dtype.itemsize, dtype), 0
-    for k in dtype.names:
-        kind = dtype[k]
-        column = np.frombuffer(raw, kind, len(out), at)
-        out[k] = np.cumsum(column, dtype=kind) if k in STEPS else column
-        at += column.nbytes
-    return out
-
-
-def pack(chunk: int, token: np.ndarray, load: np.ndarray, info: bytes, buckets: int, width: int) -> pa.RecordBatch:
-    """Rows for one chunk: ``width`` bytes of each hash and the record ``load`` that says where it occurs.
-
-    ``info`` goes to ``gather`` as it is, behind the records of repeats within the chunk.
-    """
-    order, same = _equal_neighbours(token, load)
-    twice = np.zeros(len(token), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    first = np.sort(order[np.concatenate(([True], ~same))[: len(order)]])
-    unique, known = token[first], squeeze(load[twice])
-    bucket = (unique % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    short = (unique[order] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    sent = load[first[order]]
-    full = np.flatnonzero(np.diff(bounds))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.append(full, chunk % buckets), pa.int32()),
-            pa.array(np.full(len(full) + 1, chunk), pa.int64()),
-            pa.array([np.ascontiguousarray(short[bounds[k] : bounds[k + 1]]).tobytes() for k in full] + [None], pa.binary()),
-            pa.array([squeeze(sent[bounds[k] : bounds[k + 1]]) for k in full] + [known], pa.binary()),
-            pa.array([None] * len(full) + [info], pa.binary()),
-        ],
-        names=["bucket", "chunk", "token", "load", "info"],
-    )
-
-
-def _reducer(width: int, dtype: np.dtype):
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        info = rows[rows["info"].notna()][["chunk", "load", "info"]]
-        rows = rows[rows["token"].notna()]
-        if not len(rows):
-            return info
-        lens = np.array([len(x) // width for x in rows["token"]])
+def press(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def unpress(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def press_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their steps; small where they ascend."""
+    values = values.astype(np.int64)
+    return press(np.diff(values, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpress_numbers(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(unpress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel())
+
+
+class Dealt:
+    """The distinct hashes of a chunk in the order in which they are sent. ``check`` is a second hash that must be equal as well."""
+
+    def __init__(self, token: np.ndarray, check: np.ndarray | None, buckets: int):
+        order = np.argsort(token, kind="stable") if check is None else np.lexsort((check, token))
+        same = token[order][1:] == token[order][:-1]
+        if check is not None:
+            same &= check[order][1:] == check[order][:-1]
+        head = np.concatenate(([True], ~same))[: len(token)]
+        self.inverse = np.empty(len(token), np.int64)
+        self.inverse[order] = np.cumsum(head) - 1
+        first = order[head]
+        begin = np.flatnonzero(head)
+        self.times = np.diff(np.append(begin, len(token)))
+        self.token, self.check = token[first], None if check is None else check[first]
+        bucket = (self.token % U(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bounds = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.buckets = buckets
+
+    def rows(self, chunk: int, width: int) -> pa.RecordBatch:
+        """A row a bucket, with ``width`` bytes of each hash (beside what the bucket tells)."""
+        short = (self.token[self.order] // U(self.buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        times = np.minimum(self.times, 0xFFFF)[self.order].astype("<u2")
+        check = None if self.check is None else self.check[self.order].astype("<u4")
+        full = np.flatnonzero(np.diff(self.bounds))
+        cuts = [(self.bounds[k], self.bounds[k + 1]) for k in full]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(full, pa.int32()),
+                pa.array(np.full(len(full), chunk), pa.int64()),
+                pa.array([np.ascontiguousarray(short[a:b]).tobytes() for a, b in cuts], pa.binary()),
+                pa.array([None if check is None else check[a:b].tobytes() for a, b in cuts], pa.binary()),
+                pa.array([press(times[a:b].tobytes()) if (times[a:b] > 1).any() else None for a, b in cuts], pa.binary()),
+            ],
+            names=["bucket", "chunk", "token", "check", "times"],
+        )
+
+    def states(self, answers: pa.Table) -> np.ndarray:
+        """The state of every hash given, from the rows that answer this chunk."""
+        sent = np.zeros(len(self.token), np.uint8)
+        for bucket, raw in zip(answers.column("bucket").to_pylist(), answers.column("states").to_pylist(), strict=True):
+            if raw is not None:
+                sent[self.bounds[bucket] : self.bounds[bucket + 1]] = np.frombuffer(unpress(raw), np.uint8)
+        out = np.empty(len(self.token), np.uint8)
+        out[self.order] = sent
+        return out[self.inverse]
+
+
+def _reducer(width: int, often: int):
+    def reduce(rows: pa.Table) -> pa.Table:
+        tokens = rows.column("token").to_pylist()
+        lens = np.array([len(x) // width for x in tokens])
         token = np.zeros((lens.sum(), 8), np.uint8)
-        token[:, :width] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, width)
+        token[:, :width] = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, width)
         token = token.view("<u8").ravel()
-        load = np.concatenate([expand(x, dtype) for x in rows["load"]])
-        order, same = _equal_neighbours(token, load)
-        keep = np.zeros(len(token), bool)
-        keep[order[1:]] |= same
-        keep[order[:-1]] |= same
-        bounds = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, np.cumsum(lens) - lens))))
-        repeated = load[keep]
-        full = np.flatnonzero(np.diff(bounds))
-        got = pd.DataFrame({"chunk": rows["chunk"].to_numpy()[full], "load": [squeeze(repeated[bounds[k] : bounds[k + 1]]) for k in full], "info": None})
-        return pd.concat([info, got])
+        times = np.concatenate([np.ones(n, np.int64) if x is None else np.frombuffer(unpress(x), "<u2").astype(np.int64) for n, x in zip(lens, rows.column("times").to_pylist(), strict=True)])
+        checks = rows.column("check").to_pylist()
+        if checks[0] is None:
+            order = np.argsort(token, kind="stable")
+            same = token[order][1:] == token[order][:-1]
+        else:
+            check = np.frombuffer(b"".join(checks), "<u4")
+            order = np.lexsort((check, token))
+            same = (token[order][1:] == token[order][:-1]) & (check[order][1:] == check[order][:-1])
+        begin = np.flatnonzero(np.concatenate(([True], ~same)))
+        total = np.add.reduceat(times[order], begin)
+        state = np.empty(len(token), np.uint8)
+        state[order] = np.repeat(np.where(total >= often, OFTEN, np.where(total > 1, AGAIN, ALONE)).astype(np.uint8), np.diff(np.append(begin, len(token))))
+        ends = np.cumsum(lens)
+        own = [(a, b) for a, b in zip(ends - lens, ends, strict=True)]
+        keep = [k for k, (a, b) in enumerate(own) if state[a:b].any()]
+        return pa.table(
+            {
+                "chunk": rows.column("chunk").take(pa.array(keep, pa.int64())),
+                "bucket": rows.column("bucket").take(pa.array(keep, pa.int64())),
+                "states": pa.array([press(state[slice(*own[k])].tobytes()) for k in keep], pa.binary()),
+            }
+        )
 
     return reduce
 
 
-def gather(packed: DataFrame, width: int, dtype: np.dtype, assemble: Callable[[bytes, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``assemble(info, records of repeats)`` of every chunk."""
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        info = rows["info"][rows["info"].notna()].iloc[0]
-        return assemble(info, np.concatenate([expand(x, np.dtype(dtype)) for x in rows["load"]]))
-
-    answered = packed.groupBy("bucket").applyInPandas(_reducer(width, np.dtype(dtype)), ANSWERED)
-    return answered.groupBy("chunk").applyInPandas(each, schema)
+def answered(packed: DataFrame, width: int, often: int = HOT) -> DataFrame:
+    """The answers of all buckets; rows whose hashes all occur nowhere else get none."""
+    return packed.groupBy("bucket").applyInArrow(_reducer(width, often), ANSWERED)
 
 
 #: An index goes beside the upper 40 bits of a hash, in 24 bits, so minima are taken over at most this many values at a time.

@@ -1,11 +1,12 @@
 """Removal of passages that repeat, by a log-structured index of window fingerprints.
 
-The index is a set of immutable runs, tables of fingerprints with their counts, bucketed and sorted by fingerprint. A batch of
-documents becomes a run of its own; runs are merge-joined without a shuffle, and compacted into one when there are many.
 Windows of ``window`` words are fingerprinted by winnowing: the least hash among a window's ``gram``-word grams, so equal
-windows have equal fingerprints, and a long text has few. A window whose fingerprint the index has once occurs
-nowhere else. The others are verified over all their words, by two hashes of 64 and 32 bits: windows with an equal are
-repeats.
+windows have equal fingerprints, and a long text has few. The index holds the texts it has seen as chunks, and runs: sorted
+immutable tables of (fingerprint, chunk). ``append`` writes a batch as a run of its own and merge-joins it with the earlier runs,
+without a shuffle: windows whose fingerprint neither history nor the rest of the batch has occur nowhere else. The others, those of
+earlier batches included, are verified over all their words, by two hashes of about 60 and 32 bits; windows with an equal
+are repeats. The answer names what repeats in the batch and what the batch repeats in history. More than ``MOST_RUNS`` runs are
+compacted into one; answers stand on checkpoints, so neither compaction nor ``drop`` takes them away.
 
 Defined results: null text has no words; windows of repeated rows count as occurrences elsewhere; rows with a null id take part
 and come back with it; empty tables give empty results; other columns are left alone. ``kept_sha256`` is of the kept words
@@ -17,28 +18,23 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.llm import repeats
-from tidewire.llm.common import CHECK_BASE, U, byte_sums, cut, ensure_checkpoint_dir, partitions, run_hash, slices, string_hash, text_chunks, word_spans
+from tidewire.llm.chunks import chunked, each, joined
+from tidewire.llm.common import CHECK_BASE, U, byte_sums, filesystem, partitions, run_hash, slices, string_buffers, string_hash, word_spans
+from tidewire.session import checkpoint_dir, cut
 
 WINDOW, GRAM, BATCHES, MOST_RUNS = 35, 8, 2, 4
-HIT = np.dtype([("doc", "<u2"), ("word", "<u4"), ("check", "<u4")])
-TOKEN_BYTES = 8
-
-
-def rows_of(documents: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and text with a key: ``id0`` and ``key`` are never null and equal only for rows that repeat each other. Columns in
-    ``also`` come along as other_0, other_1 and so on."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ident = F.col("doc_id").cast("long")
-    return documents.select(ident.alias("doc_id"), F.coalesce(ident, F.lit(0)).alias("id0"), F.xxhash64(text, ident.isNull()).alias("key"), text.alias("text"), *(F.col(f"`{c}`").alias(f"other_{k}") for k, c in enumerate(also)))
+TOKEN_BYTES = 7
+SPANS = "chunk long, spans binary"
 
 
 class Windows:
@@ -46,8 +42,7 @@ class Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
         self.start, self.end, self.first = word_spans(data, offsets)
-        self.sums = byte_sums(data)
-        self.words = string_hash(self.sums, self.start, self.end)
+        self.words = string_hash(byte_sums(data), self.start, self.end)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         at = np.arange(len(text))
         self.at = at[at + window <= self.first[1:][text]] if len(text) else at
@@ -56,182 +51,219 @@ class Windows:
         self.place = repeats.window_minima(self.grams, window - gram + 1)[self.at]
 
 
-def fingerprints(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """fp, id0, key and the place (word of the text) of every fingerprint that winnowing selects."""
+def fingerprints(texts: DataFrame, at: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The fingerprints that winnowing selects in each chunk, once each, and whether the chunk has one twice; the text is column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            id0, key = b.column("id0").to_numpy(), b.column("key").to_numpy()
-            for lo, hi, data, offsets in text_chunks(b.column("text")):
-                w = Windows(data, offsets, window, gram)
+            for chunk, rows in each(b):
+                w = Windows(*string_buffers(rows.column(at)), window, gram)
                 begin, _ = repeats.anchored(w.place, w.at, w.text)
-                text, place = w.text[begin], w.place[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(w.grams[place].view(np.int64)), pa.array(id0[lo:hi][text]), pa.array(key[lo:hi][text]), pa.array((place - w.first[text]).astype(np.int32))], names=["fp", "id0", "key", "place"])
+                fp, times = np.unique(w.grams[w.place[begin]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), chunk)), pa.array(times > 1)], names=["fp", "chunk", "twice"])
+
+    return texts.mapInArrow(run, "fp long, chunk long, twice boolean")
+
+
+class _Wanted:
+    """The windows of a chunk whose fingerprints are looked at, with their hashes."""
+
+    def __init__(self, rows: pa.RecordBatch, at: int, fps: np.ndarray, window: int, gram: int, buckets: int):
+        w = Windows(*string_buffers(rows.column(at)), window, gram)
+        pick = np.isin(w.grams[w.place], fps.view(U)) if len(w.at) else np.empty(0, bool)
+        self.at, self.text, self.first = w.at[pick], w.text[pick], w.first
+        some = len(self.at) > 0
+        token = run_hash(w.words, window)[self.at] if some else np.empty(0, U)
+        check = run_hash(w.words, window, CHECK_BASE)[self.at] >> U(32) if some else np.empty(0, U)
+        self.dealt = repeats.Dealt(token, check.astype(np.uint32), buckets)
+
+
+def _fps(right: pa.Table) -> np.ndarray:
+    return np.unique(np.frombuffer(joined(right.column("fps")), np.int64))
+
+
+def _tokens(at: int, window: int, gram: int, buckets: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if len(right):
+            for chunk, rows in each(left):
+                parts.append(_Wanted(rows, at, _fps(right), window, gram, buckets).dealt.rows(chunk, TOKEN_BYTES))
+        empty = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("token", pa.binary()), ("check", pa.binary()), ("times", pa.binary())])
+        return pa.Table.from_batches([p.cast(empty) for p in parts], empty)
+
+    return run
+
+
+def _spans(at: int, window: int, gram: int, buckets: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """(row, first word, word after the last) of what repeated windows cover."""
+        out: dict[str, list] = {"chunk": [], "spans": []}
+        answers = right.filter(pa.compute.is_valid(right.column("states")))
+        if len(answers):
+            for chunk, rows in each(left):
+                w = _Wanted(rows, at, _fps(right), window, gram, buckets)
+                again = w.dealt.states(answers) > repeats.ALONE
+                out["chunk"].append(chunk)
+                out["spans"].append(_pressed(w.text[again], w.at[again] - w.first[w.text[again]], window))
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "spans": pa.array(out["spans"], pa.binary())})
+
+    return run
+
+
+def _pressed(text: np.ndarray, word: np.ndarray, window: int) -> bytes:
+    spans = np.stack((text, word, word + window), 1).astype("<i8")
+    return repeats.press(_union(spans).tobytes())
 
-    return rows.select("id0", "key", "text").mapInArrow(run, "fp long, id0 long, key long, place int")
+
+def _union(spans: np.ndarray) -> np.ndarray:
+    """Ranges (row, start, end) joined where they overlap or touch."""
+    big = np.int64(1) << 40
+    start, end = repeats.merged(spans[:, 0] * big + spans[:, 1], spans[:, 0] * big + spans[:, 2])
+    return np.stack((start // big, start % big, end - start // big * big), 1)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) in the shared folder."""
+    """Texts seen so far (chunks, with the text in column ``at``) and runs of their fingerprints in the shared folder."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, base: str | None = None):
-        self.spark, self.window, self.gram = spark, window, gram
-        self.base = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, at: int, window: int = WINDOW, gram: int = GRAM, base: str | None = None):
+        self.spark, self.at, self.window, self.gram = spark, at, window, gram
+        self.base = base or f"{checkpoint_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.seen: list[DataFrame] = []
         self.buckets = partitions(spark)
 
-    def _write(self, counted: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
-        dealt = counted.repartition(self.buckets, "fp")
-        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.base}/{name}").saveAsTable(name)
+    def _write(self, rows: DataFrame) -> str:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        try:
+            rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.base}/{name}").saveAsTable(name)
+        except Exception:
+            self._drop([name])
+            raise
         return name
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Add a batch as a run; returns (fp, n) of its fingerprints that earlier runs have, or that it has twice itself."""
-        earlier = list(self.runs)
-        new = self._write(fingerprints(rows, self.window, self.gram).groupBy("fp").agg(F.count("*").alias("n")))
+    def texts(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.seen)
+
+    def append(self, texts: DataFrame) -> DataFrame:
+        """Add a batch of chunks, whose numbers must be new. Returns (chunk, spans) of all chunks, of this batch and earlier ones, with
+        windows that this batch makes repeats."""
+        earlier, new = [self.spark.table(r) for r in self.runs], self._write(fingerprints(texts, self.at, self.window, self.gram))
         self.runs.append(new)
+        self.seen.append(texts)
         batch = self.spark.table(new)
-        if earlier:
-            old = self._merged(earlier).withColumnRenamed("n", "n_old")
-            batch = batch.join(old.hint("merge"), "fp", "left").select("fp", (F.col("n") + F.coalesce("n_old", F.lit(0))).alias("n"))
+        twice = batch.groupBy("fp").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("fp")
+        met = [batch.join(twice.hint("merge"), "fp", "left_semi")]
+        for run in earlier:
+            met += [batch.join(run.select("fp").hint("merge"), "fp", "left_semi"), run.join(batch.select("fp").hint("merge"), "fp", "left_semi")]
+        looked_at = cut(reduce(DataFrame.unionByName, [m.select("chunk", "fp") for m in met]).mapInArrow(_gathered, "chunk long, fps binary"))
         if len(self.runs) > MOST_RUNS:
             self.compact()
-        return batch.filter("n > 1")
+        return self._verified(looked_at)
 
-    def _merged(self, runs: list[str]) -> DataFrame:
-        out = self.spark.table(runs[0])
-        for name in runs[1:]:
-            out = out.withColumnRenamed("n", "n_a").join(self.spark.table(name).withColumnRenamed("n", "n_b").hint("merge"), "fp", "full").select("fp", (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"))
-        return out
+    def _verified(self, looked_at: DataFrame) -> DataFrame:
+        buckets = repeats.buckets_of(looked_at)
+        dealt = self.texts().groupBy("chunk")  # the shuffle of the texts serves both joins
+        sent = dealt.cogroup(looked_at.groupBy("chunk")).applyInArrow(_tokens(self.at, self.window, self.gram, buckets), repeats.PACKED)
+        told = repeats.answered(sent, TOKEN_BYTES).withColumn("fps", F.lit(None).cast("binary"))
+        told = told.unionByName(looked_at.withColumns({"bucket": F.lit(None).cast("int"), "states": F.lit(None).cast("binary")}))
+        return dealt.cogroup(told.groupBy("chunk")).applyInArrow(_spans(self.at, self.window, self.gram, buckets), SPANS)
 
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            merged, old = self._write(self._merged(self.runs)), self.runs
+            merged, old = self._write(reduce(DataFrame.unionByName, [self.spark.table(r) for r in self.runs])), self.runs
             self.runs = [merged]
             self._drop(old)
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints that occur twice or more over all runs."""
-        return self._merged(self.runs).filter("n > 1").select("fp")
-
     def _drop(self, runs: list[str]) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = filesystem(f"{self.base}/{name}")
+            if fs.get_file_info(path).type != pa.fs.FileType.NotFound:
+                fs.delete_dir(path)
 
     def drop(self) -> None:
         self._drop(self.runs)
         self.runs = []
 
 
-def _verify(window: int, gram: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for b in batches:
-            id0, key = b.column("id0").to_numpy(), b.column("key").to_numpy()
-            places = b.column("places")
-            for lo, hi, data, offsets in text_chunks(b.column("text")):
-                w = Windows(data, offsets, window, gram)
-                wanted = np.zeros(len(w.words) + 1, bool)
-                for k in range(lo, hi):
-                    own = places[k].values.to_numpy() + w.first[k - lo]
-                    wanted[own[own < len(w.words)]] = True
-                pick = wanted[w.place]
-                at, text = w.at[pick], w.text[pick]
-                token = run_hash(w.words, window)[at] if len(at) else np.empty(0, np.uint64)
-                load = np.empty(len(at), HIT)
-                load["doc"], load["word"] = text, at - w.first[text]
-                load["check"] = (run_hash(w.words, window, CHECK_BASE)[at] >> U(32)) if len(at) else 0
-                info = id0[lo:hi].astype("<i8").tobytes() + key[lo:hi].astype("<i8").tobytes()
-                yield repeats.pack(chunk, token, load, info, buckets, TOKEN_BYTES)
-                chunk += 1
-
-    return run
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, fp) rows with the fingerprints of a chunk together, as far as they come together."""
+    for b in batches:
+        chunk, fp = b.column("chunk").to_numpy(), b.column("fp").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        chunk, fp = chunk[order], fp[order]
+        own, begin = np.unique(chunk, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(slices(fp, np.append(begin, len(fp))), pa.binary())], names=["chunk", "fps"])
 
 
-def _spans(window: int):
-    def assemble(info: bytes, hits: np.ndarray) -> pd.DataFrame:
-        ids = np.frombuffer(info, "<i8").reshape(2, -1)
-        hits = hits[np.lexsort((hits["word"], hits["doc"]))]
-        doc, word = hits["doc"].astype(np.int64), hits["word"].astype(np.int64)
-        big = 1 << 40
-        start, end = repeats.merged(doc * big + word, doc * big + word + window)
-        owner = start // big
-        pairs = np.stack((start % big, end - owner * big), 1).astype("<i4")
-        docs = np.unique(owner)
-        bounds = np.append(np.searchsorted(owner, docs), len(owner))
-        return pd.DataFrame({"id0": ids[0][docs], "key": ids[1][docs], "spans": slices(pairs, bounds)})
+def _applied(names: list[str], edit):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        for _, rows in each(left):
+            raw = [np.frombuffer(repeats.unpress(x), "<i8").reshape(-1, 3) for x in right.column("spans").to_pylist()]
+            spans = _union(np.concatenate(raw)) if raw else np.empty((0, 3), np.int64)
+            bounds = np.searchsorted(spans[:, 0], np.arange(len(rows) + 1))
+            columns = edit(rows, [spans[a:b, 1:].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            parts.append(pa.RecordBatch.from_arrays(columns, names=names))
+        return pa.Table.from_batches(parts)
 
-    return assemble
+    return run
 
 
-def repeated_spans(rows: DataFrame, repeated: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id0, key and the word ranges (int32 pairs) that repeated windows cover; ``repeated`` holds the fingerprints to look at."""
-    places = fingerprints(rows, window, gram).join(repeated, "fp").groupBy("id0", "key").agg(F.collect_set("place").alias("places"))
-    buckets = repeats.buckets_of(rows)
-    packed = rows.join(places, ["id0", "key"]).select("id0", "key", "text", "places").mapInArrow(_verify(window, gram, buckets), repeats.PACKED)
-    found = repeats.gather(packed, TOKEN_BYTES, HIT, _spans(window), "id0 long, key long, spans binary")
-    return found.dropDuplicates(["id0", "key"])
+def _text(v: pa.Scalar) -> bytes:
+    return v.as_buffer().to_pybytes() if v.is_valid else b""
 
 
-def _kept(raw: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
+def kept_words(raw: bytes, spans: list) -> tuple[int, list[bytes]]:
+    """Number of words, and the words outside the spans."""
     words = raw.split()
-    if not spans:
-        return len(words), 0, b" ".join(words)
     out, at = [], 0
-    for a, b in np.frombuffer(spans, "<i4").reshape(-1, 2).tolist():
+    for a, b in spans:
         out += words[at:a]
         at = b
-    out += words[at:]
-    return len(words), len(words) - len(out), b" ".join(out)
+    return len(words), out + words[at:]
 
 
-def deduplicated(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, id0, key, text, spans (null: none) and the columns of ``also`` of every row; the index is built batch by batch and
-    dropped once used."""
-    spark = documents.sparkSession
-    rows = rows_of(documents, also)
-    index = FingerprintIndex(spark, window, gram)
-    for k in range(batches):
-        index.append(rows.filter(F.pmod(F.xxhash64("id0", F.lit(5)), F.lit(batches)) == k))
-    index.compact()
-    repeated = cut(index.repeated())
-    index.drop()
-    return rows.join(repeated_spans(rows, repeated, window, gram), ["id0", "key"], "left")
+def deduplicated(documents: DataFrame, edit, schema, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """``edit(rows, spans)`` of every chunk: its columns (by place) and, for each row, the word ranges to remove give the columns of
+    ``schema``. The chunks are appended to an index in ``batches``; the index is dropped once used."""
+    at = documents.columns.index("text")
+    texts = chunked(documents)
+    index = FingerprintIndex(documents.sparkSession, at, window, gram)
+    try:
+        found = [index.append(texts.filter(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == k)) for k in range(batches)]
+    finally:
+        index.drop()
+    spans = reduce(DataFrame.unionByName, found)
+    return index.texts().groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_applied(schema.names, edit), schema)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [_kept(t.as_buffer().to_pybytes(), s.as_py()) for t, s in zip(b.column("text"), b.column("spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([r for _, r, _ in done], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for _, _, k in done], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def edit(rows: pa.RecordBatch, spans: list) -> list[pa.Array]:
+        done = [kept_words(_text(t), s) for t, s in zip(rows.column(1), spans, strict=True)]
+        return [rows.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array([n - len(k) for n, k in done], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in done], pa.string())]
 
-    found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    return deduplicated(documents, edit, schema)
 
 
-def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(documents: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """The documents with repeated passages taken out of their text, and n_chars to match; a text without any stays as it is, blanks
     included, and null stays null. All columns are kept."""
-    others = tuple(c for c in documents.columns if c not in ("doc_id", "text"))
-
-    @F.pandas_udf("string")
-    def keep(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_kept(t.encode(), s)[2].decode("utf-8", "replace") for t, s in zip(text, spans, strict=True)])
-
-    was_null = F.col("text").isNull()
-    found = deduplicated(documents.withColumn("__null", was_null), window, also=(*others, "__null"))
-    text = F.when(F.col(f"other_{len(others)}"), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("cut"))
-    changed = found.filter("spans IS NOT NULL").withColumn("cut", keep("text", "spans")).unionByName(found.filter("spans IS NULL").withColumn("cut", F.lit(None).cast("string")))
-    out = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"other_{k}") for k, c in enumerate(others)}
-    if "n_chars" in out:
-        kind = documents.schema["n_chars"].dataType
-        out["n_chars"] = F.when(F.col("spans").isNull(), out["n_chars"]).otherwise(F.char_length("cut").cast(kind))
-    return changed.select(*(out[c].alias(c) for c in documents.columns))
+    at = documents.columns.index("text")
+    length = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
+
+    def edit(rows: pa.RecordBatch, spans: list) -> list[pa.Array]:
+        columns = list(rows.columns)
+        changed = {k: b" ".join(kept_words(_text(columns[at][k]), s)[1]).decode("utf-8", "replace") for k, s in enumerate(spans) if s}
+        columns[at] = pa.array([changed.get(k, x) for k, x in enumerate(columns[at].to_pylist())], pa.string())
+        if length is not None:
+            columns[length] = pa.array([len(changed[k]) if k in changed else x for k, x in enumerate(columns[length].to_pylist())], columns[length].type)
+        return columns
+
+    return deduplicated(documents.withColumn("text", F.col("text").cast("string")), edit, documents.schema, window, batches=batches)
 
 
 ORACLE = r"""

@@ -21,11 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, ensure_checkpoint_dir
+from tidewire.llm.common import filesystem
+from tidewire.session import checkpoint_dir, cut
 
 FILE_BYTES, STRETCH, GAP, READ_BYTES = 256 << 20, 8 << 20, 64 << 10, 4 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -35,10 +35,6 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 RECORD_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -107,7 +103,7 @@ def _writer(base: str):
 def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, base: str | None = None) -> DataFrame:
     """Write a record per page and return the index. Of equal payloads of at least ``min_revisit_bytes`` the one with the largest id is the response."""
     spark = pages.sparkSession
-    base = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     fs, root = filesystem(base)
     fs.create_dir(root, recursive=True)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

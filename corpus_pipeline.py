@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm import jaccard, langid, mixing, packing, substring
-from tidewire.llm.common import ensure_checkpoint_dir
+from tidewire.session import checkpoint_dir
 
 LEAST_SCORE = 0.5
 
@@ -49,7 +49,7 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("passag
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")

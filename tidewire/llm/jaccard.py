@@ -1,17 +1,21 @@
 """Near duplicates by an exact n-gram Jaccard join: a grouped prefix join.
 
 1. Shingles are counted over all documents. Each task packs the shingles of a run of documents into one binary row
-   a bucket (six bytes a shingle, two for the document), so the one large shuffle carries eight bytes a shingle; the
-   reducers count, and send back only the shingles that occur twice or more.
+   a bucket (six bytes a shingle, and the steps of the documents' numbers, compressed); the reducers count, and send back only
+   the shingles that occur twice or more.
 2. In the order from rare to frequent, two documents with similarity t share a shingle among the first
    n - ceil(t n) + 1 of each. Shingles that occur once come first and match nothing, so a document whose prefix holds no
    others leaves here; most do.
 3. Documents with identical sets form a class, classes with identical prefix and size a group. Groups that share a prefix
-   shingle meet at the least of them (a star). Stars of many groups are cut into blocks and met block by block.
-4. Groups of compatible size are expanded into their classes, and the shingle sets are verified. A task
-   returns a spanning forest of the links it has verified, not all pairs; components are joined by alternating stars.
+   shingle meet at the least of them (a star).
+4. Pairs of groups are filtered by what sizes and prefixes tell: what two sets can have in common is at most what their
+   prefixes have, and the rest of the larger one. Only groups that are left in some pair are expanded into their classes, whose
+   sets are then fetched and verified. A task returns a spanning forest of the links it has verified, not all pairs; components
+   are joined by alternating stars.
+5. A star of more than ``block`` classes is first verified against its centre alone, salted, in linear work: what links to the centre
+   need not meet what links to it as well, so only the groups that don't are dealt against the whole star, block by block.
 
-No partner or candidate is capped. A shingle is known by 64 bits of its hash (48 and its bucket).
+No partner or candidate is capped. A shingle is known by 64 bits of its hash (48 and its bucket), a set and a prefix by 128.
 
 Defined results: null text and text without words have no shingles and no links; rows that repeat an id are one node with
 the links of each, and each comes back; rows with a null id come back with a null component; empty tables give empty
@@ -27,17 +31,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import U, byte_sums, lower_ascii, mix, partitions, powers, run_hash, slices, string_hash, text_chunks, word_spans, WORD_BASE
+from tidewire.llm.repeats import press, unpress
 from tidewire.operators.graph import components
 from tidewire.session import cut
 
 WORDS, SIMILARITY, BLOCK = 5, 75, 512
 PACKED = "bucket int, chunk long, token binary, doc binary, ids binary, sizes binary"
-COUNTED = "chunk long, token binary, count binary, doc binary, ids binary, sizes binary"
-SETS = "doc_id long, n_shingles long, sig binary, prefix binary, tokens binary"
+COUNTED = "chunk long, bucket int, token binary, count binary, doc binary, ids binary, sizes binary"
+SETS = "doc_id long, n_shingles long, sig binary, form binary, prefix binary, tokens binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +69,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return owner[keep], shingle[keep]
 
 
+def steps(docs: np.ndarray) -> bytes:
+    """Ascending numbers below 60,000 as their steps, compressed."""
+    return press(np.diff(docs, prepend=0).astype("<u2").tobytes())
+
+
+def unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(unpress(raw), "<u2"), dtype=np.uint16)
+
+
 def _packer(width: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -79,7 +93,7 @@ def _packer(width: int, buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 six = (shingle[order] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                doc = owner[order].astype("<u2")
+                doc = owner[order]
                 full = np.flatnonzero(np.diff(bounds))
                 rows = len(full) + 1
                 yield pa.RecordBatch.from_arrays(
@@ -87,7 +101,7 @@ def _packer(width: int, buckets: int):
                         pa.array(np.append(full, chunk % buckets), pa.int32()),
                         pa.array(np.full(rows, chunk), pa.int64()),
                         pa.array([np.ascontiguousarray(six[bounds[k] : bounds[k + 1]]).tobytes() for k in full] + [None], pa.binary()),
-                        pa.array([doc[bounds[k] : bounds[k + 1]].tobytes() for k in full] + [None], pa.binary()),
+                        pa.array([steps(doc[bounds[k] : bounds[k + 1]]) for k in full] + [None], pa.binary()),
                         pa.array([None] * len(full) + [ids[lo:hi].astype("<i8").tobytes()], pa.binary()),
                         pa.array([None] * len(full) + [sizes.tobytes()], pa.binary()),
                     ],
@@ -101,13 +115,14 @@ def _packer(width: int, buckets: int):
 def _count(rows: pd.DataFrame) -> pd.DataFrame:
     """The shingles of a bucket that occur twice or more, by chunk, and the chunks' own rows as they are."""
     info = rows[rows["ids"].notna()]
-    out = pd.DataFrame({"chunk": info["chunk"], "token": None, "count": None, "doc": None, "ids": info["ids"], "sizes": info["sizes"]})
+    out = pd.DataFrame({"chunk": info["chunk"], "bucket": info["bucket"], "token": None, "count": None, "doc": None, "ids": info["ids"], "sizes": info["sizes"]})
     rows = rows[rows["token"].notna()]
     if len(rows):
-        lens = np.array([len(x) // 2 for x in rows["doc"]])
+        docs = [unsteps(x) for x in rows["doc"]]
+        lens = np.array([len(x) for x in docs])
         token = np.zeros((lens.sum(), 8), np.uint8)
         token[:, :6] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, 6)
-        token = token.view("<u8").ravel()
+        short, token = token[:, :6], token.view("<u8").ravel()
         order = np.argsort(token)
         s = token[order]
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -115,9 +130,9 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
         count[order] = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
         keep = count > 1
         bounds = np.concatenate(([0], np.cumsum(np.add.reduceat(keep, np.cumsum(lens) - lens))))
-        token = (token | (U(int(rows["bucket"].iloc[0])) << U(48)))[keep]
-        doc = np.frombuffer(b"".join(rows["doc"]), "<u2")[keep]
-        got = pd.DataFrame({"chunk": rows["chunk"], "token": slices(token, bounds), "count": slices(count[keep], bounds), "doc": slices(doc, bounds), "ids": None, "sizes": None})
+        doc, count = np.concatenate(docs)[keep].astype(np.int64), count[keep].astype("<u4")
+        cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+        got = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "token": slices(np.ascontiguousarray(short[keep]), bounds), "count": [press(count[a:b].tobytes()) for a, b in cuts], "doc": [steps(doc[a:b]) for a, b in cuts], "ids": None, "sizes": None})
         out = pd.concat([out, got[np.diff(bounds) > 0]])
     return out
 
@@ -133,14 +148,18 @@ def _assembler(similarity: int):
         ids, sizes = np.frombuffer(info["ids"], "<i8"), np.frombuffer(info["sizes"], "<i8")
         null, n = sizes < 0, np.where(sizes < 0, -1 - sizes, sizes)
         rows = rows[rows["token"].notna()]
-        join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
-        token, count, doc = join("token", "<u8"), join("count", "<u4"), join("doc", "<u2")
+        docs = [unsteps(x) for x in rows["doc"]]
+        doc = np.concatenate(docs) if docs else np.empty(0, np.uint16)
+        token = np.zeros((len(doc), 8), np.uint8)
+        token[:, :6] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, 6)
+        token = token.view("<u8").ravel() | (np.repeat(rows["bucket"].to_numpy(), [len(x) for x in docs]).astype(U) << U(48))
+        count = np.frombuffer(b"".join(unpress(x) for x in rows["count"]), "<u4")
         order = np.lexsort((token, count, doc))
         token, doc = token[order], doc[order]
         bounds = np.searchsorted(doc, np.arange(len(n) + 1))
         repeated = np.diff(bounds)
         prefix = np.where(null | (n == 0), 0, np.minimum(prefix_length(n, similarity) - (n - repeated), repeated))
-        out: dict[str, list] = {"sig": [], "prefix": [], "tokens": []}
+        out: dict[str, list] = {"sig": [], "form": [], "prefix": [], "tokens": []}
         for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if prefix[k] <= 0:
                 for v in out.values():
@@ -149,39 +168,69 @@ def _assembler(similarity: int):
             own = token[a:b]
             alone = b"" if repeated[k] == n[k] else b"%d %d" % (ids[k], n[k])  # with a shingle of its own no other set is the same
             out["sig"].append(hashlib.blake2b(np.sort(own).tobytes() + alone, digest_size=16).digest())
-            out["prefix"].append(own[: prefix[k]].tobytes())
+            first = own[: prefix[k]].tobytes()
+            out["form"].append(hashlib.blake2b(b"%d " % n[k] + first, digest_size=16).digest())
+            out["prefix"].append(first)
             out["tokens"].append(own.tobytes())
         return pd.DataFrame({"doc_id": pd.Series(np.where(null, 0, ids)).astype("Int64").mask(null), "n_shingles": n, **out})
 
     return assemble
 
 
+def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets have in common, a strip of tokens at a time."""
+    size = len(sets)
+    doc = np.repeat(np.arange(size), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = times[column] > 1
+    doc, column = doc[both], np.searchsorted(np.flatnonzero(times > 1), column[both])
+    shared = np.zeros((size, size), np.float32)
+    step, width = 4096, int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    for lo in range(0, width, step):
+        a, b = np.searchsorted(column, (lo, lo + step))
+        x = np.zeros((size, min(step, width - lo)), np.float32)
+        x[doc[a:b], column[a:b] - lo] = 1
+        shared += x @ x.T
+    return shared.astype(np.int64)
+
+
+def _may_link(n: np.ndarray, asks: np.ndarray, common: np.ndarray, similarity: int) -> np.ndarray:
+    """Which pairs, of which one asks, can reach the similarity if they have at most ``common`` tokens in common."""
+    pairs = asks[:, None] | asks[None, :]
+    pairs &= 100 * np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :])
+    pairs &= 100 * common >= similarity * (n[:, None] + n[None, :] - common)
+    return pairs
+
+
+def _cell(rows: pd.DataFrame, name: str) -> pd.DataFrame:
+    """The rows of a cell, once each; one that both asks and is asked asks."""
+    return rows.sort_values("asks", ascending=False).drop_duplicates(name)
+
+
+def _filter(similarity: int):
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        """The groups of a cell that are left in some pair, by size and prefix."""
+        rows = _cell(rows, "grp")
+        n, asks = rows["n"].to_numpy(), rows["asks"].to_numpy()
+        common = shared_tokens([np.frombuffer(x, "<u8") for x in rows["prefix"]])
+        rest = n - prefix_length(n, similarity)
+        pairs = _may_link(n, asks, np.where(common > 0, common + np.maximum(rest[:, None], rest[None, :]), 0), similarity)
+        pairs[np.diag_indices(len(n))] = asks & (rows["classes"].to_numpy() > 1)
+        return rows[pairs.any(1)][["star", "i", "j", "grp", "asks"]]
+
+    return keep
+
+
 def _verifier(similarity: int):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links between the two blocks (or within the one) of a star."""
-        n, node, left, right = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["own"].to_numpy(), rows["other"].to_numpy()
-        sets = [np.frombuffer(x, "<u8") for x in rows["tokens"]]
-        size = len(sets)
-        cross = left[:, None] != left[None, :] if (left != right).any() else np.ones((size, size), bool)
-        cross &= 100 * np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :])
-        np.fill_diagonal(cross, False)
-        if size < 2 or not cross.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        doc = np.repeat(np.arange(size), [len(s) for s in sets])
-        token, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        both = times[column] > 1
-        doc, column = doc[both], np.searchsorted(np.flatnonzero(times > 1), column[both])
-        shared = np.zeros((size, size), np.float32)
-        step, width = 4096, int((times > 1).sum())
-        order = np.argsort(column, kind="stable")
-        doc, column = doc[order], column[order]
-        for lo in range(0, width, step):
-            a, b = np.searchsorted(column, (lo, lo + step))
-            x = np.zeros((size, min(step, width - lo)), np.float32)
-            x[doc[a:b], column[a:b] - lo] = 1
-            shared += x @ x.T
-        shared = shared.astype(np.int64)
-        link = cross & (100 * shared >= similarity * (n[:, None] + n[None, :] - shared))
+        """A spanning forest of the links between the classes of a cell."""
+        rows = _cell(rows, "member")
+        n, node, asks = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["asks"].to_numpy()
+        size = len(rows)
+        link = _may_link(n, asks, shared_tokens([np.frombuffer(x, "<u8") for x in rows["tokens"]]), similarity)
+        np.fill_diagonal(link, False)
         seen, pairs = np.zeros(size, bool), []
         for root in np.flatnonzero(link.any(1)):
             if seen[root]:
@@ -197,6 +246,23 @@ def _verifier(similarity: int):
     return verify
 
 
+def _with_centre(similarity: int):
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        """The classes of a part of a star that link to its centre, with their groups."""
+        centre = rows[rows["member"] == rows["star"]].iloc[0]
+        own = np.sort(np.frombuffer(centre["tokens"], "<u8"))
+        sets = [np.frombuffer(x, "<u8") for x in rows["tokens"]]
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        common = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1])))
+        n = rows["n"].to_numpy()
+        linked = 100 * common >= similarity * (n + centre["n"] - common)
+        got = rows[linked].drop_duplicates("member")
+        return pd.DataFrame({"star": got["star"], "grp": got["grp"], "member": got["member"], "a": centre["node"], "b": got["node"]})
+
+    return verify
+
+
 def sets(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id and n_shingles of every row; for candidates the digest, prefix and whole of their repeated shingles too."""
     buckets = min(2 * partitions(documents.sparkSession), 60_000)
@@ -210,12 +276,13 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
     """Edges (a, b) of doc_ids that span the same components as all links do."""
     found = all_sets.filter(F.col("sig").isNotNull())
     # all rows of a class have the same set, so any of them stands for it and copies fold up before the shuffle
-    one = [F.first(c).alias(c) for c in ("n_shingles", "prefix", "tokens")]
+    one = [F.first(c).alias(c) for c in ("n_shingles", "form", "prefix", "tokens")]
     least = found.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *one)
-    least = cut(least.select("sig", "node", "copies", F.col("n_shingles").alias("n"), "prefix", "tokens", F.xxhash64("node", "sig").alias("member"), F.xxhash64("n_shingles", "prefix").alias("form")))
+    least = cut(least.select("sig", "node", "copies", F.col("n_shingles").alias("n"), "form", "prefix", "tokens", F.xxhash64("node", "sig").alias("member")))
     copies = found.select("doc_id", "sig").join(least.filter("copies > 1").select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    classes = least.drop("sig", "copies")
-    groups = classes.groupBy("form", "n", "prefix").agg(F.min("member").alias("grp"))
+    sets_of = least.select("member", "node", "n", "tokens")
+    groups = cut(least.groupBy("form").agg(F.min("member").alias("grp"), F.count("*").alias("classes"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    in_group = least.select("form", "member").join(groups.select("form", "grp"), "form").select("grp", "member")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,22 +291,36 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix or [np.empty(0, np.int64)])), pa.array(np.repeat(b.column("grp").to_numpy(), times))], names=["token", "grp"])
 
     postings = groups.select("grp", "prefix").mapInArrow(explode, "token long, grp long")
-    lead = postings.groupBy("token").agg(F.min("grp").alias("star"), F.max("grp").alias("most"))
-    # a group of several classes meets itself
-    several = classes.groupBy("form", "n", "prefix").agg(F.min("member").alias("grp"), F.count("*").alias("k")).filter("k > 1").select(F.col("grp").alias("star"), "grp")
-    stars = postings.join(lead.filter("star <> most").select("token", "star"), "token").select("star", "grp").unionByName(several).distinct()
-    # tokens are read from the classes only where they are verified
-    member = classes.select("form", "n", "prefix", "member").join(groups, ["form", "n", "prefix"]).select("grp", "member")
-    sized = cut(stars.join(member, "grp").select("star", "member"))
-    blocks = sized.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (
-        sized.join(blocks, "star")
-        .withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("star", "member", "own", "other", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    met = dealt.join(classes.select("member", "node", "n", "tokens"), "member")
-    return met.groupBy("star", "i", "j").applyInPandas(_verifier(similarity), "a long, b long").distinct().unionByName(copies)
+    # a frequent token's postings are split by skew handling, which needs a shuffle right below both sides of the join
+    lead = postings.groupBy("token").agg(F.min("grp").alias("star"), F.max("grp").alias("most")).filter("star <> most").select("token", "star").repartition("token")
+    several = groups.filter("classes > 1").select(F.col("grp").alias("star"), "grp")  # a group of several classes meets itself
+    stars = cut(postings.join(lead, "token").select("star", "grp").unionByName(several).distinct())
+    sizes = stars.join(groups.select("grp", "classes"), "grp").groupBy("star").agg(F.ceil(F.sum("classes") / block).alias("parts"))
+
+    large = sizes.filter("parts > 1")
+    salted = stars.join(large, "star").join(in_group, "grp").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
+    centres = large.select("star", F.col("star").alias("grp"), F.col("star").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = salted.select("star", "grp", "member", "part").unionByName(centres).join(sets_of, "member")
+    centred = cut(near.groupBy("star", "part").applyInPandas(_with_centre(similarity), "star long, grp long, member long, a long, b long"))
+    linked = centred.select("star", "grp", "member").distinct().groupBy("star", "grp").agg(F.count("*").alias("linked"))
+    settled = linked.join(groups.select("grp", "classes"), "grp").filter("linked = classes").select("star", "grp", F.lit(False).alias("open"))
+
+    every = stars.join(settled, ["star", "grp"], "left").select("star", "grp", F.coalesce("open", F.lit(True)).alias("asks"))
+    blocks = every.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("of_all"), F.ceil(F.count_if("asks") / block).cast("int").alias("of_asking")).filter("of_asking > 0")
+    dealt = every.join(blocks, "star")
+    place = lambda n: F.pmod(F.xxhash64("grp"), F.col(n)).cast("int")
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.filter("asks").select("star", "grp", "asks", place("of_asking").alias("i"), to_all("of_all").alias("j"))
+    alone = (F.col("of_all") == 1) & F.col("asks")  # in a star of one block a group that asks need not come twice
+    asked = dealt.filter(~alone).select("star", "grp", F.lit(False).alias("asks"), to_all("of_asking").alias("i"), place("of_all").alias("j"))
+    cells = asked.unionByName(asking).join(groups.select("grp", "n", "prefix", "classes"), "grp")
+    left = cells.groupBy("star", "i", "j").applyInPandas(_filter(similarity), "star long, i int, j int, grp long, asks boolean")
+    expanded = cut(left.join(in_group, "grp").select("star", "i", "j", "member", "asks").distinct())
+    parts = expanded.groupBy("star", "i", "j").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
+    met = expanded.join(parts, ["star", "i", "j"]).withColumn("own", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).withColumn("other", to_all("parts"))
+    met = met.select("star", "i", "j", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "member", "asks").join(sets_of, "member")
+    edges = met.groupBy("star", "i", "j", "p", "q").applyInPandas(_verifier(similarity), "a long, b long").distinct()
+    return edges.unionByName(centred.filter("a <> b").select("a", "b")).unionByName(copies)
 
 
 def near_duplicates(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -252,13 +333,18 @@ def near_duplicates(documents: DataFrame, width: int = WORDS, similarity: int =
 
 def representatives(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """The documents without those that a smaller doc_id reaches by links, with all their columns. Of rows that repeat an id and have
-    words one stays; rows without words or with a null id stay."""
+    words the one with the least text stays (of equal texts, one); rows without words or with a null id stay."""
     all_sets = sets(documents, width, similarity)
-    gone = components(links(all_sets, similarity)).filter("component <> node").select(F.col("node").alias("doc_id"), F.lit(0).alias("__stay"))
-    twice = all_sets.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").join(gone, "doc_id", "left_anti")
-    judged = documents.join(cut(gone.unionByName(twice.select("doc_id", F.lit(1).alias("__stay")))), "doc_id", "left")
-    once = judged.filter("__stay = 1").dropDuplicates(["doc_id"])
-    return judged.filter("__stay IS NULL").unionByName(once).select(*documents.columns)
+    # names that no column of the documents has
+    judged_name, rank_name, id_name = ("_".join(documents.columns) + x for x in ("_stay", "_rank", "_id"))
+    gone = components(links(all_sets, similarity)).filter("component <> node").select(F.col("node").alias(id_name), F.lit(0).alias(judged_name))
+    twice = all_sets.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias(id_name)).agg(F.count("*").alias("n")).filter("n > 1").join(gone, id_name, "left_anti")
+    told = cut(gone.unionByName(twice.select(id_name, F.lit(1).alias(judged_name))))
+    judged = documents.join(told, F.col("doc_id").cast("long") == F.col(id_name), "left")
+    once = judged.filter(F.col(judged_name) == 1)
+    rank = once.withColumn(rank_name, F.row_number().over(Window.partitionBy(id_name).orderBy(F.coalesce(F.trim("text"), F.lit("")) == "", "text")))
+    back = [F.col(f"`{c}`") for c in documents.columns]
+    return judged.filter(F.col(judged_name).isNull()).select(*back).unionByName(rank.filter(F.col(rank_name) == 1).select(*back))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

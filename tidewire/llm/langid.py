@@ -2,7 +2,8 @@
 word falls back to its character n-grams, the longest length of which any is known, from five down to one.
 
 The classifier is fitted on a sample bounded by ``per_language`` documents (expected) of each language, picked by
-a hash of the id, and keeps at most ``max_words`` words and ``max_grams`` n-grams of each length a language.
+a hash of the id; all languages, words and n-grams of the sample are learned. The model holds an entry for each word or n-gram and
+language that has it, so its size follows the sample, in proportion to the number of languages.
 Prediction reads whole texts and nothing else.
 
 Defined results: null text and text without a letter are ``und`` with score 0; so is all text when nothing was
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.chunks import ranges
 from tidewire.llm.common import BYTE_BASE, U, mix, powers, text_chunks
 
-PER_LANGUAGE, MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES, LONGEST = 3000, 50_000, 30_000, 1000, 5
+PER_LANGUAGE, LONGEST, UNSEEN = 3000, 5, 0.5
 UND = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _CODES: list[np.ndarray] = []
@@ -100,39 +102,50 @@ def _trainer(languages: list[str]):
 
 
 class Model:
-    """Log frequencies: for words (kind 0) and n-grams (kind n) sorted keys and a row of one value a language."""
+    """Log frequencies of words (kind 0) and n-grams (kind n): per kind, what a language gives a key that it doesn't have, and sorted keys
+    with the languages that have them and how much more these give."""
 
-    def __init__(self, languages: list[str], rows: dict[str, np.ndarray], totals: dict[tuple[int, int], int]):
+    def __init__(self, languages: list[str], rows: dict[str, np.ndarray]):
         self.languages, self.tables = languages, {}
         for kind in range(LONGEST + 1):
-            own = rows["kind"] == kind
+            own = np.flatnonzero(rows["kind"] == kind)
             key, lang, n = rows["key"][own].view(np.uint64), rows["lang"][own], rows["n"][own]
-            keys, at = np.unique(key, return_inverse=True)
-            counts = np.full((len(keys), len(languages)), 0.5, np.float64)
-            counts[at, lang] += n
-            total = np.array([totals.get((kind, g), 0) + 0.5 * max(1, len(keys)) for g in range(len(languages))])
-            self.tables[kind] = keys, np.log(counts / total).astype(np.float32)
+            order = np.lexsort((lang, key))
+            key, lang, n = key[order], lang[order], n[order]
+            keys, begin = np.unique(key, return_index=True)
+            total = np.bincount(lang, n, len(languages)) + UNSEEN * max(1, len(keys))
+            more = np.log((n + UNSEEN) / UNSEEN).astype(np.float32)
+            self.tables[kind] = keys, np.append(begin, len(key)), lang.astype(np.int32), more, np.log(UNSEEN / total)
 
     def find(self, kind: int, h: np.ndarray) -> np.ndarray:
-        """Row of each hash in the table of its kind, or -1."""
+        """Place of each hash among the keys of its kind, or -1."""
         keys = self.tables[kind][0]
         if not len(keys):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, at, -1)
 
+    def entries(self, kind: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For keys at the given places: how many languages have each, which, and how much more they give."""
+        _, begin, lang, more, _ = self.tables[kind]
+        size = begin[at + 1] - begin[at]
+        i = ranges(begin[at], size)
+        return size, lang[i], more[i]
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Summed log frequencies (texts x languages), and whether each text has a letter."""
         w = Words(data, offsets)
         texts, langs = len(offsets) - 1, len(self.languages)
         has = np.bincount(w.text, minlength=texts)[:texts] > 0
-        out = np.zeros((texts, langs))
         if not len(w.start) or not langs:
-            return out, has
+            return np.zeros((texts, langs)), has
         unique, first, at = np.unique(w.hash(w.start, w.end), return_index=True, return_inverse=True)
-        value = np.zeros((len(unique), langs), np.float32)
+        kind = np.full(len(unique), -1)
         row = self.find(0, unique)
-        value[row >= 0] = self.tables[0][1][row[row >= 0]]
+        known = np.flatnonzero(row >= 0)
+        kind[known] = 0
+        size, lang, more = self.entries(0, row[known])
+        parts = [(np.repeat(known, size), lang, more)]
         left = np.flatnonzero(row < 0)
         for n in range(LONGEST, 0, -1):
             if not len(left):
@@ -141,34 +154,36 @@ class Model:
             got = self.find(n, h)
             owner, got = owner[got >= 0], got[got >= 0]
             hits = np.bincount(owner, minlength=len(left))
-            known = hits > 0
-            for g in range(langs):
-                total = np.bincount(owner, self.tables[n][1][got, g], len(left))
-                value[left[known], g] = (total[known] / hits[known]).astype(np.float32)
-            left = left[~known]
-        for g in range(langs):
-            out[:, g] = np.bincount(w.text, value[at, g], texts)[:texts]
+            size, lang, more = self.entries(n, got)
+            word = np.repeat(owner, size)
+            parts.append((left[word], lang, more / hits[word].astype(np.float32)))
+            kind[left[hits > 0]] = n
+            left = left[hits == 0]
+        word, lang, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        lang, more = lang[order], more[order]
+        begin = np.searchsorted(word[order], np.arange(len(unique) + 1))
+        pair, times = np.unique(w.text * len(unique) + at, return_counts=True)  # a word of a text, and how often
+        text, word = pair // len(unique), pair % len(unique)
+        size = begin[word + 1] - begin[word]
+        i = ranges(begin[word], size)
+        out = np.bincount(np.repeat(text, size) * langs + lang[i], np.repeat(times, size) * more[i], texts * langs).reshape(texts, langs)
+        for n in range(LONGEST + 1):
+            out += np.bincount(text, times * (kind[word] == n), texts)[:, None] * self.tables[n][4][None, :]
         return out, has
 
 
-def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the rows with text and lang that ``usable`` selects; it and the sample speak of doc_id."""
     docs = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & usable)
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).toArrow()
+    languages = sorted(sizes["lang"].to_pylist())
     if not languages:
-        return Model([], {k: np.empty(0, np.int64) for k in ("kind", "key", "lang", "n")}, {})
-    share = F.element_at(F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, per_language / sizes[g]))]), F.col("lang"))
-    picked = docs.filter(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)))
-    counts = picked.select("lang", "text").mapInArrow(_trainer(languages), "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    all_of = Window.partitionBy("lang", "kind")
-    top = counts.withColumn("rank", F.row_number().over(order)).withColumn("total", F.sum("n").over(all_of))
-    kept = top.filter((F.col("n") > 1) & (F.col("rank") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))).drop("rank").toArrow()
-    rows = {c: kept[c].to_numpy().astype(np.int64) for c in ("kind", "key", "lang", "n")}
-    _, at = np.unique(rows["kind"] * MAX_LANGUAGES + rows["lang"], return_index=True)
-    totals = {(int(rows["kind"][i]), int(rows["lang"][i])): kept["total"][int(i)].as_py() for i in at}
-    return Model(languages, rows, totals)
+        return Model([], {k: np.empty(0, np.int64) for k in ("kind", "key", "lang", "n")})
+    shares = documents.sparkSession.createDataFrame([(g, min(1.0, per_language / n)) for g, n in zip(sizes["lang"].to_pylist(), sizes["n"].to_pylist(), strict=True)], "lang string, share double")
+    picked = docs.join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    counts = picked.select("lang", "text").mapInArrow(_trainer(languages), "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    return Model(languages, {c: counts[c].to_numpy().astype(np.int64) for c in ("kind", "key", "lang", "n")})
 
 
 def _decide(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,12 +222,13 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 def recognised(documents: DataFrame, model: Model, least: float) -> DataFrame:
     """The documents with a language whose score is at least ``least``, with all their columns."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    texts = documents.withColumn("__text", F.col("text").cast("string"))
+    name = "_".join(documents.columns) + "_text"  # which no column has
+    texts = documents.withColumn(name, F.col("text").cast("string"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = _decide(shared.value, batch.column("__text"))
-            yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least))).drop_columns(["__text"])
+            best, score = _decide(shared.value, batch.column(name))
+            yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least))).drop_columns([name])
 
     return texts.mapInArrow(keep, documents.schema)
 

@@ -7,8 +7,8 @@ on a sample with a probability equal to the generalised Jaccard similarity of th
 kept as 16 bits, so unlike samples agree by chance once in 65,536.
 
 Defined results: null text is empty; a text without words has the fingerprint of zeros, like another such
-text (1) and unlike any other (0); rows with a null id are left out, as no order gives them a successor; rows that
-repeat an id follow each other by text. Equal texts have equal fingerprints. An empty table gives an
+text (1) and unlike any other (0); rows with a null id follow all others, in the order of a hash of their text, downwards; rows that
+repeat an id (or, without one, a hash) follow each other by text. Equal texts have equal fingerprints. An empty table gives an
 empty result, and one row succeeds itself.
 """
 
@@ -140,34 +140,39 @@ def fingerprint(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def beside_next(documents: DataFrame) -> DataFrame:
-    """Rows dealt by ranges of doc_id and sorted so that each is followed by the next by descending doc_id.
+    """Rows dealt by ranges of doc_id (null: of a hash of the text, below all ids) and sorted so that each is followed by the next.
 
     ``bucket`` numbers the ranges; the last row of each is a guest, the first row of the range that follows (of the
     highest range, for the lowest). Only one id a range passes through the driver.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    text, ident = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    docs = documents.select(ident.alias("doc_id"), text.alias("text"), F.coalesce(ident, F.xxhash64(text)).alias("at"), ident.isNull().alias("none"))
     n = 3 * partitions(spark)
-    cuts = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)})
+    quantiles = lambda part: sorted({int(x) for x in part.select("at").approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n)})
+    below, cuts = np.array(quantiles(docs.filter("none")), np.int64), np.array(quantiles(docs.filter("NOT none")), np.int64)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(np.int64), "right").astype(np.int32))
+    def bucket(at: pd.Series, none: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series(np.where(none, np.searchsorted(below, at, "right"), len(below) + 1 + np.searchsorted(cuts, at, "right")).astype(np.int32))
 
-    with_bucket = docs.withColumn("bucket", bucket("doc_id"))
-    tops = sorted((r["bucket"], r["top"]) for r in with_bucket.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    host = np.array(sorted(above.items()), np.int64).reshape(-1, 2)
+    with_bucket = docs.withColumn("bucket", bucket("at", "none"))
+    tops = sorted((r["bucket"], r["top"]) for r in with_bucket.groupBy("bucket").agg(F.max("at").alias("top")).collect())
+    size = len(below) + len(cuts) + 2
+    top, host = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for i, (own, most) in enumerate(tops):
+        top[own], host[own] = most, tops[(i + 1) % len(tops)][0]
 
     @F.pandas_udf("array<int>")
-    def places(own: pd.Series, ids: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(host[:, 0], ids.to_numpy(np.int64)), len(host) - 1)
-        guest = np.where(host[at, 0] == ids.to_numpy(np.int64), host[at, 1], -1)
-        return pd.Series([[b] if g < 0 else [b, -1 - int(g)] for b, g in zip(own, guest, strict=True)])
-
-    rows = with_bucket.withColumn("place", F.explode(places("bucket", "doc_id")))
-    rows = rows.select("doc_id", "text", (F.col("place") < 0).alias("guest"), F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_id"), "text")
+    def places(own: pd.Series, at: pd.Series) -> pd.Series:
+        own = own.to_numpy()
+        guest = at.to_numpy(np.int64) == top[own]
+        return pd.Series([[b, -1 - int(h)] if g else [b] for b, g, h in zip(own, guest, host[own], strict=True)])
+
+    rows = with_bucket.withColumn("place", F.explode(places("bucket", "at")))
+    rows = rows.select("doc_id", "text", "at", (F.col("place") < 0).alias("guest"), F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("at"), "text").drop("at")
 
 
 def edit(text: str, after: str) -> str:

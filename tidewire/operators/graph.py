@@ -22,8 +22,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) edges of longs -> (node, component), component being the least node reachable; isolated nodes don't appear."""
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    """(a, b) edges of longs -> (node, component), component being the least node reachable; isolated nodes don't appear. Ids may be any longs."""
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(now)
     while before[0]:

@@ -7,15 +7,17 @@ and columns may have any names. Chunks are checkpointed: their numbers stay what
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm.common import CHUNK_BYTES, text_chunks
-from tidewire.session import cut
+from tidewire.llm.common import CHUNK_BYTES, filesystem, partitions, text_chunks
+from tidewire.session import checkpoint_dir, cut
 
 CHUNKS = "chunk long, rows binary"
 NUMBER_BITS = 24
@@ -57,6 +59,27 @@ def joined(column: pa.ChunkedArray | pa.Array) -> bytes:
     return b"".join(x.as_buffer() for x in column if x.is_valid)
 
 
+class BucketedTable:
+    """A table in the shared folder that is dealt and sorted by a column, so that joins and groups by it need no shuffle."""
+
+    def __init__(self, spark: SparkSession, kind: str, key: str, base: str | None = None):
+        self.spark, self.key, self.buckets = spark, key, partitions(spark)
+        self.name = f"{kind}_{uuid.uuid4().hex}"
+        self.path = f"{(base or checkpoint_dir(spark)).rstrip('/')}/{self.name}"
+
+    def write(self, rows: DataFrame) -> None:
+        rows.write.bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        fs, path = filesystem(self.path)
+        if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_dir(path)
+
+
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each range, one range after the other."""
     before = np.cumsum(size) - size

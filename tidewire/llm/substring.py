@@ -16,7 +16,6 @@ joined by one space.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm import repeats
-from tidewire.llm.chunks import chunked, each, joined
-from tidewire.llm.common import CHECK_BASE, U, byte_sums, filesystem, partitions, run_hash, slices, string_buffers, string_hash, word_spans
-from tidewire.session import checkpoint_dir, cut
+from tidewire.llm.chunks import BucketedTable, chunked, each, joined
+from tidewire.llm.common import CHECK_BASE, U, byte_sums, run_hash, slices, string_buffers, string_hash, word_spans
+from tidewire.session import cut
 
 WINDOW, GRAM, BATCHES, MOST_RUNS = 35, 8, 2, 4
 TOKEN_BYTES = 7
@@ -126,20 +125,18 @@ class FingerprintIndex:
     """Texts seen so far (chunks, with the text in column ``at``) and runs of their fingerprints in the shared folder."""
 
     def __init__(self, spark: SparkSession, at: int, window: int = WINDOW, gram: int = GRAM, base: str | None = None):
-        self.spark, self.at, self.window, self.gram = spark, at, window, gram
-        self.base = base or f"{checkpoint_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.spark, self.at, self.window, self.gram, self.base = spark, at, window, gram, base
+        self.runs: list[BucketedTable] = []
         self.seen: list[DataFrame] = []
-        self.buckets = partitions(spark)
 
-    def _write(self, rows: DataFrame) -> str:
-        name = f"fingerprints_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame) -> BucketedTable:
+        run = BucketedTable(self.spark, "fingerprints", "fp", self.base)
         try:
-            rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.base}/{name}").saveAsTable(name)
+            run.write(rows.repartition(run.buckets, "fp"))
         except Exception:
-            self._drop([name])
+            run.drop()
             raise
-        return name
+        return run
 
     def texts(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.seen)
@@ -147,10 +144,10 @@ class FingerprintIndex:
     def append(self, texts: DataFrame) -> DataFrame:
         """Add a batch of chunks, whose numbers must be new. Returns (chunk, spans) of all chunks, of this batch and earlier ones, with
         windows that this batch makes repeats."""
-        earlier, new = [self.spark.table(r) for r in self.runs], self._write(fingerprints(texts, self.at, self.window, self.gram))
+        earlier, new = [r.read() for r in self.runs], self._write(fingerprints(texts, self.at, self.window, self.gram))
         self.runs.append(new)
         self.seen.append(texts)
-        batch = self.spark.table(new)
+        batch = new.read()
         twice = batch.groupBy("fp").agg(F.count("*").alias("n"), F.bool_or("twice").alias("twice")).filter("n > 1 OR twice").select("fp")
         met = [batch.join(twice.hint("merge"), "fp", "left_semi")]
         for run in earlier:
@@ -171,19 +168,14 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            merged, old = self._write(reduce(DataFrame.unionByName, [self.spark.table(r) for r in self.runs])), self.runs
+            merged, old = self._write(reduce(DataFrame.unionByName, [r.read() for r in self.runs])), self.runs
             self.runs = [merged]
-            self._drop(old)
-
-    def _drop(self, runs: list[str]) -> None:
-        for name in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            fs, path = filesystem(f"{self.base}/{name}")
-            if fs.get_file_info(path).type != pa.fs.FileType.NotFound:
-                fs.delete_dir(path)
+            for run in old:
+                run.drop()
 
     def drop(self) -> None:
-        self._drop(self.runs)
+        for run in self.runs:
+            run.drop()
         self.runs = []
 
 

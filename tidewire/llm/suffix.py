@@ -348,6 +348,19 @@ def _portions(size: np.ndarray, joint: np.ndarray, most: int) -> list[tuple[int,
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
+def _sent(text: bytes, ids: bytes, windows: bytes, places: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the fragments that a chunk sent: their bytes, ids, numbers of windows, hashes, and hashes of their anchors."""
+    data = np.frombuffer(repeats.unpress(text), np.uint8)
+    count = np.frombuffer(repeats.unpress(windows), np.uint8).astype(np.int64)
+    place = np.frombuffer(repeats.unpress(places), np.uint8)
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    sums = byte_sums(data)
+    content = string_hash(sums, start, start + size)
+    at = start + np.where(place == ALONE_FLAG, 0, place)
+    return data, repeats.unpress_numbers(ids), count, content, np.where(place == ALONE_FLAG, content, string_hash(sums, at, at + gram))
+
+
 def _settler(length: int, gram: int, base: str, portion: int):
     def settle(rows: pa.Table) -> pa.Table:
         """Runs of windows of each chunk's fragments that an earlier document has."""
@@ -355,19 +368,12 @@ def _settler(length: int, gram: int, base: str, portion: int):
         out = {"chunk": info.column("chunk").to_pylist(), "bucket": [None] * len(info), "owner": [None] * len(info), "first": [None] * len(info), "count": [None] * len(info), "info": info.column("info").to_pylist()}
         rows = rows.filter(pa.compute.is_valid(rows.column("bytes")))
         if len(rows):
-            raw = {c: rows.column(c).to_pylist() for c in ("bytes", "ids", "windows", "anchors")}
-            text = np.frombuffer(b"".join(repeats.unpress(x) for x in raw["bytes"]), np.uint8)
-            ids = [repeats.unpress_numbers(x) for x in raw["ids"]]
-            row = np.repeat(np.arange(len(rows)), [len(x) for x in ids])
-            ident = np.concatenate(ids)
-            windows = np.frombuffer(b"".join(repeats.unpress(x) for x in raw["windows"]), np.uint8).astype(np.int64)
-            place = np.frombuffer(b"".join(repeats.unpress(x) for x in raw["anchors"]), np.uint8).astype(np.int64)
+            parts = [_sent(*row, length, gram) for row in zip(*(rows.column(c).to_pylist() for c in ("bytes", "ids", "windows", "anchors")), strict=True)]
+            row = np.repeat(np.arange(len(rows)), [len(p[1]) for p in parts])
+            text, ident, windows, content, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             size = windows + length - 1
             start = np.cumsum(size) - size
-            sums = byte_sums(text)
-            content = string_hash(sums, start, start + size)
-            at = start + np.where(place == ALONE_FLAG, 0, place)
-            key = np.where(place == ALONE_FLAG, content, string_hash(sums, at, at + gram))
             order = np.lexsort((ident, content, key))
             new = np.concatenate(([True], (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])))
             kind = np.empty(len(order), np.int64)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import U, byte_sums, lower_ascii, mix, partitions, powers, run_hash, slices, string_hash, text_chunks, word_spans, WORD_BASE
+from tidewire.llm.chunks import BucketedTable
 from tidewire.llm.repeats import press, unpress
 from tidewire.operators.graph import components
 from tidewire.session import cut
@@ -204,43 +205,49 @@ def _may_link(n: np.ndarray, asks: np.ndarray, common: np.ndarray, similarity: i
     return pairs
 
 
-def _cell(rows: pd.DataFrame, name: str) -> pd.DataFrame:
-    """The rows of a cell, once each; one that both asks and is asked asks."""
-    return rows.sort_values("asks", ascending=False).drop_duplicates(name)
+def _cells(rows: pd.DataFrame, names: list[str], name: str) -> Iterator[pd.DataFrame]:
+    """The rows of each cell, once each; one that both asks and is asked asks."""
+    rows = rows.sort_values([*names, "asks"], ascending=[True] * len(names) + [False]).drop_duplicates([*names, name])
+    keys = rows[names].to_numpy()
+    begin = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+    for lo, hi in zip(begin, np.append(begin[1:], len(rows)), strict=True):
+        yield rows.iloc[lo:hi]
 
 
 def _filter(similarity: int):
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        """The groups of a cell that are left in some pair, by size and prefix."""
-        rows = _cell(rows, "grp")
-        n, asks = rows["n"].to_numpy(), rows["asks"].to_numpy()
-        common = shared_tokens([np.frombuffer(x, "<u8") for x in rows["prefix"]])
-        rest = n - prefix_length(n, similarity)
-        pairs = _may_link(n, asks, np.where(common > 0, common + np.maximum(rest[:, None], rest[None, :]), 0), similarity)
-        pairs[np.diag_indices(len(n))] = asks & (rows["classes"].to_numpy() > 1)
-        return rows[pairs.any(1)][["star", "i", "j", "grp", "asks"]]
+    def keep(bucket: pd.DataFrame) -> pd.DataFrame:
+        """The groups of each cell that are left in some pair, by size and prefix."""
+        out = []
+        for rows in _cells(bucket, ["star", "i", "j"], "grp"):
+            n, asks = rows["n"].to_numpy(), rows["asks"].to_numpy()
+            common = shared_tokens([np.frombuffer(x, "<u8") for x in rows["prefix"]])
+            rest = n - prefix_length(n, similarity)
+            pairs = _may_link(n, asks, np.where(common > 0, common + np.maximum(rest[:, None], rest[None, :]), 0), similarity)
+            pairs[np.diag_indices(len(n))] = asks & (rows["classes"].to_numpy() > 1)
+            out.append(rows[["star", "i", "j", "grp", "asks"]][pairs.any(1)])
+        return pd.concat(out)
 
     return keep
 
 
 def _verifier(similarity: int):
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the links between the classes of a cell."""
-        rows = _cell(rows, "member")
-        n, node, asks = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["asks"].to_numpy()
-        size = len(rows)
-        link = _may_link(n, asks, shared_tokens([np.frombuffer(x, "<u8") for x in rows["tokens"]]), similarity)
-        np.fill_diagonal(link, False)
-        seen, pairs = np.zeros(size, bool), []
-        for root in np.flatnonzero(link.any(1)):
-            if seen[root]:
-                continue
-            seen[root] = True
-            front = np.array([root])
-            while len(front):
-                front = np.flatnonzero(link[front].any(0) & ~seen)
-                seen[front] = True
-                pairs += [(node[root], node[x]) for x in front if node[x] != node[root]]
+    def verify(bucket: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the links between the classes of each cell."""
+        pairs = []
+        for rows in _cells(bucket, ["star", "i", "j", "p", "q"], "member"):
+            n, node, asks = rows["n"].to_numpy(), rows["node"].to_numpy(), rows["asks"].to_numpy()
+            link = _may_link(n, asks, shared_tokens([np.frombuffer(x, "<u8") for x in rows["tokens"]]), similarity)
+            np.fill_diagonal(link, False)
+            seen = np.zeros(len(n), bool)
+            for root in np.flatnonzero(link.any(1)):
+                if seen[root]:
+                    continue
+                seen[root] = True
+                front = np.array([root])
+                while len(front):
+                    front = np.flatnonzero(link[front].any(0) & ~seen)
+                    seen[front] = True
+                    pairs += [(node[root], node[x]) for x in front if node[x] != node[root]]
         return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
     return verify
@@ -272,17 +279,43 @@ def sets(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY)
     return cut(counted.groupBy("chunk").applyInPandas(_assembler(similarity), SETS))
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the same set as one, as far as they come together: copies fold up before the shuffle."""
+    for b in batches:
+        ids, sigs = b.column("node").to_pylist(), b.column("sig").to_pylist()
+        first: dict[bytes, list] = {}
+        for k, (i, sig) in enumerate(zip(ids, sigs, strict=True)):
+            own = first.setdefault(sig, [k, i, 0])
+            own[1], own[2] = min(own[1], i), own[2] + 1
+        rows = b.take(pa.array([k for k, _, _ in first.values()], pa.int64()))
+        columns = dict(zip(rows.schema.names, rows.columns, strict=True)) | {"node": pa.array([i for _, i, _ in first.values()], pa.int64()), "copies": pa.array([n for _, _, n in first.values()], pa.int64())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) of doc_ids that span the same components as all links do."""
-    found = all_sets.filter(F.col("sig").isNotNull())
-    # all rows of a class have the same set, so any of them stands for it and copies fold up before the shuffle
-    one = [F.first(c).alias(c) for c in ("n_shingles", "form", "prefix", "tokens")]
-    least = found.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *one)
-    least = cut(least.select("sig", "node", "copies", F.col("n_shingles").alias("n"), "form", "prefix", "tokens", F.xxhash64("node", "sig").alias("member")))
-    copies = found.select("doc_id", "sig").join(least.filter("copies > 1").select("sig", "node"), "sig").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    sets_of = least.select("member", "node", "n", "tokens")
-    groups = cut(least.groupBy("form").agg(F.min("member").alias("grp"), F.count("*").alias("classes"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    in_group = least.select("form", "member").join(groups.select("form", "grp"), "form").select("grp", "member")
+    """Edges (a, b) of doc_ids that span the same components as all links do.
+
+    The classes are a table in the shared folder, dealt by class, so that their sets are not shuffled again for each join; it is dropped at the end.
+    """
+    spark = all_sets.sparkSession
+    table = BucketedTable(spark, "classes", "member")
+    found = all_sets.filter(F.col("sig").isNotNull()).select(F.xxhash64("sig").alias("member"), "sig", F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "form", "prefix", "tokens", F.lit(1).cast("long").alias("copies"))
+    folded = found.mapInArrow(_fold, found.schema).repartition(table.buckets, "member")
+    one = [F.first(c).alias(c) for c in ("n", "form", "prefix", "tokens")]
+    try:
+        table.write(folded.groupBy("member", "sig").agg(F.min("node").alias("node"), F.sum("copies").alias("copies"), *one))
+        return cut(_links(all_sets, table.read(), similarity, block))
+    finally:
+        table.drop()
+
+
+def _links(all_sets: DataFrame, classes: DataFrame, similarity: int, block: int) -> DataFrame:
+    tasks = 4 * partitions(all_sets.sparkSession)
+    several_rows = classes.filter("copies > 1").select("sig", "node")
+    copies = all_sets.filter(F.col("sig").isNotNull()).select("doc_id", "sig").join(several_rows, "sig").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    sets_of = classes.select("member", "node", "n", "tokens")
+    groups = cut(classes.groupBy("form").agg(F.min("member").alias("grp"), F.count("*").alias("classes"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    in_group = cut(classes.select("form", "member").join(groups.select("form", "grp"), "form").select("grp", "member"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,11 +330,11 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
     stars = cut(postings.join(lead, "token").select("star", "grp").unionByName(several).distinct())
     sizes = stars.join(groups.select("grp", "classes"), "grp").groupBy("star").agg(F.ceil(F.sum("classes") / block).alias("parts"))
 
-    large = sizes.filter("parts > 1")
+    large = cut(sizes.filter("parts > 1"))
     salted = stars.join(large, "star").join(in_group, "grp").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
     centres = large.select("star", F.col("star").alias("grp"), F.col("star").alias("member"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     near = salted.select("star", "grp", "member", "part").unionByName(centres).join(sets_of, "member")
-    centred = cut(near.groupBy("star", "part").applyInPandas(_with_centre(similarity), "star long, grp long, member long, a long, b long"))
+    centred = cut(near.repartition(tasks, "star", "part").groupBy("star", "part").applyInPandas(_with_centre(similarity), "star long, grp long, member long, a long, b long"))
     linked = centred.select("star", "grp", "member").distinct().groupBy("star", "grp").agg(F.count("*").alias("linked"))
     settled = linked.join(groups.select("grp", "classes"), "grp").filter("linked = classes").select("star", "grp", F.lit(False).alias("open"))
 
@@ -310,16 +343,17 @@ def links(all_sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK)
     dealt = every.join(blocks, "star")
     place = lambda n: F.pmod(F.xxhash64("grp"), F.col(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    bucket = lambda *names: F.pmod(F.xxhash64(*names), F.lit(tasks)).alias("bucket")  # noqa: E731  (many cells are small, so a call takes a bucket of them)
     asking = dealt.filter("asks").select("star", "grp", "asks", place("of_asking").alias("i"), to_all("of_all").alias("j"))
     alone = (F.col("of_all") == 1) & F.col("asks")  # in a star of one block a group that asks need not come twice
     asked = dealt.filter(~alone).select("star", "grp", F.lit(False).alias("asks"), to_all("of_asking").alias("i"), place("of_all").alias("j"))
-    cells = asked.unionByName(asking).join(groups.select("grp", "n", "prefix", "classes"), "grp")
-    left = cells.groupBy("star", "i", "j").applyInPandas(_filter(similarity), "star long, i int, j int, grp long, asks boolean")
+    cells = asked.unionByName(asking).join(groups.select("grp", "n", "prefix", "classes"), "grp").select("*", bucket("star", "i", "j"))
+    left = cells.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_filter(similarity), "star long, i int, j int, grp long, asks boolean")
     expanded = cut(left.join(in_group, "grp").select("star", "i", "j", "member", "asks").distinct())
     parts = expanded.groupBy("star", "i", "j").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
     met = expanded.join(parts, ["star", "i", "j"]).withColumn("own", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")).withColumn("other", to_all("parts"))
     met = met.select("star", "i", "j", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "member", "asks").join(sets_of, "member")
-    edges = met.groupBy("star", "i", "j", "p", "q").applyInPandas(_verifier(similarity), "a long, b long").distinct()
+    edges = met.select("*", bucket("star", "i", "j", "p", "q")).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_verifier(similarity), "a long, b long").distinct()
     return edges.unionByName(centred.filter("a <> b").select("a", "b")).unionByName(copies)
 
 

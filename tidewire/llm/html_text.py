@@ -58,6 +58,10 @@ BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2
 FENCE = {"table", "td", "th", "caption", "button", "object", "template", "html"}
 
 
+#: Rows of a cell that reaches to the end of its part of the table.
+END_OF_PART = 65_534
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -298,10 +302,11 @@ class Layout:
             self.children(n, pre or tag == "textarea")
 
     def table(self, n: Node) -> None:
-        rows: list[list[tuple[list[str], int]]] = []
+        rows: list[list[tuple[int, list[str], int]]] = []  # cells: column, lines, columns that the cell spans
         after: list[Node] = []
 
         def collect(part: Node) -> None:
+            taken: dict[int, int] = {}  # columns that cells of earlier rows of this part reach into, and for how many rows yet
             for c in part.children:
                 if isinstance(c, str):
                     if c.strip():
@@ -311,7 +316,7 @@ class Layout:
                 elif c.tag in ("thead", "tbody", "tfoot"):
                     collect(c)
                 elif c.tag == "tr":
-                    cells = []
+                    cells, at, later = [], 0, {}
                     for d in c.children:
                         if isinstance(d, str) or d.tag not in ("td", "th"):
                             if isinstance(d, str) and not d.strip() or not isinstance(d, str) and hidden(d):
@@ -320,28 +325,36 @@ class Layout:
                             holder.children.append(d)
                             d = holder
                         if not hidden(d):
-                            span = d.attrs.get("colspan", "1")
-                            cells.append((lines_of(d), min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,6}", span) else 1))
+                            span, deep = (d.attrs.get(k, "1") for k in ("colspan", "rowspan"))
+                            wide = min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,6}", span) else 1
+                            tall = (int(deep) or END_OF_PART) if re.fullmatch(r"\d{1,6}", deep) else 1
+                            while at in taken:
+                                at += 1
+                            cells.append((at, lines_of(d), wide))
+                            if tall > 1:
+                                later.update(dict.fromkeys(range(at, at + wide), tall))
+                            at += wide
                     rows.append(cells)
+                    taken = {k: v - 1 for k, v in (taken | later).items() if v > 1}
                 elif c.tag not in ("col", "colgroup"):
                     after.append(c) if rows else self.node(c, False)
 
         collect(n)
         self.end_line()
         widths: dict[int, int] = {}
+        for at, text, span in (cell for cells in rows for cell in cells):
+            if span == 1:
+                widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, text), default=0)))
+        columns = max((at + 1 for cells in rows for at, _, _ in cells), default=0)
+        place = [0]
+        for k in range(columns):
+            place.append(place[-1] + widths.get(k, 0) + 2)
         for cells in rows:
-            at = 0
-            for text, span in cells:
-                if span == 1:
-                    widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, text), default=0)))
-                at += span
-        for cells in rows:
-            for k in range(max((len(t) for t, _ in cells), default=0)):
-                line, at = "", 0
-                for text, span in cells:
-                    own = text[k] if k < len(text) else ""
-                    line += own.ljust(sum(widths.get(at + j, 0) + 2 for j in range(span)) - 2) + "  "
-                    at += span
+            for k in range(max((len(t) for _, t, _ in cells), default=0)):
+                line = ""
+                for at, text, _ in cells:
+                    if k < len(text):
+                        line = line.ljust(max(place[at], len(line) + 2 if line else 0)) + text[k]
                 self.put(line)
         for c in after:
             self.node(c, False)

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound with a shared k-th score.
 
-Vectors are dealt to shards by their id, at most about ``shard_rows`` a shard. Every query is first
-answered on one home shard; its k-th score there is a floor for the final k-th score and goes with the
-query to all other shards, where nodes whose upper bound ``q.c + |q| r`` is below it are never opened.
+Vectors are dealt to shards by their id, at most about ``shard_rows`` a shard. Every query is first answered on one home shard,
+then on a few others (``WAVES``), then on the rest. The k-th score of all that was found in earlier waves is a floor for
+the final one and goes with the query, so that nodes whose upper bound ``q.c + |q| r`` is below it are never opened.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; only
 vectors of equal dimension are compared; rows that repeat an id and its vector count once; a query never
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tidewire.session import cut
 
 LEAF, SHARD_ROWS, SLAB_ROWS = 256, 65_536, 65_536
+#: How many shards a query has met after each wave; the last wave takes it to all.
+WAVES = (1, 5)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -137,28 +139,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """
     spark: SparkSession = vectors.sparkSession
     packed = quantised(vectors, id_col, vec_col, scale)
-    n = vectors.count()
+    n, asking = packed.select(F.count("*"), F.count_if(F.coalesce(is_query, F.lit(False)))).first()
     shards = max(1, math.ceil(n / shard_rows), min(spark.sparkContext.defaultParallelism, math.ceil(n / 1024)))
-    slabs = max(1, math.ceil(n / 100 / slab_rows))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    rows = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("slab", every(slabs))
+    slabs = max(1, math.ceil(asking / slab_rows))
+    every = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+    rows = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("slab", every(0, slabs))
     queries = packed.filter(is_query).dropDuplicates().select(
         F.col("vec_id").alias("query_id"), F.col("dim").alias("q_dim"), F.col("vec").alias("q_vec"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(slabs)).cast("int").alias("slab")
     )
-
-    def run(asked: DataFrame) -> DataFrame:
-        return rows.groupBy("shard", "dim", "slab").cogroup(asked.groupBy("shard", "q_dim", "slab")).applyInPandas(_searcher(k), FOUND)
-
-    first = cut(run(queries.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long"))))
-    if shards == 1:
-        found = first
-    else:
-        floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k).select("query_id", "kth")
-        asked = queries.join(floors, "query_id", "left").withColumn("shard", every(shards)).filter(F.col("shard") != F.col("home"))
-        found = first.unionByName(run(asked))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_of = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= k)
+
+    found, met = None, 0
+    for until in [w for w in WAVES if w < shards] + [shards]:
+        asked = queries.withColumn("shard", every(met, until)).withColumn("shard", F.pmod(F.col("home") + F.col("shard"), F.lit(shards)))
+        if found is None:
+            asked = asked.withColumn("kth", F.lit(None).cast("long"))
+        else:
+            asked = asked.join(best_of(found).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "query_id", "left")
+        new = rows.groupBy("shard", "dim", "slab").cogroup(asked.groupBy("shard", "q_dim", "slab")).applyInPandas(_searcher(k), FOUND)
+        found, met = new if found is None else found.unionByName(new), until
+        if until < shards:
+            found = cut(found)
+    return best_of(found).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

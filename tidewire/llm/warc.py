@@ -2,7 +2,8 @@
 
 Each task writes gzipped records (one member a record) to a file of its own under a fresh name in the
 shared folder and returns an index row per record: file, offset, length, URL and digest. Only the index
-of tasks that succeeded is kept, so a file left by a lost task is never read. Reading takes any selection of
+of tasks that succeeded is kept, so a file left by a lost task is never read; a task that fails deletes its own. The archive belongs to the
+caller, ``remove_archive`` deletes it. Reading takes any selection of
 index rows, deals them out by file and stretch, sorts by offset, joins neighbouring ranges into one read,
 and checks each payload against its digest.
 
@@ -75,7 +76,7 @@ def gzip_member(raw: bytes) -> bytes:
 def _writer(base: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(base)
-        out, name, at = None, "", 0
+        out, name, at, written = None, "", 0, []
         try:
             for b in batches:
                 rows = []
@@ -89,10 +90,18 @@ def _writer(base: str):
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        written.append(f"{root}/{name}")
                     out.write(member)
                     rows.append((i, url, f"{base}/{name}", at, len(member), digest, "revisit" if revisit else "response"))
                     at += len(member)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), INDEX_ARROW.types, strict=True)] if rows else [pa.array([], t) for t in INDEX_ARROW.types], schema=INDEX_ARROW)
+        except BaseException:
+            if out is not None:
+                out.close()
+                out = None
+            for path in written:  # no index will speak of them
+                fs.delete_file(path)
+            raise
         finally:
             if out is not None:
                 out.close()
@@ -108,7 +117,7 @@ def write_archive(pages: DataFrame, min_revisit_bytes: int = 0, base: str | None
     fs.create_dir(root, recursive=True)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     seen = pages.select("page_id", "html").mapInArrow(_digests, "page_id long, sha binary, size long").filter(F.col("size") >= min_revisit_bytes)
-    groups = seen.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("sha", "keep")
+    groups = seen.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("sha", "keep").repartition("sha")  # a shuffle below both sides, so that skew handling can split a frequent payload
     kept = seen.join(groups, "sha").select(F.col("page_id").alias("k_id"), F.col("sha").alias("k_sha"), "keep").distinct()
     full = pages.mapInArrow(_with_digest, "page_id long, url string, html string, sha binary")
     joined = full.join(kept, full["page_id"].eqNullSafe(kept["k_id"]) & (full["sha"] == kept["k_sha"]), "left").select("page_id", "url", "html", "keep")
@@ -164,9 +173,18 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     return dealt.mapInArrow(_reader(payloads), RECORD)
 
 
+def remove_archive(base: str) -> None:
+    fs, root = filesystem(base)
+    fs.delete_dir(root)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    try:
+        index = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), base=base)
+        return cut(read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        remove_archive(base)
 
 
 ORACLE = """

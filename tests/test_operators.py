@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.fixed_values import FEED_WINDOWS
 from tidewire.functions import values
-from tidewire.operators import graph, health, indicators, relational, rules, scoring, sequential, setjoin, usage, verify
+from tidewire.operators import graph, health, indicators, relational, retrieval, rules, scoring, sequential, setjoin, usage, verify
 from tidewire.plans import QUERIES
 from tidewire.sources import sinks, tables
 from tidewire.streaming import ingest
@@ -62,18 +62,56 @@ def test_rounding_is_half_even(spark):
 
 
 @pytest.mark.parametrize(
-    ("headline", "body", "score"),
-    [("Lead plaintiff wanted", "", 0), ("Nothing much", "", 15), ("Acme to present at a conference", "", 0), ("Acme to acquire Beta", "", 55), ("Acme to report earnings", "eps of $3", 15), (None, None, 15)],
-)
-def test_materiality(spark, headline, body, score):
-    df = spark.createDataFrame([(headline, body)], "h string, b string").select(rules.materiality(F.col("h"), F.col("b")).alias("m"))
-    assert df.first().m.score == score
+    ("headline", "body", "score", "labels"),
+    [
+        ("Lead plaintiff wanted", "", 0, ["lawyer_spam"]), ("Markets calm", "a class action was filed", 15, []), ("Nothing much", "", 15, []), ("Acme to acquire Beta", "", 55, ["m_a"]), (None, None, 15, []),
+        ("Acme to report earnings", "eps of $3", 0, ["earnings_schedule"]), ("Acme to report fourth quarter earnings", "", 0, ["earnings_schedule"]), ("Acme to acquire Beta, sets date", "", 55, ["earnings_schedule", "m_a"]),
+        ("Acme to acquire Beta", "x" * 600 + " Acme reports first quarter", 55, ["m_a"]), ("Acme reports first quarter", "", 50, ["earnings"]), ("Acme", "It reports first quarter results", 45, ["earnings"]),
+    ],
+)
+def test_materiality(spark, headline, body, score, labels):
+    df = rules.with_materiality(spark.createDataFrame([(headline, body, 1)], "h string, b string, score int"), F.col("h"), F.col("b"))
+    r = df.first()
+    assert df.columns == ["h", "b", "score", "materiality"] and (r.materiality.score, r.materiality.labels) == (score, labels)
+
+
+def test_materiality_of_an_event_beside_noise(spark):
+    r = rules.with_materiality(spark.createDataFrame([("Acme to acquire Beta", "Acme to present at a conference")], "h string, b string"), F.col("h"), F.col("b")).first().materiality
+    assert r.score == 55 and "m_a" in r.labels and len(r.labels) == 2
+
+
+def test_tags_of_a_text(spark):
+    instruments = [
+        ("ACME", "Acme", ["Acme Rockets", "acmecorp", "ACR", "Rocket"], "equity"), ("PSN", "Parsons", ["Parsons Corporation"], "equity"), ("^IXIC", "Nasdaq", ["Nasdaq Composite"], "index"), ("GC=F", "Gold", ["Bullion bars", "Bullions"], "commodity"),
+        ("F", "Ford Motor", None, "equity"), ("7203.T", "東京", ["東京 Motors"], "equity"),
+    ]
+    index = rules.alias_index(spark.createDataFrame(instruments, "symbol string, short string, aliases array<string>, asset_class string"))
+    assert sorted((r.alias, r.symbol, r.cased) for r in index.collect()) == sorted(
+        [("ACME", "ACME", True), ("acme rockets", "ACME", False), ("acmecorp", "ACME", False), ("ACR", "ACME", True), ("rocket", "ACME", False), ("parsons corporation", "PSN", False), ("^IXIC", "^IXIC", True), ("nasdaq composite", "^IXIC", False), ("GC=F", "GC=F", True), ("bullion bars", "GC=F", False), ("ford motor", "F", False), ("7203.T", "7203.T", True), ("東京 motors", "7203.T", False)]
+    )
+    texts = [(1, "acme and ACRE", "PSN parsons"), (2, "(ACME) up", "FORD MOTOR"), (3, "acmecorps", "x" * 390 + " Rocket ACME"), (4, None, None), (5, "Nasdaq Composite slips", "rocketry; new acmecorp."), (6, "大東京 Motors", "GC=F"), (7, "Acme (NYSE: ACR) sees crude oil", "FOMC")]
+    got = {r.id: r for r in rules.tagged(spark.createDataFrame(texts, "id int, t string, b string"), "id", F.col("t"), F.col("b"), index).collect()}
+    assert {i: r.symbols for i, r in got.items()} == {1: [], 2: ["ACME", "F"], 3: ["ACME"], 4: [], 5: ["ACME", "^IXIC"], 6: ["7203.T", "GC=F"], 7: ["ACME", "CL=F", "USO", "XLE"]}
+    assert got[7].exchange_tickers == ["ACR"] and got[7].macro_keywords == ["crude oil", "fomc"]
+
+
+def test_alias_hits_in_a_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(40_000)) + " big apple"
+    aliases = spark.createDataFrame([("Big Apple", "NY"), ("apple w1", "NO"), ("w7 w8 w9 w10", "W"), ("", "E")], "alias string, symbol string")
+    assert rows(rules.alias_hits(spark.createDataFrame([(1, text), (2, None)], "id int, t string"), "id", F.col("t"), aliases, "alias", "symbol")) == [(1, "NY"), (1, "W")]
+
+
+def test_description_of_a_page(spark):
+    far = "<script>" + "x" * 500_000 + "</script>"
+    pages = ["<META  property='og:description'\ncontent=\" a &amp;amp; b &eacute; \">", far + '<meta content="far" name="twitter:description">', "<meta name='description' content=''>", None, "<meta name='keywords' content='k'>", "<meta content='2' name='description'><meta name='description' content='1'>"]
+    got = spark.createDataFrame(list(enumerate(pages)), "id int, html string").select("id", tables.meta_description().alias("d"))
+    assert [r.d for r in got.orderBy("id").collect()] == ["a &amp; b é", "far", None, None, None, "1"]
 
 
 def test_publisher_adjustment(spark):
     df = spark.createDataFrame([(80, "pr_wire", "other", "x"), (15, "news", "tier1", "Inflation rises"), (15, None, None, "Inflation rises")], "s int, k string, t string, h string")
     got = df.select(rules.adjusted(F.col("s"), F.array().cast("array<string>"), F.col("h"), F.col("k"), F.col("t")).alias("m"))
-    assert [r.m.score for r in got.collect()] == [45, 30, 15]
+    assert [r.m.score for r in got.collect()] == [45, 30, 15] and got.collect()[1].m.labels == ["tier1_macro_commentary"]
 
 
 def test_exchange_and_macro_tags(spark):
@@ -119,6 +157,75 @@ def test_components(spark):
     assert rows(graph.components(edges)) == [(3, 3), (4, 3), (5, 3), (10, 10), (11, 10)]
 
 
+def test_components_of_any_longs(spark):
+    big = (1 << 63) - 1
+    edges = spark.createDataFrame([(big, big - 1), (big - 1, big - 2), (-big, big - 5), (big - 5, 7)], "a long, b long")
+    assert rows(graph.components(edges)) == sorted([(big, big - 2), (big - 1, big - 2), (big - 2, big - 2), (-big, -big), (big - 5, -big), (7, -big)])
+
+
+@pytest.mark.parametrize("parent", [None, "label"])
+def test_cosine_in_blocks_of_queries(spark, parent):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(90, 5)).round(2)
+    data = [(k, [float(a) for a in v], k % 4) for k, v in enumerate(x)] + [(90, [0.0] * 5, 1), (91, None, 1), (92, [1.0], 1), (93, [1.0, None, 0.0, 0.0, 0.0], 2)]
+    v = spark.createDataFrame(data, "vec_id long, e array<double>, label int")
+    q = v.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("e").alias("qe"))
+    every = [{tuple(r) for r in retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", None, -0.2, parent, broadcast_values=n, block=7).collect()} for n in (1 << 20, 0)]
+    best = [rows(retrieval.top_k(retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", 4, None, parent, broadcast_values=n, block=7), ["query_id"], [F.desc("cosine"), "vec_id"], 4).select("query_id", "vec_id")) for n in (1 << 20, 0)]
+    assert {r[:2] for r in every[0]} == {r[:2] for r in every[1]} and best[0] == best[1]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r[:2] for r in every[0] if r[1] < 90 and r[0] < 90} == {(i, j) for i in range(0, 90, 3) for j in range(90) if unit[i] @ unit[j] >= -0.2}
+
+
+def test_centroids_of_odd_vectors(spark):
+    v = spark.createDataFrame([("a", [3.0, 0.0]), ("a", [0.0, 4.0]), ("a", None), ("b", [0.0]), ("b", [2.0, 2.0]), (None, [0.0, 0.0])], "k string, v array<double>")
+    got = {r.k: (r.n, [round(x, 6) for x in r.centroid]) for r in retrieval.centroids(v, "k", "v").collect()}
+    assert got == {"a": (2, [0.6, 0.8]), "b": (2, [0.707107, 0.707107]), None: (1, [0.0, 0.0])}
+
+
+def test_admission_of_every_run(spark):
+    from tests.compare import connect
+    from tidewire.fixed_values import REASON_ORDER
+    from tidewire.plans import texts
+
+    base = "/root/testdata/sf0.01"
+    found = connect(base).execute(f"WITH {texts.ROUTES} SELECT doc_id, mat, pubs, sector, reason FROM r WHERE route = 'sharp_promote'").fetchall()
+    want = set()
+    for run in (0, 1):
+        own = sorted((r for r in found if r[0] % 2 == run), key=lambda r: (REASON_ORDER.index(r[4]), -r[2], -r[1], r[0]))[:1200]
+        admitted = []
+        for at, (i, _, pubs, sector, reason) in enumerate(own):
+            share = sum(a == (sector, pubs) for a in admitted) + 1
+            verdict = "budget" if len(admitted) >= 40 else "diversity" if len(admitted) >= 20 and reason not in ("R0", "R0b") and share > max(1, int((len(admitted) + 1) * 0.6)) else "admitted"
+            admitted += [(sector, pubs)] if verdict == "admitted" else []
+            want.add((run, i, at, verdict))
+    assert {tuple(r) for r in QUERIES["diversity_admit"](spark, base).collect()} == want
+
+
+def test_groups_by_vectors():
+    import numpy as np
+
+    item = lambda h, t, v, at: {"tickers": set(t), "sectors": set(), "regions": set(), "tokens": {h}, "event_class": None, "hash": h, "published_h": at, "vector": None if v is None else np.array(v, float)}
+    items = [item("a", "XY", [1, 0], 0), item("b", "XY", [1, 0.1], 1), item("c", "XZ", [1, 0], 2), item("d", "XY", [0, 1], 3), item("e", "XY", None, 4), item("f", "XY", [1, 0], 80)]
+    # 0.6 x 0.995 + 0.4 joins; 0.6 + 0.4 / 3 joins as well; another direction and no vector do not; nor after 72 hours
+    assert sequential.group_online(items, [0, 1, 2, 3, 4, 80]) == [0, 0, 0, 1, 2, 3]
+
+
+def test_a_merge_that_fails_leaves_the_old_state(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    sinks.merge_into(spark, path, spark.createDataFrame([(1, "a")], "k int, v string"), lambda old, new: new)
+    broken = spark.createDataFrame([(2, "b")], "k int, v string").withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception):
+        sinks.merge_into(spark, path, broken, lambda old, new: new)
+    assert rows(spark.read.parquet(path)) == [(1, "a")] and [p.name for p in tmp_path.iterdir() if "__" in p.name] == []
+
+
+def test_feed_items_keep_the_first_of_a_url(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"feed": "x", "title": "late", "link": "u", "published": "2024-02-02"}\n{"feed": "x", "title": "first", "link": " u ", "published": "2024-01-01"}\n{"feed": "y", "title": "none", "link": "u"}\n{"title": " ", "link": "v"}\n{"title": "no link"}\n')
+    assert sorted(r.headline for r in tables.feed_items(spark, str(tmp_path / "f.json")).collect()) == ["first", "no link"]
+
+
 def documents(spark, base, texts):
     """A table of documents: (doc_id, source, text)."""
     spark.createDataFrame([(i, t, "en", s) for i, s, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{base}/documents.parquet")

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewire.fixed_values import EVENT_CLASS_MAP, EVENT_CLASS_ORDER, EVENT_CLASS_TEXT, STOPWORDS
+from tidewire.fixed_values import BANNED_WORDS, DATAPOINT, EVENT_CLASS_MAP, EVENT_CLASS_ORDER, EVENT_CLASS_TEXT, STOPWORDS, TARGET_PHRASES, TEMPORAL
 
 
 def normalise_headline(c: Column) -> Column:
@@ -119,3 +119,35 @@ def normal_label_list(labels: Column, aliases: Column, canonical: Column) -> Col
     keys = F.transform(labels, lambda x: F.lower(F.trim(x)))
     found = F.flatten(F.transform(keys, lambda k: F.coalesce(F.try_element_at(aliases, F.replace(k, F.lit(" "), F.lit("_"))), F.try_element_at(aliases, k), F.array().cast("array<string>"))))
     return F.array_distinct(F.filter(found, lambda x: F.array_contains(canonical, x)))
+
+
+# ------------------------------------------------------------------ lints
+
+
+def banned_words(c: Column) -> Column:
+    """Words of the banned list that a text has between characters that are neither letters nor digits, in the order of the list, and ``em-dash``."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    hits = [F.when(low.rlike(rf"(?U)(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])"), F.lit(w)) for w in BANNED_WORDS]
+    return F.array_compact(F.array(*hits, F.when(c.contains("\u2014"), F.lit("em-dash"))))
+
+
+def price_targets(c: Column) -> Column:
+    """Amounts in dollars, then numbers after a word of a target, each once in first order."""
+    dollars = r"(?i)(\$\d[\d,\.]*(?:\s*(?:K|M|B|T|trillion|billion|million)\b)?)"
+    bare = rf"(?i)(\b(?:{'|'.join(TARGET_PHRASES)})\s+\$?\d[\d,\.]*\s*(?:%|bps|bp)?\b)"
+    hits = F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)) for p in (dollars, bare)])
+    return F.array_distinct(F.transform(hits, lambda x: F.trim(x)))
+
+
+def temporal_phrase(c: Column) -> Column:
+    """The first phrase of the calendar in a text, as it stands there; null without one."""
+    return F.nullif(F.regexp_extract(c, f"(?i){TEMPORAL}", 1), F.lit(""))
+
+
+def has_datapoint(c: Column) -> Column:
+    return F.coalesce(c.rlike(DATAPOINT), F.lit(False))
+
+
+def loose_form(c: Column) -> Column:
+    """Single blanks, no punctuation at the end, lower case: what loosely equal texts have in common."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"[.,;:!?]+$", ""))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.fixed_values import SUFFIX_REGIONS, VENDOR_COINS, VENDOR_FUTURES, VENDOR_SUFFIXES
+
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
@@ -89,3 +94,45 @@ def unit(a: Column) -> Column:
 def has_column(df: DataFrame, name: str, kind: T.DataType | str) -> Column:
     """The column, or a typed null where the table lacks it."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+# ------------------------------------------------------------------ symbols and labels
+
+
+def regions_of(symbol: Column) -> Column:
+    """Regions of a symbol by its suffix; an index is global, a plain symbol North American."""
+    out = F.when(symbol.startswith("^"), F.array(F.lit("global"))).otherwise(F.array(F.lit("north_america")))
+    for suffix, regions in reversed(SUFFIX_REGIONS):
+        out = F.when(symbol.endswith(suffix), F.array(*[F.lit(r) for r in regions])).otherwise(out)
+    return out
+
+
+def vendor_symbol(symbol: Column, own: Column | None = None) -> Column:
+    """A symbol in the form of another vendor: its own entry if there is one, else by rules for futures, indices, currencies, coins and
+    exchanges, the first that holds."""
+    out = F.concat(symbol, F.lit(".US"))
+    for suffix, to in reversed(VENDOR_SUFFIXES):
+        out = F.when(symbol.endswith(suffix), F.concat(F.regexp_replace(symbol, re.escape(suffix) + "$", ""), F.lit(to))).otherwise(out)
+    coin = F.split(symbol, "-")
+    out = F.when(~symbol.endswith("=F") & (F.size(coin) == 2) & F.get(coin, F.lit(1)).isin(VENDOR_COINS), F.concat(symbol, F.lit(".CC"))).otherwise(out)
+    out = F.when(symbol.endswith("=X"), F.concat(F.regexp_replace(symbol, "=X$", ""), F.lit(".FOREX"))).otherwise(out)
+    out = F.when(symbol.startswith("^"), F.concat(F.regexp_replace(symbol, r"^\^", ""), F.lit(".INDX"))).otherwise(out)
+    for future, to in VENDOR_FUTURES.items():
+        out = F.when(symbol == future, F.lit(to)).otherwise(out)
+    return out if own is None else F.coalesce(F.nullif(own, F.lit("")), out)
+
+
+def one_of(c: Column, allowed: list[str], default: str) -> Column:
+    """A label without regard to case and blanks around it, if it is allowed; else the default."""
+    form = F.lower(F.trim(c))
+    return F.when(form.isin(allowed), form).otherwise(F.lit(default))
+
+
+def all_of(*conditions: Column | None) -> Column:
+    """Of optional conditions (None: not asked for) all that are given; true without any."""
+    return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
+
+
+def majority(label: Column, one: str, other: str) -> Column:
+    """An aggregate: ``one`` if it is more frequent than ``other``, else ``other``."""
+    return F.when(F.count_if(label == one) > F.count_if(label == other), F.lit(one)).otherwise(F.lit(other))

@@ -1,4 +1,4 @@
-"""Retrieval by cosine: a bounded set of queries against all rows, in blocks, with the best of a block kept before the shuffle."""
+"""Retrieval by cosine: a set of queries against all rows, in blocks, with the best of a block kept before the shuffle."""
 
 from __future__ import annotations
 
@@ -6,56 +6,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERY_VALUES = 8_000_000
+#: So many numbers of queries travel to all tasks as one matrix; more are dealt in blocks of ``QUERY_BLOCK``, and the rows are dealt to each.
+BROADCAST_VALUES, QUERY_BLOCK = 8_000_000, 8192
 
 
-def _matrix(values: list, dim: int) -> np.ndarray:
-    return np.array(values, np.float64).reshape(len(values), dim)
+def _unit(vectors: pd.Series, dim: int) -> np.ndarray:
+    x = np.nan_to_num(np.array(vectors.to_list(), np.float64).reshape(len(vectors), dim))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def cosine_candidates(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int | None, least: float | None = None, parent: str | None = None) -> DataFrame:
+def cosine_candidates(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int | None, least: float | None = None, parent: str | None = None, broadcast_values: int = BROADCAST_VALUES, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, row_id, (parent) and cosine: of every block of rows the k best of each query (and parent), and at least ``least``.
 
-    The queries travel to the tasks as one matrix, up to ``MAX_QUERY_VALUES`` numbers; more are refused, to be asked in
-    blocks. Vectors of another dimension, with a norm of 0 or with nulls score 0.
+    Up to ``broadcast_values`` numbers of queries are broadcast, more are met in blocks of ``block`` queries; the result is the same. Queries
+    of another dimension than the largest, or with nulls, and rows of another dimension have no part in it; a norm of 0 scores 0.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND q IS NOT NULL")
-    dim = asked.agg(F.max(F.size("v"))).first()[0] or 1
-    got = asked.limit(MAX_QUERY_VALUES // dim + 1).collect()
-    if len(got) > MAX_QUERY_VALUES // dim:
-        raise ValueError(f"more than {MAX_QUERY_VALUES // dim} queries: ask in blocks")
-    got = [r for r in got if len(r["v"]) == dim and None not in r["v"]]
-    ids = np.array([r["q"] for r in got])
-    q = _matrix([r["v"] for r in got], dim)
-    size = np.linalg.norm(q, axis=1, keepdims=True)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, np.divide(q, size, out=np.zeros_like(q), where=size > 0)))
+    many, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    dim = dim or 1
+    asked = asked.filter((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
     names = [row_id, *([parent] if parent else [])]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     q_kind = {f.name: f.dataType.simpleString() for f in queries.schema}[query_id]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for b in batches:
-            own = b[b["v"].map(lambda x: x is not None and len(x) == dim)]
-            if not len(own) or not len(ids):
-                continue
-            x = np.nan_to_num(np.stack(own["v"].to_numpy()).astype(np.float64))
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            score = q @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
-            a, c = np.nonzero(score >= (least if least is not None else -2))
-            out = pd.DataFrame({"query_id": ids[a], **{n: own[n].to_numpy()[c] for n in names}, "cosine": score[a, c]})
-            if k is not None:
-                keys = ["query_id", *([parent] if parent else [])]
-                out = out.sort_values(["cosine", row_id], ascending=[False, True]).groupby(keys, sort=False).head(k if not parent else 1)
-            yield out
-
-    picked = rows.select(*names, F.col(vector).cast("array<double>").alias("v"))
     schema = ", ".join([f"query_id {q_kind}", *(f"`{n}` {kinds[n]}" for n in names), "cosine double"])
-    return picked.mapInPandas(run, schema)
+    picked = rows.select(*names, F.col(vector).cast("array<double>").alias("v")).filter(F.size("v") == dim)
+
+    def scored(ids: np.ndarray, q: np.ndarray, own: pd.DataFrame) -> pd.DataFrame:
+        score = q @ _unit(own["v"], dim).T
+        a, c = np.nonzero(score >= (least if least is not None else -2))
+        out = pd.DataFrame({"query_id": ids[a], **{n: own[n].to_numpy()[c] for n in names}, "cosine": score[a, c]})
+        if k is not None:
+            keys = ["query_id", *([parent] if parent else [])]
+            out = out.sort_values(["cosine", row_id], ascending=[False, True]).groupby(keys, sort=False).head(k if not parent else 1)
+        return out
+
+    if many * dim <= broadcast_values:
+        got = asked.toPandas()
+        shared = rows.sparkSession.sparkContext.broadcast((got["q"].to_numpy(), _unit(got["v"], dim)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for b in batches:
+                if len(b) and len(ids):
+                    yield scored(ids, q, b)
+
+        return picked.mapInPandas(run, schema)
+
+    q_blocks, r_blocks = -(-many // block), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = asked.withColumn("qb", in_block("q", q_blocks)).withColumn("rb", all_of(r_blocks))
+    right = picked.withColumn("rb", in_block(row_id, r_blocks)).withColumn("qb", all_of(q_blocks))
+
+    def meet(q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(own):
+            return pd.DataFrame({c: [] for c in ("query_id", *names, "cosine")})
+        return scored(q["q"].to_numpy(), _unit(q["v"], dim), own)
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, schema)
 
 
 def top_k(found: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -83,21 +95,36 @@ def two_stage_top_k(rows: DataFrame, row_id: str, vector: str, weight: str, quer
 
 
 def multi_query(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, owner: str, each: int, cap: int) -> DataFrame:
-    """Several queries of one owner: the best of each query, then each row's best query, and ``cap`` rows an owner."""
-    hits = top_k(cosine_candidates(rows, row_id, vector, queries, query_id, query_vector, each), ["query_id"], [F.desc("cosine"), row_id], each).drop("rank")
-    owned = hits.join(F.broadcast(queries.select(F.col(query_id).alias("query_id"), owner)), "query_id")  # as many rows as there are queries
+    """Several queries of one owner: the best of each query but the row it is itself, then each row's best query, and ``cap`` rows an owner."""
+    others = cosine_candidates(rows, row_id, vector, queries, query_id, query_vector, each + 1).filter(F.col(row_id) != F.col("query_id"))
+    hits = top_k(others, ["query_id"], [F.desc("cosine"), row_id], each).drop("rank")
+    owned = hits.join(queries.select(F.col(query_id).alias("query_id"), owner), "query_id")
     one = top_k(owned, [owner, row_id], [F.desc("cosine"), "query_id"], 1).drop("rank")
     return top_k(one, [owner], [F.desc("cosine"), row_id], cap)
 
 
 def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Mean vector of each key at length 1: sums over vectors of the key's largest dimension, divided by all its rows."""
-    sized = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"))
-    dims = sized.groupBy(key).agg(F.max("d").alias("d"), F.count("*").alias("n"))
-    sums = sized.select(key, "d", F.posexplode("v").alias("pos", "x")).groupBy(key, "d", "pos").agg(F.sum("x").alias("x"))
-    mean = sums.join(dims, [key, "d"]).select(key, "n", "pos", (F.col("x") / F.col("n")).alias("x"))
-    whole = mean.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return whole.select(key, "n", F.transform("p", lambda p: F.when(F.col("size") > 0, p["x"] / F.col("size")).otherwise(p["x"])).alias("centroid"))
+    """Mean vector of each key at length 1: sums over vectors of the key's largest dimension, divided by all its rows.
+
+    Tasks add up vectors before the shuffle, so a key sends a row a batch, of any number of vectors.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}[key]
+    sized = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for value, own in part.groupby(key, sort=False, dropna=False):
+            dim = max(own["v"].map(len))
+            same = own["v"][own["v"].map(len) == dim]
+            out.append((value, int(own["n"].sum()), np.nansum(np.stack(same.to_numpy()).astype(float), axis=0)))
+        return pd.DataFrame(out, columns=[key, "n", "v"])
+
+    schema = f"`{key}` {kind}, n long, v array<double>"
+    partial = sized.mapInPandas(lambda parts: (add(p.assign(n=1)) for p in parts if len(p)), schema)
+    whole = partial.groupBy(key).applyInPandas(add, schema)
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    mean = F.transform("v", lambda x: x / F.col("n"))
+    return whole.select(key, "n", mean.alias("v")).select(key, "n", F.when(size > 0, F.transform("v", lambda x: x / size)).otherwise(F.col("v")).alias("centroid"))
 
 
 def duplicate_band(score):

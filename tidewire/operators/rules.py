@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.fixed_values import (
-    AUTOPROMOTE_CLASSES, COMMODITY_PROXIES, EXCHANGE_TICKER, HEADLINE_BONUS, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, MAINSTREAM_SYMBOLS, NO_MATCH_SCORE, NOISE, PR_WIRE_CAP, PUBLISHERS, RELAXED_HOURS, SCHEDULING, SHARP_CLASSES, SINGLE_SOURCE_CLASSES, STRICT_HOURS, TIER1_MACRO, TIER1_MACRO_FLOOR
+    ALIASES_DENIED, AUTOPROMOTE_CLASSES, COMMODITY_PROXIES, EXCHANGE_TICKER, GATE_STOPWORDS, HEADLINE_BONUS, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, MAINSTREAM_SYMBOLS, NO_MATCH_SCORE, NOISE, PR_WIRE_CAP, PROXY_CLASSES, PUBLISHERS, REASON_ORDER, RELAXED_HOURS, SCHEDULING, SHARP_CLASSES, SINGLE_SOURCE_CLASSES, STRICT_HOURS, SYMBOLS_DENIED, TIER1_MACRO, TIER1_MACRO_FLOOR
 )
 
 
@@ -16,24 +14,32 @@ def _hit(c: Column, pattern: str) -> Column:
     return c.rlike(f"(?iu){pattern}")
 
 
-def materiality(headline: Column, body: Column) -> Column:
-    """score and labels of a text: every pattern that matters adds its weight and a bonus if the headline alone has it, to 100 at most;
-    else 0 for noise and 15 for nothing. A headline that only schedules a report isn't earnings."""
-    head = F.coalesce(headline, F.lit(""))
-    full = F.concat(head, F.lit(" || "), F.substring(F.coalesce(body, F.lit("")), 1, 600))
-    scheduled = _hit(head, SCHEDULING)
-    counted = [(_hit(full, p) & (~scheduled if label == "earnings" else F.lit(True)), _hit(head, p), w, label) for p, w, label in HIGH_VALUE]
-    total = reduce(lambda a, b: a + b, [F.when(in_full, w + F.when(in_head, HEADLINE_BONUS).otherwise(0)).otherwise(0) for in_full, in_head, w, _ in counted])
-    labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(in_full, F.lit(label)) for in_full, _, _, label in counted]))))
-    noise = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(_hit(full, p), F.lit(label)) for p, label in NOISE]))))
-    none = F.array().cast("array<string>")
-    pack = lambda s, x: F.struct(s.cast("int").alias("score"), x.alias("labels"))
-    return (
-        F.when(_hit(full, LAWYER_SPAM), pack(F.lit(0), F.array(F.lit("lawyer_spam"))))
-        .when(total > 0, pack(F.least(F.lit(100), total), labels))
-        .when(F.size(noise) > 0, pack(F.lit(0), noise))
-        .otherwise(pack(F.lit(NO_MATCH_SCORE), none))
-    )
+def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFrame:
+    """The rows with a struct ``materiality`` of score and labels of a text, of whose body the first 600 characters count.
+
+    A headline of law firms is 0. Else every pattern that matters adds its weight, and a bonus if the headline alone has it, to 100 at
+    most; without any, noise is 0 and nothing at all is 15. A headline that only schedules a report isn't earnings but noise. The labels
+    are those of what matters and of noise together.
+
+    Every pattern is matched once, into one column of flags that score and labels are read from.
+    """
+    head, excerpt = F.coalesce(headline, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 600)
+    parts = rows.withColumn("__parts", F.struct(head.alias("head"), excerpt.alias("body"), F.concat(head, F.lit("  ||  "), excerpt).alias("full")))
+    h, x, f = (F.col(f"__parts.{k}") for k in ("head", "body", "full"))
+    events = F.array(*[F.when(_hit(f, p), F.when(_hit(h, p), w + HEADLINE_BONUS).otherwise(w)).otherwise(0) for p, w, _ in HIGH_VALUE])
+    noise = F.array(*[F.when(_hit(h, p), 1).when(_hit(x, p), 1).otherwise(0) for p, _ in NOISE])
+    flags = parts.withColumns({"__events": events, "__noise": noise, "__spam": _hit(h, LAWYER_SPAM), "__scheduled": _hit(h, SCHEDULING)})
+    label = F.array(*[F.lit(x) for _, _, x in HIGH_VALUE])
+    counted = F.filter(F.zip_with("__events", label, lambda w, x: F.struct(w.alias("w"), x.alias("label"))), lambda e: (e["w"] > 0) & ~(F.col("__scheduled") & (e["label"] == "earnings")))
+    noted = F.filter(F.zip_with("__noise", F.array(*[F.lit(x) for _, x in NOISE]), lambda n, x: F.when(n > 0, x)), lambda x: x.isNotNull())
+    noted = F.when(F.col("__scheduled"), F.concat(noted, F.array(F.lit("earnings_schedule")))).otherwise(noted)
+    judged = flags.withColumns({"__counted": counted, "__noted": noted})
+    total = F.aggregate("__counted", F.lit(0), lambda t, e: t + e["w"])
+    labels = F.array_sort(F.array_distinct(F.concat(F.transform("__counted", lambda e: e["label"]), F.col("__noted"))))
+    score = F.when(F.size("__counted") > 0, F.least(F.lit(100), total)).when(F.size("__noted") > 0, 0).otherwise(NO_MATCH_SCORE)
+    spam = F.col("__spam")
+    out = F.struct(F.when(spam, 0).otherwise(score).cast("int").alias("score"), F.when(spam, F.array(F.lit("lawyer_spam"))).otherwise(labels).alias("labels"))
+    return judged.select(*[F.col(f"`{c}`") for c in rows.columns], out.alias("materiality"))
 
 
 def adjusted(score: Column, labels: Column, headline: Column, kind: Column, tier: Column) -> Column:
@@ -41,7 +47,7 @@ def adjusted(score: Column, labels: Column, headline: Column, kind: Column, tier
     capped = F.when(kind == "pr_wire", F.least(score, F.lit(PR_WIRE_CAP))).otherwise(score)
     macro = (tier == "tier1") & _hit(F.coalesce(headline, F.lit("")), TIER1_MACRO)
     raised = F.coalesce(macro, F.lit(False)) & (capped < TIER1_MACRO_FLOOR)
-    return F.struct(F.when(raised, TIER1_MACRO_FLOOR).otherwise(capped).cast("int").alias("score"), F.when(raised, F.array_sort(F.array_distinct(F.concat(labels, F.array(F.lit("tier1_macro")))))).otherwise(labels).alias("labels"))
+    return F.struct(F.when(raised, TIER1_MACRO_FLOOR).otherwise(capped).cast("int").alias("score"), F.when(raised, F.array_sort(F.array_distinct(F.concat(labels, F.array(F.lit("tier1_macro_commentary")))))).otherwise(labels).alias("labels"))
 
 
 # ------------------------------------------------------------------ publishers
@@ -87,15 +93,53 @@ def macro_tags(text: Column) -> Column:
 def alias_hits(rows: DataFrame, key: str, text: Column, aliases: DataFrame, alias: str, symbol: str, longest: int = 4) -> DataFrame:
     """key and symbol for every alias (of up to ``longest`` words) that a text has as whole words.
 
-    The runs of words of a text meet the normalised aliases by an equi-join, so the dictionary may be of any size.
+    The runs of words of a text meet the normalised aliases by an equi-join, so the dictionary may be of any size. The words
+    are split once a text: each run is its first word and the words at the places after it.
     """
     from tidewire.functions.text import normalise_headline
 
-    words = F.split(normalise_headline(text), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    grams = rows.select(key, F.explode(F.array_distinct(runs)).alias("gram")).filter("gram <> ''")
+    split = rows.select(F.col(key).alias("key"), F.split(normalise_headline(text), " ").alias("words"))
+    run = lambda n: F.transform("words", lambda w, i: F.when(i + n <= F.size("words"), F.concat_ws(" ", w, *[F.get("words", i + k) for k in range(1, n)])))
+    grams = split.select("key", F.explode(F.array_distinct(F.concat(*[run(n) for n in range(1, longest + 1)]))).alias("gram")).filter("gram <> ''")
     known = aliases.select(normalise_headline(F.col(alias)).alias("gram"), F.col(symbol).alias("symbol")).filter("gram <> ''").distinct()
-    return grams.join(known, "gram").select(key, "symbol").distinct()
+    return grams.join(known, "gram").select(F.col("key").alias(key), "symbol").distinct()
+
+
+def alias_index(instruments: DataFrame, symbol: str = "symbol", short: str = "short", aliases: str = "aliases", asset_class: str = "asset_class") -> DataFrame:
+    """alias, symbol and cased of active instruments: names to look for in a text.
+
+    Symbols and what looks like one (2 to 6 capitals) are sought with regard to case, names of several words and single words of 6
+    characters or more without. Words of the stop list, single characters, denied names and, of commodities, currencies and rates,
+    single words other than the symbol are left out.
+    """
+    names = F.array_compact(F.concat(F.array(F.col(symbol)), F.coalesce(F.col(aliases), F.array().cast("array<string>")), F.array(F.col(short))))
+    rows = instruments.select(F.col(symbol).alias("symbol"), F.col(asset_class).alias("kind"), F.explode(names).alias("raw")).withColumn("alias", F.trim("raw"))
+    several, own = F.col("alias").contains(" "), F.col("alias") == F.col("symbol")
+    capitals = ~several & (F.upper("alias") == F.col("alias")) & F.col("alias").rlike(r"\p{Lu}") & F.length("alias").between(2, 6)
+    cased = own | capitals
+    kept = rows.filter((F.col("alias") != "") & ~F.lower("alias").isin(GATE_STOPWORDS) & ~(F.coalesce(F.col("kind").isin(PROXY_CLASSES), F.lit(False)) & ~several & ~own) & (several | (F.length("alias") >= 2)))
+    kept = kept.filter(F.when(cased, ~F.col("alias").isin(SYMBOLS_DENIED)).otherwise((several | (F.length("alias") >= 6)) & ~F.lower("alias").isin(ALIASES_DENIED)))
+    return kept.select(F.when(cased, F.col("alias")).otherwise(F.lower("alias")).alias("alias"), "symbol", cased.alias("cased")).distinct()
+
+
+def tagged(rows: DataFrame, key: str, title: Column, body: Column, index: DataFrame) -> DataFrame:
+    """key, exchange tickers, symbols and macro keywords of each text: its title and the first 400 characters of its body.
+
+    ``index`` comes from ``alias_index`` and may be of any size: a text meets it by the words (or letters beyond ASCII) that the
+    aliases begin with, and an alias counts where no ASCII letter or digit stands beside it. Keys must be unique.
+    """
+    full = F.concat(F.coalesce(title, F.lit("")), F.lit("  ||  "), F.substring(F.coalesce(body, F.lit("")), 1, 400))
+    texts = rows.select(F.col(key).alias("key"), full.alias("full"))
+    atoms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+|[^\x00-\x7f])"), F.lit(1))
+    begins = index.select("alias", "symbol", "cased", F.try_element_at(atoms(F.col("alias")), F.lit(1)).alias("atom")).filter("atom IS NOT NULL")
+    met = texts.select("key", "full", F.explode(F.array_distinct(atoms(F.col("full")))).alias("atom")).join(begins, "atom")
+    exact = lambda letters: F.concat(F.lit(f"(?<![{letters}])\\Q"), F.col("alias"), F.lit(f"\\E(?![{letters}])"))
+    holds = F.when(F.col("cased"), F.rlike("full", exact("A-Za-z0-9"))).otherwise(F.rlike(F.lower("full"), exact("a-z0-9")))
+    symbols = met.filter(holds).groupBy("key").agg(F.collect_set("symbol").alias("named"))
+    macro = macro_tags(F.col("full"))
+    out = texts.select("key", exchange_tickers(F.col("full")).alias("exchange_tickers"), macro.alias("macro")).join(symbols, "key", "left")
+    all_symbols = F.array_sort(F.array_distinct(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.col("macro.proxies"))))
+    return out.select(F.col("key").alias(key), "exchange_tickers", all_symbols.alias("symbols"), F.array_sort("macro.keywords").alias("macro_keywords"))
 
 
 def canonical(instruments: DataFrame, symbol: str, pointer: str, active: str) -> DataFrame:
@@ -140,9 +184,6 @@ def routed(c: dict[str, Column], active_tickers: Column, active_sectors: Column,
     return out
 
 
-REASON_ORDER = ["R0c", "R0b", "R0", "R1", "R2b", "R2", "R4", "R7", "R8", "R5", "R6", "R3"]
-
-
 def reason_rank(reason: Column) -> Column:
     """Place of the first rule in the order of admission that the reason begins with; behind all where there is none."""
     out = F.lit(len(REASON_ORDER))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.fixed_values import CHEAP_ATTACH, COHERENCE, DIVERSITY_SHARE, DIVERSITY_START, FEED_WINDOWS, SYNTHESIS_BUDGET
+from tidewire.fixed_values import CENTROID_SCAN, CHEAP_ATTACH, COHERENCE, DIVERSITY_SHARE, DIVERSITY_START, EMBEDDING_ATTACH, FEED_WINDOWS, SYNTHESIS_BUDGET
 from tidewire.operators import graph
 from tidewire.operators.relational import latest_per_key
 
@@ -72,9 +72,10 @@ def admit(keys: list, exempt: list[bool], budget: int = SYNTHESIS_BUDGET) -> lis
 
 
 def diversity_admit(candidates: DataFrame, run: str, item: str, order: list, sector: str, region: str, exempt: str, most: int = 1200, budget: int = SYNTHESIS_BUDGET) -> DataFrame:
-    """run, item, position and verdict of the ``most`` first candidates of every run."""
-    ranked = candidates.withColumn("__at", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
-    best = latest_per_key(ranked, [run], [F.col("__at")], most)
+    """run, item, position and verdict of the ``most`` first candidates of every run, which are found in parts of a run before they meet."""
+    salted = candidates.withColumn("__part", F.pmod(F.xxhash64(item), F.lit(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    first = latest_per_key(salted, [run, "__part"], order, most)  # what isn't first in a part of its run isn't in the run
+    best = first.withColumn("__at", F.row_number().over(Window.partitionBy(run).orderBy(*order))).filter(F.col("__at") <= most)
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
 
     def go(rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,6 +125,13 @@ def attach_score(a: dict, b: dict) -> float:
     return 0.4 * _j(a["tickers"], b["tickers"]) + 0.2 * _j(a["sectors"], b["sectors"]) + 0.1 * _j(a["regions"], b["regions"]) + 0.2 * event + 0.1 * _j(a["tokens"], b["tokens"])
 
 
+def vector_score(item: dict, group: dict) -> float:
+    """0.6 cosine to the vector of the group's first item, 0.4 tickers."""
+    a, b = item["vector"], group["centroid"]
+    norm = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0.0
+    return 0.6 * (float(a @ b) / norm if norm else 0.0) + 0.4 * _j(item["tickers"], group["tickers"])
+
+
 class OnlineGroups:
     """Groups that can still be joined, in the order of their numbers; times are hours and ascend from call to call."""
 
@@ -134,7 +142,8 @@ class OnlineGroups:
 
     def attach(self, item: dict, now: float) -> int:
         """The group of the next item. One older than ``stale_h`` joins none and is a group of its own; else the same headline
-        within ``hash_h``, else the best score among groups seen within ``state_h``, else a new group."""
+        within ``hash_h``, else the best score among groups seen within ``state_h``; then, for an item with a vector, the best
+        ``vector_score`` of ``EMBEDDING_ATTACH`` or more among the ``CENTROID_SCAN`` groups with a vector seen last; else a new group."""
         fresh, best = now - item["published_h"] <= self.stale_h, None
         if fresh:
             for k in [k for k, g in self.live.items() if now - g["seen"] > max(self.hash_h, self.state_h)]:
@@ -145,11 +154,15 @@ class OnlineGroups:
                 for k, g in self.live.items():
                     if now - g["seen"] <= self.state_h and (s := attach_score(item, g)) >= self.least - 1e-12 and s > top:
                         best, top = k, s
+            if best is None and item.get("vector") is not None:
+                known = sorted((k for k, g in self.live.items() if g["centroid"] is not None and now - g["seen"] <= self.state_h), key=lambda k: (-self.live[k]["seen"], k))[:CENTROID_SCAN]
+                top, k = max(((vector_score(item, self.live[k]), -k) for k in known), default=(0.0, 0))
+                best = -k if top >= EMBEDDING_ATTACH - 1e-12 else None
         if best is None:
             best, self.next = self.next, self.next + 1
             if not fresh:
                 return best
-            self.live[best] = {"tickers": set(), "sectors": set(), "regions": set(), "tokens": item["tokens"], "event_class": None, "classes": {}, "hashes": {}, "seen": now}
+            self.live[best] = {"tickers": set(), "sectors": set(), "regions": set(), "tokens": item["tokens"], "event_class": None, "classes": {}, "hashes": {}, "seen": now, "centroid": item.get("vector")}
         g = self.live[best]
         for k in ("tickers", "sectors", "regions"):
             g[k] = g[k] | item[k]
@@ -175,7 +188,7 @@ def with_blocks(news: DataFrame, seen: str, block: str = "block", state_h: float
 
     Items of one group share a headline or a ticker with another of its items, or where regions are given an event class: without any
     ticker in common a score reaches at most 0.6, and that only with the same regions and event class. So a topic is a connected
-    component of these. After the pause no group of the topic can be joined any more.
+    component of these (a score with vectors needs a ticker in common as well). After the pause no group of the topic can be joined any more.
     """
     key = lambda kind, c: F.shiftrightunsigned(F.xxhash64(F.lit(kind), c), 28)  # noqa: E731  (small enough to be summed; equal ones only join topics)
     event = F.when((F.size("regions") > 0) & F.col("event_class").isNotNull(), F.array(key("event", F.col("event_class"))))
@@ -199,8 +212,10 @@ def with_blocks(news: DataFrame, seen: str, block: str = "block", state_h: float
 def cluster_sequential(news: DataFrame, block: str, item: str, at: str, seen: str) -> DataFrame:
     """block, item and group of news with tickers, sectors, regions, tokens, event_class and hash; in the order of ``seen``, a block at a time.
 
-    A block streams through its task in Arrow batches; only the groups of the last ``STATE_HOURS`` are held.
+    A block streams through its task in Arrow batches; only the groups of the last ``STATE_HOURS`` are held. A column ``vector`` (null
+    where an item is no candidate for promotion) adds the pass over vectors.
     """
+    vectors = "vector" in news.columns
     kinds = {f.name: f.dataType.simpleString() for f in news.schema}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,10 +226,12 @@ def cluster_sequential(news: DataFrame, block: str, item: str, at: str, seen: st
                 if r[block] != now_in:
                     now_in, groups = r[block], OnlineGroups()
                 sets = {k: set() if r[k] is None else set(r[k]) for k in ("tickers", "sectors", "regions", "tokens")}
+                if vectors:
+                    sets["vector"] = None if r["vector"] is None else np.asarray(r["vector"], float)
                 out.append(groups.attach({**sets, "event_class": r["event_class"], "hash": r["hash"], "published_h": r["__at"]}, r["__seen"]))
             yield pd.DataFrame({block: rows[block], item: rows[item], "grp": np.array(out, np.int64)})
 
-    own = news.select(block, item, _hours(at).alias("__at"), _hours(seen).alias("__seen"), "tickers", "sectors", "regions", "tokens", "event_class", "hash")
+    own = news.select(block, item, _hours(at).alias("__at"), _hours(seen).alias("__seen"), "tickers", "sectors", "regions", "tokens", "event_class", "hash", *(["vector"] if vectors else []))
     return own.repartition(block).sortWithinPartitions(block, "__seen", item).mapInPandas(run, f"`{block}` {kinds[block]}, `{item}` {kinds[item]}, grp long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.fixed_values import EVENT_CLASS_TEXT, HIGH_VALUE, LAWYER_SPAM, NOISE, SCHEDULING
+from tidewire.fixed_values import COMMODITY_PROXIES, EVENT_CLASS_TEXT, EXCHANGE_TICKER, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, NOISE, PROMOTION_MATERIALITY, SCHEDULING
 from tidewire.functions import text as T
 from tidewire.operators import graph, rules, sequential, setjoin, verify
 from tidewire.plans.catalogue import query
@@ -82,8 +82,13 @@ def html_unescaped(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "pages").select("page_id", T.unescape(T.strip_tags(F.col("html"))).alias("text"))
 
 
-@query(r"""SELECT page_id, nullif(coalesce(nullif(regexp_extract(substr(html, 1, 65536), '(?is)<meta\s[^>]*?(?:name|property)\s*=\s*["''](?:og:)?description["''][^>]*?content\s*=\s*["'']([^"'']*)["'']', 1), ''),
-regexp_extract(substr(html, 1, 65536), '(?is)<meta\s[^>]*?content\s*=\s*["'']([^"'']*)["''][^>]*?(?:name|property)\s*=\s*["''](?:og:)?description["'']', 1)), '') AS description FROM pages""")
+NAMED = """(?:name|property)\\s*=\\s*["'](?:og:description|twitter:description|description)["']"""
+CONTENT = """content\\s*=\\s*["']([^"']*)["']"""
+META_SQL = f"(?i)<meta\\s+{NAMED}\\s+{CONTENT}".replace("'", "''"), f"(?i)<meta\\s+{CONTENT}\\s+{NAMED}".replace("'", "''")
+
+
+@query(f"""WITH m AS (SELECT page_id, CASE WHEN regexp_matches(html, '{META_SQL[0]}') THEN regexp_extract(html, '{META_SQL[0]}', 1) ELSE regexp_extract(html, '{META_SQL[1]}', 1) END AS d FROM pages)
+SELECT page_id, nullif(trim(replace(replace(replace(replace(replace(d, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '') AS description FROM m""")
 def meta_description(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "pages").select("page_id", tables.meta_description().alias("description"))
 
@@ -102,15 +107,19 @@ def _q(p: str) -> str:
 
 
 def _score_sql() -> str:
-    sched = f"regexp_matches(h, {_q(SCHEDULING)})"
-    hits = [(f"regexp_matches(f, {_q(p)})" + (f" AND NOT {sched}" if label == "earnings" else ""), f"regexp_matches(h, {_q(p)})", w, label) for p, w, label in HIGH_VALUE]
-    total = " + ".join(f"CASE WHEN {a} THEN {w} + CASE WHEN {b} THEN 5 ELSE 0 END ELSE 0 END" for a, b, w, _ in hits)
-    labels = "list_sort(list_distinct([x FOR x IN [" + ", ".join(f"CASE WHEN {a} THEN '{label}' END" for a, _, _, label in hits) + "] IF x IS NOT NULL]))"
-    noise = "list_sort(list_distinct([x FOR x IN [" + ", ".join(f"CASE WHEN regexp_matches(f, {_q(p)}) THEN '{label}' END" for p, label in NOISE) + "] IF x IS NOT NULL]))"
-    return f"""WITH d AS (SELECT doc_id, {PHRASE_SQL} AS h, {PHRASE_SQL} || ' || ' || substr(text, 1, 600) AS f FROM documents),
-    s AS (SELECT doc_id, regexp_matches(f, {_q(LAWYER_SPAM)}) AS spam, {total} AS total, {labels} AS labels, {noise} AS noise FROM d)
-    SELECT doc_id, CASE WHEN spam THEN 0 WHEN total > 0 THEN least(100, total) WHEN len(noise) > 0 THEN 0 ELSE 15 END::INT AS score,
-      CASE WHEN spam THEN 'lawyer_spam' WHEN total > 0 THEN array_to_string(labels, ',') ELSE coalesce(array_to_string(noise, ','), '') END AS labels FROM s"""
+    """A row for each pattern a text has, added up a text."""
+    events = ", ".join(f"({k}, {w}, '{label}')" for k, (_, w, label) in enumerate(HIGH_VALUE))
+    in_full = "[" + ", ".join(f"regexp_matches(f, {_q(p)})" for p, _, _ in HIGH_VALUE) + "]"
+    in_head = "[" + ", ".join(f"regexp_matches(h, {_q(p)})" for p, _, _ in HIGH_VALUE) + "]"
+    noise = "[" + ", ".join(f"CASE WHEN regexp_matches(h, {_q(p)}) OR regexp_matches(b, {_q(p)}) THEN '{label}' END" for p, label in NOISE) + "]"
+    return f"""WITH e(k, w, label) AS (VALUES {events}), d AS (SELECT doc_id, {PHRASE_SQL} AS h, substr(text, 1, 600) AS b FROM documents),
+    t AS (SELECT doc_id, regexp_matches(h, {_q(LAWYER_SPAM)}) AS spam, regexp_matches(h, {_q(SCHEDULING)}) AS sched, {in_full} AS fs, {in_head} AS hs, {noise} AS ns FROM (SELECT *, concat(h, '  ||  ', b) AS f FROM d)),
+    x AS (SELECT doc_id, label, w + CASE WHEN hs[k + 1] THEN 5 ELSE 0 END AS w FROM t, e WHERE fs[k + 1] AND NOT (sched AND label = 'earnings')),
+    n AS (SELECT doc_id, unnest(ns) AS label FROM t UNION ALL SELECT doc_id, 'earnings_schedule' FROM t WHERE sched),
+    l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM x UNION ALL SELECT doc_id, label FROM n WHERE label IS NOT NULL) GROUP BY doc_id),
+    s AS (SELECT doc_id, sum(w) AS total FROM x GROUP BY doc_id)
+    SELECT t.doc_id, CASE WHEN spam THEN 0 WHEN total > 0 THEN least(100, total) WHEN labels IS NOT NULL THEN 0 ELSE 15 END::INT AS score,
+      CASE WHEN spam THEN 'lawyer_spam' ELSE coalesce(labels, '') END AS labels FROM t LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
 def _phrase() -> Column:
@@ -119,8 +128,28 @@ def _phrase() -> Column:
 
 @query(_score_sql())
 def materiality_score(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "documents").select("doc_id", rules.materiality(_phrase(), F.col("text")).alias("m"))
-    return d.select("doc_id", "m.score", F.array_join("m.labels", ",").alias("labels"))
+    d = rules.with_materiality(table(spark, base, "documents").select("doc_id", "text"), _phrase(), F.col("text"))
+    return d.select("doc_id", "materiality.score", F.array_join("materiality.labels", ",").alias("labels"))
+
+
+INSTRUMENTS = [
+    ("GBX", "Globex", ["Globex Holdings", "GLBX"], "equity"), ("INI", "Initech", ["parsons"], "equity"), ("UMB", "umbrella", [], "equity"), ("SEC", None, [], "equity"), ("STK", "Stark", ["Stark prices"], "equity"),
+    ("GC=F", "Revenue", ["quarter results"], "commodity"), ("PSN", "market", ["in the market", "to"], "equity"), ("W", "GDP", ["GDP rose"], "equity"), ("HLI", "guidance", ["Fed", "S&P 500"], "equity"),
+]
+TAG_NAMES = "(VALUES ('GBX', 'globex', FALSE), ('GBX', 'globex holdings', FALSE), ('GBX', 'GBX', TRUE), ('GBX', 'GLBX', TRUE), ('INI', 'INI', TRUE), ('INI', 'initech', FALSE), ('UMB', 'UMB', TRUE), ('UMB', 'umbrella', FALSE), ('SEC', 'SEC', TRUE), ('STK', 'STK', TRUE), ('STK', 'stark prices', FALSE), ('GC=F', 'GC=F', TRUE), ('GC=F', 'quarter results', FALSE), ('PSN', 'market', FALSE), ('PSN', 'in the market', FALSE), ('W', 'GDP', TRUE), ('W', 'gdp rose', FALSE), ('HLI', 'HLI', TRUE), ('HLI', 'guidance', FALSE), ('HLI', 's&p 500', FALSE))"
+
+
+@query(f"""WITH a(symbol, alias, cased) AS {TAG_NAMES}, d AS (SELECT doc_id, {PHRASE_SQL} || '  ||  ' || coalesce(substr(text, 1, 400), '') AS f FROM documents),
+m AS (SELECT doc_id, symbol FROM d, a WHERE CASE WHEN cased THEN regexp_matches(f, '(^|[^A-Za-z0-9])' || regexp_escape(alias) || '([^A-Za-z0-9]|$)') ELSE regexp_matches(lower(f), '(^|[^a-z0-9])' || regexp_escape(alias) || '([^a-z0-9]|$)') END
+  UNION SELECT doc_id, unnest(CASE {" ".join(f"WHEN k = {k} THEN {symbols}" for k, (_, symbols) in enumerate(COMMODITY_PROXIES))} END) FROM d, (VALUES {", ".join(f"({k}, {_q(p)})" for k, (p, _) in enumerate(COMMODITY_PROXIES))}) c(k, p) WHERE regexp_matches(f, p)),
+k AS (SELECT doc_id, trim(kw) AS kw FROM d, (VALUES {", ".join("('" + w.replace("'", "''") + "')" for w in MACRO_KEYWORDS)}) w(kw) WHERE contains(lower(f), kw)),
+x AS (SELECT doc_id, list_distinct(regexp_extract_all(f, '{EXCHANGE_TICKER}', 1)) AS ex FROM d)
+SELECT d.doc_id, array_to_string(list_sort(coalesce(ex, [])), ',') AS exchange_tickers, coalesce((SELECT string_agg(DISTINCT symbol, ',' ORDER BY symbol) FROM m WHERE m.doc_id = d.doc_id), '') AS symbols,
+  coalesce((SELECT string_agg(DISTINCT kw, ',' ORDER BY kw) FROM k WHERE k.doc_id = d.doc_id), '') AS macro_keywords FROM d JOIN x USING (doc_id)""")
+def tag_gate(spark: SparkSession, base: str) -> DataFrame:
+    index = rules.alias_index(spark.createDataFrame(INSTRUMENTS, "symbol string, short string, aliases array<string>, asset_class string"))
+    out = rules.tagged(table(spark, base, "documents").select("doc_id", "text"), "doc_id", _phrase(), F.col("text"), index)
+    return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("exchange_tickers", "symbols", "macro_keywords")])
 
 
 @query(f"WITH d AS (SELECT doc_id, {PHRASE_SQL} AS h, {PHRASE_SQL} || chr(10) || text AS f FROM documents) SELECT doc_id, coalesce({', '.join(f'CASE WHEN regexp_matches(h, {_q(p)}) THEN {chr(39)}{k}{chr(39)} END' for p, k in EVENT_CLASS_TEXT)}, {', '.join(f'CASE WHEN regexp_matches(f, {_q(p)}) THEN {chr(39)}{k}{chr(39)} END' for p, k in EVENT_CLASS_TEXT)}) AS event_class FROM d")
@@ -164,7 +193,7 @@ def funnel_counts(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def diversity_admit(spark: SparkSession, base: str) -> DataFrame:
     """Of the promoted groups of a run (one a parity), in the order of their rules, those that the budget and the shares let in."""
-    g = _groups(spark, base).filter("route = 'sharp_promote'").withColumn("run", F.lit(0)).withColumn("region", F.col("pubs"))
+    g = _groups(spark, base).filter("route = 'sharp_promote'").withColumn("run", F.col("doc_id") % 2).withColumn("region", F.col("pubs"))
     order = [rules.reason_rank(F.col("reason")), F.desc("pubs"), F.desc("mat"), F.col("doc_id")]
     return sequential.diversity_admit(g.withColumn("exempt", F.col("reason").isin("R0", "R0b")), "run", "doc_id", order, "sector", "region", "exempt")
 
@@ -172,7 +201,10 @@ def diversity_admit(spark: SparkSession, base: str) -> DataFrame:
 # ------------------------------------------------------------------ groups of news
 
 
-@query()
+@query(f"""WITH RECURSIVE {HEAD}, t AS (SELECT doc_id, h, {TOKENS} AS w FROM n), l AS (SELECT h, min(doc_id) AS lead, any_value(w) AS w FROM t WHERE h <> '' GROUP BY h),
+e AS (SELECT a.lead AS a, b.lead AS b FROM l a JOIN l b ON a.lead <> b.lead WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w)))),
+r(node, root) AS (SELECT lead, lead FROM l UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), g AS (SELECT node, min(root) AS grp FROM r GROUP BY node)
+SELECT t.doc_id, coalesce(grp, t.doc_id) AS grp FROM t LEFT JOIN l ON l.h = t.h LEFT JOIN g ON g.node = l.lead""")
 def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
     """Documents whose headlines are the same or share 0.6 of their words, joined into groups: the least id of each stands for it.
 
@@ -192,11 +224,25 @@ def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def cluster_sequential(spark: SparkSession, base: str) -> DataFrame:
     """Documents in the order of their id, an hour apart, joined online to groups; a block is a topic's stretch without a pause of 72 hours, across sources."""
+    return sequential.cluster_sequential(sequential.with_blocks(_news(spark, base), "seen_at"), "block", "doc_id", "published_at", "seen_at")
+
+
+def _news(spark: SparkSession, base: str) -> DataFrame:
     h = headlines(spark, base)
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600)
     none = F.array().cast("array<string>")
-    news = h.select("doc_id", at.alias("published_at"), at.alias("seen_at"), F.array("lang").alias("tickers"), F.array("source").alias("sectors"), none.alias("regions"), T.headline_tokens(F.col("headline")).alias("tokens"), F.col("lang").alias("event_class"), T.headline_hash(F.col("headline")).alias("hash"))
-    return sequential.cluster_sequential(sequential.with_blocks(news, "seen_at"), "block", "doc_id", "published_at", "seen_at")
+    return h.select("doc_id", at.alias("published_at"), at.alias("seen_at"), F.array("lang").alias("tickers"), F.array("source").alias("sectors"), none.alias("regions"), T.headline_tokens(F.col("headline")).alias("tokens"), F.col("lang").alias("event_class"), T.headline_hash(F.col("headline")).alias("hash"))
+
+
+@query()
+def cluster_with_vectors(spark: SparkSession, base: str) -> DataFrame:
+    """As ``cluster_sequential``, with the pass over vectors: documents whose materiality makes them candidates bring the vector of the same id."""
+    scored = rules.with_materiality(table(spark, base, "documents").select("doc_id", "text"), _phrase(), F.col("text"))
+    candidates = scored.filter(F.col("materiality.score") >= PROMOTION_MATERIALITY).select("doc_id")
+    vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).join(candidates, "doc_id")
+    news = _news(spark, base).withColumns({"event_class": F.lit(None).cast("string"), "sectors": F.array().cast("array<string>")})
+    blocks = sequential.with_blocks(news, "seen_at").join(vectors, "doc_id", "left")
+    return sequential.cluster_sequential(blocks, "block", "doc_id", "published_at", "seen_at")
 
 
 def _stories(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +267,9 @@ def verify_payload(spark: SparkSession, base: str) -> DataFrame:
     return out.select("story", "ok", F.array_join("errors", "; ").alias("errors"), F.array_join(F.col("quote_scrub_indices").cast("array<string>"), ",").alias("scrub"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract(trim(text), '^(.*?[.!?])(\s|$)', 1) AS s FROM documents)
+SELECT doc_id, 1 AS position, 'no_source' AS issue FROM d UNION ALL SELECT doc_id, 0, 'no_text' FROM d WHERE trim(coalesce(s, '')) = '' UNION ALL SELECT doc_id, 0, 'no_number' FROM d WHERE NOT coalesce(regexp_matches(s, '\d+(?:\.\d+)?\s?(?:%|bps|bn|m|k|x)?\b'), FALSE)
+UNION ALL SELECT doc_id, 0, 'unknown_source' FROM d WHERE doc_id % 60 NOT IN (SELECT item_id FROM benchmark)""")
 def brief_provenance(spark: SparkSession, base: str) -> DataFrame:
     """Sentences of documents as items of a brief whose sources are benchmark items."""
     d = table(spark, base, "documents").select("doc_id", F.array(F.struct(T.first_sentence(F.col("text")).alias("text"), F.array(F.col("doc_id") % 60).alias("source_ids")), F.struct(F.lit("up 3%").alias("text"), F.array().cast("array<bigint>").alias("source_ids"))).alias("items"))

@@ -9,46 +9,46 @@ from tidewire.operators import retrieval, scoring, sequential
 from tidewire.plans.catalogue import query
 from tidewire.sources.tables import table
 
-QUERIES_SQL = "q AS (SELECT vec_id AS qid, label AS qlabel, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id < 10), c AS (SELECT qid, qlabel, vec_id, label, list_cosine_similarity(qe, embedding::DOUBLE[]) AS cosine FROM q, embeddings WHERE embedding IS NOT NULL)"
+QUERIES_SQL = "q AS (SELECT vec_id AS qid, label AS qlabel, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT qid, qlabel, vec_id, label, list_cosine_similarity(qe, embedding::DOUBLE[]) AS cosine FROM q, embeddings WHERE embedding IS NOT NULL)"
 
 
-def _both(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """The vectors and ten of them as queries."""
+def asking(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and those whose id is divisible by 100 as queries against all."""
     v = table(spark, base, "embeddings")
-    return v, v.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("embedding").alias("qe"))
+    return v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("embedding").alias("qe"))
 
 
 @query(f"WITH {QUERIES_SQL}, r AS (SELECT qid AS query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM c) SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 10 AND cosine >= 0.1")
 def cosine_top_k(spark: SparkSession, base: str) -> DataFrame:
-    v, q = _both(spark, base)
+    v, q = asking(spark, base)
     return retrieval.cosine_top_k(v, "vec_id", "embedding", q, "qid", "qe", 10, 0.1).withColumn("cosine", F.round("cosine", 6)).select("query_id", "vec_id", "cosine", "rank")
 
 
 @query(f"WITH {QUERIES_SQL}, b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY cosine DESC, vec_id) = 1), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, label) AS INT) AS rank FROM b) SELECT qid AS query_id, label, vec_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 5")
 def best_chunk_per_label(spark: SparkSession, base: str) -> DataFrame:
-    v, q = _both(spark, base)
+    v, q = asking(spark, base)
     return retrieval.best_per_parent(v, "vec_id", "embedding", "label", q, "qid", "qe", 5).withColumn("cosine", F.round("cosine", 6)).select("query_id", "label", "vec_id", "cosine", "rank")
 
 
 @query(f"WITH {QUERIES_SQL}, n AS (SELECT * FROM c WHERE cosine >= 0.05 AND vec_id IN (SELECT p_partkey FROM part) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) <= 20), r AS (SELECT n.*, p_retailprice AS volume, CAST(row_number() OVER (PARTITION BY qid ORDER BY p_retailprice DESC, cosine DESC, vec_id) AS INT) AS rank FROM n JOIN part ON p_partkey = vec_id) SELECT qid AS query_id, vec_id, round(cosine, 6) AS cosine, volume, rank FROM r WHERE rank <= 5")
 def two_stage_top_k(spark: SparkSession, base: str) -> DataFrame:
-    v, q = _both(spark, base)
+    v, q = asking(spark, base)
     rows = v.join(table(spark, base, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_retailprice").alias("volume")), "vec_id")
     return retrieval.two_stage_top_k(rows, "vec_id", "embedding", "volume", q, "qid", "qe", 5, 0.05).withColumn("cosine", F.round("cosine", 6)).select("query_id", "vec_id", "cosine", "volume", "rank")
 
 
-@query(f"WITH {QUERIES_SQL}, h AS (SELECT * FROM c WHERE vec_id >= 10 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) <= 15), o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qlabel, vec_id ORDER BY cosine DESC, qid) = 1), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qlabel ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM o) SELECT qlabel, vec_id, qid AS query_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 20")
+@query(f"WITH {QUERIES_SQL}, h AS (SELECT * FROM c WHERE vec_id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) <= 15), o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qlabel, vec_id ORDER BY cosine DESC, qid) = 1), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qlabel ORDER BY cosine DESC, vec_id) AS INT) AS rank FROM o) SELECT qlabel, vec_id, qid AS query_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 20")
 def multi_query_candidates(spark: SparkSession, base: str) -> DataFrame:
-    v, q = _both(spark, base)
-    return retrieval.multi_query(v.filter("vec_id >= 10"), "vec_id", "embedding", q, "qid", "qe", "qlabel", 15, 20).withColumn("cosine", F.round("cosine", 6)).select("qlabel", "vec_id", "query_id", "cosine", "rank")
+    v, q = asking(spark, base)
+    return retrieval.multi_query(v, "vec_id", "embedding", q, "qid", "qe", "qlabel", 15, 20).withColumn("cosine", F.round("cosine", 6)).select("qlabel", "vec_id", "query_id", "cosine", "rank")
 
 
 @query(f"WITH {QUERIES_SQL} SELECT qlabel, label, qid AS query_id, vec_id, round(cosine, 6) AS cosine, CASE WHEN cosine >= 0.88 THEN 'duplicate' WHEN cosine >= 0.80 THEN 'rerank' ELSE 'new' END AS band FROM c WHERE qlabel <> label QUALIFY row_number() OVER (PARTITION BY qlabel, label ORDER BY cosine DESC, qid, vec_id) = 1")
 def related_pairs(spark: SparkSession, base: str) -> DataFrame:
     """For the beliefs (labels) of the queries and every other belief, the best pair of chunks."""
-    v, q = _both(spark, base)
+    v, q = asking(spark, base)
     found = retrieval.cosine_candidates(v, "vec_id", "embedding", q, "qid", "qe", 1, parent="label")
-    owned = found.join(F.broadcast(q.select(F.col("qid").alias("query_id"), "qlabel")), "query_id").filter("qlabel <> label")  # ten rows
+    owned = found.join(q.select(F.col("qid").alias("query_id"), "qlabel"), "query_id").filter("qlabel <> label")
     best = retrieval.top_k(owned, ["qlabel", "label"], [F.desc("cosine"), "query_id", "vec_id"], 1)
     return best.select("qlabel", "label", "query_id", "vec_id", F.round("cosine", 6).alias("cosine"), retrieval.duplicate_band(F.col("cosine")).alias("band"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.functions.text import slug
+from tidewire.functions.text import slug, unescape
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -34,12 +34,14 @@ def json_lines(spark: SparkSession, path: str, schema: str, latest: int | None =
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS or Atom feeds that were put down as JSON lines, one a URL; items without a title are left out."""
+    """Items of RSS or Atom feeds that were put down as JSON lines, one a URL (the first published; ties by feed, title and text); items without a title are left out."""
     raw = json_lines(spark, path, "feed string, title string, link string, summary string, published string")
     rows = raw.filter(F.trim(F.coalesce("title", F.lit(""))) != "")
     url = F.nullif(F.trim("link"), F.lit(""))
     named = rows.select("feed", F.trim("title").alias("headline"), F.coalesce("summary", F.lit("")).alias("body"), url.alias("source_url"), F.try_to_timestamp(F.col("published")).alias("published_at"))
-    return named.filter("source_url IS NOT NULL").dropDuplicates(["source_url"]).unionByName(named.filter("source_url IS NULL"))
+    key = F.struct(F.col("published_at").isNull(), "published_at", "feed", "headline", "body")
+    one = named.filter("source_url IS NOT NULL").groupBy("source_url").agg(F.min_by(F.struct(*named.columns), key).alias("item"))
+    return one.select("item.*").unionByName(named.filter("source_url IS NULL"))
 
 
 class SourceChangedError(ValueError):
@@ -95,11 +97,13 @@ def belief_chunks(docs: DataFrame, key: str, statement: str, invalidations: str)
 
 
 def meta_description(html: str = "html"):
-    """The description of a page's head, from either order of attributes; null without one."""
-    head = F.substring(html, 1, 65536)
-    a = F.regexp_extract(head, r"""(?is)<meta\s[^>]*?(?:name|property)\s*=\s*["'](?:og:)?description["'][^>]*?content\s*=\s*["']([^"']*)["']""", 1)
-    b = F.regexp_extract(head, r"""(?is)<meta\s[^>]*?content\s*=\s*["']([^"']*)["'][^>]*?(?:name|property)\s*=\s*["'](?:og:)?description["']""", 1)
-    return F.nullif(F.coalesce(F.nullif(a, F.lit("")), b), F.lit(""))
+    """The description of a page (description, og: or twitter:) from either order of attributes, entities resolved; null without one. The
+    whole page is read, as descriptions may stand behind much else."""
+    page = F.coalesce(F.col(html), F.lit(""))
+    named, content = r"""(?:name|property)\s*=\s*["'](?:og:description|twitter:description|description)["']""", r"""content\s*=\s*["']([^"']*)["']"""
+    first, second = rf"(?iu)<meta\s+{named}\s+{content}", rf"(?iu)<meta\s+{content}\s+{named}"
+    found = F.when(page.rlike(first), F.regexp_extract(page, first, 1)).otherwise(F.regexp_extract(page, second, 1))
+    return F.nullif(F.trim(unescape(found)), F.lit(""))
 
 
 def seed(spark: SparkSession, rows: list[tuple], schema: str, keys: list[str]) -> DataFrame:

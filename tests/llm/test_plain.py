@@ -99,7 +99,7 @@ PAGES = [
     ("<select><option>o1<option>o2</select>", "o1\no2"),
     ("<p>a<br>b<hr>c<blockquote>q<p>r</blockquote>", "a\nb\n\n----\nc\n\n    q\n\n    r"),
     ("<dl><dt>t<dd>d</dl>", "t\n    d"),
-    ("a<!-- no -->b<p style='display:none'>no</p><p style='visibility: hidden'>no</p><span hidden>no</span>c", "ab\n\nc"),
+    ("a<!-- no -->b<p style='display:none'>no</p><span style='visibility: hidden'>no</span><span hidden>no</span>c", "abc"),
     ("<b>bold</b> and<i> it</i>alic &lt;x&gt; &#233;", "bold and italic <x> é"),
     ("<p>" + "long " * 50_000, ("long " * 50_000).strip()),
     ("<", "<"),

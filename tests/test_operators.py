@@ -172,7 +172,8 @@ def test_cosine_in_blocks_of_queries(spark, parent):
     v = spark.createDataFrame(data, "vec_id long, e array<double>, label int")
     q = v.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("qid"), F.col("e").alias("qe"))
     every = [{tuple(r) for r in retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", None, -0.2, parent, broadcast_values=n, block=7).collect()} for n in (1 << 20, 0)]
-    best = [rows(retrieval.top_k(retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", 4, None, parent, broadcast_values=n, block=7), ["query_id"], [F.desc("cosine"), "vec_id"], 4).select("query_id", "vec_id")) for n in (1 << 20, 0)]
+    by, k = (["query_id", parent], 1) if parent else (["query_id"], 4)
+    best = [rows(retrieval.top_k(retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", k, None, parent, broadcast_values=n, block=7), by, [F.desc("cosine"), "vec_id"], k).select("query_id", "vec_id")) for n in (1 << 20, 0)]
     assert {r[:2] for r in every[0]} == {r[:2] for r in every[1]} and best[0] == best[1]
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert {r[:2] for r in every[0] if r[1] < 90 and r[0] < 90} == {(i, j) for i in range(0, 90, 3) for j in range(90) if unit[i] @ unit[j] >= -0.2}

@@ -117,7 +117,8 @@ def centroids(rows: DataFrame, key: str, vector: str) -> DataFrame:
             dim = max(own["v"].map(len))
             same = own["v"][own["v"].map(len) == dim]
             out.append((value, int(own["n"].sum()), np.nansum(np.stack(same.to_numpy()).astype(float), axis=0)))
-        return pd.DataFrame(out, columns=[key, "n", "v"])
+        values, counts, sums = zip(*out, strict=True)
+        return pd.DataFrame({key: pd.Series(values, dtype=object), "n": counts, "v": list(sums)})
 
     schema = f"`{key}` {kind}, n long, v array<double>"
     partial = sized.mapInPandas(lambda parts: (add(p.assign(n=1)) for p in parts if len(p)), schema)

@@ -157,6 +157,17 @@ def test_components(spark):
     assert rows(graph.components(edges)) == [(3, 3), (4, 3), (5, 3), (10, 10), (11, 10)]
 
 
+def test_upper_median_of_keys_of_any_size(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [("a", float(rng.randrange(500))) for _ in range(3000)] + [("b", 1.0)] * 40 + [("c", 2.0), ("c", 1.0), ("d", None)] + [("e", float(k)) for k in range(101)] + [(None, 3.0)]
+    want = sorted((k, sorted(v for x, v in data if x == k and v is not None)[sum(x == k and v is not None for x, v in data) // 2]) for k in "abce")
+    for parts in (2, 64):
+        got = [tuple(r) for r in relational.nth_of_sorted(spark.createDataFrame(data, "k string, v double"), ["k"], "v", "m", parts).collect()]
+        assert sorted(got, key=str) == sorted([*want, (None, 3.0)], key=str)
+
+
 def test_components_of_any_longs(spark):
     big = (1 << 63) - 1
     edges = spark.createDataFrame([(big, big - 1), (big - 1, big - 2), (-big, big - 5), (big - 5, 7)], "a long, b long")

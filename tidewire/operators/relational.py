@@ -47,14 +47,25 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_day: s
     return left.join(found.select(*left.columns, "near_day", *[f"near_{v}" for v in values]), left.columns, "left")
 
 
-def nth_of_sorted(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def nth_of_sorted(df: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
     """The upper median of each key: element n // 2, from 0, of the sorted values; nulls left out.
 
-    A count per key and a rank, so a key's values are never gathered in one row.
+    Equal values are counted together. A key's values are dealt into ranges by approximate quantiles, the ranges' sizes tell in which
+    one the element lies, and only that one is sorted: a key of any size is no more than about ``1 / parts`` of its values to a task.
     """
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(value)))
-    return ranked.filter(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*keys, F.col(value).alias(name))
+    key = "__key"  # as a struct, in which nulls are equal
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias(key), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    edges = counts.groupBy(key).agg(F.percentile_approx("__v", [i / parts for i in range(1, parts)], 1000).alias("__edges"), F.sum("__n").alias("__all"))
+    on = [key, "__salt"]  # a key's counts meet its edges in several parts
+    met = counts.withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(parts))).join(edges.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))), on)
+    dealt = met.withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).select(key, "__v", "__n", "__all", "__part")
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(key, "__part").agg(F.sum("__n").alias("__size"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    target = F.floor(F.col("__all") / 2)
+    holds = sizes.filter((F.col("__before") <= target) & (target < F.col("__before") + F.col("__size"))).select(key, "__part", "__before")
+    up_to = F.sum("__n").over(Window.partitionBy(key).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    ranked = dealt.join(holds, [key, "__part"]).withColumn("__up_to", up_to)
+    return ranked.filter((F.col("__up_to") > target) & (F.col("__up_to") - F.col("__n") <= target)).select(f"{key}.*", F.col("__v").alias(name))
 
 
 def most_common(df: DataFrame, keys: list[str], value: str, name: str, n: int = 1) -> DataFrame:

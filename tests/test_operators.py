@@ -215,6 +215,47 @@ def test_admission_of_every_run(spark):
     assert {tuple(r) for r in QUERIES["diversity_admit"](spark, base).collect()} == want
 
 
+def test_feeds_of_all_users(spark):
+    from tidewire.plans import vectors
+
+    base = "/root/testdata/sf0.001"
+    users = {}
+    for r in vectors._feed(spark, base).collect():
+        users.setdefault(r.user_id, []).append(r)
+    want = set()
+    for user, items in users.items():
+        left = sorted(sorted(items, key=lambda r: r.event_id), key=lambda r: (-r.score, -r.ts.timestamp()))[:500]
+        feed = []
+        while left:
+            nine, four = feed[-9:], feed[-4:]
+            fits = [r for r in left if (r.lead is None or ((not feed or feed[-1].lead != r.lead) and sum(x.lead == r.lead for x in nine) < 2)) and not (r.social and sum(x.social for x in four) >= 2)]
+            pick = fits[0] if fits else left[0]
+            left.remove(pick)
+            want.add((user, pick.event_id, len(feed)))
+            feed.append(pick)
+    assert {(r.user_id, r.event_id, r.position) for r in QUERIES["feed_compose"](spark, base).collect()} == want
+
+
+def test_prunes_of_all_groups(spark):
+    import numpy as np
+
+    base = "/root/testdata/sf0.001"
+    groups = {}
+    for r in spark.read.parquet(f"{base}/embeddings.parquet").orderBy("vec_id").collect():
+        groups.setdefault(r.vec_id // 4, []).append((r.vec_id, r.embedding))
+    want = set()
+    for members in groups.values():
+        gone = []
+        while True:
+            have = [(i, np.array(v, float)) for i, v in members if v is not None and i not in gone]
+            near = [(max(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) or 1) for j, y in have if j != i), i) for i, x in have] if len(have) > 1 else []
+            if not near or min(near)[0] >= 0.55:
+                break
+            gone.append(min(near)[1])
+        want |= {(i, i not in gone, gone.index(i) if i in gone else None) for i, _ in members}
+    assert {(r.vec_id, r.kept, r.drop_order) for r in QUERIES["coherence_prune"](spark, base).collect()} == want and any(not k for _, k, _ in want)
+
+
 def test_groups_by_vectors():
     import numpy as np
 

@@ -19,4 +19,5 @@ ORACLES = {
     "op2_topk": topk.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_substring": substring.ORACLE,
+    "op10_suffix": suffix.ORACLE,
 }

@@ -494,3 +494,17 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return copied_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+w AS (SELECT doc_id, k, raw[k + 1:k + 50] AS s FROM (SELECT doc_id, raw, unnest(range(0, octet_length(raw) - 49)) AS k FROM d)),
+c AS (SELECT doc_id, k FROM w QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+g AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g),
+s AS (SELECT doc_id, run, min(k) AS a, max(k) + 50 AS b FROM r GROUP BY doc_id, run),
+l AS (SELECT doc_id, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos FROM s GROUP BY doc_id),
+x AS (SELECT d.doc_id, raw, list_prepend(0, coalesce(tos, [])) AS starts, list_append(coalesce(froms, []), octet_length(raw)) AS ends FROM d LEFT JOIN l ON l.doc_id = d.doc_id)
+SELECT doc_id, CAST(octet_length(raw) AS BIGINT) AS n_bytes, CAST(octet_length(raw) - list_sum([ends[i] - starts[i] FOR i IN range(1, len(starts) + 1)]) AS BIGINT) AS n_removed,
+  CAST(len(starts) - 1 AS BIGINT) AS n_spans, sha256(unhex(array_to_string([hex(raw[starts[i] + 1:ends[i]]) FOR i IN range(1, len(starts) + 1)], ''))) AS kept_sha256 FROM x
+"""

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.chunks import ranges
 from tidewire.llm.common import BYTE_BASE, U, mix, powers, text_chunks
 
-PER_LANGUAGE, LONGEST, UNSEEN = 3000, 5, 0.5
+PER_LANGUAGE, LONGEST, UNSEEN, BROADCAST_LANGUAGES = 3000, 5, 0.5, 100_000
 UND = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _CODES: list[np.ndarray] = []
@@ -181,6 +181,8 @@ def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE)
     if not languages:
         return Model([], {k: np.empty(0, np.int64) for k in ("kind", "key", "lang", "n")})
     shares = documents.sparkSession.createDataFrame([(g, min(1.0, per_language / n)) for g, n in zip(sizes["lang"].to_pylist(), sizes["n"].to_pylist(), strict=True)], "lang string, share double")
+    if len(languages) <= BROADCAST_LANGUAGES:  # else documents would be shuffled by their language, of which there are few
+        shares = F.broadcast(shares)
     picked = docs.join(shares, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     counts = picked.select("lang", "text").mapInArrow(_trainer(languages), "lang int, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).toArrow()
     return Model(languages, {c: counts[c].to_numpy().astype(np.int64) for c in ("kind", "key", "lang", "n")})

@@ -242,6 +242,16 @@ def test_copied_spans_of_long_texts_and_common_lines(spark, portion, often, chun
     assert suffix.copied_spans(df.limit(0)).count() == 0
 
 
+def test_copied_spans_of_a_text_over_16_mib(spark):
+    rng = np.random.default_rng(6)
+    noise = bytes(rng.integers(97, 123, 17 << 20).astype(np.uint8)).decode()
+    passage = bytes(rng.integers(65, 91, 300).astype(np.uint8)).decode()
+    df = spark.createDataFrame([(1, passage), (2, passage[:100] + noise + passage), (3, noise[-80:])], "doc_id long, text string")
+    got = {r.doc_id: r.spans and np.frombuffer(r.spans, "<i8").reshape(-1, 2).tolist() for r in suffix.copied_spans(df).select("doc_id", "spans").collect()}
+    size = 17 << 20
+    assert got == {1: None, 2: [[0, 100], [size + 100, size + 400]], 3: [[0, 80]]}
+
+
 def brute_substring(rows, window=35):
     words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
     times = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))

@@ -10,7 +10,8 @@ from tidewire.session import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    # a hub's edges are split by skew handling, which needs a shuffle right below both sides of the join
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")).repartition("a")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
 
 

@@ -372,3 +372,19 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
     for _ in range(2):
         ingest.run_available(ingest.read(spark, src, df.schema), ingest.upsert_by_day(out, "day"))
     assert rows(spark.read.parquet(out).select("v", "day")) == [(1, "d1"), (2, "d1")]
+
+
+def test_group_state_as_a_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    schema = "g long, materiality_score int, kind string, stance string, independence string, tier string, tickers array<string>, sectors array<string>, regions array<string>, event_class string, published_at timestamp, created_at timestamp"
+    first = [(1, 80, "pr_wire", "neutral", "a", "other", ["A"], [], [], None, t, t), (2, 10, "news", "state_media", "c", "tier1", ["A"], [], ["uk"], None, None, t)]
+    second = [(1, 60, "pr_wire", "neutral", "b", "other", ["B"], ["s"], [], None, t + dt.timedelta(1), t), (3, 5, "news", "neutral", "d", "wire", [], [], [], None, t, t)]
+    src, out = f"file://{tmp_path}/src", f"file://{tmp_path}/out"
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = ingest.read(spark, src, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    ingest.run_available(ingest.group_state(stream, "g"), ingest.upsert_by_key(out, ["g"]), mode="update")
+    got = {r.g: r for r in spark.read.parquet(out).collect()}
+    want = {r.g: r for r in rules.group_summary(spark.createDataFrame(first + second, schema), "g").collect()}
+    names = [c for c in spark.read.parquet(out).columns]
+    assert set(got) == set(want) == {1, 2, 3} and all(got[g][c] == want[g][c] for g in want for c in names)

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.fixed_values import PR_WIRE_CAP
 from tidewire.session import checkpoint_dir
-from tidewire.sources.sinks import replace_partitions
+from tidewire.sources.sinks import merge_into, replace_partitions
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -48,6 +49,26 @@ def sessions(stream: DataFrame, at: str, keys: list[str], gap: str, watermark: s
     return stream.withWatermark(at, watermark).groupBy(F.session_window(at, gap).alias("w"), *keys).agg(*aggregates)
 
 
+def group_state(stream: DataFrame, key: str) -> DataFrame:
+    """What a group says of its members so far, kept as state by key; for the output mode ``update``, in which each batch gives the groups that it
+    changed. Columns as of ``rules.group_summary`` but for the event class, which needs counts of counts."""
+    sets = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    flag = lambda c, n: F.coalesce(F.bool_or(c), F.lit(False)).alias(n)
+    most, wire = F.max("materiality_score"), F.bool_and(F.col("kind") == "pr_wire")
+    seen = F.coalesce("published_at", "created_at")
+    return stream.groupBy(key).agg(
+        F.when(wire, F.least(most, F.lit(PR_WIRE_CAP))).otherwise(most).alias("max_materiality"), F.count("*").alias("members"),
+        F.size(F.collect_set(F.when(F.col("stance") != "state_media", F.col("independence")))).alias("independent_pub_count"), sets("tickers"), sets("sectors"), sets("regions"),
+        flag(F.col("tier").isin("wire", "tier1"), "has_tier1_primary"), flag(F.col("kind") == "institutional", "has_institutional_primary"), F.min(seen).alias("first_seen_at"), F.max(seen).alias("last_seen_at"),
+    )
+
+
+def upsert_by_key(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows of the batch take the place of rows with the same key in the table, so a batch written twice counts once. A batch has
+    a key once."""
+    return lambda df, _: merge_into(df.sparkSession, path, df, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new))
+
+
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, output: str | None = None, mode: str = "append", timeout: int = 3600) -> str:
     """Run to the end of what is there; rows go to ``batch`` or as Parquet to a folder, which is returned."""
     base = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from tidewire.session import checkpoint_dir
 
 LEAST_SCORE = 0.5
 
-#: SQL can't express the language model, the hashes of the mixture or the tokenizer; tests compare with a brute-force version.
+#: SQL can't express the language model, the hashes of the mixture or the tokenizer; tests/llm/test_plain.py compares every stage and ``run`` with plain Python.
 ORACLE_SQL = None
 
 

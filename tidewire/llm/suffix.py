@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import repeats
-from tidewire.llm.chunks import chunked, each, joined, ranges, rows_in
+from tidewire.llm.chunks import chunked, each, joined, ranges
 from tidewire.llm.common import BYTE_BASE, CHUNK_BYTES, U, byte_sums, filesystem, mix, powers, slices, string_buffers, string_hash
 from tidewire.session import checkpoint_dir
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Without one there is no place that all executors and the driver can read, so that is an
-    error; tests set one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one if driver and executors are one process on one machine
+    (master ``local``), as in tests; on a cluster that is an error, as executors could not read what others wrote."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared)
     return shared
 
 

@@ -128,7 +128,11 @@ def _phrase() -> Column:
 
 @query(_score_sql())
 def materiality_score(spark: SparkSession, base: str) -> DataFrame:
-    d = rules.with_materiality(table(spark, base, "documents").select("doc_id", "text"), _phrase(), F.col("text"))
+    d = table(spark, base, "documents").select("doc_id", F.substring("text", 1, 600).alias("text"))
+    tasks = spark.sparkContext.defaultParallelism
+    if d.rdd.getNumPartitions() < tasks:  # a file or two: the patterns cost far more than a shuffle of what they read
+        d = d.repartition(tasks)
+    d = rules.with_materiality(d, _phrase(), F.col("text"))
     return d.select("doc_id", "materiality.score", F.array_join("materiality.labels", ",").alias("labels"))
 
 

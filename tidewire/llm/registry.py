@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from tidewire.llm import fingerprint, html_text, jaccard, langid, mixing, packing, substring, suffix, topk, warc
+from tidewire.llm import centroids, fingerprint, html_text, infilling, jaccard, langid, mixing, packing, sharding, substring, suffix, topk, warc
 
 QUERIES = {
     "op1_near_duplicates": jaccard.op1_near_duplicates,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_suffix": suffix.op10_suffix,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_fill_in_middle": infilling.op13_fill_in_middle,
 }
 ORACLES = {
     "op1_near_duplicates": jaccard.ORACLE,
@@ -20,4 +23,7 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op4_substring": substring.ORACLE,
     "op10_suffix": suffix.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_fill_in_middle": infilling.ORACLE,
 }

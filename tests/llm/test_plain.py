@@ -120,7 +120,7 @@ def plain_signature(text, samples):
     raw = " ".join(bag).encode()
     data = np.frombuffer(raw, np.uint8)
     ends = np.cumsum([len(w.encode()) + 1 for w in bag]) - 1
-    terms = common.string_hash(common.byte_sums(data), ends - np.array([len(w.encode()) for w in bag]), ends)
+    terms = common.word_hash(data, ends - np.array([len(w.encode()) for w in bag]), ends)
     r, b, ln_c = (x.astype(float) for x in fingerprint._draws(terms, samples))
     out = []
     for k in range(samples):

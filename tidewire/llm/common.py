@@ -71,18 +71,66 @@ def byte_sums(data: np.ndarray) -> np.ndarray:
 
 
 def string_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal strings get equal hashes wherever they are."""
+    """64-bit hash of each short byte range (tens of bytes); equal strings get equal hashes wherever they are. It is a polynomial modulo 2**64,
+    which long strings can be made to cancel out in; words, which may be long, have ``word_hash``."""
     return mix((sums[end] - sums[start]) * powers(BYTE_BASE, len(sums), True)[start] + (end - start).astype(U))
 
 
+LANE = 8
+_LANE_KEYS = np.random.default_rng(20240602).integers(0, 2**64, 1 << 10, dtype=np.uint64)
+
+
+def lane_keys(index: np.ndarray) -> np.ndarray:
+    """A key for the place of each lane in its word; places far into very long words are mixed from two."""
+    low, high = index & 1023, index >> 10
+    keys = _LANE_KEYS[low]
+    return keys if not high.any() else mix(keys + high.astype(U) * U(BYTE_BASE))
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range; equal ranges get equal hashes wherever they are.
+
+    A range is read as lanes of 8 bytes. Each lane is scrambled with a key of its place before the lanes are added up, so no arrangement
+    of bytes cancels out; ranges of up to 8 bytes differ in their hash if they differ at all in length and bytes but by chance (2**-64).
+    """
+    if not len(start):
+        return np.empty(0, U)
+    padded = np.concatenate((data, np.zeros(LANE, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    count = np.maximum(1, (size + LANE - 1) // LANE)
+    first = np.cumsum(count) - count
+    longest = int(count.max())
+    if longest == 1:
+        at, inside = start, np.zeros(len(start), np.int64)
+    else:
+        inside = np.arange(int(count.sum())) - np.repeat(first, count)
+        at = np.repeat(start, count) + LANE * inside
+    left = np.minimum(LANE, (size if longest == 1 else np.repeat(size, count)) - LANE * inside)
+    value = lanes[at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(8) * (U(LANE) - np.maximum(left, 1).astype(U))))
+    value = mix(value ^ lane_keys(inside))
+    total = value if longest == 1 else np.add.reduceat(value, first)
+    return mix(total + size.astype(U) * U(BYTE_BASE))
+
+
+def chained(a: np.ndarray, b: np.ndarray, seed: int = WORD_BASE) -> np.ndarray:
+    """Hash of two hashes in their order."""
+    return mix(a * U(seed) + b)
+
+
 def run_hash(items: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """64-bit hash of every k consecutive items."""
-    n = len(items)
-    if n < k:
+    """64-bit hash of every k consecutive items: runs of 1, 2, 4, ... are chained, and those that k is made of."""
+    if len(items) < k:
         return np.empty(0, U)
-    c = np.zeros(n + 1, U)
-    np.cumsum(items * powers(base, n), out=c[1:])
-    return mix((c[k:] - c[:-k]) * powers(base, n, True)[: n - k + 1])
+    out, at, size, power = None, 0, 1, items
+    while True:
+        if k & size:
+            out = power[: len(items) - k + 1] if out is None else chained(out, power[at : at + len(out)], base)
+            at += size
+        if size * 2 > k:
+            return out if k > 1 else mix(out * U(base))
+        power = chained(power[:-size], power[size:], base)
+        size *= 2
 
 
 _SPACE = np.zeros(256, bool)

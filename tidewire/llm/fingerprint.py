@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import U, byte_sums, partitions, string_hash, text_chunks, word_spans
+from tidewire.llm.common import U, partitions, text_chunks, word_hash, word_spans
 
 SAMPLES, STEP = 64, 1 << 13
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -96,7 +96,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
     out = np.zeros((texts, samples), np.uint16)
     if not len(start):
         return out
-    terms, at = np.unique(string_hash(byte_sums(data), start, end), return_inverse=True)
+    terms, at = np.unique(word_hash(data, start, end), return_inverse=True)
     pair = np.repeat(np.arange(texts), np.diff(first)) * len(terms) + at
     pair, weight = np.unique(pair, return_counts=True)
     text = pair // len(terms)

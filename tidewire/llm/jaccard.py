@@ -1,7 +1,7 @@
 """Near duplicates by an exact n-gram Jaccard join: a grouped prefix join.
 
 1. Shingles are counted over all documents. Each task packs the shingles of a run of documents into one binary row
-   a bucket (six bytes a shingle, and the steps of the documents' numbers, compressed); the reducers count, and send back only
+   a bucket (seven bytes a shingle, and the steps of the documents' numbers, compressed); the reducers count, and send back only
    the shingles that occur twice or more.
 2. In the order from rare to frequent, two documents with similarity t share a shingle among the first
    n - ceil(t n) + 1 of each. Shingles that occur once come first and match nothing, so a document whose prefix holds no
@@ -15,7 +15,9 @@
 5. A star of more than ``block`` classes is first verified against its centre alone, salted, in linear work: what links to the centre
    need not meet what links to it as well, so only the groups that don't are dealt against the whole star, block by block.
 
-No partner or candidate is capped. A shingle is known by 64 bits of its hash (48 and its bucket), a set and a prefix by 128.
+No partner or candidate is capped. A word is known by 64 bits, a shingle by 56 bits of its hash and its bucket (all 64 from 256 buckets on), a set and
+a prefix by 128. Nothing is compared with the text: with s different shingles in all, some two are taken for one with a probability of about
+s * s / 2**65 (3e-4 for 10**8, and from 10**10 on some are); such a pair changes a result only where it is what lifts two documents over the similarity.
 
 Defined results: null text and text without words have no shingles and no links; rows that repeat an id are one node with
 the links of each, and each comes back; rows with a null id come back with a null component; empty tables give empty
@@ -34,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import U, byte_sums, lower_ascii, mix, partitions, powers, run_hash, slices, string_hash, text_chunks, word_spans, WORD_BASE
+from tidewire.llm.common import U, chained, lower_ascii, mix, partitions, run_hash, slices, text_chunks, word_hash, word_spans
 from tidewire.llm.chunks import BucketedTable
 from tidewire.llm.repeats import press, unpress
 from tidewire.operators.graph import components
 from tidewire.session import cut
 
-WORDS, SIMILARITY, BLOCK = 5, 75, 512
+WORDS, SIMILARITY, BLOCK, TOKEN_BYTES = 5, 75, 512, 7
 PACKED = "bucket int, chunk long, token binary, doc binary, ids binary, sizes binary"
 COUNTED = "chunk long, bucket int, token binary, count binary, doc binary, ids binary, sizes binary"
 SETS = "doc_id long, n_shingles long, sig binary, form binary, prefix binary, tokens binary"
@@ -50,7 +52,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     """(text, shingle) pairs, sorted and distinct; a text with fewer words is one shingle."""
     data = lower_ascii(data)
     start, end, first = word_spans(data, offsets)
-    words = string_hash(byte_sums(data), start, end)
+    words = word_hash(data, start, end)
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(words))
@@ -59,9 +61,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     owner, shingle = text[whole], runs[at[whole]] if len(runs) else np.empty(0, U)
     few = np.flatnonzero((count > 0) & (count < width))
     if len(few):
-        c = np.zeros(len(words) + 1, U)
-        np.cumsum(words * powers(WORD_BASE, len(words)), out=c[1:])
-        short = mix((c[first[few + 1]] - c[first[few]]) * powers(WORD_BASE, len(words) + 1, True)[first[few]] + count[few].astype(U))
+        short = mix(words[first[few]] + count[few].astype(U))
+        for k in range(1, width - 1):
+            more = np.flatnonzero(count[few] > k)
+            short[more] = chained(short[more], words[first[few[more]] + k])
         owner, shingle = np.concatenate((owner, few)), np.concatenate((shingle, short))
     order = np.lexsort((shingle, owner))
     owner, shingle = owner[order], shingle[order]
@@ -93,7 +96,7 @@ def _packer(width: int, buckets: int):
                 bucket = (shingle % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                six = (shingle[order] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                short = (shingle[order] // U(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
                 doc = owner[order]
                 full = np.flatnonzero(np.diff(bounds))
                 rows = len(full) + 1
@@ -101,7 +104,7 @@ def _packer(width: int, buckets: int):
                     [
                         pa.array(np.append(full, chunk % buckets), pa.int32()),
                         pa.array(np.full(rows, chunk), pa.int64()),
-                        pa.array([np.ascontiguousarray(six[bounds[k] : bounds[k + 1]]).tobytes() for k in full] + [None], pa.binary()),
+                        pa.array([np.ascontiguousarray(short[bounds[k] : bounds[k + 1]]).tobytes() for k in full] + [None], pa.binary()),
                         pa.array([steps(doc[bounds[k] : bounds[k + 1]]) for k in full] + [None], pa.binary()),
                         pa.array([None] * len(full) + [ids[lo:hi].astype("<i8").tobytes()], pa.binary()),
                         pa.array([None] * len(full) + [sizes.tobytes()], pa.binary()),
@@ -122,8 +125,8 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
         docs = [unsteps(x) for x in rows["doc"]]
         lens = np.array([len(x) for x in docs])
         token = np.zeros((lens.sum(), 8), np.uint8)
-        token[:, :6] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, 6)
-        short, token = token[:, :6], token.view("<u8").ravel()
+        token[:, :TOKEN_BYTES] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, TOKEN_BYTES)
+        short, token = token[:, :TOKEN_BYTES], token.view("<u8").ravel()
         order = np.argsort(token)
         s = token[order]
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -142,7 +145,7 @@ def prefix_length(n: np.ndarray, similarity: int) -> np.ndarray:
     return n - (n * similarity + 99) // 100 + 1
 
 
-def _assembler(similarity: int):
+def _assembler(similarity: int, buckets: int):
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
         """Every document of a chunk; those with a repeated shingle in the prefix with their repeated shingles, rare ones first."""
         info = rows[rows["ids"].notna()].iloc[0]
@@ -152,8 +155,8 @@ def _assembler(similarity: int):
         docs = [unsteps(x) for x in rows["doc"]]
         doc = np.concatenate(docs) if docs else np.empty(0, np.uint16)
         token = np.zeros((len(doc), 8), np.uint8)
-        token[:, :6] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, 6)
-        token = token.view("<u8").ravel() | (np.repeat(rows["bucket"].to_numpy(), [len(x) for x in docs]).astype(U) << U(48))
+        token[:, :TOKEN_BYTES] = np.frombuffer(b"".join(rows["token"]), np.uint8).reshape(-1, TOKEN_BYTES)
+        token = token.view("<u8").ravel() * U(buckets) + np.repeat(rows["bucket"].to_numpy(), [len(x) for x in docs]).astype(U)
         count = np.frombuffer(b"".join(unpress(x) for x in rows["count"]), "<u4")
         order = np.lexsort((token, count, doc))
         token, doc = token[order], doc[order]
@@ -276,7 +279,7 @@ def sets(documents: DataFrame, width: int = WORDS, similarity: int = SIMILARITY)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = docs.mapInArrow(_packer(width, buckets), PACKED)
     counted = packed.groupBy("bucket").applyInPandas(_count, COUNTED)
-    return cut(counted.groupBy("chunk").applyInPandas(_assembler(similarity), SETS))
+    return cut(counted.groupBy("chunk").applyInPandas(_assembler(similarity, buckets), SETS))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ windows have equal fingerprints, and a long text has few. The index holds the te
 immutable tables of (fingerprint, chunk). ``append`` writes a batch as a run of its own and merge-joins it with the earlier runs,
 without a shuffle: windows whose fingerprint neither history nor the rest of the batch has occur nowhere else. The others, those of
 earlier batches included, are verified over all their words, by two hashes of about 60 and 32 bits; windows with an equal
-are repeats. The answer names what repeats in the batch and what the batch repeats in history. More than ``MOST_RUNS`` runs are
+are repeats. A word counts by a hash of 64 bits. The answer names what repeats in the batch and what the batch repeats in history. More than ``MOST_RUNS`` runs are
 compacted into one; answers stand on checkpoints, so neither compaction nor ``drop`` takes them away.
 
 Defined results: null text has no words; windows of repeated rows count as occurrences elsewhere; rows with a null id take part
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tidewire.llm import repeats
 from tidewire.llm.chunks import BucketedTable, chunked, each, joined
-from tidewire.llm.common import CHECK_BASE, U, byte_sums, run_hash, slices, string_buffers, string_hash, word_spans
+from tidewire.llm.common import CHECK_BASE, U, run_hash, slices, string_buffers, word_hash, word_spans
 from tidewire.session import cut
 
 WINDOW, GRAM, BATCHES, MOST_RUNS = 35, 8, 2, 4
@@ -41,7 +41,7 @@ class Windows:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
         self.start, self.end, self.first = word_spans(data, offsets)
-        self.words = string_hash(byte_sums(data), self.start, self.end)
+        self.words = word_hash(data, self.start, self.end)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         at = np.arange(len(text))
         self.at = at[at + window <= self.first[1:][text]] if len(text) else at

@@ -36,8 +36,8 @@ LARGEST, SMALL, LOW_BITS, STRIP = 1 << 27, 1 << 21, 20, 8192
 
 
 class Clustering(NamedTuple):
-    """``members``: vec_id, cluster, distance of every vector that takes part. ``centroids``: cluster, members, inertia, centroid (array),
-    a row a centroid."""
+    """``members``: vec_id, cluster, distance of every vector that takes part. ``centroids``: cluster, members, inertia, total_inertia (of all),
+    centroid (array), a row a centroid."""
 
     members: DataFrame
     centroids: DataFrame
@@ -128,7 +128,7 @@ def clustered(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     spark = vectors.sparkSession
     kept = quantised(vectors, id_col, vec_col, dim, scale)
     centroids = first_centroids(kept, k, dim, seed)
-    schema = "cluster int, members long, inertia long, centroid array<int>"
+    schema = "cluster int, members long, inertia long, total_inertia long, centroid array<int>"
     if not len(centroids):
         return Clustering(kept.select("vec_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("long").alias("distance")), spark.createDataFrame([], schema))
     distinct = cut(kept.groupBy("key", "vec").agg(F.count("*").alias("weight")).select("key", "vec", "weight"))
@@ -143,8 +143,10 @@ def clustered(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     assigned = cut(distinct.mapInArrow(assign, "key binary, weight long, cluster int, distance long"))
     spread = F.col("weight").cast("decimal(18,0)") * F.col("distance").cast("decimal(19,0)")
     found = {r["cluster"]: r for r in assigned.groupBy("cluster").agg(F.sum("weight").alias("members"), F.sum(spread).alias("inertia")).collect()}  # a row a centroid
-    table = [(c, found[c]["members"], int(found[c]["inertia"]), row.tolist()) if c in found else (c, 0, 0, row.tolist()) for c, row in enumerate(centroids)]
-    return Clustering(_joined_back(kept, assigned, sum(r[1] for r in table)), spark.createDataFrame(table, schema))
+    size = {c: r["members"] for c, r in found.items()}
+    inertia = {c: int(r["inertia"]) for c, r in found.items()}
+    table = [(c, size.get(c, 0), inertia.get(c, 0), sum(inertia.values()), row.tolist()) for c, row in enumerate(centroids)]
+    return Clustering(_joined_back(kept, assigned, sum(size.values())), spark.createDataFrame(table, schema))
 
 
 def _joined_back(kept: DataFrame, assigned: DataFrame, total: int) -> DataFrame:
@@ -162,8 +164,7 @@ def _joined_back(kept: DataFrame, assigned: DataFrame, total: int) -> DataFrame:
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
-    told = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), digest.alias("centroid_sha256"), "inertia").crossJoin(found.centroids.agg(F.sum("inertia").alias("inertia_of_all")))
-    told = told.select("cluster", "cluster_inertia", F.col("inertia_of_all").alias("inertia"), "centroid_sha256")
+    told = found.centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.col("total_inertia").alias("inertia"), digest.alias("centroid_sha256"))
     return found.members.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 

@@ -55,7 +55,8 @@ def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFra
     most; without any, noise is 0 and nothing at all is 15. A headline that only schedules a report isn't earnings but noise. The labels
     are those of what matters and of noise together.
 
-    Every pattern is matched once, and only if its group's gate holds, into one column of flags that score and labels are read from.
+    Every pattern is matched once, and only if its group's gate holds, into one struct of flags that score and labels are read from. The
+    struct is generated (``inline`` of one element), which filters on the score are not pushed through, so they don't match again.
     """
     head, excerpt = F.coalesce(headline, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 600)
     parts = rows.withColumn("__parts", F.struct(folded(head).alias("head"), folded(excerpt).alias("body"), folded(F.concat(head, F.lit("  ||  "), excerpt)).alias("full")))
@@ -65,7 +66,8 @@ def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFra
     parts = parts.withColumns({"__event_gate": event_gate, "__noise_gate": noise_gate})
     events = F.array(*[F.when(may & f.rlike(p), F.when(h.rlike(p), w + HEADLINE_BONUS).otherwise(w)).otherwise(0) for may, (p, w, _) in zip(may_be_event, HIGH_VALUE, strict=True)])
     noise = F.array(*[F.when(may & (h.rlike(p) | x.rlike(p)), 1).otherwise(0) for may, (p, _) in zip(may_be_noise, NOISE, strict=True)])
-    flags = parts.withColumns({"__events": events, "__noise": noise, "__spam": h.rlike(LAWYER_SPAM), "__scheduled": h.rlike(SCHEDULING)})
+    found = F.struct(events.alias("__events"), noise.alias("__noise"), h.rlike(LAWYER_SPAM).alias("__spam"), h.rlike(SCHEDULING).alias("__scheduled"))
+    flags = parts.select(*[F.col(f"`{c}`") for c in rows.columns], F.inline_outer(F.array(found)))
     label = F.array(*[F.lit(x) for _, _, x in HIGH_VALUE])
     counted = F.filter(F.zip_with("__events", label, lambda w, x: F.struct(w.alias("w"), x.alias("label"))), lambda e: (e["w"] > 0) & ~(F.col("__scheduled") & (e["label"] == "earnings")))
     noted = F.filter(F.zip_with("__noise", F.array(*[F.lit(x) for _, x in NOISE]), lambda n, x: F.when(n > 0, x)), lambda x: x.isNotNull())

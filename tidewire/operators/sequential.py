@@ -1,25 +1,20 @@
-"""Operators whose every step depends on the ones before: composition, admission, pruning, online grouping, daily caps.
+"""Operators whose every step depends on the ones before: composition, admission, pruning, daily caps.
 
 Each runs over one key at a time, in pandas. The keys' sizes are bounded by what the operator is for: a feed is a page, an admission a
-run's candidates, a pruned group an event's members. Online grouping streams a block and holds the groups of 72 hours.
+run's candidates, a pruned group an event's members. Online grouping, which has no such bound, is in ``grouping``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.fixed_values import CENTROID_SCAN, CHEAP_ATTACH, COHERENCE, DIVERSITY_SHARE, DIVERSITY_START, EMBEDDING_ATTACH, FEED_WINDOWS, SYNTHESIS_BUDGET
-from tidewire.operators import graph
+from tidewire.fixed_values import COHERENCE, DIVERSITY_SHARE, DIVERSITY_START, FEED_WINDOWS, SYNTHESIS_BUDGET
+from tidewire.operators.grouping import group_online  # noqa: F401
 from tidewire.operators.relational import latest_per_key
 
-#: A group that has not been seen for so long is not joined any more.
-STATE_HOURS = 72
-
 
 def compose(items: list[tuple], windows: dict = FEED_WINDOWS) -> list[int]:
     """Order of the feed: of (lead ticker or None, is social) in the order of score, again and again the first that breaks no
@@ -115,126 +110,6 @@ def coherence_prune(members: DataFrame, group: str, position: str, member: str,
     return rows.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{member}` {kinds[member]}, kept boolean, drop_order int")
 
 
-def _j(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def attach_score(a: dict, b: dict) -> float:
-    """0.4 tickers, 0.2 sectors, 0.1 regions, 0.2 event class, 0.1 words of the headline."""
-    event = 1.0 if a["event_class"] and a["event_class"] == b["event_class"] else 0.0
-    return 0.4 * _j(a["tickers"], b["tickers"]) + 0.2 * _j(a["sectors"], b["sectors"]) + 0.1 * _j(a["regions"], b["regions"]) + 0.2 * event + 0.1 * _j(a["tokens"], b["tokens"])
-
-
-def vector_score(item: dict, group: dict) -> float:
-    """0.6 cosine to the vector of the group's first item, 0.4 tickers."""
-    a, b = item["vector"], group["centroid"]
-    norm = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0.0
-    return 0.6 * (float(a @ b) / norm if norm else 0.0) + 0.4 * _j(item["tickers"], group["tickers"])
-
-
-class OnlineGroups:
-    """Groups that can still be joined, in the order of their numbers; times are hours and ascend from call to call."""
-
-    def __init__(self, stale_h: float = 48, hash_h: float = 48, state_h: float = STATE_HOURS, least: float = CHEAP_ATTACH):
-        self.stale_h, self.hash_h, self.state_h, self.least = stale_h, hash_h, state_h, least
-        self.live: dict[int, dict] = {}
-        self.next = 0
-
-    def attach(self, item: dict, now: float) -> int:
-        """The group of the next item. One older than ``stale_h`` joins none and is a group of its own; else the same headline
-        within ``hash_h``, else the best score among groups seen within ``state_h``; then, for an item with a vector, the best
-        ``vector_score`` of ``EMBEDDING_ATTACH`` or more among the ``CENTROID_SCAN`` groups with a vector seen last; else a new group."""
-        fresh, best = now - item["published_h"] <= self.stale_h, None
-        if fresh:
-            for k in [k for k, g in self.live.items() if now - g["seen"] > max(self.hash_h, self.state_h)]:
-                del self.live[k]
-            best = next((k for k, g in self.live.items() if item["hash"] in g["hashes"] and now - g["hashes"][item["hash"]] <= self.hash_h), None)
-            if best is None:
-                top = 0.0
-                for k, g in self.live.items():
-                    if now - g["seen"] <= self.state_h and (s := attach_score(item, g)) >= self.least - 1e-12 and s > top:
-                        best, top = k, s
-            if best is None and item.get("vector") is not None:
-                known = sorted((k for k, g in self.live.items() if g["centroid"] is not None and now - g["seen"] <= self.state_h), key=lambda k: (-self.live[k]["seen"], k))[:CENTROID_SCAN]
-                top, k = max(((vector_score(item, self.live[k]), -k) for k in known), default=(0.0, 0))
-                best = -k if top >= EMBEDDING_ATTACH - 1e-12 else None
-        if best is None:
-            best, self.next = self.next, self.next + 1
-            if not fresh:
-                return best
-            self.live[best] = {"tickers": set(), "sectors": set(), "regions": set(), "tokens": item["tokens"], "event_class": None, "classes": {}, "hashes": {}, "seen": now, "centroid": item.get("vector")}
-        g = self.live[best]
-        for k in ("tickers", "sectors", "regions"):
-            g[k] = g[k] | item[k]
-        if item["event_class"]:
-            g["classes"][item["event_class"]] = g["classes"].get(item["event_class"], 0) + 1
-            g["event_class"] = min(g["classes"], key=lambda c: (-g["classes"][c], c))
-        g["hashes"][item["hash"]], g["seen"] = now, now
-        return best
-
-
-def group_online(items: list[dict], now_h: list[float], stale_h: float = 48, hash_h: float = 48, state_h: float = STATE_HOURS, least: float = CHEAP_ATTACH) -> list[int]:
-    """The group of each item in order; ``published_h`` and the time of the pass are hours."""
-    groups = OnlineGroups(stale_h, hash_h, state_h, least)
-    return [groups.attach(item, now) for item, now in zip(items, now_h, strict=True)]
-
-
-def _hours(c: Column | str) -> Column:
-    return F.unix_micros(c) / 3.6e9
-
-
-def with_blocks(news: DataFrame, seen: str, block: str = "block", state_h: float = STATE_HOURS) -> DataFrame:
-    """``news`` with a block that never separates two members of a group: a topic, and a stretch of it without a pause over ``state_h``.
-
-    Items of one group share a headline or a ticker with another of its items, or where regions are given an event class: without any
-    ticker in common a score reaches at most 0.6, and that only with the same regions and event class. So a topic is a connected
-    component of these (a score with vectors needs a ticker in common as well). After the pause no group of the topic can be joined any more.
-    """
-    key = lambda kind, c: F.shiftrightunsigned(F.xxhash64(F.lit(kind), c), 28)  # noqa: E731  (small enough to be summed; equal ones only join topics)
-    event = F.when((F.size("regions") > 0) & F.col("event_class").isNotNull(), F.array(key("event", F.col("event_class"))))
-    none = F.array().cast("array<bigint>")
-    links = F.concat(F.coalesce(F.transform("tickers", lambda t: key("ticker", t)), none), F.coalesce(event, none))
-    own = news.withColumn("__links", links).withColumn("__hub", F.coalesce(F.array_min("__links"), key("hash", F.col("hash"))))
-    across = own.select("__hub", F.explode("__links").alias("b")).select(F.col("__hub").alias("a"), "b")
-    heads = own.select("hash", "__hub").distinct()
-    same = heads.join(heads.groupBy("hash").agg(F.min("__hub").alias("a")), "hash").select("a", F.col("__hub").alias("b"))
-    found = graph.components(across.unionByName(same).filter("a <> b").distinct())
-    topics = own.join(found, F.col("__hub") == F.col("node"), "left").withColumn("__topic", F.coalesce("component", "__hub")).withColumn("__slot", F.floor(_hours(seen) / state_h))
-    slots = topics.groupBy("__topic", "__slot").agg(F.min(_hours(seen)).alias("first"), F.max(_hours(seen)).alias("last"))
-    w = Window.partitionBy("__topic").orderBy("__slot")  # a row for each 72 hours
-    pause = F.coalesce(F.col("first") - F.lag("last").over(w) > state_h, F.lit(False)).cast("int")
-    runs = slots.withColumn("__pause", pause).select("__topic", "__slot", F.sum("__pause").over(w).alias("__run"))
-    runs = runs.withColumnsRenamed({"__topic": "__t", "__slot": "__s"})
-    dealt = topics.join(runs, (F.col("__topic") == F.col("__t")) & F.col("__slot").eqNullSafe(F.col("__s")))
-    return dealt.withColumn(block, F.concat_ws("/", "__topic", "__run")).select(*news.columns, block)
-
-
-def cluster_sequential(news: DataFrame, block: str, item: str, at: str, seen: str) -> DataFrame:
-    """block, item and group of news with tickers, sectors, regions, tokens, event_class and hash; in the order of ``seen``, a block at a time.
-
-    A block streams through its task in Arrow batches; only the groups of the last ``STATE_HOURS`` are held. A column ``vector`` (null
-    where an item is no candidate for promotion) adds the pass over vectors.
-    """
-    vectors = "vector" in news.columns
-    kinds = {f.name: f.dataType.simpleString() for f in news.schema}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now_in, groups = None, OnlineGroups()
-        for rows in batches:
-            out = []
-            for r in rows.to_dict("records"):
-                if r[block] != now_in:
-                    now_in, groups = r[block], OnlineGroups()
-                sets = {k: set() if r[k] is None else set(r[k]) for k in ("tickers", "sectors", "regions", "tokens")}
-                if vectors:
-                    sets["vector"] = None if r["vector"] is None else np.asarray(r["vector"], float)
-                out.append(groups.attach({**sets, "event_class": r["event_class"], "hash": r["hash"], "published_h": r["__at"]}, r["__seen"]))
-            yield pd.DataFrame({block: rows[block], item: rows[item], "grp": np.array(out, np.int64)})
-
-    own = news.select(block, item, _hours(at).alias("__at"), _hours(seen).alias("__seen"), "tickers", "sectors", "regions", "tokens", "event_class", "hash", *(["vector"] if vectors else []))
-    return own.repartition(block).sortWithinPartitions(block, "__seen", item).mapInPandas(run, f"`{block}` {kinds[block]}, `{item}` {kinds[item]}, grp long")
-
-
 def daily_cap(topics: DataFrame, day: str, item: str, order: list, ticker: str, cap: int) -> DataFrame:
     """Of every day's topics in order those admitted: the first of each ticker, up to ``cap``. That is a rank among firsts, so plain windows do."""
     first = topics.withColumn("__r", F.row_number().over(Window.partitionBy(day, ticker).orderBy(*order))).filter(F.col("__r") == 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.fixed_values import COMMODITY_PROXIES, EVENT_CLASS_TEXT, EXCHANGE_TICKER, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, NOISE, PROMOTION_MATERIALITY, SCHEDULING
 from tidewire.functions import text as T
-from tidewire.operators import graph, rules, sequential, setjoin, verify
+from tidewire.operators import graph, grouping, rules, sequential, setjoin, verify
 from tidewire.plans.catalogue import query
 from tidewire.sources import tables
 from tidewire.sources.tables import table
@@ -227,8 +227,8 @@ def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def cluster_sequential(spark: SparkSession, base: str) -> DataFrame:
-    """Documents in the order of their id, an hour apart, joined online to groups; a block is a topic's stretch without a pause of 72 hours, across sources."""
-    return sequential.cluster_sequential(sequential.with_blocks(_news(spark, base), "seen_at"), "block", "doc_id", "published_at", "seen_at")
+    """Documents in the order of their id, an hour apart, joined online to groups, across sources."""
+    return grouping.online_groups(_news(spark, base), "doc_id", "published_at", "seen_at")[0]
 
 
 def _news(spark: SparkSession, base: str) -> DataFrame:
@@ -245,8 +245,7 @@ def cluster_with_vectors(spark: SparkSession, base: str) -> DataFrame:
     candidates = scored.filter(F.col("materiality.score") >= PROMOTION_MATERIALITY).select("doc_id")
     vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).join(candidates, "doc_id")
     news = _news(spark, base).withColumns({"event_class": F.lit(None).cast("string"), "sectors": F.array().cast("array<string>")})
-    blocks = sequential.with_blocks(news, "seen_at").join(vectors, "doc_id", "left")
-    return sequential.cluster_sequential(blocks, "block", "doc_id", "published_at", "seen_at")
+    return grouping.online_groups(news.join(vectors, "doc_id", "left"), "doc_id", "published_at", "seen_at")[0]
 
 
 def _stories(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:

@@ -1,16 +1,25 @@
 """Series by key: moving averages, strength, bars, returns and changes.
 
-Averages over windows are window functions. The recursive ones (exponential average, Wilder's strength) are folds in the order of
-time, one key at a time; a key has as many rows as it has bars, so its series is bounded by the calendar.
+Averages and strength are computed over ranges of (key, time), so that one series is split over many tasks. A range holds the end of one series,
+whole ones, and the beginning of another; only the first depends on ranges before. What passes between ranges is small: how many bars came
+before, the last values (as many as the longest average looks back, guests of the range), and for each recursive average (exponential, Wilder's) a linear
+map: a range takes the average y that it is entered with to a * y + b, and such maps are composed in the order of ranges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.session import cut
+
+RANGE_ROWS, BLOCK = 1_000_000, 256
+
 
 def sma(value: Column, keys: list[str], order: str, n: int) -> Column:
     """Mean of the last n values; null before there are n."""
@@ -44,31 +53,209 @@ def rsi_of(x: np.ndarray, n: int = 14) -> np.ndarray:
     return out
 
 
-def recursive(bars: DataFrame, keys: list[str], order: str, value: str, emas: list[int], rsi: int | None = None) -> DataFrame:
-    """keys, order, value and the columns ema_<n> and rsi_<n> asked for."""
-    names = [*(f"ema_{n}" for n in emas), *([f"rsi_{rsi}"] if rsi else [])]
+class Recursion(NamedTuple):
+    """y = decay * y + gain * v over a series v that begins at bar ``first``; its first value is the mean of ``n``."""
+
+    n: int
+    first: int
+    decay: float
+    gain: float
+
+    @property
+    def defined(self) -> int:
+        return self.first + self.n - 1
+
+
+def exponential(n: int) -> Recursion:
+    return Recursion(n, 0, 1 - 2 / (n + 1), 2 / (n + 1))
+
+
+def wilder(n: int) -> Recursion:
+    return Recursion(n, 1, (n - 1) / n, 1 / n)
+
+
+def linear_scan(v: np.ndarray, decay: float, gain: float, y: float) -> np.ndarray:
+    """y = decay * y + gain * v for each v in turn, a block at a time."""
+    out = np.empty(len(v))
+    if not len(v):
+        return out
+    power = decay ** np.arange(BLOCK + 1)
+    lags = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    weights = np.where(lags >= 0, power[np.abs(lags)], 0.0) * gain
+    for lo in range(0, len(v), BLOCK):
+        part = v[lo : lo + BLOCK]
+        out[lo : lo + len(part)] = weights[: len(part), : len(part)] @ part + power[1 : len(part) + 1] * y
+        y = out[lo + len(part) - 1]
+    return out
+
+
+class Entry(NamedTuple):
+    """What a series brings into a range: bars before, the last values, and for each recursion the sum of what its first value is the mean of, and its value."""
+
+    start: int
+    tail: np.ndarray
+    sums: list[float]
+    values: list[float | None]
+
+
+class Averages:
+    """SMAs, EMAs and a strength asked for, over one series or a part of it."""
+
+    def __init__(self, smas: tuple[int, ...], emas: tuple[int, ...], rsi: int | None):
+        self.smas, self.emas, self.rsi = smas, emas, rsi
+        self.recursions = [exponential(n) for n in emas] + ([wilder(rsi)] * 2 if rsi else [])
+        self.halo = max([1, *(n - 1 for n in smas)])
+        self.names = [*(f"sma_{n}" for n in smas), *(f"ema_{n}" for n in emas), *([f"rsi_{rsi}"] if rsi else [])]
+
+    def fresh(self) -> Entry:
+        return Entry(0, np.empty(0), [0.0] * len(self.recursions), [None] * len(self.recursions))
+
+    def _series(self, x: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
+        step = np.diff(x, prepend=tail[-1] if len(tail) else x[:1])
+        return [x] * len(self.emas) + ([np.maximum(step, 0), np.maximum(-step, 0)] if self.rsi else [])
+
+    def exit(self, x: np.ndarray, start: int, tail: np.ndarray) -> list[tuple[float, float, float]]:
+        """For each recursion: what the part adds to the sum of its first value, and the map (a, b) of the bars behind that."""
+        out = []
+        for r, v in zip(self.recursions, self._series(x, tail), strict=True):
+            lo, hi = (min(max(k - start, 0), len(v)) for k in (r.first, r.defined + 1))
+            rest = v[hi:]
+            out.append((float(v[lo:hi].sum()), r.decay ** len(rest), float(linear_scan(rest, r.decay, r.gain, 0.0)[-1]) if len(rest) else 0.0))
+        return out
+
+    def advanced(self, e: Entry, size: int, maps: list, tail: np.ndarray) -> Entry:
+        """The entry of the range behind one of ``size`` bars."""
+        sums = [s + add for s, (add, _, _) in zip(e.sums, maps, strict=True)]
+        end, values = e.start + size, []
+        for r, s, y, (_, a, b) in zip(self.recursions, sums, e.values, maps, strict=True):
+            y = s / r.n if y is None and end > r.defined else y
+            values.append(None if y is None else a * y + b)
+        return Entry(end, np.concatenate((e.tail, tail))[-self.halo :], sums, values)
+
+    def of(self, x: np.ndarray, e: Entry) -> dict[str, np.ndarray]:
+        """The columns asked for; NaN before they are defined."""
+        out: dict[str, np.ndarray] = {}
+        both = np.concatenate((e.tail, x))
+        for n in self.smas:
+            column = np.full(len(x), np.nan)
+            if len(both) >= n:
+                means = np.lib.stride_tricks.sliding_window_view(both, n).mean(1)[-len(x) :]
+                column[len(x) - len(means) :] = means
+            out[f"sma_{n}"] = column
+        found = []
+        for r, v, s, y in zip(self.recursions, self._series(x, e.tail), e.sums, e.values, strict=True):
+            column = np.full(len(x), np.nan)
+            at = r.defined - e.start
+            if y is None and at < len(x):
+                y = (s + float(v[max(r.first - e.start, 0) : at + 1].sum())) / r.n
+                column[at] = y
+            if y is not None:
+                column[max(at + 1, 0) :] = linear_scan(v[max(at + 1, 0) :], r.decay, r.gain, y)
+            found.append(column)
+        out.update({f"ema_{n}": c for n, c in zip(self.emas, found, strict=False)})
+        if self.rsi:
+            up, down = found[-2:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[f"rsi_{self.rsi}"] = np.where(np.isnan(down), np.nan, np.where(down <= 0, 100.0, 100 - 100 / (1 + up / down)))
+        return out
+
+
+def _segments(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """Where each series begins and ends among rows that are sorted by key."""
+    if not len(rows):
+        return []
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in keys:
+        c = rows[k]
+        new[1:] |= ((c != c.shift()) & ~(c.isna() & c.shift().isna())).to_numpy()[1:]
+    begin = np.flatnonzero(new)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True))
+
+
+def _ranges(work: Callable[[int, pd.DataFrame], pd.DataFrame]):
+    """Each range as one table: a partition of the checkpoint, or what rows of several there are."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in parts:
+            for number, own in rows.groupby("__range", sort=False):
+                if held and held[0]["__range"].iloc[0] != number:
+                    yield work(int(held[0]["__range"].iloc[0]), pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(own)
+        if held:
+            yield work(int(held[0]["__range"].iloc[0]), pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def indicator_set(bars: DataFrame, keys: list[str], order: str, value: str, smas: tuple[int, ...] = (20, 50, 200), emas: tuple[int, ...] = (20, 50, 200), rsi: int | None = 14, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """keys, order and value of every bar that has one, its number in the series (from 1), sma_<n>, ema_<n> and rsi_<n> (null before they are defined), and of the series which averages
+    its history is too short for (``disabled``) and why. Times of a series are unique."""
+    asked = Averages(smas, emas, rsi)
+    own = bars.select(*keys, order, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & ~F.isnan(value))
+    own = cut(own)
+    n = max(1, -(-own.count() // range_rows))
+    held = cut(own.repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order).withColumn("__range", F.spark_partition_id()))
+    ends: list[dict] = []
+    if n > 1:  # a range tells its size and keys, and the last values of its last series
+        def first_look(number: int, rows: pd.DataFrame) -> pd.DataFrame:
+            found = _segments(rows, keys)
+            a, b = found[-1]
+            return pd.DataFrame([{"number": number, "whole": len(found) == 1, "head": found[0][1], "size": b - a, "tail": rows[value].to_numpy()[max(a, b - asked.halo) : b].tolist()}])
+
+        looked = held.mapInPandas(_ranges(first_look), "number int, whole boolean, head long, size long, tail array<double>").collect()
+        edge = held.groupBy("__range").agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high")).collect()
+        keyed = {r["__range"]: (r["low"], r["high"]) for r in edge}
+        ends = sorted(({**r.asDict(), "low": keyed[r["number"]][0], "high": keyed[r["number"]][1]} for r in looked), key=lambda r: r["number"])
+        start, tail, before = 0, np.empty(0), None
+        for r in ends:
+            if before is None or before["high"] != r["low"]:
+                start, tail = 0, np.empty(0)
+            r["start"], r["guests"] = start, tail
+            last = np.array(r["tail"])
+            start, tail = (start + r["size"], np.concatenate((tail, last))[-asked.halo :]) if r["whole"] else (r["size"], last)
+            before = r
+        for k in range(len(ends) - 1, -1, -1):  # how long the first and the last series of each range are in all
+            r, after = ends[k], ends[k + 1] if k + 1 < len(ends) else None
+            behind = after["first_total"] - after["start"] if after and after["low"] == r["high"] else 0
+            r["last_total"] = (r["start"] if r["whole"] else 0) + r["size"] + behind
+            r["first_total"] = r["last_total"] if r["whole"] else r["start"] + r["head"]
+        entered = {r["number"]: (r["start"], r["guests"]) for r in ends}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
-        x = rows[value].to_numpy(float)
-        for n in emas:
-            rows[f"ema_{n}"] = ema_of(x, n)
-        if rsi:
-            rows[f"rsi_{rsi}"] = rsi_of(x, rsi)
-        return rows.astype({c: object for c in names}).where(rows.notna(), None)
+        def second_look(number: int, rows: pd.DataFrame) -> pd.DataFrame:
+            found = _segments(rows, keys)
+            a, b = found[-1]
+            start, guests = entered[number] if len(found) == 1 else (0, np.empty(0))
+            return pd.DataFrame([{"number": number, "maps": [list(m) for m in asked.exit(rows[value].to_numpy()[a:b], start, guests)]}])
 
-    own = bars.select(*keys, order, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), *(f"{n} double" for n in names)])
-    return own.groupBy(*keys).applyInPandas(run, schema)
+        maps = {r["number"]: r["maps"] for r in held.mapInPandas(_ranges(second_look), "number int, maps array<array<double>>").collect()}
+        e, before = asked.fresh(), None
+        for r in ends:
+            if before is None or before["high"] != r["low"]:
+                e = asked.fresh()
+            r["entry"] = e
+            e = asked.advanced(e if r["whole"] else asked.fresh(), r["size"], maps[r["number"]], np.array(r["tail"]))
+            before = r
+    known = {r["number"]: (r["entry"], r["first_total"], r["last_total"]) for r in ends}
+    too_long = {f"{kind}_{n}": n for kind, ns in (("sma", smas), ("ema", emas)) for n in ns if n >= 200}
 
+    def compute(number: int, rows: pd.DataFrame) -> pd.DataFrame:
+        found = _segments(rows, keys)
+        x, parts = rows[value].to_numpy(float), []
+        for k, (a, b) in enumerate(found):
+            entry, first_total, last_total = known.get(number, (None, 0, 0))
+            e = entry if entry is not None and k == 0 else asked.fresh()
+            total = b - a if entry is None else first_total if k == 0 else last_total if k == len(found) - 1 else b - a
+            short = ",".join(c for c, n in too_long.items() if total < n)
+            parts.append(pd.DataFrame({"bar": np.arange(e.start + 1, e.start + 1 + b - a), **asked.of(x[a:b], e), "disabled": short or None, "disabled_reason": "insufficient_history" if short else None}))
+        made = pd.concat(parts, ignore_index=True)
+        made[asked.names] = made[asked.names].astype(object).where(made[asked.names].notna(), None)
+        return pd.concat((rows.drop(columns="__range"), made), axis=1)
 
-def indicator_set(bars: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """SMA and EMA of 20, 50 and 200 and RSI of 14 at every bar, with a note for the long averages where the history is short."""
-    out = recursive(bars, keys, order, value, [20, 50, 200], 14)
-    for n in (20, 50, 200):
-        out = out.withColumn(f"sma_{n}", sma(F.col(value), keys, order, n))
-    size = F.count("*").over(Window.partitionBy(*keys))
-    return out.withColumn("disabled", F.when(size < 200, "insufficient_history"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "bar long", *(f"{c} double" for c in asked.names), "disabled string, disabled_reason string"])
+    return held.mapInPandas(_ranges(compute), schema)
 
 
 def latest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

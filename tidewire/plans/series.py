@@ -19,36 +19,55 @@ def daily(spark: SparkSession, base: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("close"))
 
 
-@query(f"WITH {DAILY} SELECT k, day, " + ", ".join(f"CASE WHEN i >= {n} THEN round(avg(close) OVER (PARTITION BY k ORDER BY day ROWS {n - 1} PRECEDING), 6) END AS sma_{n}" for n in (20, 50, 200)) + ", CASE WHEN n < 200 THEN 'insufficient_history' END AS disabled FROM r")
+#: So many digits that a mean of n closes of two digits is not halfway between two.
+EMA_DIGITS = [(20, 4), (50, 4), (200, 5)]
+SMAS = ", ".join(f"CASE WHEN i >= {n} THEN round(avg(close) OVER (PARTITION BY k ORDER BY day ROWS {n - 1} PRECEDING), 6) END AS sma_{n}" for n in (20, 50, 200))
+
+
+def _ema_sql(n: int) -> str:
+    """The exponential average as the sum that it is: the mean of the first n and every close since, by their age."""
+    return f"""e{n} AS (SELECT a.k, a.day, sum(CASE WHEN b.i = {n} THEN s.seed ELSE b.close * 2.0 / {n + 1} END * power({n - 1}.0 / {n + 1}, a.i - b.i)) AS ema_{n}
+  FROM r a JOIN (SELECT k, avg(close) AS seed FROM r WHERE i <= {n} GROUP BY k HAVING count(*) = {n}) s ON s.k = a.k JOIN r b ON b.k = a.k AND b.i BETWEEN {n} AND a.i GROUP BY a.k, a.day)"""
+
+
+EMAS = ", ".join(_ema_sql(n) for n in (20, 50, 200))
+RSI = """g AS (SELECT k, day, i, close - lag(close) OVER (PARTITION BY k ORDER BY day) AS d FROM r),
+w AS (SELECT k, avg(greatest(d, 0)) AS up, avg(greatest(-d, 0)) AS down FROM g WHERE i BETWEEN 2 AND 15 GROUP BY k HAVING count(*) = 14),
+x AS (SELECT a.k, a.day, sum(CASE WHEN b.i = 15 THEN w.up ELSE greatest(b.d, 0) / 14 END * power(13.0 / 14, a.i - b.i)) AS up, sum(CASE WHEN b.i = 15 THEN w.down ELSE greatest(-b.d, 0) / 14 END * power(13.0 / 14, a.i - b.i)) AS down
+  FROM g a JOIN w ON w.k = a.k JOIN g b ON b.k = a.k AND b.i BETWEEN 15 AND a.i WHERE a.i >= 15 GROUP BY a.k, a.day),
+rsi AS (SELECT k, day, CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi_14 FROM x)"""
+
+
+@query(f"WITH {DAILY} SELECT k, day, {SMAS}, CASE WHEN n < 200 THEN 'insufficient_history' END AS disabled FROM r")
 def sma_set(spark: SparkSession, base: str) -> DataFrame:
-    size = F.count("*").over(Window.partitionBy("k"))
-    return daily(spark, base).select("k", "day", *[F.round(indicators.sma(F.col("close"), ["k"], "day", n), 6).alias(f"sma_{n}") for n in (20, 50, 200)], F.when(size < 200, "insufficient_history").alias("disabled"))
+    out = indicators.indicator_set(daily(spark, base), ["k"], "day", "close", emas=(), rsi=None)
+    return out.select("k", "day", *[F.round(f"sma_{n}", 6).alias(f"sma_{n}") for n in (20, 50, 200)], F.col("disabled_reason").alias("disabled"))
 
 
-@query(f"""
-WITH {DAILY}, s AS (SELECT k, avg(close) AS seed FROM r WHERE i <= 20 GROUP BY k HAVING count(*) = 20)
-SELECT a.k, a.day, round(sum(CASE WHEN b.i = 20 THEN s.seed ELSE b.close * 2.0 / 21 END * power(19.0 / 21, a.i - b.i)), 3) AS ema_20
-FROM r a JOIN s ON s.k = a.k JOIN r b ON b.k = a.k AND b.i BETWEEN greatest(20, a.i - 400) AND a.i WHERE a.i > 40 GROUP BY a.k, a.day
-""")
+@query(f"WITH {DAILY}, {EMAS} SELECT r.k, r.day, round(ema_20, 4) AS ema_20, round(ema_50, 4) AS ema_50, round(ema_200, 5) AS ema_200 FROM r JOIN e20 ON e20.k = r.k AND e20.day = r.day LEFT JOIN e50 ON e50.k = r.k AND e50.day = r.day LEFT JOIN e200 ON e200.k = r.k AND e200.day = r.day")
 def ema_set(spark: SparkSession, base: str) -> DataFrame:
-    """The averages of every day after a warm-up of twice their length."""
-    out = indicators.recursive(daily(spark, base), ["k"], "day", "close", [20])
-    out = out.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("day")))
-    return out.filter("i > 40").select("k", "day", F.round("ema_20", 3).alias("ema_20"))
+    """The averages from the first day that has the shortest."""
+    out = indicators.indicator_set(daily(spark, base), ["k"], "day", "close", smas=(), rsi=None)
+    return out.filter("ema_20 IS NOT NULL").select("k", "day", *[F.round(f"ema_{n}", d).alias(f"ema_{n}") for n, d in EMA_DIGITS])
 
 
-@query(f"""
-WITH {DAILY}, g AS (SELECT k, day, i, close - lag(close) OVER (PARTITION BY k ORDER BY day) AS d FROM r),
-s AS (SELECT k, avg(greatest(d, 0)) AS up, avg(greatest(-d, 0)) AS down FROM g WHERE i BETWEEN 2 AND 15 GROUP BY k HAVING count(*) = 14),
-x AS (SELECT a.k, a.day, sum(CASE WHEN b.i = 15 THEN s.up ELSE greatest(b.d, 0) / 14 END * power(13.0 / 14, a.i - b.i)) AS up, sum(CASE WHEN b.i = 15 THEN s.down ELSE greatest(-b.d, 0) / 14 END * power(13.0 / 14, a.i - b.i)) AS down
-  FROM g a JOIN s ON s.k = a.k JOIN g b ON b.k = a.k AND b.i BETWEEN greatest(15, a.i - 600) AND a.i WHERE a.i >= 15 GROUP BY a.k, a.day)
-SELECT k, day, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 5) AS rsi_14 FROM x
-""")
+@query(f"WITH {DAILY}, {RSI} SELECT k, day, round(rsi_14, 5) AS rsi_14 FROM rsi")
 def rsi_14(spark: SparkSession, base: str) -> DataFrame:
-    out = indicators.recursive(daily(spark, base), ["k"], "day", "close", [], 14)
+    out = indicators.indicator_set(daily(spark, base), ["k"], "day", "close", smas=(), emas=())
     return out.filter("rsi_14 IS NOT NULL").select("k", "day", F.round("rsi_14", 5).alias("rsi_14"))
 
 
+@query(f"""WITH {DAILY.replace("o_orderpriority AS k", "o_orderpriority || ' ' || o_orderstatus AS k")}, {EMAS}, {RSI}
+SELECT r.k, r.day, r.i AS bar, {SMAS}, round(ema_20, 4) AS ema_20, round(ema_50, 4) AS ema_50, round(ema_200, 5) AS ema_200, round(rsi_14, 5) AS rsi_14, CASE WHEN n < 200 THEN 'sma_200,ema_200' END AS disabled, CASE WHEN n < 200 THEN 'insufficient_history' END AS disabled_reason
+FROM r LEFT JOIN e20 USING (k, day) LEFT JOIN e50 USING (k, day) LEFT JOIN e200 USING (k, day) LEFT JOIN rsi USING (k, day)""")
+def indicator_set(spark: SparkSession, base: str) -> DataFrame:
+    """All averages and the strength of every day's bar, by priority and status."""
+    o = table(spark, base, "orders")
+    d = o.groupBy(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("o_totalprice"), 2).alias("close"))
+    out = indicators.indicator_set(d, ["k"], "day", "close")
+    return out.select("k", "day", "bar", *[F.round(f"sma_{n}", 6).alias(f"sma_{n}") for n in (20, 50, 200)], *[F.round(f"ema_{n}", d).alias(f"ema_{n}") for n, d in EMA_DIGITS], F.round("rsi_14", 5).alias("rsi_14"), "disabled", "disabled_reason")
+
+
 def _ohlcv(width: str) -> str:
     return f"""
 SELECT event_type, strftime(time_bucket(INTERVAL '{width}', ts), '%Y-%m-%d %H:%M') AS t, arg_min(value, {{'a': ts, 'b': event_id}}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {{'a': ts, 'b': event_id}}) AS close,

@@ -55,8 +55,9 @@ def ticker_slate(members: DataFrame, key: str, order: list[Column], title: Colum
     """key, position, symbol, display and aliases of the symbols that a group's story may name, in four tiers: attached ones, tickers
     named in the members, equities whose aliases the members have, and seeds of the group's sectors.
 
-    ``attached``: (key, pos, symbol); ``sectors``: (key, sector); ``registry``: (symbol, aliases, asset_class); ``seeds``: (sector, symbol, aliases).
-    A symbol counts in its first tier and only if the registry has it; seeds add their phrases to the aliases of a symbol on the slate.
+    ``attached``: (key, pos, symbol); ``sectors``: (key, pos, sector); ``registry``: (symbol, aliases, asset_class); ``seeds``: (sector, pos, symbol, aliases).
+    A symbol counts in its first tier and only if the registry has it; seeds come in the order of the group's sectors and of the seeds of each,
+    and add their phrases to the aliases of a symbol on the slate.
     Texts meet aliases of any number by the words that these begin with.
     """
     known = registry.select(F.upper(F.trim("symbol")).alias("symbol"), F.col("aliases").alias("names"), "asset_class").dropDuplicates(["symbol"])
@@ -70,8 +71,8 @@ def ticker_slate(members: DataFrame, key: str, order: list[Column], title: Colum
     held = F.rlike("text", F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}])")))
     met = texts.select(key, "member", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("atom")).join(begins, "atom").filter(held)
     found = met.withColumn("pos", F.position(F.lower("alias"), F.lower("text")))
-    invited = sectors.join(seeds, "sector")
-    ranked = reduce(DataFrame.unionByName, [tier(1, attached, "pos"), tier(2, named, "member", "pos"), tier(3, found, "member", "pos"), tier(4, invited.withColumn("pos", F.xxhash64("sector", "symbol")), "pos")])
+    invited = sectors.withColumnRenamed("pos", "place").join(seeds, "sector")
+    ranked = reduce(DataFrame.unionByName, [tier(1, attached, "pos"), tier(2, named, "member", "pos"), tier(3, found, "member", "pos"), tier(4, invited, "place", "pos")])
     ranked = ranked.filter("symbol <> ''").join(known, "symbol")
     first = ranked.groupBy(key, "symbol").agg(F.min(F.struct("tier", "at")).alias("first"), F.first("names").alias("names"))
     slate = first.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("first", "symbol"))).filter(F.col("position") <= most)

@@ -103,30 +103,31 @@ def shown_symbols(spark: SparkSession, base: str) -> DataFrame:
     return matching.shown_symbols(rows, "c_custkey", "symbols", registry, "symbol", "cls").select("c_custkey", F.array_join("shown", ",").alias("shown"))
 
 
-REGISTRY = [("AAA", ["Alpha Works", "Alphaco"], "equity"), ("BBB", ["Beta Oil"], "equity"), ("ETF1", ["Oil Fund"], "etf"), ("CCC", ["xyz"], "equity"), ("DDD", ["Delta & Sons", "Delta"], "equity"), ("EEE", [], "equity")]
-SEEDS = [("energy", "ETF1", ["crude oil", "Brent"]), ("energy", "NONE", ["x"]), ("macro", "BBB", ["beta barrels"])]
+REGISTRY = [("AAA", ["Alpha Works", "Alphaco"], "equity"), ("BBB", ["Beta Oil"], "equity"), ("ETF1", ["Oil Fund"], "etf"), ("CCC", ["xyz"], "equity"), ("DDD", ["Delta & Sons", "Delta"], "equity"), ("EEE", [], "equity"), *((x, [f"{x} Trust"], "etf") for x in ("GLD", "SLV", "TLT", "UNG", "USO", "XLE"))]
+SEEDS = [("energy", 0, "ETF1", ["crude oil", "Brent"]), ("energy", 1, "NONE", ["x"]), ("energy", 2, "XLE", ["oil majors"]), ("energy", 3, "UNG", []), ("energy", 4, "USO", ["crude"]), ("macro", 0, "BBB", ["beta barrels"]), ("macro", 1, "TLT", ["Treasury yield"]), ("macro", 2, "GLD", ["bullion"]), ("macro", 3, "SLV", []), ("macro", 4, "USO", ["oil price"])]
+SLATE = 6
 TITLES = ["Alphaco and DELTA agree", "$CCC up; NYSE: AAA flat", "xyz and Deltas", "Beta oil, (NASDAQ:DDD) and $ZZZ", ""]
 
 
 @query(f"""WITH m AS (SELECT CAST(floor(item_id / 4) AS BIGINT) AS grp, item_id, [{', '.join(repr(x) for x in TITLES)}][CAST(item_id % 5 AS INT) + 1] AS title FROM benchmark),
 n AS (SELECT grp, item_id, row_number() OVER (PARTITION BY grp ORDER BY item_id) AS member, title || chr(10) AS t FROM m),
-reg(symbol, names, cls) AS (VALUES {', '.join(f"('{s}', {n if n else '[]::VARCHAR[]'}, '{c}')" for s, n, c in REGISTRY)}), seed(sector, symbol, phrases) AS (VALUES {', '.join(f"('{a}', '{b}', {c})" for a, b, c in SEEDS)}),
-g AS (SELECT DISTINCT grp FROM m), sec AS (SELECT grp, 'energy' AS sector FROM g WHERE grp % 2 = 0 UNION ALL SELECT grp, 'macro' FROM g WHERE grp % 3 = 0),
+reg(symbol, names, cls) AS (VALUES {', '.join(f"('{s}', {n if n else '[]::VARCHAR[]'}, '{c}')" for s, n, c in REGISTRY)}), seed(sector, pos, symbol, phrases) AS (VALUES {', '.join(f"('{a}', {i}, '{b}', {c if c else '[]::VARCHAR[]'})" for a, i, b, c in SEEDS)}),
+g AS (SELECT DISTINCT grp FROM m), sec AS (SELECT grp, grp % 5 AS place, 'energy' AS sector FROM g WHERE grp % 2 = 0 UNION ALL SELECT grp, 2, 'macro' FROM g WHERE grp % 3 = 0),
 x AS (SELECT grp, member, unnest(regexp_extract_all(t, '{_sql(EXPLICIT_TICKER)}', 1)) AS symbol, unnest(range(0, len(regexp_extract_all(t, '{_sql(EXPLICIT_TICKER)}', 1)))) AS pos FROM n),
 al AS (SELECT grp, member, symbol, instr(lower(t), lower(a)) AS pos FROM n, (SELECT symbol, unnest(names) AS a FROM reg WHERE cls = 'equity') WHERE length(a) >= 4 AND regexp_matches(t, '(?i)(^|[^a-z0-9])' || regexp_escape(a) || '([^a-z0-9]|$)')),
-c AS (SELECT grp, 1 AS tier, 0 AS m, 0 AS p, 'bbb ' AS symbol FROM g WHERE grp % 4 = 1 UNION ALL SELECT grp, 2, member, pos, symbol FROM x UNION ALL SELECT grp, 3, member, pos, symbol FROM al UNION ALL SELECT grp, 4, 0, 0, symbol FROM sec JOIN seed USING (sector)),
+c AS (SELECT grp, 1 AS tier, 0 AS m, 0 AS p, 'bbb ' AS symbol FROM g WHERE grp % 4 = 1 UNION ALL SELECT grp, 2, member, pos, symbol FROM x UNION ALL SELECT grp, 3, member, pos, symbol FROM al UNION ALL SELECT grp, 4, place, pos, symbol FROM sec JOIN seed USING (sector)),
 f AS (SELECT grp, symbol, names, min((tier, m, p)) AS first FROM (SELECT grp, tier, m, p, upper(trim(symbol)) AS symbol FROM c) JOIN reg USING (symbol) GROUP BY ALL),
 ph AS (SELECT grp, symbol, flatten(list(phrases)) AS ps FROM sec JOIN seed USING (sector) GROUP BY ALL),
 a AS (SELECT f.grp, f.symbol, first, list_distinct(list_concat(names, coalesce(ps, []))) AS al FROM f LEFT JOIN ph ON ph.grp = f.grp AND ph.symbol = f.symbol)
-SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY first, symbol) AS INT) AS position, symbol, (SELECT string_agg(u, '|' ORDER BY length(u) DESC, u) FROM (SELECT unnest(al) AS u)) AS aliases FROM a QUALIFY len(al) > 0""")
+SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY first, symbol) AS INT) AS position, symbol, (SELECT string_agg(u, '|' ORDER BY length(u) DESC, u) FROM (SELECT unnest(al) AS u)) AS aliases FROM a QUALIFY len(al) > 0 AND position <= {SLATE}""")
 def ticker_slate(spark: SparkSession, base: str) -> DataFrame:
     m = table(spark, base, "benchmark").select((F.col("item_id") / 4).cast("bigint").alias("grp"), "item_id", F.element_at(F.array(*[F.lit(x) for x in TITLES]), (F.col("item_id") % 5).cast("int") + 1).alias("title"))
     g = m.select("grp").distinct()
     attached = g.filter("grp % 4 = 1").select("grp", F.lit(0).alias("pos"), F.lit("bbb ").alias("symbol"))
-    sectors = g.filter("grp % 2 = 0").select("grp", F.lit("energy").alias("sector")).unionByName(g.filter("grp % 3 = 0").select("grp", F.lit("macro").alias("sector")))
+    sectors = g.filter("grp % 2 = 0").select("grp", (F.col("grp") % 5).alias("pos"), F.lit("energy").alias("sector")).unionByName(g.filter("grp % 3 = 0").select("grp", F.lit(2).alias("pos"), F.lit("macro").alias("sector")))
     registry = spark.createDataFrame(REGISTRY, "symbol string, aliases array<string>, asset_class string")
-    seeds = spark.createDataFrame(SEEDS, "sector string, symbol string, aliases array<string>")
-    slate = matching.ticker_slate(m, "grp", [F.col("item_id")], F.col("title"), F.lit(None).cast("string"), attached, sectors, registry, seeds)
+    seeds = spark.createDataFrame(SEEDS, "sector string, pos int, symbol string, aliases array<string>")
+    slate = matching.ticker_slate(m, "grp", [F.col("item_id")], F.col("title"), F.lit(None).cast("string"), attached, sectors, registry, seeds, SLATE)
     return slate.select("grp", "position", "symbol", F.array_join("aliases", "|").alias("aliases"))
 
 

@@ -26,19 +26,29 @@ def _list(names: list) -> str:
     return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in names) + "]"
 
 
-@query(f"""WITH m AS (SELECT event_id AS i, user_id AS g, event_id * 13 % 101 AS mat, {_list(KINDS)}[CAST(event_id % 4 AS INT) + 1] AS kind, CASE WHEN event_id % 7 = 0 THEN 'state_media' ELSE 'neutral' END AS stance, 'p' || event_id % 5 AS ind, {_list(TIERS)}[CAST(event_id % 5 AS INT) + 1] AS tier,
+GROUPS_SQL = f"""WITH m AS (SELECT event_id AS i, user_id AS g, event_id * 13 % 101 AS mat, {_list(KINDS)}[CAST(event_id % 4 AS INT) + 1] AS kind, CASE WHEN event_id % 7 = 0 THEN 'state_media' ELSE 'neutral' END AS stance, 'p' || event_id % 5 AS ind, {_list(TIERS)}[CAST(event_id % 5 AS INT) + 1] AS tier,
   CASE WHEN event_id % 9 = 0 THEN [] ELSE ['T' || event_id % 3, 'T' || event_id % 4] END AS tickers, {_list(CLASSES)}[CAST(event_id % 5 AS INT) + 1] AS cls, coalesce(CASE WHEN event_id % 3 > 0 THEN ts END, ts + INTERVAL 1 HOUR) AS seen FROM events),
 c AS (SELECT g, cls, count(*) AS n FROM m WHERE cls IS NOT NULL GROUP BY g, cls QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, cls) = 1)
 SELECT m.g, CASE WHEN bool_and(kind = 'pr_wire') THEN least(max(mat), {PR_WIRE_CAP}) ELSE max(mat) END AS max_materiality, count(*) AS members, count(DISTINCT CASE WHEN stance <> 'state_media' THEN ind END) AS independent_pub_count, array_to_string(list_sort(list_distinct(flatten(list(tickers)))), ',') AS tickers,
-  bool_or(tier IN ('wire', 'tier1')) AS tier1, bool_or(kind = 'institutional') AS institutional, bool_or(kind = 'pr_wire') AS press_wire, bool_or(kind = 'news') AS non_pr, min(seen) AS first_seen_at, max(seen) AS last_seen_at, any_value(c.cls) AS event_class FROM m LEFT JOIN c ON c.g = m.g GROUP BY m.g""")
+  bool_or(tier IN ('wire', 'tier1')) AS tier1, bool_or(kind = 'institutional') AS institutional, bool_or(kind = 'pr_wire') AS press_wire, bool_or(kind = 'news') AS non_pr, min(seen) AS first_seen_at, max(seen) AS last_seen_at, any_value(c.cls) AS event_class FROM m LEFT JOIN c ON c.g = m.g GROUP BY m.g"""
+
+
+@query(GROUPS_SQL)
 def group_summaries(spark: SparkSession, base: str) -> DataFrame:
+    return _shown(rules.group_summary(members_of_groups(table(spark, base, "events")), "g"))
+
+
+def members_of_groups(events: DataFrame) -> DataFrame:
+    """Events as members of a group a user."""
     i = F.col("event_id")
     none, tick = F.array().cast("array<string>"), lambda n: F.concat(F.lit("T"), (i % n).cast("string"))
-    m = table(spark, base, "events").select(
-        F.col("user_id").alias("g"), (i * 13 % 101).alias("materiality_score"), _pick(KINDS, i % 4).alias("kind"), F.when(i % 7 == 0, "state_media").otherwise("neutral").alias("stance"), F.concat(F.lit("p"), (i % 5).cast("string")).alias("independence"), _pick(TIERS, i % 5).alias("tier"),
+    return events.select(
+        "event_id", F.col("user_id").alias("g"), (i * 13 % 101).cast("int").alias("materiality_score"), _pick(KINDS, i % 4).alias("kind"), F.when(i % 7 == 0, "state_media").otherwise("neutral").alias("stance"), F.concat(F.lit("p"), (i % 5).cast("string")).alias("independence"), _pick(TIERS, i % 5).alias("tier"),
         F.when(i % 9 == 0, none).otherwise(F.array(tick(3), tick(4))).alias("tickers"), none.alias("sectors"), none.alias("regions"), _pick(CLASSES, i % 5).alias("event_class"), F.when(i % 3 > 0, F.col("ts")).alias("published_at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("created_at"),
     )
-    s = rules.group_summary(m, "g")
+
+
+def _shown(s: DataFrame) -> DataFrame:
     return s.select("g", "max_materiality", "members", "independent_pub_count", F.array_join("tickers", ",").alias("tickers"), F.col("has_tier1_primary").alias("tier1"), F.col("has_institutional_primary").alias("institutional"), F.col("has_press_wire_primary").alias("press_wire"), F.col("has_non_pr_news_primary").alias("non_pr"), "first_seen_at", "last_seen_at", "event_class")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import relational
+from tidewire.plans import forms
 from tidewire.plans.catalogue import query
 from tidewire.session import checkpoint_dir, cut
 from tidewire.sources import sinks, tables
 from tidewire.sources.tables import table
-from tidewire.streaming import ingest
+from tidewire.streaming import groups, ingest
 
 
 def _there_and_back(spark: SparkSession, work: Callable[[str], DataFrame]) -> DataFrame:
@@ -95,6 +96,22 @@ def streamed_days(spark: SparkSession, base: str) -> DataFrame:
     return _there_and_back(spark, work)
 
 
+@query(forms.GROUPS_SQL)
+def streamed_groups(spark: SparkSession, base: str) -> DataFrame:
+    """What groups say of their members, kept as state of a stream in three batches; the horizon is that of the table, so no group ends."""
+
+    def work(folder: str) -> DataFrame:
+        e = table(spark, base, "events")
+        for k in range(3):
+            forms.members_of_groups(e.filter(F.col("event_id") % 3 == k)).coalesce(1).write.mode("append").parquet(f"{folder}/src")
+        stream = ingest.read(spark, f"{folder}/src", spark.read.parquet(f"{folder}/src").schema, files_per_batch=1)
+        with groups.state_store(spark):
+            ingest.run_available(groups.group_states(stream, "g", "event_id", F.lit(False), "60 days", 60 * 24), ingest.upsert_by_key(f"{folder}/groups", ["g", "opened_by"]), mode="update")
+        return forms._shown(spark.read.parquet(f"{folder}/groups"))
+
+    return _there_and_back(spark, work)
+
+
 @query("""WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o) SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""")
 def user_sessions(spark: SparkSession, base: str) -> DataFrame:

@@ -40,3 +40,74 @@ def set_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, t
     else:
         pairs, score = keys(short(a), b).unionAll(keys(a, short(b))), containment
     return _scored(pairs, left, right, left_key, right_key, tokens, score).filter(F.col("score") >= least - 1e-12)
+
+
+# ------------------------------------------------------------------ joins within a window of time
+
+#: Weights of the sets and of an equal event class in the likeness of two items.
+SET_WEIGHTS, EVENT_WEIGHT = {"tickers": 0.4, "sectors": 0.2, "regions": 0.1, "tokens": 0.1}, 0.2
+
+
+def _likeness(a: str, b: str) -> Column:
+    def jaccard(c: str) -> Column:
+        x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+
+    event = F.when((F.col(f"{a}.event_class") != "") & (F.col(f"{a}.event_class") == F.col(f"{b}.event_class")), EVENT_WEIGHT).otherwise(0.0)
+    return sum((w * jaccard(c) for c, w in SET_WEIGHTS.items()), event)
+
+
+def _other_heads(least: float) -> Column:
+    """What two items without a ticker in common must share to reach ``least``."""
+    weights = {"event_class": EVENT_WEIGHT, "regions": SET_WEIGHTS["regions"], "sectors": SET_WEIGHTS["sectors"], "tokens": SET_WEIGHTS["tokens"]}
+    if least >= sum(weights.values()) - 1e-9:
+        return F.array(F.concat_ws("/", F.lit("w"), "event_class", *[F.array_join(F.array_sort(c), ",") for c in SET_WEIGHTS if c != "tickers"]))
+    left, aside = dict(weights), 0.0
+    for c, w in weights.items():
+        if aside + w < least - 1e-9:
+            aside += w
+            del left[c]
+    named = lambda c: F.transform(F.array_compact(F.array(c)) if c == "event_class" else F.col(c), lambda x: F.concat(F.lit(f"{c}/"), x))
+    return F.concat(*[named(c) for c in left])
+
+
+def windowed_likeness(rows: DataFrame, key: str, at: str, hours: float, least: float) -> DataFrame:
+    """(key, earlier, score): every item with every earlier one, by (time, key), of at most ``hours`` before whose weighted likeness is ``least`` or more.
+
+    Rows have tickers, sectors, regions and tokens (null counts as empty) and event_class. What an item's other features can add bounds the share of
+    tickers that it must have in common, r = (least - rest) / 0.4: two items with it share a ticker among the first n - ceil(r n) + 1 of each, rare ones
+    first. Items that need none in common (r <= 0) meet by what they must share then: an equal whole where all of it is needed, else an element of the
+    features that are left when others of less weight than ``least`` are set aside. Items meet in bins of ``hours``, each in its own and the
+    following one, and a pair counts at the first thing in common, so none comes twice.
+    """
+    none = F.array().cast("array<string>")
+    own = rows.select(F.col(key).alias("id"), F.col(at).alias("at"), F.floor(F.unix_micros(at) / (hours * 3.6e9)).alias("bin"), *[F.array_distinct(F.array_compact(F.coalesce(c, none))).alias(c) for c in SET_WEIGHTS], "event_class").filter(F.col("at").isNotNull())
+    rest = sum((F.when(F.size(c) > 0, w).otherwise(0.0) for c, w in SET_WEIGHTS.items() if c != "tickers"), F.when(F.coalesce(F.col("event_class"), F.lit("")) != "", EVENT_WEIGHT).otherwise(0.0))
+    own = own.withColumn("need", (F.lit(least - 1e-9) - rest) / SET_WEIGHTS["tickers"])
+    often = own.select(F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
+    ranked = own.select("id", "need", F.size("tickers").alias("size"), F.explode("tickers").alias("ticker")).filter("need <= 1").join(often, "ticker").groupBy("id").agg(F.first("need").alias("need"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "ticker"))).alias("order"))
+    length = F.when(F.col("need") <= 0, F.col("size")).otherwise(F.col("size") - F.ceil(F.col("need") * F.col("size")) + 1)
+    heads = ranked.select("id", F.transform(F.slice("order", F.lit(1), length.cast("int")), lambda x: F.concat(F.lit("t/"), x["ticker"])).alias("heads"))
+    marked = own.join(heads, "id", "left").withColumn("heads", F.concat(F.coalesce("heads", none), F.when(F.col("need") <= 0, _other_heads(least)).otherwise(none)))
+    item = F.struct("id", "at", "heads", "event_class", *SET_WEIGHTS)
+    each = marked.select("bin", item.alias("x"), F.explode("heads").alias("head"))
+    # a head that very many items have is split by skew handling, which needs a shuffle right below both sides of the join
+    later = each.select(F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"), F.col("x").alias("b"), "head").repartition("bin", "head")
+    pairs = each.select("bin", F.col("x").alias("a"), "head").repartition("bin", "head").join(later, ["bin", "head"])
+    before = (F.struct("a.at", "a.id") < F.struct("b.at", "b.id")) & (F.unix_micros("b.at") - F.unix_micros("a.at") <= hours * 3.6e9)
+    once = F.array_min(F.array_intersect("a.heads", "b.heads")) == F.col("head")
+    scored = pairs.filter(before & once).select(F.col("b.id").alias(key), F.col("a.id").alias("earlier"), _likeness("a", "b").alias("score"))
+    return scored.filter(F.col("score") >= least - 1e-9)
+
+
+def same_within(rows: DataFrame, key: str, at: str, value: str, hours: float) -> DataFrame:
+    """(key, earlier, hours) for each item that has its value in common with an earlier one, by (time, key), of at most ``hours`` before: the latest such.
+
+    Bins of ``hours`` are looked at one by one, so a value that very many items have is split by time; the last item of a bin stands for it in the next one.
+    """
+    own = rows.select(F.col(key).alias("id"), F.col(at).alias("at"), F.col(value).alias("value"), F.floor(F.unix_micros(at) / (hours * 3.6e9)).alias("bin")).filter(F.col("at").isNotNull() & F.col("value").isNotNull())
+    last = own.groupBy("value", (F.col("bin") + 1).alias("bin")).agg(F.max(F.struct("at", "id")).alias("last"))
+    before = F.lag(F.struct("at", "id")).over(Window.partitionBy("value", "bin").orderBy("at", "id"))
+    found = own.withColumn("before", before).join(last, ["value", "bin"], "left").withColumn("before", F.coalesce("before", "last"))
+    gap = (F.unix_micros("at") - F.unix_micros("before.at")) / 3.6e9
+    return found.filter(gap <= hours).select(F.col("id").alias(key), F.col("before.id").alias("earlier"), gap.alias("hours"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.fixed_values import COMMODITY_PROXIES, EVENT_CLASS_TEXT, EXCHANGE_TICKER, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, NOISE, PROMOTION_MATERIALITY, SCHEDULING
+from tidewire.fixed_values import CHEAP_ATTACH, COMMODITY_PROXIES, EVENT_CLASS_TEXT, EXCHANGE_TICKER, HIGH_VALUE, LAWYER_SPAM, MACRO_KEYWORDS, NOISE, PROMOTION_MATERIALITY, SCHEDULING
 from tidewire.functions import text as T
 from tidewire.operators import graph, grouping, rules, sequential, setjoin, verify
 from tidewire.plans.catalogue import query
@@ -41,6 +41,36 @@ def headline_tokens_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return setjoin.set_join(a, b, "doc_id", "item_id", "w", 0.3).withColumn("score", F.round("score", 6))
 
 
+WINDOWED = f"""WITH {HEAD}, x AS (SELECT doc_id, doc_id - doc_id % 5 * 0.5 AS at, ['T' || doc_id % 7, 'T' || doc_id % 11] AS t, CASE WHEN doc_id % 3 > 0 THEN [source] ELSE [] END AS s, [lang] AS g, ['m_a', 'earnings', NULL][CAST(doc_id % 3 AS INT) + 1] AS e, {TOKENS} AS w FROM n)"""
+
+
+def _jaccard_sql(c: str) -> str:
+    return f"CASE WHEN len(a.{c}) > 0 AND len(b.{c}) > 0 THEN len(list_intersect(a.{c}, b.{c})) / len(list_distinct(list_concat(a.{c}, b.{c}))) ELSE 0 END"
+
+
+def _timed(spark: SparkSession, base: str) -> DataFrame:
+    """Headlines with features by their id, half an hour to three hours apart."""
+    i = F.col("doc_id")
+    at = F.timestamp_micros((F.lit(1_700_006_400_000_000) + (i - i % 5 * 0.5) * 3_600_000_000).cast("long"))
+    ticker = lambda n: F.concat(F.lit("T"), (i % n).cast("string"))
+    event = F.element_at(F.array(F.lit("m_a"), F.lit("earnings"), F.lit(None).cast("string")), (i % 3).cast("int") + 1)
+    return headlines(spark, base).select("doc_id", at.alias("at"), F.array(ticker(7), ticker(11)).alias("tickers"), F.when(i % 3 > 0, F.array("source")).alias("sectors"), F.array("lang").alias("regions"), event.alias("event_class"), T.headline_tokens(F.col("headline")).alias("tokens"), T.headline_hash(F.col("headline")).alias("hash"))
+
+
+@query(f"""{WINDOWED}, p AS (SELECT b.doc_id, a.doc_id AS earlier, 0.4 * {_jaccard_sql("t")} + 0.2 * {_jaccard_sql("s")} + 0.1 * {_jaccard_sql("g")} + 0.1 * {_jaccard_sql("w")} + CASE WHEN a.e = b.e THEN 0.2 ELSE 0 END AS score
+  FROM x a JOIN x b ON (a.at, a.doc_id) < (b.at, b.doc_id) AND b.at - a.at <= 72) SELECT doc_id, earlier, round(score, 6) AS score FROM p WHERE score >= 0.6 - 1e-9""")
+def likeness_within_72h(spark: SparkSession, base: str) -> DataFrame:
+    """Headlines with those of the last 72 hours that are like them by tickers, sectors, regions, words and event class."""
+    return setjoin.windowed_likeness(_timed(spark, base), "doc_id", "at", 72, CHEAP_ATTACH).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{WINDOWED}, l AS (SELECT doc_id, lag(doc_id) OVER w AS earlier, x.at - lag(x.at) OVER w AS hours FROM x JOIN n USING (doc_id) WINDOW w AS (PARTITION BY sha1(h) ORDER BY x.at, doc_id))
+SELECT doc_id, earlier, round(CAST(hours AS DOUBLE), 6) AS hours FROM l WHERE hours <= 48""")
+def headline_repeats_48h(spark: SparkSession, base: str) -> DataFrame:
+    """Headlines that say what one of the last 48 hours said, with the latest such."""
+    return setjoin.same_within(_timed(spark, base), "doc_id", "at", "hash", 48).withColumn("hours", F.round("hours", 6))
+
+
 @query(f"""WITH {HEAD}, t AS (SELECT doc_id, {TOKENS} AS w FROM n),
 b AS (SELECT item_id, {TOKENS} AS w FROM (SELECT item_id, {NORM} AS h FROM benchmark))
 SELECT doc_id, item_id, round(len(list_intersect(t.w, b.w)) / least(len(t.w), len(b.w)), 6) AS score FROM t, b WHERE len(t.w) > 0 AND len(b.w) > 0 AND len(list_intersect(t.w, b.w)) / least(len(t.w), len(b.w)) >= 0.55""")

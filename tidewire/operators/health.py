@@ -43,6 +43,37 @@ def overall(judged: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(F.col("critical") > 0, "critical").when(F.col("warn") > 0, "warn").otherwise("ok"))
 
 
+RULE = "code string, severity string, metric string, comparison string, threshold double, threshold_to double, other string, guard string, guard_comparison string, guard_threshold double"
+
+
+def _holds(comparison: Column, value: Column, low: Column, high: Column, other: Column) -> Column:
+    """Whether a metric (a number, or null) meets a rule; what is missing meets only ``missing``."""
+    there = value.isNotNull()
+    out = F.when(comparison == "missing", ~there).when(comparison == "present", there)
+    for name, test in ((">", value > low), (">=", value >= low), ("<", value < low), ("<=", value <= low), ("==", value == low), ("outside", (value < low) | (value > high)), ("below", value < other), ("differs", ~value.eqNullSafe(other))):
+        out = out.when(comparison == name, test)
+    return F.coalesce(out, F.lit(False))
+
+
+def judged_by(metrics: DataFrame, entity: list[str], metric: str, value: str, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings (entity, code, severity, metric, comparison, threshold, value) and the status of every entity, by a table of rules.
+
+    ``metrics`` has a row for each metric of each entity, with null where it is not known. Rules meet metrics by equal names, and their guards and the
+    metrics that they compare with by entity and name, so rules may change without code. Of rules with the same code one finding is left.
+    """
+    own = metrics.select(*entity, F.col(metric).alias("name"), F.col(value).cast("double").alias("value"))
+    met = own.join(rules, own["name"] == rules["metric"]).drop("name")
+    also = lambda rows, by, to: rows.join(own.select(*entity, F.col("name").alias(by), F.col("value").alias(to)), [*entity, by], "left")
+    full = also(also(met, "guard", "guard_value"), "other", "other_value")
+    guarded = F.col("guard").isNull() | _holds(F.col("guard_comparison"), F.col("guard_value"), F.col("guard_threshold"), F.col("guard_threshold"), F.lit(None).cast("double"))
+    held = full.filter(guarded & _holds(F.col("comparison"), F.col("value"), F.col("threshold"), F.col("threshold_to"), F.col("other_value")))
+    first = held.groupBy(*entity, "code").agg(F.min(F.struct("metric", "comparison", "threshold", "severity", "value")).alias("f"))
+    found = first.select(*entity, "code", "f.severity", "f.metric", "f.comparison", "f.threshold", "f.value")
+    counts = found.groupBy(*entity).agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warn").alias("warn"))
+    every = own.select(*entity).distinct().join(counts, entity, "left").fillna(0, ["critical", "warn"])
+    return found, every.withColumn("status", F.when(F.col("critical") > 0, "critical").when(F.col("warn") > 0, "warn").otherwise("ok"))
+
+
 def audit(rows: DataFrame, invariants: list[tuple[str, Column]]) -> DataFrame:
     """name and violations of every invariant, a row that breaks several counting for the first of them; an invariant that can't be
     judged (null) counts as kept."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.fixed_values import HEALTH_RULES
 from tidewire.operators import health, usage
 from tidewire.operators.relational import nth_of_sorted
 from tidewire.plans.catalogue import query
@@ -213,3 +214,46 @@ WHERE c.k BETWEEN m.k - 1 AND m.k + 1 GROUP BY h.conv_id, h.turn
 def keyword_context(spark: SparkSession, base: str) -> DataFrame:
     c = table(spark, base, "conversations").select("conv_id", "turn", "role", F.lower("text").alias("low"))
     return usage.keyword_context(c, ["conv_id"], "turn", "low", ["the", "and"], 1, F.concat_ws(":", F.col("turn").cast("string"), "role"))
+
+
+# ------------------------------------------------------------------ rules of health as a table
+
+
+def _measured() -> list[tuple[str, int, float]]:
+    """Every metric that a rule names, the number that its values stay below, and their unit, so that they fall on both sides of its thresholds."""
+    most: dict[str, float] = {}
+    for _, _, metric, _, low, high, other, guard, _, guarded in HEALTH_RULES:
+        for name, t in ((metric, high or low), (other, None), (guard, guarded)):
+            if name:
+                most[name] = max(most.get(name, 0.0), t or 0.0)
+    return [(n, 10, 0.1) if 0 < t < 1 else (n, int(2 * t) + 3, 1.0) for n, t in most.items()]
+
+
+def _rules_sql() -> str:
+    cell = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    rules = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in HEALTH_RULES)
+    metrics = ", ".join(f"({j}, '{n}', {m}, {u})" for j, (n, m, u) in enumerate(_measured()))
+    return f"""WITH r(code, severity, metric, cmp, t, t2, other, guard, gcmp, gt) AS (VALUES {rules}), k(j, name, m, u) AS (VALUES {metrics}),
+u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), v AS (SELECT user_id, name, CASE WHEN (user_id + j) % 11 > 0 THEN (n * (j + 3) + user_id * 7) % m * u END::DOUBLE AS x FROM u, k),
+h AS (SELECT v.user_id, r.*, v.x, g.x AS gx, o.x AS ox FROM v JOIN r ON r.metric = v.name LEFT JOIN v g ON g.user_id = v.user_id AND g.name = r.guard LEFT JOIN v o ON o.user_id = v.user_id AND o.name = r.other),
+f AS (SELECT DISTINCT user_id, code, severity FROM h WHERE
+  CASE cmp WHEN 'missing' THEN x IS NULL WHEN '>' THEN x > t WHEN '>=' THEN x >= t WHEN '<' THEN x < t WHEN '==' THEN x = t WHEN 'outside' THEN x < t OR x > t2 WHEN 'below' THEN x < ox WHEN 'differs' THEN x IS NOT NULL AND x IS DISTINCT FROM ox END
+  AND (guard IS NULL OR CASE gcmp WHEN 'present' THEN gx IS NOT NULL WHEN '>' THEN gx > gt WHEN '>=' THEN gx >= gt WHEN '==' THEN gx = gt END))"""
+
+
+def _judged(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics of every user, all arithmetic on the number of events and the id, judged by the table of rules."""
+    users = table(spark, base, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    value = lambda j, m, u: F.when((F.col("user_id") + j) % 11 > 0, (F.col("n") * (j + 3) + F.col("user_id") * 7) % m * F.lit(u))
+    named = F.array(*[F.struct(F.lit(n).alias("metric"), value(j, m, u).cast("double").alias("value")) for j, (n, m, u) in enumerate(_measured())])
+    return health.judged_by(users.select("user_id", F.inline(named)), ["user_id"], "metric", "value", spark.createDataFrame(HEALTH_RULES, health.RULE))
+
+
+@query(f"{_rules_sql()} SELECT user_id, code, severity FROM f")
+def health_rule_findings(spark: SparkSession, base: str) -> DataFrame:
+    return _judged(spark, base)[0].select("user_id", "code", "severity")
+
+
+@query(f"{_rules_sql()} SELECT u.user_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warn') AS warn, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'critical' WHEN count(*) FILTER (severity = 'warn') > 0 THEN 'warn' ELSE 'ok' END AS status FROM u LEFT JOIN f ON f.user_id = u.user_id GROUP BY u.user_id")
+def health_rule_status(spark: SparkSession, base: str) -> DataFrame:
+    return _judged(spark, base)[1]

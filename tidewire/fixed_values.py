@@ -450,5 +450,7 @@ HEALTH_RULES = [
     ("agent_usage.zero_cost_tokens", "critical", "usage.zero_cost_tokens_24h", ">", 0.0, None, None, "usage.available", "==", 1.0),
     ("agent_usage.missing_aggregate", "critical", "usage.missing_aggregate_24h", ">", 0.0, None, None, "usage.available", "==", 1.0),
 ]
-#: Social topics (fixed values): least heat, new topics a day, least and most cited posts, hours that a topic lives, share of the shorter title's words that makes a duplicate.
+#: Social topics (fixed values): least heat, new topics a day, least and most cited posts, hours that a topic lives, share of the shorter title that makes a duplicate; stances; the id in a post's address.
 SOCIAL = {"heat": 4, "daily": 20, "posts_least": 3, "posts_most": 6, "live_h": 48, "same_title": 0.55}
+STANCES = ["bull", "bear", "neutral"]
+POST_ID = r"/status/(\d+)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.fixed_values import BANNED_WORDS, DATAPOINT, EXPLICIT_TICKER, SUFFIX_REGIONS, TARGET_PHRASES, TEMPORAL, VENDOR_FUTURES
 from tidewire.functions import text as T
 from tidewire.functions import values
-from tidewire.operators import matching, retrieval
+from tidewire.operators import matching, retrieval, social
 from tidewire.plans.catalogue import query
 from tidewire.plans.vectors import QUERIES_SQL, asking
 from tidewire.sources import sinks
@@ -246,3 +246,25 @@ SELECT user_id, count(*) AS found, count(day) AS dated, count(*) FILTER (day >=
 def evidence_counts(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "events").select("user_id", F.when(F.col("event_id") % 6 == 0, "n/a").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).alias("d"), F.when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("event_type")).alias("h"))
     return matching.evidence(e, "user_id", "d", "h", "2024-01-15")[1]
+
+
+# ------------------------------------------------------------------ social topics
+
+WORDS = "merger chips keynote margin supply tariff launch guidance demand antitrust recall dividend".split()
+
+
+@query()
+def social_admission(spark: SparkSession, base: str) -> DataFrame:
+    """Events as topics: a run every six hours, users as tickers; titles, heats, posts and citations by the id."""
+    i = F.col("event_id")
+    word = lambda c: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (c % len(WORDS)).cast("int") + 1)
+    url = lambda k: F.concat(F.lit("https://x.com/a/status/"), (i * 10 + k).cast("string"))
+    post = lambda k: F.struct(F.when((i + k) % 29 > 0, F.concat(F.lit("@u"), k.cast("string"))).alias("handle"), url(k).alias("url"), F.when(k % 2 == 0, "Bull").otherwise("bear").alias("stance"), F.lit("says so").alias("claim"), F.when(k == 1, "null").otherwise("3 likes").alias("engagement"))
+    posts = F.transform(F.sequence(F.lit(0), (i % 8).cast("int")), post)
+    e = table(spark, base, "events")
+    topics = e.select(
+        i.alias("id"), F.timestamp_micros(F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(21_600_000_000))).alias("at"), F.col("user_id").alias("pos"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), i.alias("n"),
+        F.when(i % 37 > 0, F.concat_ws(" ", word(i), word(F.floor(i / 5)), word(F.floor(i / 25)), F.concat(F.lit("t"), (i % 83).cast("string")))).alias("title"), F.lit("s").alias("summary"), F.lit("up").alias("bull"), F.when(i % 41 > 0, "down").alias("bear"),
+        F.when(i % 43 == 0, "hot").otherwise((i % 7).cast("string")).alias("heat"), F.when(i % 31 > 0, posts).alias("posts"), F.transform(F.sequence(F.lit(0), (i % 11).cast("int")), url).alias("citations"),
+    )
+    return social.admitted(topics)

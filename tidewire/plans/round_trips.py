@@ -17,7 +17,7 @@ from tidewire.sources.tables import table
 from tidewire.streaming import groups, ingest
 
 
-def _there_and_back(spark: SparkSession, work: Callable[[str], DataFrame]) -> DataFrame:
+def there_and_back(spark: SparkSession, work: Callable[[str], DataFrame]) -> DataFrame:
     """The rows that ``work`` reads from a folder of its own, which is deleted once they are checkpointed."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
     try:
@@ -44,7 +44,7 @@ def json_log_tail(spark: SparkSession, base: str) -> DataFrame:
         e.filter("event_id % 11 = 0").select(F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string")).alias("value")).write.mode("append").text(f"{folder}/log")
         return tables.json_lines(spark, f"{folder}/log", "event_id long, event_type string, value double", 100, "event_id")
 
-    return _there_and_back(spark, work)
+    return there_and_back(spark, work)
 
 
 @query("SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN CAST(ts AS DATE) >= DATE '2024-01-20' THEN value + 1 ELSE value END AS value FROM events WHERE NOT (CAST(ts AS DATE) >= DATE '2024-01-20' AND event_id % 2 = 0)")
@@ -61,7 +61,7 @@ def replaced_days(spark: SparkSession, base: str) -> DataFrame:
             sinks.replace_partitions(late, f"{folder}/days", "day")
         return spark.read.parquet(f"{folder}/days").select("event_id", F.col("day").cast("date").alias("day"), "value")
 
-    return _there_and_back(spark, work)
+    return there_and_back(spark, work)
 
 
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1 - c_custkey, c_custkey, 'N' FROM customer")
@@ -77,7 +77,7 @@ def merged_twice(spark: SparkSession, base: str) -> DataFrame:
             sinks.merge_into(spark, f"{folder}/table", rows, merge)
         return spark.read.parquet(f"{folder}/table")
 
-    return _there_and_back(spark, work)
+    return there_and_back(spark, work)
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2")
@@ -93,7 +93,7 @@ def streamed_days(spark: SparkSession, base: str) -> DataFrame:
         ingest.run_available(days, ingest.upsert_by_key(f"{folder}/days", ["event_type", "start"]), mode="update")
         return spark.read.parquet(f"{folder}/days").select("event_type", "start", "n", "most")
 
-    return _there_and_back(spark, work)
+    return there_and_back(spark, work)
 
 
 @query(forms.GROUPS_SQL)
@@ -109,7 +109,7 @@ def streamed_groups(spark: SparkSession, base: str) -> DataFrame:
             ingest.run_available(groups.group_states(stream, "g", "event_id", F.lit(False), "60 days", 60 * 24), ingest.upsert_by_key(f"{folder}/groups", ["g", "opened_by"]), mode="update")
         return forms._shown(spark.read.parquet(f"{folder}/groups"))
 
-    return _there_and_back(spark, work)
+    return there_and_back(spark, work)
 
 
 @query("""WITH o AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),

@@ -389,6 +389,9 @@ BANNED_WORDS = [
     "convergence", "converging", "elevated", "headwinds", "tailwinds", "secular", "multiples", "broadens", "broaden", "broadening", "unwind", "unwinding",
 ]
 TARGET_PHRASES = ["above", "below", "past", "to", "toward", "towards", "reach", "reaches", "hits", "hit", "breaks", "break", "tops", "top"]
+#: Amounts in dollars, and numbers behind a word of a target (fixed values).
+DOLLAR_AMOUNT = r"(?i)(\$\d[\d,\.]*(?:\s*(?:K|M|B|T|trillion|billion|million)\b)?)"
+TARGET_AMOUNT = rf"(?i)(\b(?:{'|'.join(TARGET_PHRASES)})\s+\$?\d[\d,\.]*\s*(?:%|bps|bp)?\b)"
 
 #: Phrases of the calendar, and a number as data.
 TEMPORAL = r"\b(today|yesterday|this morning|overnight|last night|tonight|this week|last week|earlier today)\b"
@@ -454,3 +457,9 @@ HEALTH_RULES = [
 SOCIAL = {"heat": 4, "daily": 20, "posts_least": 3, "posts_most": 6, "live_h": 48, "same_title": 0.55}
 STANCES = ["bull", "bear", "neutral"]
 POST_ID = r"/status/(\d+)"
+#: Bars of a view (fixed values): width, bars shown, days looked back, days looked back with a warm-up.
+TIMEFRAMES = {"1d": ("5 minutes", 78, 5, 12), "1w": ("1 hour", 40, 15, 45), "1mo": ("1 day", 22, 35, 300), "1yr": ("7 days", 52, 420, 1825)}
+#: Days and hours of the feed (fixed values): a story is a candidate for 72 hours unless its label is one of these, a social item for 48.
+FEED_HOURS, FEED_LABELS_OUT = {"story": 72, "x": 48}, ["unclear", "no_value"]
+#: What a thesis' card says (fixed values).
+PRESCRIPTIONS = {"review": "Review or restate.", "challenged": "Holding, but one signal is challenging.", "holding": "Holding. Let it run.", "trending": "Watch. One invalidation is trending.", "watch": "Watch."}

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidewire.fixed_values import BANNED_WORDS, DATAPOINT, EVENT_CLASS_MAP, EVENT_CLASS_ORDER, EVENT_CLASS_TEXT, STOPWORDS, TARGET_PHRASES, TEMPORAL
+from tidewire.fixed_values import BANNED_WORDS, DATAPOINT, DOLLAR_AMOUNT, EVENT_CLASS_MAP, EVENT_CLASS_ORDER, EVENT_CLASS_TEXT, STOPWORDS, TARGET_AMOUNT, TEMPORAL
 
 
 def normalise_headline(c: Column) -> Column:
@@ -66,16 +66,33 @@ def snippet(c: Column, longest: int = 280) -> Column:
     return F.when(F.length(c) > longest, F.concat(F.rtrim(F.substring(c, 1, longest - 3)), F.lit("..."))).otherwise(c)
 
 
+def _short(c: Column, unit: str) -> Column:
+    v = c.cast("double")
+    size, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
+    form = lambda digits, per, mark: F.concat(sign, F.lit(unit), F.format_string(f"%.{digits}f", F.bround(size / per, digits)), F.lit(mark))
+    known = v.isNotNull() & ~F.isnan(v) & (size < float("inf"))
+    return F.when(~known, None).when(size >= 1e9, form(2, 1e9, "B")).when(size >= 1e6, form(2, 1e6, "M")).when(size >= 1e3, form(1, 1e3, "K")).otherwise(form(2, 1.0, ""))
+
+
 def usd_short(c: Column) -> Column:
-    """$1.23B, $4.56M, $7.8K or $9.00."""
-    size = F.abs(c)
-    return (
-        F.when(c.isNull(), None)
-        .when(size >= 1e9, F.format_string("$%.2fB", c / 1e9))
-        .when(size >= 1e6, F.format_string("$%.2fM", c / 1e6))
-        .when(size >= 1e3, F.format_string("$%.1fK", c / 1e3))
-        .otherwise(F.format_string("$%.2f", c))
-    )
+    """$1.23B, $4.56M, $7.8K, $9.00 or -$1.20; null for what is no finite number."""
+    return _short(c, "$")
+
+
+def count_short(c: Column) -> Column:
+    """As ``usd_short`` without the sign of the currency."""
+    return _short(c, "")
+
+
+def sentences(c: Column) -> Column:
+    """Parts of a text, cut at blanks that stand behind an end of a sentence and before a capital or a quotation mark."""
+    return F.split(c, r"(?<=[.!?])\s+(?=[\"A-Z])")
+
+
+def colour(c: Column, palette: list[str]) -> Column:
+    """A colour of the palette by the sum of a text's code points."""
+    total = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda t, x: t + F.ascii(x))
+    return F.element_at(F.array(*[F.lit(x) for x in palette]), (total % len(palette)).cast("int") + 1)
 
 
 def event_class_of_labels(labels: Column) -> Column:
@@ -133,9 +150,7 @@ def banned_words(c: Column) -> Column:
 
 def price_targets(c: Column) -> Column:
     """Amounts in dollars, then numbers after a word of a target, each once in first order."""
-    dollars = r"(?i)(\$\d[\d,\.]*(?:\s*(?:K|M|B|T|trillion|billion|million)\b)?)"
-    bare = rf"(?i)(\b(?:{'|'.join(TARGET_PHRASES)})\s+\$?\d[\d,\.]*\s*(?:%|bps|bp)?\b)"
-    hits = F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)) for p in (dollars, bare)])
+    hits = F.concat(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)) for p in (DOLLAR_AMOUNT, TARGET_AMOUNT)])
     return F.array_distinct(F.transform(hits, lambda x: F.trim(x)))
 
 

@@ -136,3 +136,23 @@ def all_of(*conditions: Column | None) -> Column:
 def majority(label: Column, one: str, other: str) -> Column:
     """An aggregate: ``one`` if it is more frequent than ``other``, else ``other``."""
     return F.when(F.count_if(label == one) > F.count_if(label == other), F.lit(one)).otherwise(F.lit(other))
+
+
+def float_or_null(c: Column) -> Column:
+    """The number that a text is as a whole, blanks around it aside; null for anything else."""
+    text = F.trim(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
+    word = F.lower(F.regexp_replace(text, r"^[+-]", ""))
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    return F.coalesce(number, F.when(word.isin("inf", "infinity"), sign * float("inf")).when(word == "nan", F.lit(float("nan"))))
+
+
+def int_or_null(c: Column) -> Column:
+    """The whole number that a text is, blanks around it aside; null for anything else, fractions included."""
+    text = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+
+
+def first_int(c: Column) -> Column:
+    """The first whole number in a text, with commas between its digits."""
+    return F.replace(F.nullif(F.regexp_extract(c, r"(-?\d[\d,]*)", 1), F.lit("")), F.lit(","), F.lit("")).try_cast("long")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.fixed_values import TIMEFRAMES
 from tidewire.session import cut
 
 RANGE_ROWS, BLOCK = 1_000_000, 256
@@ -263,17 +264,27 @@ def latest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter(F.col("__r") <= n).drop("__r")
 
 
-def bars(ticks: DataFrame, keys: list[str], at: str, price: str, every: str, tie: str) -> DataFrame:
-    """Open, high, low, close, volume (number) and sum of the ticks of every interval, by partial aggregates; of ticks of one time ``tie`` decides."""
+def bars(ticks: DataFrame, keys: list[str], at: str, price: str, every: str, tie: str, begins: str = "0 seconds") -> DataFrame:
+    """Open, high, low, close, volume (number) and sum of the ticks of every interval, by partial aggregates; of ticks of one time ``tie`` decides.
+    Intervals are counted from ``begins`` after 1970-01-01, a Thursday."""
     first = F.struct(at, tie)
     return (
         ticks.filter(F.col(price).isNotNull())
-        .groupBy(*keys, F.window(at, every).alias("__w"))
+        .groupBy(*keys, F.window(at, every, startTime=begins).alias("__w"))
         .agg(F.min_by(price, first).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, first).alias("close"), F.count("*").alias("n"), F.sum(price).alias("total"))
         .select(*keys, F.col("__w.start").alias("t"), "open", "high", "low", "close", "n", "total")
     )
 
 
+def timeframe_bars(ticks: DataFrame, keys: list[str], at: str, price: str, tie: str, frame: str, end: Column, warmup: bool = False) -> DataFrame:
+    """The bars of a view (1d, 1w, 1mo, 1yr) up to ``end``: of 5 minutes, hours, days, or weeks from Monday, as far back as the view looks, or with a warm-up
+    as its averages need."""
+    width, _, back, warm = TIMEFRAMES[frame]
+    since = F.unix_micros(end) - int((warm if warmup else back) * 86_400_000_000)
+    seen = ticks.filter((F.unix_micros(at) >= since) & (F.col(at) <= end))
+    return bars(seen, keys, at, price, width, tie, "4 days" if width == "7 days" else "0 seconds").withColumn("timeframe", F.lit(frame))
+
+
 def window_return(series: DataFrame, keys: list[str], order: str, opens: str, closes: str) -> DataFrame:
     """Percent from the first open to the last close of each key; null where the open is 0."""
     ends = series.groupBy(*keys).agg(F.min_by(opens, order).alias("first_open"), F.max_by(closes, order).alias("last_close"))

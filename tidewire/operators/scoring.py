@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.fixed_values import FEED, HALF_LIFE_HOURS
+from tidewire.fixed_values import FEED, FEED_HOURS, FEED_LABELS_OUT, HALF_LIFE_HOURS, PRESCRIPTIONS
 from tidewire.functions.values import band, clamp, decay, half_even
 
 
@@ -35,6 +35,37 @@ def trend_band(delta: Column) -> Column:
     return F.when(delta >= 3, "up").when(delta <= -3, "down").otherwise("flat")
 
 
+def trend_of(score: Column, before: Column, status: Column) -> Column:
+    """Where a thesis is going: a stressed one is that, else three points up or down make a trend."""
+    delta = score - before
+    return F.when(status == "stressed", "stressed").when(delta >= 3, "strengthening").when(delta <= -3, "weakening").otherwise("stable")
+
+
+def signal_of(score: Column) -> Column:
+    return F.when(score.isNull(), "medium").otherwise(band(score, [(75, "high"), (60, "medium")], "low"))
+
+
+def chip(relation: Column, confidence: Column) -> Column:
+    """What a card's chip says of a link; null below 0.70 or for other relations."""
+    return F.when(confidence >= 0.70, F.when(relation == "supports", "Supports").when(relation == "stresses", "Stresses"))
+
+
+def prescription(score: Column, status: Column, relation: Column) -> Column:
+    """What a thesis' card advises, by its status, its score and the relation of its latest signal; null for a resolved one."""
+    stresses = F.coalesce(relation == "stresses", F.lit(False))
+    says = {k: F.lit(v) for k, v in PRESCRIPTIONS.items()}
+    weak = F.coalesce(status == "stressed", F.lit(False)) | score.isNull() | (score <= 34)
+    live = F.when(weak, says["review"]).when(score >= 70, F.when(stresses, says["challenged"]).otherwise(says["holding"])).when(stresses, says["trending"]).otherwise(says["watch"])
+    return F.when(F.coalesce(status != "resolved", F.lit(True)), live)
+
+
+def in_feed(kind: Column, age_hours: Column, label: Column) -> Column:
+    """Whether an item is a candidate: a story for 72 hours unless its label says that it is of no use, a social item for 48. Without a kind it is a story."""
+    own = F.coalesce(kind, F.lit("story"))
+    story = (own == "story") & (age_hours <= FEED_HOURS["story"]) & ~F.coalesce(label.isin(FEED_LABELS_OUT), F.lit(False))
+    return F.coalesce(story | ((own == "x") & (age_hours <= FEED_HOURS["x"])), F.lit(False))
+
+
 def signal_band(score: Column) -> Column:
     return band(score, [(75, "strong"), (60, "building")], "quiet")
 

@@ -104,6 +104,36 @@ PAGES = [
     ("<p>" + "long " * 50_000, ("long " * 50_000).strip()),
     ("<", "<"),
     ("", ""),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span>no</div>", "yes"),
+    ("<div style='visibility:hidden'><ul><li>no<li style='visibility: visible'>a</ul><hr><br></div>b", "- a\n\nb"),
+    ("<p style='visibility:hidden'>no<p style='visibility:inherit'>c", "c"),
+    ("<div style='visibility:collapse'><b style='visibility:visible'>d<i style='visibility:hidden'>no</i></b></div>", "d"),
+    ("a<b style='display:nonesuch'>b</b><i style='x-display:none'>c</i><u style='display:none;display:inline'>d</u><s style='display:inline;display:none'>no</s>", "abcd"),
+    ("<p style='DISPLAY : NONE !important'>no</p>e", "e"),
+    ("<table><tr><td style='visibility:hidden'>no<td>f<tr><td>long<td>g</table>", "      f\nlong  g"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>h</table>", "  h"),
+    ("<table><tr><td>" + "word " * 30 + "<td>i<tr><td>j<td>k</table>", "\n".join(["word " * 11 + "word  i", "word " * 11 + "word", "word word word word word word", "j" + " " * 60 + "k"])),
+    ("<table><tr><td>l<td>" + "word " * 30 + "</table>", "l  " + ("word " * 30).strip()),
+    ("<table><tr><td>" + "x" * 70 + "<td>m<tr><td>n<td>o</table>", "x" * 70 + "  m\nn" + " " * 71 + "o"),
+    ("<table><tr><td><pre>p\n\nq</pre><td>r</table>", "p  r\n\nq"),
+    ("<table><tr><td>s<br><br>t<td>u</table>", "s  u\n\nt"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li value=-1>b<li>c</ol>", "10. a\n-1. b\n-2. c"),
+    ("<ol start=x><li value=y>a</ol><ul><li value=9>b</ul>", "1. a\n\n- b"),
+    ("<p hidden=until-found>no</p><p aria-hidden=true>shown", "shown"),
+    ("<h1>T<h2>U</h1>v", "T\n\nU\n\nv"),
+    ("a<script>if (1<2) '</b>'</script>b<style>p{}</style>c", "abc"),
+    ("<p>one<div>two</div>three</p>", "one\n\ntwo\nthree"),
+    ("<a href=x>link</a>, <img alt=no>text<wbr>ed", "link, texted"),
+    ("<textarea>a\n  b</textarea>", "a\n  b"),
+    ("<ul><li>a<p>b</p><li><ol><li>c</ol></ul>", "- a\n\n  b\n\n- 1. c"),
+    ("x&nbsp;y &copy; &#x41;&unknown;", "x\xa0y © A&unknown;"),
+    ("<!doctype html><html><head><title>t</title></head><body>body</body></html>", "body"),
+    ("<template>no</template><noscript>no</noscript><iframe>no</iframe>yes", "yes"),
+    ("<table><tr><td>a</td></tr></table><table><tr><td>b</table>", "a\n\nb"),
+    ("<blockquote>a<blockquote>b</blockquote></blockquote>", "    a\n\n        b"),
+    ("<fieldset><legend>l</legend>f</fieldset><button>go</button><input type=submit value=send>", "l\nf\n\ngosend"),
 ]
 
 

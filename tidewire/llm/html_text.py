@@ -3,7 +3,9 @@
 All visible text comes out: blocks on lines of their own, paragraphs and headings set off by blank lines, list items
 with bullets or numbers, preformatted text as it stands, table cells in aligned columns. Nothing is judged to be
 boilerplate. Hidden are head matter, scripts, styles, templates, comments, elements with the attribute
-``hidden`` or a style of ``display:none`` or ``visibility:hidden``, closed dialogs and what a closed ``details`` folds away.
+``hidden`` or a style of ``display:none``, closed dialogs and what a closed ``details`` folds away; what has the style ``visibility:hidden`` (or
+``collapse``), but for elements in it that are ``visible`` again. Of several declarations the last counts.
+A cell before others in its row is broken at blanks into lines of about 60 characters, so that the columns behind it stay aligned; the last cell of a row is not.
 Formulas (``math``) come out but for their annotations, and of drawings (``svg``) what their text elements and foreign objects show.
 
 Defined results: null html gives null text and a null title; empty html gives empty text; elements nested deeper than 200
@@ -25,7 +27,7 @@ DEPTH, WIDEST = 200, 60
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DECLARED = {k: re.compile(rf"(?<![\w-]){k}\s*:\s*([a-z-]+)", re.I) for k in ("display", "visibility")}
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -186,19 +188,45 @@ def hidden(n: Node) -> bool:
         return True
     if not a:
         return n.tag == "dialog"
-    return "hidden" in a or (n.tag == "dialog" and "open" not in a) or (n.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and HIDDEN_STYLE.search(a["style"]) is not None)
+    return "hidden" in a or (n.tag == "dialog" and "open" not in a) or (n.tag == "input" and a.get("type", "").lower() == "hidden") or declared(n, "display") == "none"
+
+
+def declared(n: Node, name: str) -> str | None:
+    """The value of a property in an element's style."""
+    style = n.attrs.get("style")
+    found = DECLARED[name].findall(style) if style else None
+    return found[-1].lower() if found else None
+
+
+def seen(n: Node, shown: bool) -> bool | None:
+    """Whether an element's own text is visible, where its parent's is or not; None where nothing in it is."""
+    own = declared(n, "visibility")
+    shown = shown if own is None or own in ("inherit", "unset") else own not in ("hidden", "collapse")
+    if shown:
+        return True
+    stack = list(n.children)
+    while stack:
+        c = stack.pop()
+        if isinstance(c, Node):
+            if declared(c, "visibility") in ("visible", "initial"):
+                return False
+            stack += c.children
+    return None
 
 
 class Layout:
     """Lines of text; blank runs collapse across elements of a line."""
 
-    def __init__(self) -> None:
+    def __init__(self, cell: bool = False, shown: bool = True) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.space = self.gap = False
         self.indent, self.mark = "", ""
+        self.cell, self.shown = cell, shown
 
     def words(self, s: str) -> None:
+        if not self.shown:
+            return
         core = BLANKS.sub(" ", s)
         body = core.strip(" ")
         if not body:
@@ -210,7 +238,7 @@ class Layout:
         self.space = core[-1] == " "
 
     def put(self, s: str) -> None:
-        if self.gap and self.lines:
+        if self.gap and self.lines and not self.cell:
             self.lines.append("")
         self.gap = False
         head = self.indent
@@ -228,31 +256,41 @@ class Layout:
         self.gap = True
 
     def children(self, n: Node, pre: bool) -> None:
-        number = int(n.attrs["start"]) if n.tag == "ol" and re.fullmatch(r"-?\d{1,9}", n.attrs.get("start", "")) else 1
+        number, step = 1, 1
+        if n.tag == "ol":
+            if "reversed" in n.attrs:
+                number, step = sum(isinstance(c, Node) and c.tag == "li" for c in n.children), -1
+            number = whole(n.attrs.get("start"), number)
         folded = n.tag == "details" and "open" not in n.attrs
         for c in n.children:
             if isinstance(c, str):
                 if folded:
                     continue
                 if pre:
-                    first, *more = c.replace("\r\n", "\n").split("\n")
-                    self.line.append(first)
-                    for x in more:
-                        self.end_line(force=True)
-                        self.line.append(x)
+                    if self.shown:
+                        first, *more = c.replace("\r\n", "\n").split("\n")
+                        self.line.append(first)
+                        for x in more:
+                            self.end_line(force=True)
+                            self.line.append(x)
                 else:
                     self.words(c)
             elif not hidden(c) and not (folded and c.tag != "summary") and not (n.tag == "semantics" and c.tag in ANNOTATIONS):
                 if c.tag == "li":
-                    self.item(c, f"{number}. " if n.tag == "ol" else "- ", pre)
-                    number += 1
-                else:
-                    self.node(c, pre)
+                    number = whole(c.attrs.get("value"), number) if n.tag == "ol" else number
+                    mark = f"{number}. " if n.tag == "ol" else "- "
+                    number += step
+                shown = seen(c, self.shown)
+                if shown is None:
+                    continue
+                before, self.shown = self.shown, shown
+                self.item(c, mark, pre) if c.tag == "li" else self.node(c, pre)
+                self.shown = before
 
     def item(self, n: Node, mark: str, pre: bool) -> None:
         self.end_line()
         before = self.indent
-        self.indent, self.mark = before + " " * len(mark), mark
+        self.indent, self.mark = before + " " * len(mark), self.mark + mark  # a mark without text of its own stands before the next
         self.children(n, pre)
         self.end_line()
         self.indent, self.mark = before, ""
@@ -263,7 +301,7 @@ class Layout:
             if isinstance(c, str):
                 if shown:
                     self.words(c)
-            elif hidden(c) or c.tag in SVG_HIDDEN or c.attrs.get("display") == "none" or c.attrs.get("visibility") in ("hidden", "collapse"):
+            elif hidden(c) or c.tag in SVG_HIDDEN or c.attrs.get("display") == "none" or c.attrs.get("visibility") in ("hidden", "collapse") or seen(c, True) is not True:
                 continue
             elif c.tag == "foreignobject" or (c.tag == "text" and not shown):
                 self.space = True
@@ -275,16 +313,18 @@ class Layout:
     def node(self, n: Node, pre: bool) -> None:
         tag = n.tag
         if tag == "br":
-            self.end_line(force=True)
+            self.end_line(force=self.shown)
         elif tag == "hr":
             self.end_line()
-            self.put("----")
+            if self.shown:
+                self.put("----")
         elif tag == "table":
             self.margin()
             self.table(n)
             self.gap = True
         elif tag == "svg":
-            self.drawing(n)
+            if self.shown:
+                self.drawing(n)
         elif tag == "input":
             if n.attrs.get("type", "").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
                 self.words(n.attrs["value"])
@@ -305,16 +345,16 @@ class Layout:
         rows: list[list[tuple[int, list[str], int]]] = []  # cells: column, lines, columns that the cell spans
         after: list[Node] = []
 
-        def collect(part: Node) -> None:
+        def collect(part: Node, shown: bool) -> None:
             taken: dict[int, int] = {}  # columns that cells of earlier rows of this part reach into, and for how many rows yet
             for c in part.children:
                 if isinstance(c, str):
                     if c.strip():
                         self.words(c)
-                elif hidden(c):
+                elif hidden(c) or (own := seen(c, shown)) is None:
                     continue
                 elif c.tag in ("thead", "tbody", "tfoot"):
-                    collect(c)
+                    collect(c, own)
                 elif c.tag == "tr":
                     cells, at, later = [], 0, {}
                     for d in c.children:
@@ -330,21 +370,23 @@ class Layout:
                             tall = (int(deep) or END_OF_PART) if re.fullmatch(r"\d{1,6}", deep) else 1
                             while at in taken:
                                 at += 1
-                            cells.append((at, lines_of(d), wide))
+                            visible = seen(d, own)  # what isn't visible keeps its place
+                            cells.append((at, [] if visible is None else lines_of(d, visible), wide))
                             if tall > 1:
                                 later.update(dict.fromkeys(range(at, at + wide), tall))
                             at += wide
-                    rows.append(cells)
+                    rows.append([(k, wrapped(t) if k != cells[-1][0] else t, w) for k, t, w in cells])
                     taken = {k: v - 1 for k, v in (taken | later).items() if v > 1}
                 elif c.tag not in ("col", "colgroup"):
-                    after.append(c) if rows else self.node(c, False)
+                    if own:
+                        after.append(c) if rows else self.node(c, False)
 
-        collect(n)
+        collect(n, self.shown)
         self.end_line()
         widths: dict[int, int] = {}
         for at, text, span in (cell for cells in rows for cell in cells):
             if span == 1:
-                widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, text), default=0)))
+                widths[at] = max(widths.get(at, 0), max(map(len, text), default=0))
         columns = max((at + 1 for cells in rows for at, _, _ in cells), default=0)
         place = [0]
         for k in range(columns):
@@ -360,11 +402,30 @@ class Layout:
             self.node(c, False)
 
 
-def lines_of(n: Node) -> list[str]:
-    inner = Layout()
+def lines_of(n: Node, shown: bool = True) -> list[str]:
+    """The lines of a cell, without blank ones at its ends and between blocks."""
+    inner = Layout(cell=True, shown=shown)
     inner.children(n, False)
     inner.end_line()
-    return [x for x in inner.lines if x]
+    lines = inner.lines
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines[next((k for k, x in enumerate(lines) if x), 0) :]
+
+
+def wrapped(lines: list[str], most: int = WIDEST) -> list[str]:
+    """Lines broken at blanks so that they have ``most`` characters, or one longer word."""
+    out = []
+    for x in lines:
+        while len(x) > most and (at := x.rfind(" ", 1, most + 1) if x.rfind(" ", 1, most + 1) > 0 else x.find(" ", most)) > 0 and x[:at].strip():
+            out.append(x[:at].rstrip())
+            x = x[at + 1 :].lstrip()
+        out.append(x)
+    return out
+
+
+def whole(value: str | None, other: int) -> int:
+    return int(value) if value is not None and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", value) else other
 
 
 def title_of(n: Node) -> str:

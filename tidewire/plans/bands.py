@@ -13,6 +13,7 @@ from tidewire.functions import values
 from tidewire.operators import indicators, scoring
 from tidewire.plans.catalogue import query
 from tidewire.plans.forms import _list, _pick
+from tidewire.sources import vendor
 from tidewire.sources.tables import table
 
 STATUSES, RELATIONS = ["active", "stressed", "resolved", None], ["supports", "stresses", "unrelated", None]
@@ -117,3 +118,33 @@ def timeframe_bars(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH n AS (SELECT max(ts) - INTERVAL 7 DAY AS now FROM events) {_frames_sql(True)}")
 def timeframe_bars_warm(spark: SparkSession, base: str) -> DataFrame:
     return _frames(spark, base, True)
+
+
+# ------------------------------------------------------------------ answers of vendors, of all shapes, by the id
+
+FILING = """'{"filing_date": ' || CASE WHEN k % 5 = 0 THEN '""' WHEN k % 7 = 0 THEN 'null' ELSE '"2024-01-0' || (k % 9 + 1) || '"' END || ', "reporting_person": ' || CASE WHEN k % 3 = 0 THEN 'null' WHEN k % 4 = 0 THEN '""' ELSE '"P' || (k % 10) || '"' END || ', "name": ' || CASE WHEN k % 2 = 0 THEN '"N"' ELSE 'null' END
+ || ', "relationship": "dir", "transactions": [{"transaction_code": "P", "shares": ' || (k % 50) || '.5, "price_per_share": "x"}, 3, {"shares": null, "direction": "D", "extra": 1}]}'"""
+EMPTY = """'{"filing_date": "2024-02-0' || (k % 8 + 1) || '", "transactions": ' || CASE WHEN k % 2 = 0 THEN '[]' WHEN k % 3 = 0 THEN 'null' ELSE '"none"' END || '}'"""
+INSIDER = f"""CASE WHEN k % 17 = 0 THEN 'broken {{' WHEN k % 13 = 0 THEN '[1, 2]' WHEN k % 11 = 0 THEN '{{"filings": null}}' ELSE '{{"cik": "' || k || '", "filings": [' || {FILING} || ', 7, ' || {EMPTY} || ']}}' END"""
+FUNDAMENTALS = """CASE WHEN k % 17 = 0 THEN 'broken' ELSE '{"income": {"as_of": "2024", "revenue": ' || CASE WHEN k % 3 = 0 THEN 'null' ELSE '' || k END || '}, "balance": ' || CASE WHEN k % 4 = 0 THEN 'null' WHEN k % 4 = 1 THEN '{"as_of": "2024"}' WHEN k % 4 = 2 THEN '[3]' ELSE '{"cash": 0, "debt": null}' END || '}' END"""
+SECTIONS = {"income": ["as_of", "revenue", "net"], "balance": ["as_of", "cash", "debt"], "calendar": ["next"]}
+
+
+def _answers(spark: SparkSession, base: str, text: str) -> DataFrame:
+    return table(spark, base, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(text).alias("answer"))
+
+
+@query(f"""WITH d AS (SELECT k, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT k, {INSIDER} AS j FROM (SELECT c_custkey AS k FROM customer))), f AS (SELECT k, unnest(json_extract(j, '$.filings[*]')) AS f, unnest(range(len(json_extract(j, '$.filings[*]'))))::INT AS filing FROM d),
+g AS (SELECT k, filing, f, nullif(f->>'filing_date', '') AS filing_date, coalesce(nullif(f->>'reporting_person', ''), nullif(f->>'name', ''), 'unknown') AS person, CASE WHEN json_type(f, '$.transactions') = 'ARRAY' THEN json_extract(f, '$.transactions[*]') ELSE [] END AS ts FROM f WHERE json_type(f) = 'OBJECT'),
+t AS (SELECT *, unnest(CASE WHEN len(ts) = 0 THEN [NULL] ELSE ts END) AS t, unnest(CASE WHEN len(ts) = 0 THEN [NULL] ELSE range(len(ts)) END)::INT AS tx FROM g WHERE filing_date IS NOT NULL)
+SELECT k, filing, tx AS "transaction", filing_date, person AS reporting_person, f->>'relationship' AS relationship, t->>'transaction_code' AS transaction_code, TRY_CAST(t->>'shares' AS DOUBLE) AS shares, t->>'direction' AS direction, TRY_CAST(t->>'price_per_share' AS DOUBLE) AS price_per_share FROM t WHERE len(ts) = 0 OR json_type(t) = 'OBJECT'""")
+def insider_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Transactions of insiders; filings without any are rows too."""
+    return vendor.insider_transactions(_answers(spark, base, INSIDER), "k", "answer").select("k", "filing", "transaction", "filing_date", "reporting_person", "relationship", "transaction_code", "shares", "direction", "price_per_share")
+
+
+@query(f"""WITH d AS (SELECT k, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT k, {FUNDAMENTALS} AS j FROM (SELECT c_custkey AS k FROM customer)))
+SELECT k, 'income' AS section, coalesce(coalesce(j->'income'->>'revenue', j->'income'->>'net') IS NOT NULL, FALSE) AS filled FROM d UNION ALL SELECT k, 'balance', coalesce(coalesce(j->'balance'->>'cash', j->'balance'->>'debt') IS NOT NULL, FALSE) FROM d UNION ALL SELECT k, 'calendar', FALSE FROM d""")
+def fundamentals_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Which sections of an answer say anything."""
+    return vendor.coverage(_answers(spark, base, FUNDAMENTALS), "k", "answer", SECTIONS)

@@ -242,6 +242,20 @@ def funnel(decisions: DataFrame, route: str, reason: str, admitted: str | None =
     return decisions.select(F.explode(F.array_compact(rows)).alias("stage")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
+def funnel_report(decisions: DataFrame, run: list[str], route: str, verdict: str, made: str, members: str) -> DataFrame:
+    """A row for each run: how many groups were evaluated, took each route, were admitted or overflowed by budget and by diversity; how many of those admitted became a story
+    (``made`` true) or were rejected, the share rejected of those admitted, the share made of those promoted (0 without any), and sizes of those admitted."""
+    promoted, admitted = F.col(route) == "sharp_promote", F.col(verdict) == "admitted"
+    count = lambda c, n: F.count_if(F.coalesce(c, F.lit(False))).alias(n)
+    size = F.col(members)
+    out = decisions.groupBy(*run).agg(
+        F.count("*").alias("evaluated"), *[count(F.col(route) == r, r) for r in ("discard", "firehose_store", "sharp_promote")], count(promoted & admitted, "admitted"), count(promoted & (F.col(verdict) == "budget"), "overflow_budget"), count(promoted & (F.col(verdict) == "diversity"), "overflow_diversity"),
+        count(admitted & F.col(made), "made"), count(admitted & ~F.col(made), "rejected"), count(admitted & (size <= 1), "size_1"), count(admitted & (size == 2), "size_2"), count(admitted & size.between(3, 5), "size_3_5"), count(admitted & (size >= 6), "size_6"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 3)).otherwise(0.0)
+    return out.withColumns({"reject_rate": share("rejected", "admitted"), "promote_yield": share("made", "sharp_promote")})
+
+
 # ------------------------------------------------------------------ groups of news
 
 

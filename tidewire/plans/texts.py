@@ -224,6 +224,25 @@ def funnel_counts(spark: SparkSession, base: str) -> DataFrame:
     return rules.funnel(_groups(spark, base), "route", "reason")
 
 
+@query(f"""WITH {ROUTES}, v AS (SELECT doc_id % 7 AS run, route, CASE WHEN route = 'sharp_promote' THEN ['admitted', 'admitted', 'budget', 'diversity'][CAST(doc_id % 4 AS INT) + 1] END AS verdict, doc_id % 5 > 0 AS made, doc_id % 8 AS members FROM r),
+c AS (SELECT run, count(*) AS evaluated, count(*) FILTER (route = 'discard') AS discard, count(*) FILTER (route = 'firehose_store') AS firehose_store, count(*) FILTER (route = 'sharp_promote') AS sharp_promote, count(*) FILTER (verdict = 'admitted') AS admitted, count(*) FILTER (verdict = 'budget') AS overflow_budget,
+  count(*) FILTER (verdict = 'diversity') AS overflow_diversity, count(*) FILTER (verdict = 'admitted' AND made) AS made, count(*) FILTER (verdict = 'admitted' AND NOT made) AS rejected, count(*) FILTER (verdict = 'admitted' AND members <= 1) AS size_1, count(*) FILTER (verdict = 'admitted' AND members = 2) AS size_2,
+  count(*) FILTER (verdict = 'admitted' AND members BETWEEN 3 AND 5) AS size_3_5, count(*) FILTER (verdict = 'admitted' AND members >= 6) AS size_6 FROM v GROUP BY run)
+SELECT *, CASE WHEN admitted > 0 THEN round(rejected / admitted, 3) ELSE 0 END AS reject_rate, CASE WHEN sharp_promote > 0 THEN round(made / sharp_promote, 3) ELSE 0 END AS promote_yield FROM c""")
+def funnel_yields(spark: SparkSession, base: str) -> DataFrame:
+    """The funnel of seven runs: routes, overflow, what was made of those admitted, and the yields."""
+    i, g = F.col("doc_id"), _groups(spark, base)
+    verdict = F.when(F.col("route") == "sharp_promote", F.element_at(F.array(*[F.lit(x) for x in ("admitted", "admitted", "budget", "diversity")]), (i % 4).cast("int") + 1))
+    return rules.funnel_report(g.withColumns({"run": i % 7, "verdict": verdict, "made": i % 5 > 0, "members": i % 8}), ["run"], "route", "verdict", "made", "members")
+
+
+@query("SELECT 'S' || o_custkey % 40 AS symbol, count(*) AS uses FROM orders WHERE 'S' || o_custkey % 40 NOT IN (SELECT 'S' || n_nationkey FROM nation) GROUP BY 1")
+def uncovered_symbols(spark: SparkSession, base: str) -> DataFrame:
+    """Symbols that orders name and the registry, a nation each, lacks."""
+    name = lambda c: F.concat(F.lit("S"), c.cast("string")).alias("symbol")
+    return tables.uncovered(table(spark, base, "orders").select(name(F.col("o_custkey") % 40)), "symbol", table(spark, base, "nation").select(name(F.col("n_nationkey"))), "symbol")
+
+
 @query()
 def diversity_admit(spark: SparkSession, base: str) -> DataFrame:
     """Of the promoted groups of a run (one a parity), in the order of their rules, those that the budget and the shares let in."""

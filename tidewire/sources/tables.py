@@ -111,3 +111,9 @@ def seed(spark: SparkSession, rows: list[tuple], schema: str, keys: list[str]) -
     numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{schema}, __at int")
     best = numbered.groupBy(*keys).agg(F.max("__at").alias("__at"))
     return numbered.join(best, [*keys, "__at"], "left_semi").drop("__at")
+
+
+def uncovered(used: DataFrame, symbol: str, registry: DataFrame, known: str) -> DataFrame:
+    """Symbols in use that the registry lacks, with how often they are used."""
+    missing = used.filter(F.col(symbol).isNotNull()).join(registry.select(F.col(known).alias(symbol)).distinct(), symbol, "left_anti")
+    return missing.groupBy(symbol).agg(F.count("*").alias("uses"))

@@ -198,18 +198,18 @@ def _groups(spark: SparkSession, base: str) -> DataFrame:
     cls = F.element_at(F.array(F.lit("fed_action"), F.lit("regulatory"), F.lit("m_a"), F.lit("earnings"), F.lit(None).cast("string")), (i % 5).cast("int") + 1)
     c = {
         "max_materiality": (i * 7 % 101), "pubs": i % 4, "tier1": i % 6 == 0, "institutional": i % 11 == 0, "tickers": F.array(F.element_at(F.array(F.lit("AAPL"), F.lit("ZZZ"), F.lit("QQQ9")), (i % 3).cast("int") + 1)),
-        "sectors": F.array(F.element_at(F.array(F.lit("energy.oil_gas"), F.lit("macro.fx")), (i % 2).cast("int") + 1)), "regions": F.array(F.lit("europe")), "event_class": cls, "press_wire": i % 13 == 0, "non_pr": i % 5 != 1, "min_age_h": F.when(i % 9 > 0, (i * 13 % 200).cast("double")), "macro": i % 10 == 0,
+        "sectors": F.array(F.element_at(F.array(F.lit("energy.oil_gas"), F.lit("macro.fx")), (i % 2).cast("int") + 1)), "regions": F.array(F.when((i % 7 == 0) | (i % 11 == 0), "japan").otherwise("europe")), "event_class": cls, "press_wire": i % 13 == 0, "non_pr": i % 5 != 1, "min_age_h": F.when(i % 9 > 0, (i * 13 % 200).cast("double")), "macro": i % 10 == 0,
     }
     none = F.array(F.lit("QQQ9"))
     return d.select("doc_id", (i * 7 % 101).alias("mat"), (i % 4).alias("pubs"), (i % 2).alias("sector"), rules.routed(c, none, F.array(F.lit("energy.oil_gas")), F.array(F.lit("japan"))).alias("r")).select("doc_id", "mat", "pubs", "sector", "r.route", "r.reason")
 
 
-ROUTES = """g AS (SELECT doc_id, doc_id * 7 % 101 AS mat, doc_id % 4 AS pubs, doc_id % 6 = 0 AS t1, doc_id % 11 = 0 AS inst, doc_id % 3 AS tick, doc_id % 2 AS sector, ['fed_action', 'regulatory', 'm_a', 'earnings', NULL][CAST(doc_id % 5 AS INT) + 1] AS cls,
+ROUTES = """g AS (SELECT doc_id, doc_id * 7 % 101 AS mat, doc_id % 4 AS pubs, doc_id % 6 = 0 AS t1, doc_id % 11 = 0 AS inst, doc_id % 3 AS tick, doc_id % 2 AS sector, doc_id % 7 = 0 OR doc_id % 11 = 0 AS japan, ['fed_action', 'regulatory', 'm_a', 'earnings', NULL][CAST(doc_id % 5 AS INT) + 1] AS cls,
   doc_id % 13 = 0 AS pw, doc_id % 5 <> 1 AS np, CASE WHEN doc_id % 9 > 0 THEN doc_id * 13 % 200 END AS age, doc_id % 10 = 0 AS macro FROM documents),
 x AS (SELECT *, age IS NULL OR age <= 48 AS st, age IS NULL OR age <= 168 AS re, t1 OR inst OR pubs >= 2 AS corr FROM g),
 d AS (SELECT doc_id, mat, pubs, sector, CASE WHEN mat = 0 AND tick <> 2 AND NOT macro AND NOT t1 AND NOT inst THEN 'floor' WHEN inst AND cls IN ('fed_action', 'macro_print') AND mat >= 50 AND st THEN 'R0' WHEN inst AND cls = 'regulatory' AND mat >= 70 AND re THEN 'R0b'
   WHEN pubs >= 3 AND t1 AND re THEN 'R0c' WHEN mat >= 30 AND t1 AND re THEN 'R1' WHEN pubs >= 3 AND mat >= 25 AND re THEN 'R2' WHEN pubs >= 2 AND t1 AND mat >= 25 AND re THEN 'R2b' WHEN tick = 2 AND mat >= 25 AND re THEN 'R3'
-  WHEN cls IN ('fed_action', 'macro_print', 'm_a', 'regulatory') AND mat >= 35 AND corr AND st THEN 'R4' WHEN sector = 0 AND mat >= 25 AND corr AND re THEN 'R5'
+  WHEN cls IN ('fed_action', 'macro_print', 'm_a', 'regulatory') AND mat >= 35 AND corr AND st THEN 'R4' WHEN sector = 0 AND mat >= 25 AND corr AND re THEN 'R5' WHEN japan AND mat >= 25 AND corr AND re THEN 'R6'
   WHEN tick = 0 AND cls IS NOT NULL AND mat >= 45 AND np AND NOT pw AND st THEN 'R7' WHEN cls IN ('fed_action', 'macro_print') AND mat >= 55 AND np AND NOT pw AND st THEN 'R8' ELSE 'default' END AS reason FROM x),
 r AS (SELECT *, CASE reason WHEN 'floor' THEN 'discard' WHEN 'default' THEN 'firehose_store' ELSE 'sharp_promote' END AS route FROM d)"""
 

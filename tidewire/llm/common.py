@@ -6,6 +6,7 @@ them into runs of a few MB, and all hashes of a run are computed by vector opera
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -159,6 +160,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 # --------------------------------------------------------------------------- Arrow
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, as its worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and where each value begins in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

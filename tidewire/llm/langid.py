@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.chunks import ranges
-from tidewire.llm.common import BYTE_BASE, U, mix, powers, text_chunks
+from tidewire.llm.common import BYTE_BASE, U, give_back, mix, powers, text_chunks
 
 PER_LANGUAGE, LONGEST, UNSEEN, BROADCAST_LANGUAGES = 3000, 5, 0.5, 100_000
+CHUNK = 1 << 19  # bytes of text whose n-grams are held at once
 UND = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _CODES: list[np.ndarray] = []
@@ -88,7 +89,7 @@ def _trainer(languages: list[str]):
         names = pa.array(languages)
         for batch in batches:
             lang = pa.compute.index_in(batch.column("lang"), names).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, data, offsets in text_chunks(batch.column("text")):
+            for a, b, data, offsets in text_chunks(batch.column("text"), CHUNK):
                 w = Words(data, offsets)
                 which = np.arange(len(w.start))
                 parts = [_counts(lang[a:b][w.text], w.hash(w.start, w.end), 0)]
@@ -97,6 +98,7 @@ def _trainer(languages: list[str]):
                     parts.append(_counts(lang[a:b][w.text[owner]], h, n))
                 g, kind, key, c = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(kind, pa.int32()), pa.array(key.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "kind", "key", "n"])
+        give_back()
 
     return count
 
@@ -191,7 +193,7 @@ def fit(documents: DataFrame, usable: Column, per_language: int = PER_LANGUAGE)
 def _decide(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Place of the best language of each text (behind the last one: none) and its score."""
     best, score = np.full(len(texts), len(model.languages)), np.zeros(len(texts))
-    for a, b, data, offsets in text_chunks(texts):
+    for a, b, data, offsets in text_chunks(texts, CHUNK):
         s, has = model.scores(data, offsets)
         if model.languages and has.any():
             p = np.exp(s[has] - s[has].max(1, keepdims=True))
@@ -206,6 +208,7 @@ def _predictor(model):
         for batch in batches:
             best, score = _decide(model.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     return predict
 
@@ -231,6 +234,7 @@ def recognised(documents: DataFrame, model: Model, least: float) -> DataFrame:
         for batch in batches:
             best, score = _decide(shared.value, batch.column(name))
             yield batch.filter(pa.array((best < len(shared.value.languages)) & (score >= least))).drop_columns([name])
+        give_back()
 
     return texts.mapInArrow(keep, documents.schema)
 

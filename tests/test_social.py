@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.functions.text import STOPWORDS
 from tidewire.operators import social
@@ -93,3 +94,15 @@ def test_the_cap_of_a_day_spares_refreshes(spark):
 def test_query_of_topics(spark):
     found = QUERIES["social_admission"](spark, "/root/testdata/sf0.001").groupBy("verdict").count().collect()
     assert {"admit", "refresh", "rank", "heat", "too_few_verified_posts", "missing_required_fields", "invalid_heat", "posts_not_list"} <= {r.verdict for r in found}
+
+
+def test_like_titles_of_other_tickers_meet_live_topics_alone(spark):
+    """Twelve thousand topics of two days with one title: pairs of them would be 72 million, of which the fold needs those with the one live topic."""
+    n = 12_000
+    post = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.lit("u").alias("handle"), F.concat(F.lit("https://x.com/a/status/"), k.cast("string")).alias("url"), F.lit("bull").alias("stance"), F.lit("c").alias("claim"), F.lit(None).cast("string").alias("engagement")))
+    text = [F.lit(x).alias(c) for c, x in (("title", "merger chips keynote"), ("summary", "s"), ("bull", "b"), ("bear", "b"), ("heat", "5"))]
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.floor(F.col("id") / (n // 8)) * 21_600)
+    rows = spark.range(n).select("id", at.alias("at"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("T"), "id").alias("ticker"), F.lit(0).alias("n"), *text, post.alias("posts"), F.transform(post, lambda p: p["url"]).alias("citations"))
+    out = social.admitted(rows)
+    assert {(r.verdict, r.topic): r["count"] for r in out.groupBy("verdict", "topic").count().collect()} == {("admit", 0): 1, ("dup", 0): n - 1}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

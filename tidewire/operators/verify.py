@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import quote_form
+from tidewire.functions.text import ascii_words, quote_form
 
 TICKER = r"^[A-Z0-9][A-Z0-9.\-=^]{0,11}$"
 
@@ -68,7 +68,7 @@ def in_requested_order(requested: DataFrame, key: str, names: str, data: DataFra
 
 
 def has_datapoint(text: Column) -> Column:
-    return text.rlike(r"\d+(?:\.\d+)?\s?(?:%|bps|bn|m|k|x)?\b")
+    return text.rlike(ascii_words(r"\d+(?:\.\d+)?\s?(?:%|bps|bn|m|k|x)?\b"))
 
 
 def provenance(briefs: DataFrame, key: str, items: str, known: DataFrame, known_id: str) -> DataFrame:

@@ -388,3 +388,42 @@ def test_group_state_as_a_stream(spark, tmp_path):
     want = {r.g: r for r in rules.group_summary(spark.createDataFrame(first + second, schema), "g").collect()}
     names = [c for c in spark.read.parquet(out).columns]
     assert set(got) == set(want) == {1, 2, 3} and all(got[g][c] == want[g][c] for g in want for c in names)
+
+
+@pytest.mark.parametrize("parent", [None, "label"])
+def test_best_of_a_task_are_held_over_its_batches_and_copies_tie_by_id(spark, parent):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(150, 64))
+    data = [(k, [float(a) for a in x[k * 7 % 150]], k % 3) for k in range(3000)]  # twenty copies of each
+    v = spark.createDataFrame(data, "vec_id long, e array<double>, label int").coalesce(1)
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("e").alias("qe"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "170")
+    try:
+        for n in (1 << 20, 0):
+            found = retrieval.cosine_candidates(v, "vec_id", "e", q, "qid", "qe", 6, 0.0, parent, broadcast_values=n)
+            got = rows(found.select("query_id", "vec_id"))
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            own = {k: unit[k * 7 % 150] for k in range(3000)}
+            order = {i: sorted(range(3000), key=lambda k: (-round(float(own[k] @ own[i]), 12), k)) for i in range(20)}  # noqa: B023
+            want = [(i, next(k for k in order[i] if k % 3 == p)) for i in order for p in range(3)] if parent else [(i, k) for i in order for k in order[i][:6]]
+            assert got == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_memory_of_retrieval_is_that_of_a_tile():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(3000, 8)), rng.normal(size=(6000, 8))
+    batch = pd.DataFrame({"id": np.arange(6000), "label": np.arange(6000) % 10, "v": list(x)})
+    tracemalloc.start()
+    for names, k in ((["id"], 10), (["id", "label"], 1)):
+        out = pd.concat(retrieval._scored(iter([batch, batch.assign(id=batch["id"] + 6000)]), np.arange(3000), q, names, k, None))
+        assert len(out) == 30_000 and out["id"].max() < 12_000
+    assert tracemalloc.get_traced_memory()[1] < 250e6  # all scores of a batch alone are 144 MB, their pairs 432 MB more
+    tracemalloc.stop()

@@ -267,7 +267,7 @@ def cluster_batch(spark: SparkSession, base: str) -> DataFrame:
     h = every.filter("norm <> ''")
     kept = h.groupBy("norm").agg(F.min("doc_id").alias("lead"), F.first("w").alias("w"))
     a, b = kept.select(F.col("lead").alias("a"), "w"), kept.select(F.col("lead").alias("b"), "w")
-    near = setjoin.set_join(a, b, "a", "b", "w", 0.6).filter("a < b").select("a", "b")
+    near = setjoin.set_join(a, b, "a", "b", "w", 0.6, ascending=True).select("a", "b")
     found = graph.components(near)
     own = h.join(kept.select("norm", "lead"), "norm").join(found, F.col("lead") == F.col("node"), "left")
     alone = every.filter("norm = ''").select("doc_id", F.col("doc_id").alias("grp"))

@@ -427,3 +427,12 @@ def test_memory_of_retrieval_is_that_of_a_tile():
         assert len(out) == 30_000 and out["id"].max() < 12_000
     assert tracemalloc.get_traced_memory()[1] < 250e6  # all scores of a batch alone are 144 MB, their pairs 432 MB more
     tracemalloc.stop()
+
+
+def test_words_of_a_text_meet_aliases_without_the_text(spark):
+    """What is shuffled for each word is the word and the text's key."""
+    index = rules.alias_index(spark.createDataFrame([("AB", "Alpha", ["beta co"], "equity")], "symbol string, short string, aliases array<string>, asset_class string"))
+    texts = spark.createDataFrame([(1, "AB rose", "x beta co y"), (2, "ab", "alphas"), (3, None, None)], "id long, title string, body string")
+    out = rules.tagged(texts, "id", F.col("title"), F.col("body"), index)
+    assert {r.id: r.symbols for r in out.collect()} == {1: ["AB"], 2: [], 3: []}
+    assert not [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line and "full#" in line and ", atom#" in line]

@@ -172,13 +172,14 @@ def tagged(rows: DataFrame, key: str, title: Column, body: Column, index: DataFr
     texts = rows.select(F.col(key).alias("key"), full.alias("full"))
     atoms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+|[^\x00-\x7f])"), F.lit(1))
     begins = index.select("alias", "symbol", "cased", F.try_element_at(atoms(F.col("alias")), F.lit(1)).alias("atom")).filter("atom IS NOT NULL")
-    met = texts.select("key", "full", F.explode(F.array_distinct(atoms(F.col("full")))).alias("atom")).join(begins, "atom")
-    exact = lambda letters: F.concat(F.lit(f"(?<![{letters}])\\Q"), F.col("alias"), F.lit(f"\\E(?![{letters}])"))
-    holds = F.when(F.col("cased"), F.rlike("full", exact("A-Za-z0-9"))).otherwise(F.rlike(F.lower("full"), exact("a-z0-9")))
-    symbols = met.filter(holds).groupBy("key").agg(F.collect_set("symbol").alias("named"))
+    met = texts.select("key", F.explode(F.array_distinct(atoms(F.col("full")))).alias("atom")).join(begins, "atom")
+    near = met.groupBy("key").agg(F.collect_set(F.struct("alias", "symbol", "cased")).alias("near"))  # the text comes to its aliases once, not to each of its words
+    exact = lambda c, letters: F.concat(F.lit(f"(?<![{letters}])\\Q"), c["alias"], F.lit(f"\\E(?![{letters}])"))
+    holds = lambda c: F.when(c["cased"], F.rlike("full", exact(c, "A-Za-z0-9"))).otherwise(F.rlike(F.lower("full"), exact(c, "a-z0-9")))
+    named = F.coalesce(F.transform(F.filter("near", holds), lambda c: c["symbol"]), F.array().cast("array<string>"))
     macro = macro_tags(F.col("full"))
-    out = texts.select("key", exchange_tickers(F.col("full")).alias("exchange_tickers"), macro.alias("macro")).join(symbols, "key", "left")
-    all_symbols = F.array_sort(F.array_distinct(F.concat(F.coalesce("named", F.array().cast("array<string>")), F.col("macro.proxies"))))
+    out = texts.join(near, "key", "left").select("key", exchange_tickers(F.col("full")).alias("exchange_tickers"), macro.alias("macro"), named.alias("named"))
+    all_symbols = F.array_sort(F.array_distinct(F.concat("named", F.col("macro.proxies"))))
     return out.select(F.col("key").alias(key), "exchange_tickers", all_symbols.alias("symbols"), F.array_sort("macro.keywords").alias("macro_keywords"))
 
 

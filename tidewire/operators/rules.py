@@ -19,8 +19,8 @@ def _hit(c: Column, pattern: str) -> Column:
 
 def folded(c: Column) -> Column:
     """Lower case, with the four characters that match ASCII letters without regard to case as these: what patterns in lower case are
-    matched against, at a fraction of the time that flags for case cost."""
-    return F.lower(F.translate(c, "ſİıK", "siik"))
+    matched against, at a fraction of the time that flags for case cost. Other characters beyond ASCII are one that is no part of a word."""
+    return F.regexp_replace(F.lower(F.translate(c, "ſİıK", "siik")), r"[^\x00-\x7F]", "\u00a7")
 
 
 def _gates(patterns: list[str], size: int = 10) -> list[tuple[str | None, list[int]]]:
@@ -44,7 +44,7 @@ def _gates(patterns: list[str], size: int = 10) -> list[tuple[str | None, list[i
 def _gated(text: Column, patterns: list[str], name: str) -> tuple[Column, list[Column]]:
     """A column ``name`` of which groups of patterns a text can match, and for each pattern whether its group can."""
     gates = _gates(patterns)
-    held = F.array(*[F.lit(True) if g is None else text.rlike(ascii_words(g)) for g, _ in gates])
+    held = F.array(*[F.lit(True) if g is None else text.rlike(g) for g, _ in gates])
     group = {k: n for n, (_, own) in enumerate(gates) for k in own}
     return held, [F.get(F.col(name), F.lit(group[k])) for k in range(len(patterns))]
 
@@ -65,9 +65,9 @@ def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFra
     event_gate, may_be_event = _gated(f, [p for p, _, _ in HIGH_VALUE], "__event_gate")
     noise_gate, may_be_noise = _gated(f, [p for p, _ in NOISE], "__noise_gate")
     parts = parts.withColumns({"__event_gate": event_gate, "__noise_gate": noise_gate})
-    events = F.array(*[F.when(may & f.rlike(ascii_words(p)), F.when(h.rlike(ascii_words(p)), w + HEADLINE_BONUS).otherwise(w)).otherwise(0) for may, (p, w, _) in zip(may_be_event, HIGH_VALUE, strict=True)])
-    noise = F.array(*[F.when(may & (h.rlike(ascii_words(p)) | x.rlike(ascii_words(p))), 1).otherwise(0) for may, (p, _) in zip(may_be_noise, NOISE, strict=True)])
-    found = F.struct(events.alias("__events"), noise.alias("__noise"), h.rlike(ascii_words(LAWYER_SPAM)).alias("__spam"), h.rlike(ascii_words(SCHEDULING)).alias("__scheduled"))
+    events = F.array(*[F.when(may & f.rlike(p), F.when(h.rlike(p), w + HEADLINE_BONUS).otherwise(w)).otherwise(0) for may, (p, w, _) in zip(may_be_event, HIGH_VALUE, strict=True)])
+    noise = F.array(*[F.when(may & (h.rlike(p) | x.rlike(p)), 1).otherwise(0) for may, (p, _) in zip(may_be_noise, NOISE, strict=True)])
+    found = F.struct(events.alias("__events"), noise.alias("__noise"), h.rlike(LAWYER_SPAM).alias("__spam"), h.rlike(SCHEDULING).alias("__scheduled"))
     flags = parts.select(*[F.col(f"`{c}`") for c in rows.columns], F.inline_outer(F.array(found)))
     label = F.array(*[F.lit(x) for _, _, x in HIGH_VALUE])
     counted = F.filter(F.zip_with("__events", label, lambda w, x: F.struct(w.alias("w"), x.alias("label"))), lambda e: (e["w"] > 0) & ~(F.col("__scheduled") & (e["label"] == "earnings")))

@@ -61,3 +61,27 @@ def test_late_rows_are_groups_of_their_own(spark, tmp_path):
     rows = [r for _, rs in seen for r in rs]
     assert [(r.late, r.members, r.closed) for r in rows if r.late is not None] == [(3, 1, True)]
     assert max(r.members for r in rows if r.late is None) == 3 and min(r.first_seen_at for r in rows if r.late is None) == START + dt.timedelta(hours=60)
+
+
+def test_a_group_is_one_row_of_state_and_null_members_count(spark, tmp_path):
+    first = [member(1, "a", 0, 80, "pr_wire", "m_a", ("A", None)), member(2, "a", 1, None, None, None, ()), member(3, "b", 2, event="zé\"\\", tickers=("B", "Ω"), stance=None)]
+    seen, total = run(spark, tmp_path, [first, [member(4, "a", 3, None, "pr_wire", "earnings", ("Z",)), member(5, "b", 3, 20)]], "100 hours", 1000.0)
+    latest = {r.g: r for _, rows in seen for r in rows}
+    assert total[:2] == [2, 2]
+    assert (latest["a"].tickers, latest["a"].event_class, latest["a"].members, latest["a"].independent_pub_count) == (["A", "Z"], "earnings", 3, 2)
+    assert latest["a"].max_materiality < 80 and (latest["b"].tickers, latest["b"].event_class) == (["A", "B", "Ω"], "zé\"\\")
+
+
+def test_a_batch_is_reckoned_once_while_it_is_merged(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            read.add(len(p))
+            yield p
+
+    upsert = ingest.upsert_by_key(f"{tmp_path}/table", ["id"])
+    for k in range(2):
+        upsert(spark.range(50 * k, 50 * k + 100).withColumn("batch", F.lit(k)).mapInPandas(counted, "id long, batch int"), k)
+    assert read.value == 200
+    assert [r["count"] for r in spark.read.parquet(f"{tmp_path}/table").groupBy("batch").count().orderBy("batch").collect()] == [50, 100]

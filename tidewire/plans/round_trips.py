@@ -103,8 +103,9 @@ def streamed_groups(spark: SparkSession, base: str) -> DataFrame:
     def work(folder: str) -> DataFrame:
         e = table(spark, base, "events")
         for k in range(3):
-            forms.members_of_groups(e.filter(F.col("event_id") % 3 == k)).coalesce(1).write.mode("append").parquet(f"{folder}/src")
-        stream = ingest.read(spark, f"{folder}/src", spark.read.parquet(f"{folder}/src").schema, files_per_batch=1)
+            forms.members_of_groups(e.filter(F.col("event_id") % 3 == k)).write.mode("append").parquet(f"{folder}/src")
+        source = spark.read.parquet(f"{folder}/src")
+        stream = ingest.read(spark, f"{folder}/src", source.schema, files_per_batch=-(-len(source.inputFiles()) // 3))
         with groups.state_store(spark):
             ingest.run_available(groups.group_states(stream, "g", "event_id", F.lit(False), "60 days", 60 * 24), ingest.upsert_by_key(f"{folder}/groups", ["g", "opened_by"]), mode="update")
         return forms._shown(spark.read.parquet(f"{folder}/groups"))

@@ -65,8 +65,16 @@ def group_state(stream: DataFrame, key: str) -> DataFrame:
 
 def upsert_by_key(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: rows of the batch take the place of rows with the same key in the table, so a batch written twice counts once. A batch has
-    a key once."""
-    return lambda df, _: merge_into(df.sparkSession, path, df, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new))
+    a key once. The batch is kept while it is written, as it is read twice and would be reckoned twice, with its state."""
+
+    def upsert(df: DataFrame, _: int) -> None:
+        rows = df.persist()
+        try:
+            merge_into(df.sparkSession, path, rows, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new))
+        finally:
+            rows.unpersist()
+
+    return upsert
 
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None, output: str | None = None, mode: str = "append", timeout: int = 3600) -> str:

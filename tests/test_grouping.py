@@ -98,3 +98,34 @@ def test_a_filter_on_materiality_matches_no_pattern_again(spark):
     scored = rules.with_materiality(d, texts._phrase(), F.col("text"))
     tests = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
     assert tests(scored) == tests(scored.filter("materiality.score >= 25")) == tests(scored.filter("materiality.score >= 25 AND array_contains(materiality.labels, 'm_a')").select("doc_id")) > 50
+
+
+def test_groups_and_headlines_that_are_too_old_leave_at_once():
+    groups = grouping.OnlineGroups()
+    for k in range(1000):
+        item = {"tickers": {"SPY", f"T{k}"}, "sectors": set(), "regions": set(), "tokens": {f"w{k}"}, "event_class": "m_a" if k % 2 else None, "hash": f"h{k}", "published_h": None}
+        assert groups.attach(k, item, float(k)) == k
+        assert len(groups.live) <= 73 and len(groups.by_hash) <= 49 and len(groups.by_ticker) <= 74 and len(groups.by_ticker["SPY"]) <= 73
+    assert set(groups.live) == set(range(927, 1000)) and set(groups.by_class) == {"m_a"}
+
+
+def test_a_round_groups_a_stretch_once(spark, monkeypatch):
+    met, behind = spark.sparkContext.accumulator(0), grouping._behind
+
+    def counted(rows, states):
+        met.add(len(rows))
+        return behind(rows, states)
+
+    monkeypatch.setattr(grouping, "_behind", counted)
+    rows = giant_topic(7, 120, 400, True)
+    found, rounds = grouping.online_groups(spark.createDataFrame(rows, SCHEMA), "id", "published", "seen", stretch_rows=61)
+    assert {r.id: r.grp for r in found.collect()} == plain_groups(rows)
+    assert 0 < met.value <= 0.75 * len(rows) * (rounds - 1)
+
+
+def test_no_score_exceeds_what_an_item_can_reach():
+    rng = random.Random(8)
+    some = lambda names: set(rng.sample(names, rng.randrange(len(names) + 1)))
+    for _ in range(2000):
+        a, b = ({"tickers": some("AB"), "sectors": some("cd"), "regions": some("ef"), "tokens": some("ghi"), "event_class": rng.choice([None, "m_a", "x"])} for _ in range(2))
+        assert grouping.attach_score(a, b) <= grouping.most_score(a)

@@ -26,7 +26,7 @@ from tidewire.session import cut
 
 #: Hours after which an item is too old to join, a headline is forgotten, a group that was not seen is not joined any more.
 STALE_HOURS, HEADLINE_HOURS, STATE_HOURS = 48, 48, 72
-STRETCH_ROWS, SWEEP = 50_000, 4096
+STRETCH_ROWS = 50_000
 SETS = ("tickers", "sectors", "regions")
 STATE = "s int, grp long, born double, seen double, tickers array<string>, sectors array<string>, regions array<string>, classes array<struct<event_class:string,n:bigint>>, tokens array<string>, hashes array<struct<hash:string,t:double>>, vector array<double>"
 
@@ -41,6 +41,12 @@ def attach_score(a: dict, b: dict) -> float:
     return 0.4 * _j(a["tickers"], b["tickers"]) + 0.2 * _j(a["sectors"], b["sectors"]) + 0.1 * _j(a["regions"], b["regions"]) + 0.2 * event + 0.1 * _j(a["tokens"], b["tokens"])
 
 
+def most_score(item: dict) -> float:
+    """What ``attach_score`` can't exceed for an item: everything that it has in common, summed in the same order."""
+    a, b, c, d, e = (1.0 if item[k] else 0.0 for k in (*SETS, "event_class", "tokens"))
+    return 0.4 * a + 0.2 * b + 0.1 * c + 0.2 * d + 0.1 * e
+
+
 def vector_score(item: dict, group: dict) -> float:
     """0.6 cosine to the vector of the group's first item, 0.4 tickers."""
     a, b = item["vector"], group["vector"]
@@ -49,15 +55,16 @@ def vector_score(item: dict, group: dict) -> float:
 
 
 class OnlineGroups:
-    """The groups that can still be joined, each known by its first item; times are hours and ascend from call to call."""
+    """The groups that can still be joined, each known by its first item; times are hours and ascend from call to call. Groups and headlines stand in the order in which
+    they were seen last, so those that are too old to matter leave from the front, each once, and an item meets none of them."""
 
     def __init__(self):
-        self.live: dict[int, dict] = {}
-        self.by_ticker: dict[str, set] = {}
-        self.by_class: dict[str, set] = {}
+        self.live: OrderedDict[int, dict] = OrderedDict()  # seen last comes last, here and in the next two
+        self.by_ticker: dict[str, dict] = {}
+        self.by_class: dict[str, dict] = {}
         self.by_hash: dict[str, dict] = {}
-        self.with_vector: OrderedDict[int, None] = OrderedDict()  # seen last comes last
-        self.calls = 0
+        self.with_vector: OrderedDict[int, None] = OrderedDict()
+        self.headlines: OrderedDict[tuple[str, int], float] = OrderedDict()
 
     def restore(self, states: list[dict]) -> None:
         """Begin with groups of earlier stretches."""
@@ -65,14 +72,19 @@ class OnlineGroups:
             vector = None if s["vector"] is None else np.asarray(s["vector"], float)
             g = {"born": (s["born"], s["grp"]), "seen": s["seen"], "tokens": set(s["tokens"]), "vector": vector, "classes": {c["event_class"]: c["n"] for c in s["classes"]}, "event_class": None, **{k: set() for k in SETS}}
             self._enter(int(s["grp"]), g, {k: set(s[k]) for k in SETS})
-            for h in s["hashes"]:
-                self.by_hash.setdefault(h["hash"], {})[int(s["grp"])] = h["t"]
+        for t, grp, h in sorted(((h["t"], int(s["grp"]), h["hash"]) for s in states for h in s["hashes"]), key=lambda x: x[:2]):
+            self._tell(h, grp, t)
+
+    def _tell(self, headline: str, key: int, t: float) -> None:
+        self.by_hash.setdefault(headline, {})[key] = t
+        self.headlines[headline, key] = t
+        self.headlines.move_to_end((headline, key))
 
     def _enter(self, key: int, g: dict, sets: dict) -> None:
         self.live[key] = g
         self._grow(key, sets)
         for c in g["classes"]:
-            self.by_class.setdefault(c, set()).add(key)
+            self.by_class.setdefault(c, {})[key] = None
         self._name(g)
         if g["vector"] is not None:
             self.with_vector[key] = None
@@ -80,7 +92,7 @@ class OnlineGroups:
     def _grow(self, key: int, sets: dict) -> None:
         g = self.live[key]
         for t in sets["tickers"] - g["tickers"]:
-            self.by_ticker.setdefault(t, set()).add(key)
+            self.by_ticker.setdefault(t, {})[key] = None
         for k in SETS:
             g[k] |= sets[k]
 
@@ -88,26 +100,33 @@ class OnlineGroups:
     def _name(g: dict) -> None:
         g["event_class"] = min(g["classes"], key=lambda c: (-g["classes"][c], c), default=None)
 
-    def _sweep(self, now: float) -> None:
-        for key in [k for k, g in self.live.items() if now - g["seen"] > max(HEADLINE_HOURS, STATE_HOURS)]:
-            g = self.live.pop(key)
+    @staticmethod
+    def _leave(index: dict, name: str | None, key: int) -> None:
+        del index[name][key]
+        if not index[name]:
+            del index[name]
+
+    def _expire(self, now: float) -> None:
+        while self.headlines and now - next(iter(self.headlines.values())) > HEADLINE_HOURS:
+            (headline, key), _ = self.headlines.popitem(last=False)
+            self._leave(self.by_hash, headline, key)
+        while self.live and now - next(iter(self.live.values()))["seen"] > STATE_HOURS:
+            key, g = self.live.popitem(last=False)
             for index, names in ((self.by_ticker, g["tickers"]), (self.by_class, g["classes"])):
                 for n in names:
-                    index[n].discard(key)
-                    if not index[n]:
-                        del index[n]
+                    self._leave(index, n, key)
             self.with_vector.pop(key, None)
-        for h in [h for h, seen in self.by_hash.items() if all(now - t > HEADLINE_HOURS for t in seen.values())]:
-            del self.by_hash[h]
 
     def _by_headline(self, item: dict, now: float) -> int | None:
         known = [k for k, t in self.by_hash.get(item["hash"], {}).items() if now - t <= HEADLINE_HOURS and k in self.live]
         return min(known, key=lambda k: self.live[k]["born"], default=None)
 
     def _by_features(self, item: dict, now: float) -> int | None:
+        if most_score(item) < CHEAP_ATTACH - 1e-12:
+            return None
         near = set().union(*(self.by_ticker.get(t, ()) for t in item["tickers"]))
         if item["regions"] and item["event_class"]:
-            near |= self.by_class.get(item["event_class"], set())
+            near.update(self.by_class.get(item["event_class"], ()))
         best, top = None, 0.0
         for k in sorted(near, key=lambda k: self.live[k]["born"]):
             g = self.live[k]
@@ -137,9 +156,7 @@ class OnlineGroups:
         ``CENTROID_SCAN`` groups with a vector seen last. Of equals the group that began first."""
         if item["published_h"] is not None and now - item["published_h"] > STALE_HOURS:
             return key
-        self.calls += 1
-        if self.calls % SWEEP == 0:
-            self._sweep(now)
+        self._expire(now)
         best = self._by_headline(item, now)
         if best is None:
             best = self._by_features(item, now)
@@ -153,10 +170,11 @@ class OnlineGroups:
         g = self.live[best]
         if item["event_class"]:
             g["classes"][item["event_class"]] = g["classes"].get(item["event_class"], 0) + 1
-            self.by_class.setdefault(item["event_class"], set()).add(best)
+            self.by_class.setdefault(item["event_class"], {})[best] = None
             self._name(g)
-        self.by_hash.setdefault(item["hash"], {})[best] = now
+        self._tell(item["hash"], best, now)
         g["seen"] = now
+        self.live.move_to_end(best)
         if best in self.with_vector:
             self.with_vector.move_to_end(best)
         return best
@@ -271,7 +289,8 @@ def online_groups(news: DataFrame, item: str, at: str, seen: str, stretch_rows:
         while settled is not None:
             again = items.filter(F.col("k") > settled).groupBy("k").cogroup(_states(items, decided, starts, settled).groupBy("s")).applyInPandas(_behind, DECIDED)
             before = decided
-            decided = cut(_followed(_followed(decided.filter(F.col("k") <= settled).unionByName(again))))
+            found_now = cut(decided.filter(F.col("k") <= settled).unionByName(again))  # following reads it several times, and each would group anew
+            decided = cut(_followed(_followed(found_now)))
             changed = decided.join(before.select("item", F.col("grp").alias("was")), "item").filter("grp <> was")
             settled, rounds = changed.agg(F.min("k")).first()[0], rounds + 1
     begun = rows.select(F.col("item").alias("grp"), F.floor(F.col("now") / STATE_HOURS).alias("block"))

@@ -49,8 +49,12 @@ def _gated(text: Column, patterns: list[str], name: str) -> tuple[Column, list[C
     return held, [F.get(F.col(name), F.lit(group[k])) for k in range(len(patterns))]
 
 
+#: Of a body, so many characters count for its materiality.
+EXCERPT_CHARS = 600
+
+
 def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFrame:
-    """The rows with a struct ``materiality`` of score and labels of a text, of whose body the first 600 characters count.
+    """The rows with a struct ``materiality`` of score and labels of a text, of whose body the first ``EXCERPT_CHARS`` characters count.
 
     A headline of law firms is 0. Else every pattern that matters adds its weight, and a bonus if the headline alone has it, to 100 at
     most; without any, noise is 0 and nothing at all is 15. A headline that only schedules a report isn't earnings but noise. The labels
@@ -59,7 +63,7 @@ def with_materiality(rows: DataFrame, headline: Column, body: Column) -> DataFra
     Every pattern is matched once, and only if its group's gate holds, into one struct of flags that score and labels are read from. The
     struct is generated (``inline`` of one element), which filters on the score are not pushed through, so they don't match again.
     """
-    head, excerpt = F.coalesce(headline, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 600)
+    head, excerpt = F.coalesce(headline, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, EXCERPT_CHARS)
     parts = rows.withColumn("__parts", F.struct(folded(head).alias("head"), folded(excerpt).alias("body"), folded(F.concat(head, F.lit("  ||  "), excerpt)).alias("full")))
     h, x, f = (F.col(f"__parts.{k}") for k in ("head", "body", "full"))
     event_gate, may_be_event = _gated(f, [p for p, _, _ in HIGH_VALUE], "__event_gate")

@@ -290,9 +290,11 @@ def _news(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def cluster_with_vectors(spark: SparkSession, base: str) -> DataFrame:
     """As ``cluster_sequential``, with the pass over vectors: documents whose materiality makes them candidates bring the vector of the same id."""
-    scored = rules.with_materiality(table(spark, base, "documents").select("doc_id", "text"), _phrase(), F.col("text"))
+    vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    texts = table(spark, base, "documents").select("doc_id", _phrase().alias("head"), F.substring("text", 1, rules.EXCERPT_CHARS).alias("body"))
+    scored = rules.with_materiality(texts.join(vectors.select("doc_id"), "doc_id", "left_semi"), F.col("head"), F.col("body"))  # only a document with a vector can bring one
     candidates = scored.filter(F.col("materiality.score") >= PROMOTION_MATERIALITY).select("doc_id")
-    vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).join(candidates, "doc_id")
+    vectors = vectors.join(candidates, "doc_id")
     news = _news(spark, base).withColumns({"event_class": F.lit(None).cast("string"), "sectors": F.array().cast("array<string>")})
     return grouping.online_groups(news.join(vectors, "doc_id", "left"), "doc_id", "published_at", "seen_at")[0]
 
